@@ -6,15 +6,16 @@ round (1) pushes labels one hop over every arc and keeps the minimum per node
 task) and (2) jumps pointers: ``label(v) <- label(label(v))``, which halves
 the remaining distance on long chains.  Labels only decrease and are always
 ids of the same component, so the fixpoint labels every component with its
-smallest member.  Each round is a reliable checkpoint, so an executor loss
-costs one round, and the driver only reads the number of changed labels.
+smallest member.  Rounds are persisted and
+reliably checkpointed every few rounds, so an executor loss costs a few
+rounds, and the driver only reads the number of changed labels.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusgraph.session import cut_lineage
+from corpusgraph.session import RoundKeeper, cut_lineage
 
 
 def arcs_of(edges: DataFrame) -> DataFrame:
@@ -34,6 +35,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
               .join(first, F.col("node") == F.col("a"), "left")
               .select("node", F.least("node", F.coalesce("m", "node")).alias("comp")))
     labels = cut_lineage(labels)
+    keeper = RoundKeeper()
     for _ in range(max_rounds):
         pushed = (arcs.join(labels, F.col("a") == F.col("node"))
                   .select(F.col("b").alias("node"), F.col("comp").alias("cand")))
@@ -46,8 +48,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
         jumped = (merged.join(hop, F.col("comp") == F.col("p_node"), "left")
                   .select("node", "old",
                           F.least("comp", F.coalesce("p_comp", "comp")).alias("comp")))
-        jumped = cut_lineage(jumped)
-        changed = jumped.where(F.col("comp") != F.col("old")).count()
+        jumped, changed = keeper.keep(
+            jumped.withColumn("changed", F.col("comp") != F.col("old")), "changed")
         labels = jumped.select("node", "comp")
         if changed == 0:
             break

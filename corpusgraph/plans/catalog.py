@@ -6,6 +6,7 @@ import importlib
 
 PLAN_MODULES = (
     "corpusgraph.plans.graph_queries",
+    "corpusgraph.plans.tabular_queries",
 )
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 
@@ -57,6 +58,50 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss); never a local one."""
+    """Reliable checkpoint (survives executor loss); never a local one.
+
+    The input is persisted first so the checkpoint write reads the cached
+    blocks instead of recomputing the plan a second time.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
+class RoundKeeper:
+    """Lineage control for iterative jobs.
+
+    Every round's state is persisted (and materialised); every ``every``
+    rounds it is written as a reliable checkpoint, so an executor loss costs
+    at most ``every`` rounds of recomputation and plans never grow without
+    bound.  The previous round's cache is released once the new one exists.
+    """
+
+    def __init__(self, every: int = 4) -> None:
+        self.every = every
+        self.round = 0
+        self._held = None
+
+    def keep(self, df, flag: str | None = None):
+        """Persist (and every ``every`` rounds checkpoint) ``df``; return it
+        with the number of rows whose boolean column ``flag`` is true —
+        counted by the same job that fills the cache."""
+        from pyspark.sql import functions as F
+
+        self.round += 1
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        if flag is None:
+            n = cached.count()
+        else:
+            n = cached.agg(F.count_if(F.col(flag))).first()[0]
+        out = cached
+        if self.round % self.every == 0:
+            ensure_checkpoint_dir(df.sparkSession)
+            out = cached.checkpoint(eager=True)
+            cached.unpersist()
+        if self._held is not None:
+            self._held.unpersist()
+        self._held = cached if out is cached else None
+        return out, n
