@@ -7,6 +7,7 @@ import importlib
 PLAN_MODULES = (
     "corpusgraph.plans.graph_queries",
     "corpusgraph.plans.tabular_queries",
+    "corpusgraph.plans.text_queries",
 )
 
 
