@@ -8,6 +8,7 @@ PLAN_MODULES = (
     "corpusgraph.plans.graph_queries",
     "corpusgraph.plans.tabular_queries",
     "corpusgraph.plans.text_queries",
+    "corpusgraph.plans.entity_queries",
 )
 
 
