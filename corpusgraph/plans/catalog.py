@@ -9,6 +9,7 @@ PLAN_MODULES = (
     "corpusgraph.plans.tabular_queries",
     "corpusgraph.plans.text_queries",
     "corpusgraph.plans.entity_queries",
+    "corpusgraph.plans.community_queries",
 )
 
 
