@@ -10,6 +10,7 @@ PLAN_MODULES = (
     "corpusgraph.plans.text_queries",
     "corpusgraph.plans.entity_queries",
     "corpusgraph.plans.community_queries",
+    "corpusgraph.plans.stream_queries",
 )
 
 
