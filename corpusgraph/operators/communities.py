@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from corpusgraph.operators.components import connected_components
@@ -23,6 +22,13 @@ from corpusgraph.operators.quality import community_details, modularity_of
 from corpusgraph.session import RoundKeeper, cut_lineage
 
 EPS = 1e-12
+_DEBUG = bool(__import__("os").environ.get("CG_DEBUG"))
+
+
+def _log(*a):
+    if _DEBUG:
+        import time
+        print(f"[cg {time.strftime('%H:%M:%S')}]", *a, flush=True)
 
 
 def _weighted(edges: DataFrame) -> DataFrame:
@@ -113,7 +119,7 @@ def _with_degrees(vs: DataFrame, wedges: DataFrame) -> LevelGraph:
            .groupBy("v").agg(F.sum("k").alias("k")))
     vertices = (vs.join(deg, "v", "left")
                 .select("v", F.coalesce("k", F.lit(0.0)).alias("k"), "size"))
-    return LevelGraph(vertices.persist(StorageLevel.MEMORY_AND_DISK), cut_lineage(wedges))
+    return LevelGraph(cut_lineage(vertices), cut_lineage(wedges))
 
 
 def _local_moves(lg: LevelGraph, m: float, resolution: float, objective: str,
@@ -167,8 +173,11 @@ def _local_moves(lg: LevelGraph, m: float, resolution: float, objective: str,
                      F.max(F.when(own, gain)).alias("own_gain"),
                      F.first(stay0).alias("stay0")))
         stay = F.coalesce(F.col("own_gain"), F.col("stay0"))
-        parity = ((F.abs(F.xxhash64(F.col("a"), F.lit(r // 2))) % 2) == (r % 2)
-                  if damped else F.lit(True))
+        # from the third round on (or always when ``damped``) only half of
+        # the nodes may move, by a hash parity that changes every round:
+        # this breaks the 2-cycles of synchronous swaps
+        damp = damped or r >= 2
+        parity = ((F.abs(F.xxhash64(F.col("a"), F.lit(r))) % 2) == 0) if damp else F.lit(True)
         single_swap = ((F.col("n_cur") == 1) & (F.col("t.cnodes") == 1)
                        & (F.col("t.cb") > F.col("cur")))
         move = (F.col("t.gain").isNotNull() & (F.col("t.gain") > stay + EPS)
@@ -180,10 +189,11 @@ def _local_moves(lg: LevelGraph, m: float, resolution: float, objective: str,
                .select("v", F.coalesce("nc", "c").alias("c"), "k", "size",
                        F.coalesce("moved", F.lit(False)).alias("moved")))
         nxt, moves = keeper.keep(nxt, "moved")
+        _log(f"local-move round {r}: {moves} moves")
         assign = nxt.select("v", "c", "k", "size")
         total_moves += moves
         quiet = quiet + 1 if moves == 0 else 0
-        if quiet >= (2 if damped else 1):  # nothing left to move
+        if quiet >= (2 if damp else 1):  # nothing left to move
             break
     return assign.select("v", "c"), total_moves
 
@@ -247,6 +257,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0,
         if moves == 0:
             break
         after = _level_quality(lg, assign, m, resolution, objective)
+        _log(f"level done: moves={moves} quality {before:.6f} -> {after:.6f}")
         if after < before - EPS:
             break  # parallel moves made this level worse: keep the previous one
         before = after  # contraction preserves the objective

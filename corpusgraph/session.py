@@ -57,51 +57,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def _scratch_table_path(spark, kind: str) -> str:
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/corpusgraph/{kind}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss); never a local one.
+    """Write ``df`` as a parquet table in the session's checkpoint folder
+    (shared storage on a cluster) and read it back.
 
-    The input is persisted first so the checkpoint write reads the cached
-    blocks instead of recomputing the plan a second time.
+    One job computes the data once; the returned DataFrame's lineage starts
+    at the table, so an executor loss never replays earlier stages.  Never a
+    local checkpoint.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
+    path = _scratch_table_path(df.sparkSession, "table")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 class RoundKeeper:
-    """Lineage control for iterative jobs.
-
-    Every round's state is persisted (and materialised); every ``every``
-    rounds it is written as a reliable checkpoint, so an executor loss costs
-    at most ``every`` rounds of recomputation and plans never grow without
-    bound.  The previous round's cache is released once the new one exists.
-    """
+    """Lineage control for iterative jobs: every round's state becomes a
+    written table (``cut_lineage``), so plans never grow, nothing is
+    computed twice and a lost executor costs at most the current round.
+    The driver reads one scalar per round (rows with ``flag`` set)."""
 
-    def __init__(self, every: int = 4) -> None:
-        self.every = every
+    def __init__(self) -> None:
         self.round = 0
-        self._held = None
 
     def keep(self, df, flag: str | None = None):
-        """Persist (and every ``every`` rounds checkpoint) ``df``; return it
-        with the number of rows whose boolean column ``flag`` is true —
-        counted by the same job that fills the cache."""
         from pyspark.sql import functions as F
 
         self.round += 1
-        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cut_lineage(df)
         if flag is None:
-            n = cached.count()
+            n = out.count()
         else:
-            n = cached.agg(F.count_if(F.col(flag))).first()[0]
-        out = cached
-        if self.round % self.every == 0:
-            ensure_checkpoint_dir(df.sparkSession)
-            out = cached.checkpoint(eager=True)
-            cached.unpersist()
-        if self._held is not None:
-            self._held.unpersist()
-        self._held = cached if out is cached else None
+            n = out.agg(F.count_if(F.col(flag))).first()[0]
         return out, n
