@@ -11,6 +11,7 @@ PLAN_MODULES = (
     "corpusgraph.plans.entity_queries",
     "corpusgraph.plans.community_queries",
     "corpusgraph.plans.stream_queries",
+    "corpusgraph.plans.answer_queries",
 )
 
 
