@@ -129,3 +129,55 @@ FROM ranked WHERE rn <= 20 GROUP BY community
 def q_brand_member_digest(spark, sf_dir):
     membership, _ = part_graph(spark, sf_dir)
     return ds.member_digest(membership, 20)
+
+
+# ------------------------------------------------------------------ F6–F15
+def _split_sql(x: str) -> str:
+    runs = f"regexp_extract_all({x}, '([A-Z][a-z]*|[a-z]+|[0-9]+)', 1)"
+    parts = f"CASE WHEN contains({x}, '_') THEN string_split({x}, '_') ELSE []::VARCHAR[] END"
+    return (f"list_filter(list_transform(list_concat({runs}, {parts}), lambda w: trim(lower(w))), "
+            f"lambda w: length(w) > 2 AND regexp_full_match(w, '\\p{{L}}+'))")
+
+
+def _title_sql(x: str) -> str:
+    from corpusgraph.plans.text_queries import TITLE_SQL
+    return TITLE_SQL.format(x=x)
+
+
+def _map_sql(w: str) -> str:
+    from corpusgraph.operators.naming import FUNCTION_WORDS
+    from corpusgraph.plans.text_queries import TITLE_SQL
+    cases = " ".join(f"WHEN lower({w}) = '{k}' THEN '{v}'" for k, v in FUNCTION_WORDS["en"].items())
+    return f"CASE {cases} ELSE {TITLE_SQL.format(x=w)} END"
+
+
+@reg.add("brand_names", "WITH " + PART_GRAPH_CTE.strip() + f""",
+el AS (SELECT pn.node, m.community, p.p_name AS name, lower(p.p_type) AS kind
+       FROM pn JOIN part p USING (p_partkey) JOIN membership m USING (node)),
+words AS (SELECT community, node, pos, word
+          FROM el, unnest({_split_sql('name')}) WITH ORDINALITY AS t(word, pos)),
+wc AS (SELECT community, word, count(*) AS cnt, min({{'node': node, 'pos': pos}}) AS first
+       FROM words GROUP BY community, word HAVING count(*) > 1),
+top AS (SELECT community, word, row_number() OVER (PARTITION BY community ORDER BY cnt DESC, first) AS rn
+        FROM wc QUALIFY rn <= 3),
+named AS (SELECT community,
+            array_to_string(list({_map_sql('word')} ORDER BY rn) FILTER (WHERE rn <= 2), ' ')
+              || ' Module' AS name
+          FROM top GROUP BY community),
+kinds AS (SELECT community, kind, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC,
+                 min(node)) AS rn FROM el GROUP BY community, kind QUALIFY rn = 1),
+sizes AS (SELECT community, count(*) AS size FROM membership GROUP BY community)
+SELECT s.community, s.size,
+  coalesce(n.name, CASE WHEN k.kind <> 'unknown' THEN {_title_sql('k.kind')} || ' Group' END,
+           CASE WHEN s.size >= 20 THEN 'Large Functional Module'
+                WHEN s.size >= 10 THEN 'Medium Functional Module' ELSE 'Small Functional Module' END)
+    AS name
+FROM sizes s LEFT JOIN named n USING (community) LEFT JOIN kinds k USING (community)
+""")
+def q_brand_names(spark, sf_dir):
+    from corpusgraph.operators import naming as nm
+    membership, _ = part_graph(spark, sf_dir)
+    part = table(spark, sf_dir, "part")
+    el = part.select(F.concat(F.col("p_name"), F.lit("_"), F.col("p_partkey").cast("string")).alias("node"),
+                     F.col("p_name").alias("name"), F.lower("p_type").alias("kind"))
+    return nm.community_names(membership, el)

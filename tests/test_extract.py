@@ -153,3 +153,25 @@ def test_scan_tree_and_decode(spark):
     assert [r["path"] for r in rej.collect()] == ["latin.py"]
     exact = cp.scan_tree(spark, root, max_bytes=2000)
     assert "big.py" in {r["path"] for r in exact.select("path").collect()}  # size bound inclusive
+
+
+def test_naming_on_code_graph(spark):
+    from corpusgraph.operators import naming as nm
+    files = {
+        "agents/agent_handler.py": "class AgentHandler:\n    def handle_message(self):\n        pass\n",
+        "agents/agent_processor.py": "def process_message():\n    return handle_message()\n",
+        "agents/agent_validator.py": "def validate_message():\n    pass\n",
+    }
+    recs = ex.extract_records(corpus_of(spark, files))
+    el = ex.elements(recs)
+    memb = el.select(F.col("element_id").alias("node"), F.lit("c0").alias("community"))
+    names = {r["community"]: r["name"] for r in nm.community_names(
+        memb, el.select(F.col("element_id").alias("node"), "name", "kind")).collect()}
+    # common stem prefix "agent_" → "agent" → dictionary word "Agent"
+    assert names["c0"].startswith("Agent")
+    words = spark.range(1).select(nm.split_identifier(F.lit("parse_HTTPResponse_v2")).alias("w")).first()["w"]
+    assert words == ["parse", "response", "parse", "httpresponse"]
+    sample = nm.context_sample(memb, el.select(F.col("element_id").alias("node"), "name", "kind",
+                                               "file_path")).first()
+    assert sample["files"] == ["agent_handler", "agent_processor", "agent_validator"]
+    assert sample["classes"] == ["AgentHandler"]
