@@ -30,7 +30,9 @@ HEADLINE = [
     "events_resample_daily",
     "events_anomalies",
     "events_moving_average",
-    "orders_lineitem_merge",
+    "customer_orders_merge",
+    "order_totals",
+    "brand_descriptions",
     "document_search",
     "exact_duplicate_documents",
     "document_similarity_pairs",

@@ -296,11 +296,12 @@ def detect(nodes: DataFrame, edges: DataFrame, algorithm: str = "leiden",
         return louvain(nodes, edges, resolution), algorithm
     if algorithm == "label_propagation":
         return label_propagation(nodes, edges), algorithm
-    from corpusgraph.operators.betweenness import girvan_newman
-    return girvan_newman(nodes, edges, **kw), algorithm
+    raise NotImplementedError(
+        "girvan_newman needs all-pairs shortest paths per edge removal; not built yet")
 
 
-def compare(nodes: DataFrame, edges: DataFrame, algorithms=ALGORITHMS) -> DataFrame:
+def compare(nodes: DataFrame, edges: DataFrame,
+            algorithms=("leiden", "louvain", "label_propagation")) -> DataFrame:
     """One row per algorithm (communities, modularity at γ=1, status,
     seconds); ``best`` marks the first strictly highest modularity."""
     import time
@@ -337,3 +338,20 @@ def resolution_sweep(nodes: DataFrame, edges: DataFrame,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def compare_memberships(edges: DataFrame, runs: list) -> DataFrame:
+    """D9/E14 from finished runs ``(algorithm, membership, seconds)``: one
+    row per algorithm with communities and modularity (γ = 1); ``best`` marks
+    the first strictly highest modularity."""
+    parts = []
+    for i, (name, memb, secs) in enumerate(runs):
+        parts.append(modularity_of(community_details(memb, edges)).select(
+            F.lit(i).alias("ord"), F.lit(name).alias("algorithm"), "num_communities",
+            "modularity", F.lit("ok").alias("status"), F.lit(float(secs)).alias("seconds")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    best = out.agg(F.max("modularity")).scalar()
+    first = out.where(F.col("modularity") == best).agg(F.min("ord")).scalar()
+    return out.withColumn("best", F.col("ord") == first)

@@ -107,3 +107,15 @@ def basic_descriptions(membership: DataFrame, details: DataFrame) -> DataFrame:
                     suggestions("cohesion", "coupling").alias("refactor_suggestions"),
                     F.array().cast("array<string>").alias("external_dependencies"),
                     size_name("size").alias("size_name")))
+
+
+def prompt_text(digest_col: str = "digest", size_col: str = "size", cohesion_col: str = "cohesion",
+                coupling_col: str = "coupling") -> Column:
+    """one request text per community (our own wording) from its
+    digest (F18) and metrics; element content is cut at 2000 characters by
+    the caller's digest."""
+    return F.format_string(
+        "Describe this code community of %d members (cohesion %.3f, coupling %.3f). "
+        "Members: %s. Answer as JSON with functionality, architecture_pattern, "
+        "design_quality, refactor_suggestions, functional_tags, external_dependencies.",
+        F.col(size_col), F.col(cohesion_col), F.col(coupling_col), F.col(digest_col))

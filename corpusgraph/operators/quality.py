@@ -216,3 +216,19 @@ def bands(details: DataFrame) -> DataFrame:
         F.when(F.col("cohesion") <= 0.2, "low").when(F.col("cohesion") <= 0.4, "medium")
         .otherwise("high").alias("cohesion_band"),
         F.when(F.col("coupling") == 0, "independent").otherwise("low").alias("coupling_band"))
+
+
+def community_profiles(membership: DataFrame, details: DataFrame, elements: DataFrame | None = None,
+                       min_size: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Communities of at least ``min_size`` with their real cohesion and
+    coupling (the reference hard-wires 0.0 there), plus one row of counts
+    (total / kept / filtered).  Member and element lists stay long tables:
+    ``members`` = membership semi-joined to the kept communities."""
+    kept = details.where(F.col("size") >= min_size).select("community", "size", "cohesion", "coupling")
+    members = membership.join(kept.select("community"), "community", "left_semi")
+    if elements is not None:
+        members = members.join(elements, "node", "left")
+    counts = details.agg(F.count("*").alias("total"),
+                         F.count_if(F.col("size") >= min_size).alias("kept"),
+                         F.count_if(F.col("size") < min_size).alias("filtered"))
+    return kept.join(members.groupBy("community").agg(F.count("*").alias("members")), "community"), counts

@@ -181,3 +181,48 @@ def q_brand_names(spark, sf_dir):
     el = part.select(F.concat(F.col("p_name"), F.lit("_"), F.col("p_partkey").cast("string")).alias("node"),
                      F.col("p_name").alias("name"), F.lower("p_type").alias("kind"))
     return nm.community_names(membership, el)
+
+
+@reg.add("algorithm_comparison")
+def q_algorithm_comparison(spark, sf_dir):
+    """The three detectors on the document graph, modularity at γ=1."""
+    import time
+    _, edges = doc_graph(spark, sf_dir)
+    runs = []
+    for name in ("leiden", "louvain", "label_propagation"):
+        t0 = time.time()
+        memb = _detected(spark, sf_dir, name)
+        runs.append((name, memb, time.time() - t0))
+    return rounded(cm.compare_memberships(edges, runs)).drop("seconds")
+
+
+@reg.add("brand_profiles", "WITH " + PART_GRAPH_CTE.strip() + DETAILS_CTE + """
+SELECT d.community, d.size, round(d.cohesion, 6) AS cohesion, round(d.coupling, 6) AS coupling,
+       d.size AS members
+FROM details d WHERE d.size >= 5
+""")
+def q_brand_profiles(spark, sf_dir):
+    """Brand communities of at least 5 parts with real cohesion/coupling."""
+    membership, edges = part_graph(spark, sf_dir)
+    kept, _ = qm.community_profiles(membership, qm.community_details(membership, edges))
+    return rounded(kept)
+
+
+@reg.add("brand_prompts", "WITH " + PART_GRAPH_CTE.strip() + DETAILS_CTE + """,
+ranked AS (SELECT community, node, row_number() OVER (PARTITION BY community ORDER BY node) AS rn,
+                  count(*) OVER (PARTITION BY community) AS n FROM membership),
+dg AS (SELECT community, array_to_string(list(node ORDER BY node), ', ')
+              || CASE WHEN max(n) > 20 THEN ' ... and ' || (max(n) - 20)::VARCHAR || ' more' ELSE '' END
+              AS digest FROM ranked WHERE rn <= 20 GROUP BY community)
+SELECT d.community, printf('Describe this code community of %d members (cohesion %.3f, coupling %.3f). '
+  || 'Members: %s. Answer as JSON with functionality, architecture_pattern, design_quality, '
+  || 'refactor_suggestions, functional_tags, external_dependencies.',
+  d.size, d.cohesion, d.coupling, dg.digest) AS prompt
+FROM details d JOIN dg USING (community)
+""")
+def q_brand_prompts(spark, sf_dir):
+    """one request text per brand community."""
+    membership, edges = part_graph(spark, sf_dir)
+    det = qm.community_details(membership, edges)
+    j = det.join(ds.member_digest(membership, 20), "community")
+    return j.select("community", ds.prompt_text().alias("prompt"))

@@ -95,7 +95,11 @@ LEFT JOIN sz s1 ON s1.id = e.src LEFT JOIN sz s2 ON s2.id = e.dst
 """)
 def q_document_similarity_pairs(spark, sf_dir):
     _, edges = doc_graph(spark, sf_dir)
-    return rounded(se.pair_jaccard(edges, se.token_sets(_docs(spark, sf_dir))))
+    # tokenise only the documents that are endpoints of a pair
+    ends = (edges.select(F.col("src").alias("doc_id"))
+            .unionByName(edges.select(F.col("dst").alias("doc_id"))).distinct())
+    docs = _docs(spark, sf_dir).join(ends, "doc_id", "left_semi")
+    return rounded(se.pair_jaccard(edges, se.token_sets(docs)))
 
 
 @reg.add("embedding_label_cosine", """
