@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # ---- fixed values: allowed order status transitions (from -> to) ---------
 ORDER_TRANSITIONS = {
@@ -221,3 +221,147 @@ def notifications(events: DataFrame, user_col: str, kind: str, at_col: str) -> D
                          F.col(at_col).alias("created_at"),
                          (F.col(at_col) + F.expr(f"INTERVAL {NOTIFICATION_TTL_DAYS} DAYS"))
                          .alias("expires_at"))
+
+
+# ------------------------------------------------------------------ I15
+def asof_lookup(reads: DataFrame, writes: DataFrame, key: str, ts: str, value: str,
+                ttl_seconds: int | None = None, bucket_seconds: int = 86_400) -> DataFrame:
+    """I15 as-of join: for every read, the latest write with time <= read
+    time for the same key; ``valid`` when read time <= write time + ttl.
+
+    Skew-aware and exact: time is cut into buckets.  Inside a (key, bucket)
+    a window carries the last write forward (bounded by the bucket); the
+    write carried in from earlier buckets comes from a window over the
+    per-(key, bucket) last writes — one row per bucket, not per event — so
+    a key with a third of all events is still split by time.
+    """
+    b = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_seconds).cast("long")
+    w = writes.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.col(value).alias("v"))
+    r = reads.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.monotonically_increasing_id().alias("rid"),
+                     *[F.col(c) for c in reads.columns if c not in (key, ts)])
+    w = w.withColumn("b", b("t"))
+    r = r.withColumn("b", b("t"))
+    last_in_bucket = w.groupBy("k", "b").agg(F.max_by(F.struct("t", "v"), "t").alias("lw"))
+    carry_w = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last_in_bucket.withColumn("carry", F.last("lw", ignorenulls=True).over(carry_w))
+    # buckets holding reads but no writes need the carry too
+    read_buckets = r.select("k", "b").distinct()
+    all_b = read_buckets.join(last_in_bucket.select("k", "b"), ["k", "b"], "full")
+    carry_all = (all_b.join(carried.select("k", "b", "lw"), ["k", "b"], "left")
+                 .withColumn("carry", F.last("lw", ignorenulls=True).over(carry_w))
+                 .select("k", "b", "carry"))
+    wv_type = (f"struct<t:{writes.schema[ts].dataType.simpleString()},"
+               f"v:{writes.schema[value].dataType.simpleString()}>")
+    events = (w.select("k", "b", "t", F.lit(0).alias("is_read"), F.struct("t", "v").alias("wv"),
+                       F.lit(None).cast("long").alias("rid"))
+              .unionByName(r.select("k", "b", "t", F.lit(1).alias("is_read"),
+                                    F.lit(None).cast(wv_type).alias("wv"), "rid")))
+    inb = Window.partitionBy("k", "b").orderBy("t", "is_read").rowsBetween(Window.unboundedPreceding, 0)
+    found = (events.withColumn("lw", F.last("wv", ignorenulls=True).over(inb))
+             .where(F.col("is_read") == 1)
+             .join(carry_all, ["k", "b"], "left")
+             .select("rid", F.coalesce("lw", "carry").alias("hit")))
+    out = r.join(found, "rid").select(
+        F.col("k").alias(key), F.col("t").alias(ts),
+        *[F.col(c) for c in reads.columns if c not in (key, ts)],
+        F.col("hit.t").alias("written_at"), F.col("hit.v").alias(value))
+    if ttl_seconds is not None:
+        ok = F.col(ts) <= F.col("written_at") + F.expr(f"INTERVAL {ttl_seconds} SECONDS")
+        out = out.withColumn("valid", F.coalesce(ok, F.lit(False)))
+    return out
+
+
+# ------------------------------------------------------------------ I7, I9
+def allocate_stock(lines: DataFrame, stock: DataFrame, product: str, order_col: str,
+                   qty: str, initial: str) -> DataFrame:
+    """Per product, lines in arrival order take stock while enough is
+    left; a rejected line consumes nothing.  ``(line..., allocated, left)``.
+    Sequential per product: a fold over the product's sorted lines (bounded
+    by one product's lines per task)."""
+    seq = (lines.groupBy(product)
+           .agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"),
+                                                     F.col(qty).alias("q")))).alias("ls"))
+           .join(stock.select(product, F.col(initial).alias("s0")), product))
+    init = F.struct(F.col("s0").cast("long").alias("left"), F.array().cast("array<boolean>").alias("ok"))
+
+    def step(acc, ln):
+        fits = acc["left"] >= ln["q"]
+        return F.struct(F.when(fits, acc["left"] - ln["q"]).otherwise(acc["left"]).alias("left"),
+                        F.concat(acc["ok"], F.array(fits)).alias("ok"))
+    res = F.aggregate("ls", init, step)
+    z = seq.select(product, F.arrays_zip(F.col("ls"), res["ok"].alias("a")).alias("z"),
+                   res["left"].alias("stock_left"))
+    return z.select(product, "stock_left", F.inline("z")).select(
+        product, F.col("ls.o").alias(order_col), F.col("ls.q").alias(qty),
+        F.col("a").alias("allocated"), "stock_left",
+        (F.col("stock_left") > 0).alias("is_available"))
+
+
+def task_progress(tasks: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
+                  status_col: str = "status", done: str = "completed") -> DataFrame:
+    """Percentage of completed subtasks; without subtasks 100 or 0 by
+    the task's own status."""
+    sub = (tasks.where(F.col(parent_col).isNotNull())
+           .groupBy(F.col(parent_col).alias(id_col))
+           .agg(F.avg(F.when(F.col(status_col) == done, 100.0).otherwise(0.0)).alias("_p")))
+    own = F.when(F.col(status_col) == done, 100.0).otherwise(0.0)
+    return tasks.join(sub, id_col, "left").withColumn("progress", F.coalesce("_p", own)).drop("_p")
+
+
+# ------------------------------------------------------------------ I17, I18
+def validate_rules(df: DataFrame, rules: list[tuple[str, Column]], id_col: str) -> DataFrame:
+    """Every failing rule (a boolean Column that must hold) gives one
+    ``(id, rule)`` row; null counts as failing."""
+    fails = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]),
+                     lambda x: x.isNotNull())
+    return df.select(id_col, F.explode(fails).alias("rule"))
+
+
+def add_if_absent(arr, value) -> Column:
+    """add/has/remove on array attributes (roles, tags, dependencies)."""
+    a = F.coalesce(F.col(arr) if isinstance(arr, str) else arr, F.array().cast("array<string>"))
+    return F.when(F.array_contains(a, value), a).otherwise(F.concat(a, F.array(F.lit(value))))
+
+
+def remove_value(arr, value) -> Column:
+    return F.array_remove(F.col(arr) if isinstance(arr, str) else arr, value)
+
+
+def merge_maps(left, right) -> Column:
+    """Merge preferences, right-side keys win."""
+    lc = F.col(left) if isinstance(left, str) else left
+    rc = F.col(right) if isinstance(right, str) else right
+    return F.map_zip_with(lc, rc, lambda k, a, b: F.coalesce(b, a))
+
+
+# ------------------------------------------------------------------ I20, I22
+def serialize(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """One JSON text per row; timestamps ISO-8601, nested records kept."""
+    chosen = cols or df.columns
+    return df.select(F.to_json(F.struct(*chosen), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+                                                   "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+                     .alias("json"))
+
+
+def partial_update(base: DataFrame, patches: DataFrame, actors: DataFrame, id_col: str,
+                   owner_col: str, fields: list[str], admin_only: tuple[str, ...] = ("is_active",)) -> DataFrame:
+    """Patches ``(id, actor_id, <fields>…)`` (null = not supplied) are
+    applied when the actor owns the row or is an admin; admin-only fields
+    change only for admins.  Every patch yields accepted/rejected + reason."""
+    p = patches.alias("p")
+    j = (p.join(base.alias("b"), F.col(f"p.{id_col}") == F.col(f"b.{id_col}"), "left")
+         .join(actors.select(F.col("id").alias("_aid"), F.col("is_admin").alias("_adm")).alias("a"),
+               F.col("p.actor_id") == F.col("a._aid"), "left"))
+    admin = F.coalesce(F.col("_adm"), F.lit(False))
+    owner = F.col(f"b.{owner_col}") == F.col("p.actor_id")
+    missing = F.col(f"b.{id_col}").isNull()
+    allowed = ~missing & (owner | admin)
+    cols = []
+    for f in fields:
+        new = F.coalesce(F.col(f"p.{f}"), F.col(f"b.{f}"))
+        if f in admin_only:
+            new = F.when(admin, new).otherwise(F.col(f"b.{f}"))
+        cols.append(F.when(allowed, new).otherwise(F.col(f"b.{f}")).alias(f))
+    reason = F.when(missing, "not_found").when(~(owner | admin), "forbidden").otherwise(F.lit(None))
+    return j.select(F.col(f"p.{id_col}").alias(id_col), *cols, allowed.alias("accepted"),
+                    reason.alias("reason"))

@@ -141,3 +141,19 @@ def q_page_public_paths(spark, sf_dir):
         "page_id", F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
         .alias("path"))
     return pages.withColumn("is_public", en.public_path("path"))
+
+
+@reg.add("purchase_value_asof", """
+WITH w AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase'),
+r AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view')
+SELECT r.user_id, r.ts, r.event_id, w.ts AS written_at, w.value,
+       coalesce(r.ts <= w.ts + INTERVAL 3 DAY, false) AS valid
+FROM r ASOF LEFT JOIN w ON r.user_id = w.user_id AND r.ts >= w.ts
+""")
+def q_purchase_value_asof(spark, sf_dir):
+    """For every page view, the user's latest purchase value at that
+    time, valid for three days (as-of join with a time-to-live)."""
+    e = table(spark, sf_dir, "events")
+    writes = e.where(F.col("event_type") == "purchase").select("user_id", "ts", "value")
+    reads = e.where(F.col("event_type") == "view").select("user_id", "ts", "event_id")
+    return en.asof_lookup(reads, writes, "user_id", "ts", "value", ttl_seconds=3 * 86_400)

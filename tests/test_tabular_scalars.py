@@ -129,3 +129,40 @@ def test_latest_per_key_and_route(spark):
     import re
     rx = en.route_regex("/api/users/{user_id}/posts")
     assert re.match(rx, "/api/users/42/posts") and not re.match(rx, "/api/users/4/2/posts")
+
+
+def test_stock_allocation_and_progress(spark):
+    lines = spark.createDataFrame([("p", 1, 3), ("p", 2, 5), ("p", 3, 2), ("q", 1, 1)],
+                                  "product string, seq int, qty int")
+    stock = spark.createDataFrame([("p", 5), ("q", 0)], "product string, stock int")
+    got = {(r["product"], r["seq"]): r["allocated"] for r in
+           en.allocate_stock(lines, stock, "product", "seq", "qty", "stock").collect()}
+    assert got == {("p", 1): True, ("p", 2): False, ("p", 3): True, ("q", 1): False}
+    tasks = spark.createDataFrame([("t", None, "active"), ("a", "t", "completed"), ("b", "t", "active"),
+                                   ("solo", None, "completed")], "id string, parent_id string, status string")
+    prog = {r["id"]: r["progress"] for r in en.task_progress(tasks).collect()}
+    assert prog == {"t": 50.0, "a": 100.0, "b": 0.0, "solo": 100.0}
+
+
+def test_rules_arrays_serialize_patch(spark):
+    cfg = spark.createDataFrame([("x", 70000, 1, 5), ("y", 80, 9, 2)], "id string, port int, lo int, hi int")
+    fails = sorted(map(tuple, en.validate_rules(cfg, [("port_range", F.col("port").between(1, 65535)),
+                                                      ("lo_le_hi", F.col("lo") <= F.col("hi"))], "id").collect()))
+    assert fails == [("x", "port_range"), ("y", "lo_le_hi")]
+    u = spark.createDataFrame([(["user"], {"a": "1"}, {"a": "2", "b": "3"})],
+                              "roles array<string>, p1 map<string,string>, p2 map<string,string>")
+    r = u.select(en.add_if_absent("roles", "admin").alias("r1"), en.add_if_absent("roles", "user").alias("r2"),
+                 en.remove_value("roles", "user").alias("r3"), en.merge_maps("p1", "p2").alias("m")).first()
+    assert r["r1"] == ["user", "admin"] and r["r2"] == ["user"] and r["r3"] == [] and r["m"] == {"a": "2", "b": "3"}
+    ts = spark.createDataFrame([(1, dt.datetime(2024, 1, 2, 3, 4, 5))], "id int, at timestamp_ntz")
+    assert en.serialize(ts).first()["json"] == '{"id":1,"at":"2024-01-02T03:04:05.000000"}'
+    base = spark.createDataFrame([("u1", "owner", "old", True), ("u2", "other", "x", True)],
+                                 "id string, owner_id string, name string, is_active boolean")
+    actors = spark.createDataFrame([("owner", False), ("boss", True)], "id string, is_admin boolean")
+    patches = spark.createDataFrame([("u1", "owner", "new", False), ("u2", "owner", "hack", None),
+                                     ("u2", "boss", None, False), ("u9", "boss", "z", None)],
+                                    "id string, actor_id string, name string, is_active boolean")
+    res = sorted(tuple(r) for r in en.partial_update(base, patches, actors, "id", "owner_id",
+                                                     ["name", "is_active"]).collect())
+    assert res == [("u1", "new", True, True, None), ("u2", "x", False, True, None),
+                   ("u2", "x", True, False, "forbidden"), ("u9", None, None, False, "not_found")]
