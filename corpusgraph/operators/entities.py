@@ -365,3 +365,22 @@ def partial_update(base: DataFrame, patches: DataFrame, actors: DataFrame, id_co
     reason = F.when(missing, "not_found").when(~(owner | admin), "forbidden").otherwise(F.lit(None))
     return j.select(F.col(f"p.{id_col}").alias(id_col), *cols, allowed.alias("accepted"),
                     reason.alias("reason"))
+
+
+def match_routes(requests: DataFrame, routes: list[tuple[str, str]], path_col: str = "path",
+                 method_col: str = "method") -> DataFrame:
+    """I16: ``routes`` = ordered ``(method, template)``; ``{name}`` matches
+    one path segment, anchored.  First registered match wins; no path match
+    → 404, path matches but not the method → 405.  The table is compiled
+    into one CASE expression (no join against the route list)."""
+    p, m = F.col(path_col), F.col(method_col)
+    route = None
+    path_hit = None
+    for i, (method, tmpl) in enumerate(routes):
+        rx = route_regex(tmpl)
+        hit = p.rlike(rx) & (m == method)
+        route = F.when(hit, F.lit(i)) if route is None else route.when(hit, F.lit(i))
+        ph = p.rlike(rx)
+        path_hit = ph if path_hit is None else path_hit | ph
+    return requests.withColumn("route", route).withColumn(
+        "status", F.when(F.col("route").isNotNull(), 200).when(path_hit, 405).otherwise(404))

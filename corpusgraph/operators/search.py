@@ -58,10 +58,11 @@ def file_structure(paths: DataFrame, path_col: str = "path") -> DataFrame:
     """One row: files, ``.py`` files, distinct directories (every
     proper prefix of every path)."""
     p = paths.select(F.col(path_col).alias("p"))
-    dirs = (p.select(F.explode(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(F.split("p", "/")) - 1, F.lit(1))),
-        lambda i: F.array_join(F.slice(F.split("p", "/"), 1, i), "/"))).alias("d"))
-        .where(F.size(F.split(F.col("d"), "/")) > 0))
+    segs = F.split("p", "/")
+    prefixes = F.filter(F.sequence(F.lit(1), F.greatest(F.size(segs) - 1, F.lit(1))),
+                        lambda i: i < F.size(segs))
+    dirs = p.select(F.explode(F.transform(prefixes, lambda i: F.array_join(F.slice(segs, 1, i), "/")))
+                    .alias("d"))
     return paths.sparkSession.range(1).select(
         p.agg(F.count_distinct("p")).scalar().alias("files"),
         p.where(F.col("p").endswith(".py")).agg(F.count_distinct("p")).scalar().alias("py_files"),

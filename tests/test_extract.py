@@ -175,3 +175,40 @@ def test_naming_on_code_graph(spark):
                                                "file_path")).first()
     assert sample["files"] == ["agent_handler", "agent_processor", "agent_validator"]
     assert sample["classes"] == ["AgentHandler"]
+
+
+def test_search_operators_on_code(spark):
+    from corpusgraph.operators import search as se
+    recs = ex.extract_records(corpus_of(spark, INTEGRATION))
+    el = ex.elements(recs).cache()
+    ov = {r["file_path"]: (r["classes"], r["functions"], r["important"])
+          for r in se.symbol_overview(el).collect()}
+    assert ov["models.py"] == (2, 3, False)
+    assert {r["element_id"] for r in se.find_symbol(el, "assist", kind="function").collect()} == \
+        {"helpers.py:assist", "helpers.py:assist_more"}
+    refs = {r["element_id"] for r in se.find_references(el, "assist").collect()}
+    assert refs == {"app.py:run", "helpers.py:assist_more"}
+    corpus = corpus_of(spark, {"a/b/c.py": "", "a/d.py": "", "e.txt": ""})
+    fs = se.file_structure(corpus).first()
+    assert (fs["files"], fs["py_files"], fs["directories"]) == (3, 2, 2)
+    hits = se.search_pattern(corpus_of(spark, INTEGRATION), r"^def ", id_col="path", text_col="content",
+                             path_col="path", extensions=[".py"])
+    assert {r["doc_id"] for r in hits.collect()} == {"helpers.py"}
+
+
+def test_routes_and_profile(spark):
+    from corpusgraph.operators import entities as en
+    from corpusgraph.operators import tabular as tb
+    req = spark.createDataFrame([("GET", "/api/users/7"), ("POST", "/api/users/7"), ("GET", "/nope"),
+                                 ("GET", "/api/users/7/x")], "method string, path string")
+    got = [(r["path"], r["status"], r["route"]) for r in
+           en.match_routes(req, [("GET", "/api/users/{id}"), ("GET", "/api/users/{id}/{sub}")]).collect()]
+    assert got == [("/api/users/7", 200, 0), ("/api/users/7", 405, None), ("/nope", 404, None),
+                   ("/api/users/7/x", 200, 1)]
+    d = tempfile.mkdtemp(prefix="cg-prof-")
+    with open(f"{d}/p.csv", "w") as fh:
+        fh.write("g,x\na,1\nb,2\nb,4\nc,8\n")
+    quality, stats = tb.profile_file(spark, f"{d}/p.csv")
+    s = stats.where("column = 'x'").first()
+    assert (s["q1"], s["median"], s["q3"]) == (1.75, 3.0, 5.0)
+    assert quality.where("metric = 'total_rows'").first()["value"] == 4.0
