@@ -235,36 +235,37 @@ def asof_lookup(reads: DataFrame, writes: DataFrame, key: str, ts: str, value: s
     per-(key, bucket) last writes — one row per bucket, not per event — so
     a key with a third of all events is still split by time.
     """
-    b = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_seconds).cast("long")
-    w = writes.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.col(value).alias("v"))
-    r = reads.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.monotonically_increasing_id().alias("rid"),
-                     *[F.col(c) for c in reads.columns if c not in (key, ts)])
-    w = w.withColumn("b", b("t"))
-    r = r.withColumn("b", b("t"))
+    def bucket(c: str) -> Column:
+        return F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_seconds).cast("long")
+
+    extra = [c for c in reads.columns if c not in (key, ts)]
+    w = writes.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.col(value).alias("v")) \
+        .withColumn("b", bucket("t"))
+    r = reads.select(F.col(key).alias("k"), F.col(ts).alias("t"),
+                     F.struct(*[F.col(c) for c in extra]).alias("payload")) if extra else \
+        reads.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.lit(None).alias("payload"))
+    r = r.withColumn("b", bucket("t"))
     last_in_bucket = w.groupBy("k", "b").agg(F.max_by(F.struct("t", "v"), "t").alias("lw"))
     carry_w = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last_in_bucket.withColumn("carry", F.last("lw", ignorenulls=True).over(carry_w))
-    # buckets holding reads but no writes need the carry too
-    read_buckets = r.select("k", "b").distinct()
-    all_b = read_buckets.join(last_in_bucket.select("k", "b"), ["k", "b"], "full")
-    carry_all = (all_b.join(carried.select("k", "b", "lw"), ["k", "b"], "left")
+    # buckets holding reads but no writes need the carried write too
+    all_b = r.select("k", "b").distinct().join(last_in_bucket.select("k", "b"), ["k", "b"], "full")
+    carry_all = (all_b.join(last_in_bucket, ["k", "b"], "left")
                  .withColumn("carry", F.last("lw", ignorenulls=True).over(carry_w))
                  .select("k", "b", "carry"))
     wv_type = (f"struct<t:{writes.schema[ts].dataType.simpleString()},"
                f"v:{writes.schema[value].dataType.simpleString()}>")
     events = (w.select("k", "b", "t", F.lit(0).alias("is_read"), F.struct("t", "v").alias("wv"),
-                       F.lit(None).cast("long").alias("rid"))
+                       F.lit(None).cast(r.schema["payload"].dataType).alias("payload"))
               .unionByName(r.select("k", "b", "t", F.lit(1).alias("is_read"),
-                                    F.lit(None).cast(wv_type).alias("wv"), "rid")))
+                                    F.lit(None).cast(wv_type).alias("wv"), "payload")))
     inb = Window.partitionBy("k", "b").orderBy("t", "is_read").rowsBetween(Window.unboundedPreceding, 0)
     found = (events.withColumn("lw", F.last("wv", ignorenulls=True).over(inb))
              .where(F.col("is_read") == 1)
              .join(carry_all, ["k", "b"], "left")
-             .select("rid", F.coalesce("lw", "carry").alias("hit")))
-    out = r.join(found, "rid").select(
-        F.col("k").alias(key), F.col("t").alias(ts),
-        *[F.col(c) for c in reads.columns if c not in (key, ts)],
-        F.col("hit.t").alias("written_at"), F.col("hit.v").alias(value))
+             .withColumn("hit", F.coalesce("lw", "carry")))
+    out = found.select(F.col("k").alias(key), F.col("t").alias(ts),
+                       *[F.col(f"payload.{c}").alias(c) for c in extra],
+                       F.col("hit.t").alias("written_at"), F.col("hit.v").alias(value))
     if ttl_seconds is not None:
         ok = F.col(ts) <= F.col("written_at") + F.expr(f"INTERVAL {ttl_seconds} SECONDS")
         out = out.withColumn("valid", F.coalesce(ok, F.lit(False)))

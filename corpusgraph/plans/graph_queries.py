@@ -17,6 +17,7 @@ from corpusgraph.operators import components as cc
 from corpusgraph.operators import graph as g
 from corpusgraph.operators import quality as qm
 from corpusgraph.plans.common import Registry, rounded
+from corpusgraph.session import cut_lineage
 from corpusgraph.sources.tables import table
 
 reg = Registry()
@@ -118,11 +119,17 @@ def _with(cte: str, body: str) -> str:
 
 
 # ---------------------------------------------------------------- Spark side
-def doc_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+@lru_cache(maxsize=4)
+def _doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the edge set is derived once per session and input, then read back as
+    # a written table (shared checkpoint folder) by every graph query
     docs = table(spark, sf_dir, "documents")
-    edges = g.shared_line_edges(docs.select("doc_id", "text"))
-    nodes = docs.select(F.col("doc_id").alias("node"))
-    return nodes, edges
+    return cut_lineage(g.shared_line_edges(docs.select("doc_id", "text")))
+
+
+def doc_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"))
+    return nodes, _doc_edges(spark, sf_dir)
 
 
 def source_membership(spark: SparkSession, sf_dir: str) -> DataFrame:

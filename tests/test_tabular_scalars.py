@@ -166,3 +166,18 @@ def test_rules_arrays_serialize_patch(spark):
                                                      ["name", "is_active"]).collect())
     assert res == [("u1", "new", True, True, None), ("u2", "x", False, True, None),
                    ("u2", "x", True, False, "forbidden"), ("u9", None, None, False, "not_found")]
+
+
+def test_asof_lookup_carries_across_buckets(spark):
+    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    writes = spark.createDataFrame([("k", t(1), 1.0), ("k", t(5), 2.0), ("k", t(80), 3.0), ("z", t(2), 9.0)],
+                                   "key string, ts timestamp_ntz, v double")
+    reads = spark.createDataFrame([("k", t(0), "r0"), ("k", t(5), "r1"), ("k", t(60), "r2"),
+                                   ("k", t(81), "r3"), ("q", t(3), "r4")],
+                                  "key string, ts timestamp_ntz, rid string")
+    got = {r["rid"]: (r["v"], r["valid"]) for r in
+           en.asof_lookup(reads, writes, "key", "ts", "v", ttl_seconds=24 * 3600,
+                          bucket_seconds=86_400).collect()}
+    # r1 reads at the write's own time (inclusive); r2 two days later: found but expired
+    assert got == {"r0": (None, False), "r1": (2.0, True), "r2": (2.0, False), "r3": (3.0, True),
+                   "r4": (None, False)}
