@@ -162,8 +162,9 @@ def safe_divide(a, b, default: float = 0.0) -> Column:
 
 
 def clamp(x, lo, hi) -> Column:
-    """J14."""
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), _c(x)))
+    """J14 (null stays null: least/greatest would skip it)."""
+    x = _c(x)
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
 def sku(category, ident) -> Column:

@@ -81,7 +81,8 @@ def parse_score(text) -> Column:
     """First number, clamped to [0, 1]; none → 0.0."""
     first = F.regexp_extract(_c(text), SCORE_PATTERN, 0)
     v = F.when(first != "", first.try_cast("double"))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)), F.lit(0.0))
+    # least/greatest skip nulls: clamp only a present number
+    return F.coalesce(F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))), F.lit(0.0))
 
 
 def clean_name(text) -> Column:
@@ -114,3 +115,33 @@ def with_defaults(items: DataFrame, answers: DataFrame, key: str, parsed: str,
     cols = [F.coalesce(F.col(f"{parsed}.{k}"), F.lit(v)).alias(k) for k, v in default.items()]
     miss = F.col(parsed).isNull() | F.coalesce(F.col(f"{parsed}.is_default"), F.lit(True))
     return j.select(key, *cols, miss.alias("is_default"))
+
+
+# ---- fixed values: default refactoring record --------------------------
+REFACTOR_DEFAULT = {"issues": ["无法分析代码问题"], "suggestions": ["请检查DeepSeek API配置"],
+                    "improvements": ["API连接失败"], "priority": "medium"}
+# -------------------------------------------------------------------------
+
+
+def parse_refactoring(text) -> Column:
+    """Like G1 (first ``{`` to last ``}``) with fields issues,
+    suggestions, improvements (string lists) and priority; anything else →
+    the default record."""
+    t = _c(text)
+    start = F.instr(t, "{")
+    end = F.length(t) - F.instr(F.reverse(t), "}") + 1
+    js = F.when((start > 0) & (F.instr(t, "}") > 0) & (end >= start),
+                F.substring(t, start, end - start + 1))
+    ok = F.coalesce(F.try_parse_json(js).isNotNull(), F.lit(False))
+    parsed = F.from_json(js, "issues array<string>, suggestions array<string>, "
+                             "improvements array<string>, priority string")
+
+    def lit_list(v):
+        return F.array(*[F.lit(x) for x in v])
+    return F.struct(
+        F.when(ok, parsed["issues"]).otherwise(lit_list(REFACTOR_DEFAULT["issues"])).alias("issues"),
+        F.when(ok, parsed["suggestions"]).otherwise(lit_list(REFACTOR_DEFAULT["suggestions"])).alias("suggestions"),
+        F.when(ok, parsed["improvements"]).otherwise(lit_list(REFACTOR_DEFAULT["improvements"]))
+        .alias("improvements"),
+        F.when(ok, parsed["priority"]).otherwise(F.lit(REFACTOR_DEFAULT["priority"])).alias("priority"),
+        (~ok).alias("is_default"))

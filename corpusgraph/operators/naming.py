@@ -217,3 +217,34 @@ def enrich(descriptions: DataFrame, names: DataFrame, profiles: DataFrame) -> Da
                                                                   "community", "left")
             .withColumn("name", F.coalesce(F.col("name"),
                                            F.concat(F.lit("Community "), F.col("community").cast("string")))))
+
+
+# ---- fixed values: secondary fallback keywords (checked in this order) ---
+FALLBACK_KEYWORDS = [
+    ("agent", "智能体"), ("message", "消息处理"), ("memory", "内存管理"), ("performance", "性能监控"),
+    ("config", "配置管理"), ("util", "工具函数"), ("helper", "辅助功能"), ("handler", "处理器"),
+    ("manager", "管理器"), ("processor", "处理器"), ("analyzer", "分析器"), ("generator", "生成器"),
+]
+FALLBACK_SIZE_NAMES = ("大型功能", "中型功能", "小型功能")   # size >= 10, >= 5, else
+# ---------------------------------------------------------------------------
+
+
+def fallback_names(membership: DataFrame, elements: DataFrame) -> DataFrame:
+    """F16: most frequent file stem of the community's elements (first seen
+    wins ties), mapped by the first keyword it contains, else ``Stem功能``;
+    without elements a size class."""
+    el = membership.join(elements.select("node", "file_path"), "node") \
+        .withColumn("stem", F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"\.[^.]*$", ""))
+    ranked = el.groupBy("community", "stem").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    w = Window.partitionBy("community").orderBy(F.desc("n"), F.asc("first"))
+    top = ranked.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("community", "stem")
+    low = F.lower(F.col("stem"))
+    mapped = None
+    for k, v in FALLBACK_KEYWORDS:
+        mapped = F.when(low.contains(k), F.lit(v)) if mapped is None else mapped.when(low.contains(k), F.lit(v))
+    by_stem = mapped.otherwise(F.concat(title_case(F.col("stem")), F.lit("功能")))
+    sizes = membership.groupBy("community").agg(F.count("*").alias("size"))
+    big, mid, small = FALLBACK_SIZE_NAMES
+    by_size = F.when(F.col("size") >= 10, big).when(F.col("size") >= 5, mid).otherwise(small)
+    return (sizes.join(top, "community", "left")
+            .select("community", F.when(F.col("stem").isNotNull(), by_stem).otherwise(by_size).alias("name")))

@@ -99,8 +99,9 @@ def q_answer_parse_fenced(spark, sf_dir):
 
 @reg.add("page_url_score", r"""
 SELECT page_id,
-  coalesce(greatest(0.0, least(1.0, TRY_CAST(nullif(regexp_extract(url, '0?\.\d+|\d+\.?\d*', 0), '')
-                                              AS DOUBLE))), 0.0) AS score
+  coalesce(CASE WHEN regexp_extract(url, '0?\.\d+|\d+\.?\d*', 0) <> ''
+                THEN greatest(0.0, least(1.0, TRY_CAST(regexp_extract(url, '0?\.\d+|\d+\.?\d*', 0)
+                                                       AS DOUBLE))) END, 0.0) AS score
 FROM pages
 """)
 def q_page_url_score(spark, sf_dir):

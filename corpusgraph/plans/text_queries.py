@@ -252,7 +252,7 @@ def q_events_props_flat(spark, sf_dir):
 @reg.add("lineitem_safe_ratios", """
 SELECT l_orderkey, l_linenumber,
        round(CASE WHEN l_tax = 0 THEN 0.0 ELSE l_discount / l_tax END, 6) AS discount_per_tax,
-       greatest(10.0, least(40.0, l_quantity)) AS clamped_quantity
+       CASE WHEN l_quantity IS NOT NULL THEN greatest(10.0, least(40.0, l_quantity)) END AS clamped_quantity
 FROM lineitem
 """)
 def q_lineitem_safe_ratios(spark, sf_dir):

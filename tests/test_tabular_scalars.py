@@ -181,3 +181,26 @@ def test_asof_lookup_carries_across_buckets(spark):
     # r1 reads at the write's own time (inclusive); r2 two days later: found but expired
     assert got == {"r0": (None, False), "r1": (2.0, True), "r2": (2.0, False), "r3": (3.0, True),
                    "r4": (None, False)}
+
+
+def test_answer_parsers(spark):
+    from corpusgraph.operators import answers as an
+    df = spark.createDataFrame([
+        ('  {"functionality": "f", "complexity": 3, "quality": 8}',),
+        ('prose ```json\n{"functionality": "g", "complexity": 1, "quality": 2}\n``` tail',),
+        ("no braces at all",), ('{"functionality": "cut', )], "t string")
+    loose = [r["p"] for r in df.select(an.parse_answer_loose("t").alias("p")).collect()]
+    assert (loose[0]["functionality"], loose[0]["complexity"], loose[0]["is_default"]) == ("f", 3, False)
+    assert loose[1]["functionality"] == "g"
+    assert (loose[2]["complexity"], loose[2]["quality"], loose[2]["is_default"]) == (5, 7, True)
+    fenced = [r["p"] for r in df.select(an.parse_answer_fenced("t").alias("p")).collect()]
+    assert fenced[0]["functionality"] == "f" and fenced[1]["functionality"] == "g"
+    assert fenced[2]["is_default"] and fenced[3]["is_default"]
+    s = spark.createDataFrame([("0.75",), ("85%",), ("-0.5",), ("none",)], "t string")
+    assert [r[0] for r in s.select(an.parse_score("t")).collect()] == [0.75, 1.0, 0.5, 0.0]
+    n = spark.createDataFrame([('名称："数据处理器模块很长的名字"',), ("   ",)], "t string")
+    assert [r[0] for r in n.select(an.clean_name("t")).collect()] == ["数据处理器模块很长的", "未知功能"]
+    rf = spark.createDataFrame([('x {"issues": ["a"], "suggestions": [], "improvements": ["b"], '
+                                 '"priority": "high"} y',), ("nothing",)], "t string")
+    got = [r[0] for r in rf.select(an.parse_refactoring("t")).collect()]
+    assert got[0]["priority"] == "high" and got[0]["issues"] == ["a"] and got[1]["priority"] == "medium"
