@@ -248,3 +248,92 @@ def fallback_names(membership: DataFrame, elements: DataFrame) -> DataFrame:
     by_size = F.when(F.col("size") >= 10, big).when(F.col("size") >= 5, mid).otherwise(small)
     return (sizes.join(top, "community", "left")
             .select("community", F.when(F.col("stem").isNotNull(), by_stem).otherwise(by_size).alias("name")))
+
+
+# ---- fixed values: description keywords (checked in this order) ----------
+DESCRIPTION_TERMS = [
+    ("验证", "validation"), ("校验", "validation"), ("检查", "validation"), ("压缩", "compression"),
+    ("解压", "compression"), ("监控", "monitoring"), ("监测", "monitoring"), ("分析", "analysis"),
+    ("解析", "parsing"), ("处理", "processing"), ("管理", "management"), ("控制", "control"),
+    ("执行", "execution"), ("调度", "scheduling"), ("路由", "routing"), ("转换", "transformation"),
+    ("优化", "optimization"), ("缓存", "caching"), ("存储", "storage"), ("持久化", "persistence"),
+    ("同步", "synchronization"), ("异步", "async"), ("并发", "concurrency"), ("测试", "testing"),
+    ("调试", "debugging"), ("日志", "logging"), ("记录", "logging"), ("配置", "configuration"),
+    ("设置", "configuration"), ("初始化", "initialization"), ("启动", "startup"),
+    ("连接", "connection"), ("通信", "communication"), ("传输", "transmission"), ("发送", "sending"),
+    ("接收", "receiving"), ("响应", "response"), ("请求", "request"), ("查询", "query"),
+    ("搜索", "search"), ("过滤", "filtering"), ("排序", "sorting"), ("计算", "calculation"),
+    ("统计", "statistics"), ("报告", "reporting"), ("展示", "display"), ("渲染", "rendering"),
+    ("界面", "interface"), ("用户", "user"), ("系统", "system"), ("服务", "service"),
+    ("模块", "module"), ("组件", "component"), ("工具", "utility"), ("帮助", "helper"),
+    ("辅助", "auxiliary"), ("智能体", "agent"), ("代理", "agent"), ("工作流", "workflow"),
+    ("任务", "task"), ("状态", "state"), ("决策", "decision"), ("策略", "strategy"), ("规则", "rule"),
+    ("算法", "algorithm"), ("模型", "model"), ("数据", "data"), ("消息", "message"), ("事件", "event"),
+    ("队列", "queue"), ("栈", "stack"), ("树", "tree"), ("图", "graph"), ("网络", "network"),
+    ("协议", "protocol"), ("编码", "encoding"), ("解码", "decoding"), ("加密", "encryption"),
+    ("安全", "security"), ("认证", "authentication"), ("授权", "authorization"),
+    ("权限", "permission"), ("用户界面", "ui"), ("命令行", "cli"), ("命令", "command"),
+    ("指令", "instruction"), ("脚本", "script"), ("文件", "file"), ("目录", "directory"),
+    ("路径", "path"), ("资源", "resource"), ("内存", "memory"), ("性能", "performance"),
+    ("效率", "efficiency"), ("速度", "speed"), ("时间", "time"), ("定时", "timer"), ("延迟", "delay"),
+    ("错误", "error"), ("异常", "exception"), ("故障", "failure"), ("恢复", "recovery"),
+    ("备份", "backup"), ("还原", "restore"), ("版本", "version"), ("更新", "update"),
+    ("升级", "upgrade"), ("迁移", "migration"),
+]
+SPECIAL_PHRASES = [
+    ("输入验证", "input_validation"), ("数据验证", "data_validation"), ("状态管理", "state_management"),
+    ("任务管理", "task_management"), ("工作流管理", "workflow_management"),
+    ("消息处理", "message_processing"), ("数据处理", "data_processing"), ("错误处理", "error_handling"),
+    ("异常处理", "exception_handling"), ("性能监控", "performance_monitoring"),
+    ("系统监控", "system_monitoring"), ("网络传输", "network_transmission"),
+    ("文件操作", "file_operations"), ("数据库操作", "database_operations"),
+    ("缓存管理", "cache_management"), ("配置管理", "configuration_management"), ("日志记录", "logging"),
+    ("用户界面", "user_interface"), ("命令行界面", "cli_interface"), ("API接口", "api_interface"),
+    ("数据分析", "data_analysis"), ("算法实现", "algorithm_implementation"),
+    ("模型训练", "model_training"), ("结果展示", "result_display"), ("报告生成", "report_generation"),
+]
+ARCHITECTURE_NAMES = {
+    "en": {"testing": "Testing Module", "api_layer": "API Layer", "data_model": "Data Model Layer",
+           "service_layer": "Service Layer", "functional_module": "Functional Module",
+           "controller": "Controller Layer", "view": "View Layer", "middleware": "Middleware",
+           "adapter": "Adapter Pattern", "factory": "Factory Pattern", "observer": "Observer Pattern",
+           "strategy": "Strategy Pattern", "decorator": "Decorator Pattern", "facade": "Facade Pattern",
+           "proxy": "Proxy Pattern", "singleton": "Singleton Pattern"},
+    "zh": {"testing": "测试模块", "api_layer": "API层", "data_model": "数据模型层", "service_layer": "服务层",
+           "functional_module": "功能模块", "controller": "控制器层", "view": "视图层", "middleware": "中间件",
+           "adapter": "适配器模式", "factory": "工厂模式", "observer": "观察者模式", "strategy": "策略模式",
+           "decorator": "装饰器模式", "facade": "外观模式", "proxy": "代理模式", "singleton": "单例模式"},
+}
+# ---------------------------------------------------------------------------
+
+
+def extract_keywords(functionality, lang: str = "en", k: int = 2) -> Column:
+    """description terms, then dictionary keywords, then phrases — in
+    that order — as found in the lower-cased text; first ``k`` distinct."""
+    low = F.lower(F.col(functionality) if isinstance(functionality, str) else functionality)
+    found = ([F.when(low.contains(t), F.lit(kw)) for t, kw in DESCRIPTION_TERMS]
+             + [F.when(low.contains(w), F.lit(w)) for w in FUNCTION_WORDS[lang]]
+             + [F.when(low.contains(p.lower()), F.lit(kw)) for p, kw in SPECIAL_PHRASES])
+    return F.slice(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull())), 1, k)
+
+
+def name_from_description(functionality, tags, pattern, lang: str = "en") -> Column:
+    """keywords of the functionality → name; else the first two tags
+    that are dictionary words (or the first tag title-cased); the
+    architecture pattern only when there is neither text nor tags."""
+    fn = F.col(functionality) if isinstance(functionality, str) else functionality
+    tg = F.coalesce(F.col(tags) if isinstance(tags, str) else tags, F.array().cast("array<string>"))
+    pt = F.col(pattern) if isinstance(pattern, str) else pattern
+    kws = extract_keywords(fn, lang)
+    words = F.create_map(*[x for k2, v in FUNCTION_WORDS[lang].items() for x in (F.lit(k2), F.lit(v))])
+    known = F.filter(F.slice(tg, 1, 2), lambda t: F.element_at(words, t).isNotNull())
+    tag_name = F.when(F.size(known) > 0, F.concat(F.array_join(F.transform(known, lambda t: F.element_at(words, t)),
+                                                               JOINER[lang]), F.lit(MODULE_SUFFIX[lang]))) \
+        .otherwise(F.concat(title_case(F.element_at(tg, 1)), F.lit(MODULE_SUFFIX[lang])))
+    arch = F.create_map(*[x for k2, v in ARCHITECTURE_NAMES[lang].items() for x in (F.lit(k2), F.lit(v))])
+    has_text = F.coalesce(F.length(fn) > 0, F.lit(False))
+    has_tags = (F.size(tg) > 0) & ~((F.size(tg) == 1) & (F.element_at(tg, 1) == "unknown"))
+    return (F.when(has_text & (F.size(kws) > 0), build_name(kws, lang))
+            .when(has_tags, tag_name)
+            .when(~has_text & (F.size(tg) == 0) & pt.isNotNull() & (pt != "unknown"),
+                  F.coalesce(F.element_at(arch, pt), pt)))

@@ -212,3 +212,18 @@ def test_routes_and_profile(spark):
     s = stats.where("column = 'x'").first()
     assert (s["q1"], s["median"], s["q3"]) == (1.75, 3.0, 5.0)
     assert quality.where("metric = 'total_rows'").first()["value"] == 4.0
+
+
+def test_names_from_descriptions(spark):
+    from corpusgraph.operators import naming as nm
+    assert len(nm.DESCRIPTION_TERMS) == 108 and len(nm.SPECIAL_PHRASES) == 25
+    df = spark.createDataFrame([
+        ("负责输入验证和数据处理", ["api"], "api_layer"),
+        ("", ["handler", "zzz"], "testing"),
+        ("", ["unknown"], "testing"),
+        ("", [], "data_model"),
+        ("plain words", ["custom_tag"], None)],
+        "functionality string, tags array<string>, pattern string")
+    got = [r[0] for r in df.select(nm.name_from_description("functionality", "tags", "pattern")).collect()]
+    assert got == ["Validation Processing Module", "Handler Module", None, "Data Model Layer",
+                   "Custom_Tag Module"]
