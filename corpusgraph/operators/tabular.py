@@ -197,19 +197,43 @@ def detect_anomalies(df: DataFrame, col: str, threshold: float = 3.0,
 
 def moving_averages(df: DataFrame, value_col: str, windows: Sequence[int],
                     order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
-    """H7: mean and sample std over the last ``w`` rows; null until the
-    frame holds ``w`` non-null values.  An explicit order is required."""
+    """H7: mean and sample std over the last ``w`` rows (per partition key);
+    null until the frame holds ``w`` non-null values.  ``order_by`` (with
+    the key) must identify rows uniquely.
+
+    Skew-proof formulation (no window over a key's whole history): rows get
+    a global number from a range-partitioned sort (a hot key spans many
+    partitions); every row is sent to the ``w_max`` positions it belongs to
+    (``number + j``); frames are an equi-join on (key, position) followed by
+    a grouped aggregate.  Exact, and ``w_max`` times the rows in the shuffle.
+    """
     if not order_by:
         raise ValueError("moving averages need an explicit order column")
-    base = Window.partitionBy(*partition_by).orderBy(*order_by) if partition_by \
-        else Window.orderBy(*order_by)
-    out = df
+    from corpusgraph.sources.sinks import number_rows
+    keys = list(partition_by)
+    wmax = max(windows)
+    numbered = number_rows(df, keys + list(order_by)).withColumnRenamed("number", "_no")
+    if keys:
+        first = numbered.groupBy(*keys).agg(F.min("_no").alias("_first"))
+        numbered = numbered.join(first, keys).withColumn("_no", F.col("_no") - F.col("_first")).drop("_first")
+    contrib = (numbered.select(*keys, "_no", F.col(value_col).alias("_v"))
+               .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(wmax - 1))))
+               .withColumn("_target", F.col("_no") + F.col("_j")))
+    aggs = []
     for w in windows:
-        frame = base.rowsBetween(-(w - 1), 0)
-        full = F.count(F.col(value_col)).over(frame) == w
-        out = out.withColumn(f"ma_{w}", F.when(full, F.avg(value_col).over(frame))) \
-                 .withColumn(f"ma_std_{w}", F.when(full, F.stddev_samp(value_col).over(frame)))
-    return out
+        inw = F.col("_j") < w
+        vals = F.when(inw, F.col("_v"))
+        aggs += [F.count(vals).alias(f"_n_{w}"), F.avg(vals).alias(f"_m_{w}"),
+                 F.stddev_samp(vals).alias(f"_s_{w}"),
+                 F.count_if(inw).alias(f"_rows_{w}")]
+    frames = contrib.groupBy(*keys, F.col("_target").alias("_no")).agg(*aggs)
+    out = numbered.join(frames, keys + ["_no"], "left")
+    for w in windows:
+        full = (F.col(f"_n_{w}") == w) & (F.col(f"_rows_{w}") == w)
+        out = out.withColumn(f"ma_{w}", F.when(full, F.col(f"_m_{w}"))) \
+                 .withColumn(f"ma_std_{w}", F.when(full, F.col(f"_s_{w}")))
+    drop = ["_no"] + [f"_{x}_{w}" for w in windows for x in ("n", "m", "s", "rows")]
+    return out.drop(*drop)
 
 
 # ------------------------------------------------------------------ H8

@@ -138,10 +138,25 @@ def report_sections(descriptions: DataFrame, names: DataFrame | None = None) ->
 
 
 def number_rows(df: DataFrame, order_cols: list[str]) -> DataFrame:
-    """1-based numbering in a global order (range-partitioned sort;
-    ``zipWithIndex``-free: rank over the sorted data)."""
+    """1-based numbering in a global order without a single-task window.
+
+    The data is range-partitioned and sorted; partition id and the position
+    inside the partition are frozen in a written table (so a recomputed task
+    cannot renumber); per-partition counts (one row per partition) give the
+    offsets.  ``order_cols`` should be unique for a deterministic numbering.
+    """
+    from corpusgraph.session import cut_lineage
+    mask = (1 << 33) - 1
+    frozen = cut_lineage(df.orderBy(*order_cols)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(mask))))
     from pyspark.sql import Window
-    return df.withColumn("number", F.row_number().over(Window.orderBy(*order_cols)))
+    counts = frozen.groupBy("_pid").agg(F.count("*").alias("_n"))
+    offsets = counts.withColumn("_off", F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))  # one row per partition
+    return (frozen.join(offsets.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off")), "_pid")
+            .withColumn("number", F.col("_off") + F.col("_pos") + 1)
+            .drop("_pid", "_pos", "_off"))
 
 
 # ------------------------------------------------------------------ A8

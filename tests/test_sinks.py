@@ -80,3 +80,11 @@ def test_related_files_short_path(spark):
     r = spark.createDataFrame([("repo/src/x/y.py",), ("deep/dir/z.py",)], "p string") \
         .select(sk.short_path("p").alias("s")).collect()
     assert [x["s"] for x in r] == ["src/x/y.py", "dir/z.py"]
+
+
+def test_number_rows_global_order(spark):
+    df = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 5000).alias("k"))
+    out = sk.number_rows(df, ["k"])
+    rows = out.orderBy("number").collect()
+    assert [r["number"] for r in rows] == list(range(1, 5001))
+    assert [r["k"] for r in rows] == sorted(r["k"] for r in rows)
