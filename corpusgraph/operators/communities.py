@@ -55,6 +55,18 @@ def singletons(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.col("node").alias("community"))
 
 
+def split_isolated(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes that touch an edge, singleton membership of the rest).
+
+    Isolated nodes never move and never change a neighbour, so iterative
+    rounds only need the others; on sparse graphs that is most of the work
+    saved.  Semi/anti joins against the distinct endpoints."""
+    ends = (edges.select(F.col("src").alias("node"))
+            .unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+    n = nodes.select("node")
+    return n.join(ends, "node", "left_semi"), singletons(n.join(ends, "node", "left_anti"))
+
+
 # --------------------------------------------------------------------- D1
 def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50,
                       synchronous: bool = False) -> DataFrame:
@@ -65,6 +77,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50,
     two-colour oscillation of fully synchronous updates.  Stops when every
     node's label is among its most frequent neighbour labels.
     """
+    nodes, isolated = split_isolated(nodes, edges)
     arcs = cut_lineage(weighted_arcs(edges).select("a", "b"))
     labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
     keeper = RoundKeeper()
@@ -90,7 +103,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50,
         labels = nxt.select("node", "label")
         if pending == 0:
             break
-    return relabel_min(labels.select("node", F.col("label").alias("community")))
+    return relabel_min(labels.select("node", F.col("label").alias("community"))).unionByName(isolated)
 
 
 # --------------------------------------------------------------------- D2–D4
@@ -243,10 +256,12 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0,
     connected parts before contraction), D4 (``objective='cpm'``)."""
     if objective not in ("modularity", "cpm"):
         raise ValueError(f"unknown objective {objective}")
+    all_nodes = nodes
+    nodes, isolated = split_isolated(nodes, edges)
     lg = _level0(nodes, edges)
     m = lg.wedges.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
     if m <= 0:
-        return singletons(nodes)
+        return singletons(all_nodes)
     membership = cut_lineage(nodes.select("node", F.col("node").alias("c")))
     before = _level_quality(lg, lg.vertices.select("v", F.col("v").alias("c")),
                             m, resolution, objective)
@@ -267,7 +282,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0,
         lg = _contract(lg, assign)
     # with refine, every level's communities are connected sets of connected
     # super-nodes, hence connected in the original graph
-    return relabel_min(membership.select("node", F.col("c").alias("community")))
+    return relabel_min(membership.select("node", F.col("c").alias("community"))).unionByName(isolated)
 
 
 def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:

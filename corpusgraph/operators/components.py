@@ -31,9 +31,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
     """``membership(node, community)``; community = smallest node id."""
     arcs = cut_lineage(arcs_of(edges))
     first = arcs.groupBy("a").agg(F.min("b").alias("m"))
-    labels = (nodes.select("node").distinct()
-              .join(first, F.col("node") == F.col("a"), "left")
-              .select("node", F.least("node", F.coalesce("m", "node")).alias("comp")))
+    all_nodes = nodes.select("node").distinct()
+    # nodes without a (non-loop) edge are their own component; only the
+    # others take part in the rounds
+    isolated = all_nodes.join(first.select(F.col("a").alias("node")), "node", "left_anti") \
+        .select("node", F.col("node").alias("community"))
+    labels = (first.select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
     labels = cut_lineage(labels)
     keeper = RoundKeeper()
     for _ in range(max_rounds):
@@ -55,4 +58,4 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
             break
     else:
         raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
-    return labels.select("node", F.col("comp").alias("community"))
+    return labels.select("node", F.col("comp").alias("community")).unionByName(isolated)
