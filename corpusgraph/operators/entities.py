@@ -385,3 +385,25 @@ def match_routes(requests: DataFrame, routes: list[tuple[str, str]], path_col: s
         path_hit = ph if path_hit is None else path_hit | ph
     return requests.withColumn("route", route).withColumn(
         "status", F.when(F.col("route").isNotNull(), 200).when(path_hit, 405).otherwise(404))
+
+
+def breakdown_report(df: DataFrame, report: str, dims: list[str],
+                     measures: dict[str, str]) -> DataFrame:
+    """Totals and per-dimension breakdowns in one pass — a single
+    ``GROUPING SETS`` aggregate (grand total + one set per dimension),
+    unpivoted to ``(report, dimension, key, metric, value)``.  ``measures``
+    maps metric names to SQL aggregate expressions."""
+    import uuid
+    spark = df.sparkSession
+    name = f"cg_report_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    sets = ", ".join(["()"] + [f"({d})" for d in dims])
+    meas = ", ".join(f"CAST({expr} AS DOUBLE) AS `{k}`" for k, expr in measures.items())
+    dim_sel = ", ".join(f"CAST({d} AS STRING) AS `{d}`, grouping({d}) AS `g_{d}`" for d in dims)
+    agg = spark.sql(f"SELECT {dim_sel}, {meas} FROM {name} GROUP BY GROUPING SETS ({sets})")
+    which = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, F.lit(d)) for d in dims], F.lit(None).cast("string"))
+    key = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, F.coalesce(F.col(d), F.lit("None"))) for d in dims],
+                     F.lit(None).cast("string"))
+    stacked = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(f"`{k}`").alias("value")) for k in measures])
+    return agg.select(F.lit(report).alias("report"), which.alias("dimension"), key.alias("key"),
+                      F.inline(stacked))

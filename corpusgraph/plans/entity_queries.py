@@ -157,3 +157,43 @@ def q_purchase_value_asof(spark, sf_dir):
     writes = e.where(F.col("event_type") == "purchase").select("user_id", "ts", "value")
     reads = e.where(F.col("event_type") == "view").select("user_id", "ts", "event_id")
     return en.asof_lookup(reads, writes, "user_id", "ts", "value", ttl_seconds=3 * 86_400)
+
+
+@reg.add("product_report", """
+SELECT 'products' AS report, NULL AS dimension, NULL AS key, metric, value FROM (
+  SELECT count(*)::DOUBLE AS total, count_if(p_size > 0)::DOUBLE AS available,
+         count_if(p_size <= 0)::DOUBLE AS out_of_stock,
+         round(sum(p_retailprice * p_size), 2)::DOUBLE AS inventory_value FROM part)
+  UNPIVOT (value FOR metric IN (total, available, out_of_stock, inventory_value))
+UNION ALL
+SELECT 'products', 'p_type', coalesce(p_type, 'None'), metric, value FROM (
+  SELECT p_type, count(*)::DOUBLE AS total, count_if(p_size > 0)::DOUBLE AS available,
+         count_if(p_size <= 0)::DOUBLE AS out_of_stock,
+         round(sum(p_retailprice * p_size), 2)::DOUBLE AS inventory_value FROM part GROUP BY p_type)
+  UNPIVOT (value FOR metric IN (total, available, out_of_stock, inventory_value))
+""")
+def q_product_report(spark, sf_dir):
+    """I2 (products): totals, available / out of stock (size as stock),
+    Σ price·stock, overall and per type, in one grouping-sets pass."""
+    part = table(spark, sf_dir, "part")
+    r = en.breakdown_report(part, "products", ["p_type"], {
+        "total": "count(*)", "available": "count_if(p_size > 0)",
+        "out_of_stock": "count_if(p_size <= 0)",
+        "inventory_value": "round(sum(p_retailprice * p_size), 2)"})
+    return rounded(r)
+
+
+@reg.add("user_report", """
+SELECT 'users' AS report, NULL AS dimension, NULL AS key, metric, value FROM (
+  SELECT count(*)::DOUBLE AS total, count_if(c_acctbal > 0)::DOUBLE AS active FROM customer)
+  UNPIVOT (value FOR metric IN (total, active))
+UNION ALL
+SELECT 'users', 'c_mktsegment', coalesce(c_mktsegment, 'None'), metric, value FROM (
+  SELECT c_mktsegment, count(*)::DOUBLE AS total, count_if(c_acctbal > 0)::DOUBLE AS active
+  FROM customer GROUP BY c_mktsegment) UNPIVOT (value FOR metric IN (total, active))
+""")
+def q_user_report(spark, sf_dir):
+    """I2 (users): total and active (positive balance), overall and per
+    segment (the role breakdown)."""
+    return en.breakdown_report(table(spark, sf_dir, "customer"), "users", ["c_mktsegment"], {
+        "total": "count(*)", "active": "count_if(c_acctbal > 0)"})
