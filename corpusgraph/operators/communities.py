@@ -100,6 +100,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50,
                .select("node", F.coalesce("new", "label").alias("label"),
                        F.coalesce("incomplete", F.lit(False)).alias("incomplete")))
         nxt, pending = keeper.keep(nxt, "incomplete")
+        _log(f"label-propagation round {r}: {pending} incomplete")
         labels = nxt.select("node", "label")
         if pending == 0:
             break

@@ -401,6 +401,7 @@ def breakdown_report(df: DataFrame, report: str, dims: list[str],
     meas = ", ".join(f"CAST({expr} AS DOUBLE) AS `{k}`" for k, expr in measures.items())
     dim_sel = ", ".join(f"CAST({d} AS STRING) AS `{d}`, grouping({d}) AS `g_{d}`" for d in dims)
     agg = spark.sql(f"SELECT {dim_sel}, {meas} FROM {name} GROUP BY GROUPING SETS ({sets})")
+    spark.catalog.dropTempView(name)  # the analysed plan no longer needs the name
     which = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, F.lit(d)) for d in dims], F.lit(None).cast("string"))
     key = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, F.coalesce(F.col(d), F.lit("None"))) for d in dims],
                      F.lit(None).cast("string"))
