@@ -72,10 +72,12 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50,
                       synchronous: bool = False) -> DataFrame:
     """Majority label; keep the current label when it is among the most
     frequent, otherwise take the largest of them.  Isolated nodes keep their
-    own label.  Semi-synchronous by default: in each round only the nodes
-    whose hash bit matches the round parity may change, which breaks the
-    two-colour oscillation of fully synchronous updates.  Stops when every
-    node's label is among its most frequent neighbour labels.
+    own label.  Semi-synchronous by default: the first round lets half of
+    the nodes (hash parity) change; later rounds let an independent set of
+    the unsettled nodes change (each beats all unsettled neighbours by a
+    per-round hash priority), which rules out the oscillation of
+    synchronous updates.  Stops when every node's label is among its most
+    frequent neighbour labels.
     """
     nodes, isolated = split_isolated(nodes, edges)
     arcs = cut_lineage(weighted_arcs(edges).select("a", "b"))
@@ -90,8 +92,21 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50,
                 .agg(F.max(F.struct("cnt", "nl")).alias("best"),
                      F.max(F.when(F.col("nl") == F.col("cur"), F.col("cnt"))).alias("cur_cnt")))
         complete = F.coalesce(F.col("cur_cnt") == F.col("best.cnt"), F.lit(False))
-        active = (F.lit(True) if synchronous else
-                  (F.abs(F.xxhash64(F.col("a"), F.lit(r // 2))) % 2) == (r % 2))
+        # after the first (hash-parity) round only an independent set moves:
+        # an unsettled node changes only if its (hash, id) priority beats
+        # every unsettled neighbour's, so two neighbours never flip together
+        strict = not synchronous and r >= 1
+        if strict:
+            prio = F.struct(F.xxhash64(F.col("a"), F.lit(r)).alias("h"), F.col("a").alias("id"))
+            best = best.withColumn("prio", prio).withColumn("inc", ~complete)
+            rivals = (arcs.join(best.where("inc").select(F.col("a").alias("b"), F.col("prio").alias("rp")), "b")
+                      .groupBy("a").agg(F.max("rp").alias("rival")))
+            best = best.join(rivals, "a", "left")
+            active = F.col("rival").isNull() | (F.col("prio") > F.col("rival"))
+        elif synchronous:
+            active = F.lit(True)
+        else:
+            active = (F.abs(F.xxhash64(F.col("a"), F.lit(r // 2))) % 2) == (r % 2)
         upd = best.select(
             F.col("a").alias("node"),
             F.when(~complete & active, F.col("best.nl")).otherwise(F.col("cur")).alias("new"),
@@ -100,7 +115,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50,
                .select("node", F.coalesce("new", "label").alias("label"),
                        F.coalesce("incomplete", F.lit(False)).alias("incomplete")))
         nxt, pending = keeper.keep(nxt, "incomplete")
-        _log(f"label-propagation round {r}: {pending} incomplete")
+        _log(f"label-propagation round {r}: {pending} incomplete{' (independent set)' if strict else ''}")
         labels = nxt.select("node", "label")
         if pending == 0:
             break
