@@ -283,10 +283,10 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0,
                             m, resolution, objective)
     for _ in range(max_levels):
         assign, moves = _local_moves(lg, m, resolution, objective, max_rounds, damped)
+        if moves == 0:
+            break  # every vertex is alone: nothing to refine or contract
         if refine:
             assign = _split_disconnected(lg, assign)
-        if moves == 0:
-            break
         after = _level_quality(lg, assign, m, resolution, objective)
         _log(f"level done: moves={moves} quality {before:.6f} -> {after:.6f}")
         if after < before - EPS:

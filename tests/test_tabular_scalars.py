@@ -204,3 +204,16 @@ def test_answer_parsers(spark):
                                  '"priority": "high"} y',), ("nothing",)], "t string")
     got = [r[0] for r in rf.select(an.parse_refactoring("t")).collect()]
     assert got[0]["priority"] == "high" and got[0]["issues"] == ["a"] and got[1]["priority"] == "medium"
+
+
+def test_due_purge_notifications(spark):
+    rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), False), (2, dt.datetime(2024, 3, 1), False),
+                                  (3, dt.datetime(2024, 1, 1), True), (4, None, False)],
+                                 "id int, due timestamp_ntz, done boolean")
+    flags = {r["id"]: r["is_overdue"] for r in
+             en.due_flags(rows, "due", "2024-02-01 00:00:00", F.col("done")).collect()}
+    assert flags == {1: True, 2: False, 3: False, 4: False}
+    kept, purged = en.purge_expired(rows, "due", "2024-02-01 00:00:00")
+    assert sorted(r["id"] for r in kept.collect()) == [2, 4] and purged.first()["purged"] == 2
+    notes = en.notifications(rows, "id", "task", "due").where("recipient_id = 1").first()
+    assert notes["expires_at"] == dt.datetime(2024, 1, 31)
