@@ -164,14 +164,14 @@ def _local_moves(lg: LevelGraph, m: float, resolution: float, objective: str,
     parity) move per round.  A level that lowers the objective is rejected
     by the caller.
     """
-    arcs = cut_lineage(
-        lg.wedges.where(F.col("src") != F.col("dst"))
-        .select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w"))
-        .unionByName(lg.wedges.where(F.col("src") != F.col("dst"))
-                     .select(F.col("dst").alias("a"), F.col("src").alias("b"),
-                             F.col("weight").alias("w"))))
+    # both are projections of the level's written tables: no extra write
+    arcs = (lg.wedges.where(F.col("src") != F.col("dst"))
+            .select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w"))
+            .unionByName(lg.wedges.where(F.col("src") != F.col("dst"))
+                         .select(F.col("dst").alias("a"), F.col("src").alias("b"),
+                                 F.col("weight").alias("w"))))
     # assignment rows carry the static vertex figures: v, c, k, size
-    assign = cut_lineage(lg.vertices.select("v", F.col("v").alias("c"), "k", "size"))
+    assign = lg.vertices.select("v", F.col("v").alias("c"), "k", "size")
     keeper = RoundKeeper()
     total_moves, quiet = 0, 0
     for r in range(max_rounds):
