@@ -163,15 +163,23 @@ def top_communities(details: DataFrame, k: int = 10) -> DataFrame:
     return details.orderBy(F.desc("size"), F.asc("community")).limit(k)
 
 
-def size_histogram(details: DataFrame, bins: int = 10) -> DataFrame:
+def size_histogram(details: DataFrame, bins: int | str = 10) -> DataFrame:
     """Equal-width bins over [min, max] of sizes, last bin closed.
 
-    A single distinct size puts every community in bin 1.
+    ``bins`` is a number, ``"communities"`` (min(10, #communities)) or
+    ``"distinct"`` (min(15, #distinct sizes)) — the three choices of the
+    reference's plots.  A single distinct size puts every community in bin 1.
     """
     lo = details.agg(F.min("size")).scalar()
     hi = details.agg(F.max("size")).scalar()
+    if bins == "communities":
+        nb = F.least(F.lit(10), details.agg(F.count("*")).scalar())
+    elif bins == "distinct":
+        nb = F.least(F.lit(15), details.agg(F.count_distinct("size")).scalar())
+    else:
+        nb = F.lit(int(bins))
     b = F.when(hi == lo, F.lit(1)).otherwise(
-        F.least(F.lit(bins), F.floor((F.col("size") - lo) * bins / (hi - lo)).cast("int") + 1))
+        F.least(nb, F.floor((F.col("size") - lo) * nb / (hi - lo)).cast("int") + 1))
     return (details.select(b.alias("bin"))
             .groupBy("bin").agg(F.count("*").alias("num_communities")))
 

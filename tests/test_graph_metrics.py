@@ -102,3 +102,12 @@ def test_graph_summary(spark, path_graph):
     assert (s["num_nodes"], s["num_edges"]) == (8, 7)
     assert s["density_published"] == pytest.approx(7 / 64)
     assert s["avg_degree"] == pytest.approx(14 / 8)
+
+
+def test_size_histogram_bin_rules(spark):
+    det = spark.createDataFrame([(str(i), s) for i, s in enumerate([1, 1, 2, 5, 9])],
+                                "community string, size long")
+    fixed = {r["bin"]: r["num_communities"] for r in qm.size_histogram(det, 4).collect()}
+    assert fixed == {1: 3, 3: 1, 4: 1}                     # last bin closed on the right
+    auto = {r["bin"]: r["num_communities"] for r in qm.size_histogram(det, "distinct").collect()}
+    assert sum(auto.values()) == 5 and max(auto) == 4     # min(15, 4 distinct sizes) bins
