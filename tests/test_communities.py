@@ -80,3 +80,29 @@ def test_fallback_and_guards(spark):
         cm.detect(nodes, no_edges, "nope")
     with pytest.raises(ValueError):
         cm.detect(spark.createDataFrame([], "node string"), no_edges, "leiden")
+
+
+def test_contraction_preserves_weight_and_modularity(spark):
+    nodes, edges = two_triangles(spark)
+    lg = cm._level0(nodes.where("node <> 'q'"), edges)
+    assign = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("z", "x")],
+                                   "v string, c string")
+    total = lg.wedges.agg(F.sum("weight")).first()[0]
+    m = total
+    q_before = cm._level_quality(lg, assign, m, 1.0, "modularity")
+    small = cm._contract(lg, assign)
+    assert small.wedges.agg(F.sum("weight")).first()[0] == total
+    assert small.vertices.agg(F.sum("k")).first()[0] == 2 * total
+    ident = small.vertices.select("v", F.col("v").alias("c"))
+    assert cm._level_quality(small, ident, m, 1.0, "modularity") == pytest.approx(q_before)
+
+
+def test_path_graph_local_optima(spark, path_graph):
+    """On G1 label propagation reaches {ABC}{DE}{FGH} (0.377551) while
+    Louvain stops at {ABCD}{EFGH} (0.357143): no single-node move leaves it,
+    so "Louvain >= label propagation" is not an invariant of the heuristic."""
+    nodes, edges = path_graph
+    q_l = qm.modularity(cm.louvain(nodes, edges), edges).first()["modularity"]
+    q_p = qm.modularity(cm.label_propagation(nodes, edges), edges).first()["modularity"]
+    assert q_l == pytest.approx(0.357143, abs=1e-6)
+    assert q_p == pytest.approx(0.377551, abs=1e-6)
