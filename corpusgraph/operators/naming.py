@@ -175,9 +175,18 @@ def generic_name(size, lang: str = "en") -> Column:
 
 
 def community_names(membership: DataFrame, elements: DataFrame | None = None,
-                    lang: str = "en") -> DataFrame:
-    """paths → elements → node identifiers → generic by size."""
+                    lang: str = "en", descriptions: DataFrame | None = None) -> DataFrame:
+    """description (F12, when given: ``community, functionality,
+    functional_tags, architecture_pattern``) → paths → elements → node
+    identifiers → generic by size."""
     sizes = membership.groupBy("community").agg(F.count("*").alias("size"))
+    if descriptions is not None:
+        sizes = sizes.join(descriptions.select(
+            "community", name_from_description("functionality", "functional_tags",
+                                               "architecture_pattern", lang).alias("n_desc")),
+            "community", "left")
+    else:
+        sizes = sizes.withColumn("n_desc", F.lit(None).cast("string"))
     out = sizes.join(name_from_paths(membership, lang).withColumnRenamed("name", "n_paths"),
                      "community", "left")
     if elements is not None:
@@ -188,7 +197,7 @@ def community_names(membership: DataFrame, elements: DataFrame | None = None,
     out = out.join(name_from_nodes(membership, lang).withColumnRenamed("name", "n_nodes"),
                    "community", "left")
     return out.select("community", "size",
-                      F.coalesce("n_paths", "n_elements", "n_nodes", generic_name("size", lang))
+                      F.coalesce("n_desc", "n_paths", "n_elements", "n_nodes", generic_name("size", lang))
                       .alias("name"))
 
 

@@ -227,3 +227,14 @@ def test_names_from_descriptions(spark):
     got = [r[0] for r in df.select(nm.name_from_description("functionality", "tags", "pattern")).collect()]
     assert got == ["Validation Processing Module", "Handler Module", None, "Data Model Layer",
                    "Custom_Tag Module"]
+
+
+def test_waterfall_prefers_description(spark):
+    from corpusgraph.operators import naming as nm
+    memb = spark.createDataFrame([("a/agent_x.py:f", "c1"), ("b/zzz.py:g", "c2")], "node string, community string")
+    desc = spark.createDataFrame([("c1", "负责消息处理", ["api"], "api_layer")],
+                                 "community string, functionality string, functional_tags array<string>, "
+                                 "architecture_pattern string")
+    names = {r["community"]: r["name"] for r in nm.community_names(memb, descriptions=desc).collect()}
+    assert names["c1"] == "Processing Message Module"   # keywords: 处理 → processing, message
+    assert names["c2"] == "Zzz Module"                  # no description → file stem
