@@ -205,3 +205,31 @@ def core_communities_from_json(spark: SparkSession, path: str, top: int = 10,
     rows = doc.select(F.explode("core_communities").alias("id", "c")).select("id", "c.*")
     return (rows.orderBy(F.desc("size"), "id").limit(top)
             .withColumn("sample_nodes", F.slice("nodes", 1, sample)).drop("nodes"))
+
+
+def project_summary_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """``project_summary.json`` → one row of project and graph figures."""
+    schema = ("project_path string, analysis_time string, summary struct<total_files:int, "
+              "total_classes:int, total_functions:int>, graph_info struct<nodes:int, edges:int, "
+              "density:double, avg_degree:double>")
+    doc = spark.read.option("multiLine", "true").schema(schema).json(path)
+    return doc.select("project_path", "analysis_time", "summary.*", "graph_info.*")
+
+
+def resolution_levels_from_json(spark: SparkSession, path: str, large: int = 5,
+                                top: int = 5) -> tuple[DataFrame, DataFrame]:
+    """A resolution hierarchy ``{resolution_<r>: {resolution,
+    num_communities, modularity, statistics.community_details: {id: {size}}}}``
+    → (levels: resolution, communities, modularity; large communities: per
+    resolution the ``top`` communities with more than ``large`` nodes)."""
+    schema = ("map<string, struct<resolution:double, num_communities:int, modularity:double, "
+              "statistics:struct<community_details:map<string, struct<size:int>>>>>")
+    raw = spark.read.option("multiLine", "true").text(path, wholetext=True)
+    levels = raw.select(F.explode(F.from_json("value", schema)).alias("key", "v"))
+    summary = levels.select("v.resolution", "v.num_communities", "v.modularity")
+    from pyspark.sql import Window
+    big = (levels.select("v.resolution", F.explode("v.statistics.community_details").alias("community", "d"))
+           .select("resolution", "community", F.col("d.size").alias("size"))
+           .where(F.col("size") > large))
+    w = Window.partitionBy("resolution").orderBy(F.desc("size"), "community")
+    return summary, big.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

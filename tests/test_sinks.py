@@ -88,3 +88,23 @@ def test_number_rows_global_order(spark):
     rows = out.orderBy("number").collect()
     assert [r["number"] for r in rows] == list(range(1, 5001))
     assert [r["k"] for r in rows] == sorted(r["k"] for r in rows)
+
+
+def test_analysis_summaries_from_json(spark):
+    d = scratch()
+    with open(f"{d}/project_summary.json", "w") as fh:
+        json.dump({"project_path": "/p", "analysis_time": "t", "summary": {"total_files": 3, "total_classes": 1,
+                   "total_functions": 6}, "graph_info": {"nodes": 8, "edges": 7, "density": 7 / 64,
+                                                         "avg_degree": 1.75}}, fh, indent=2)
+    r = sk.project_summary_from_json(spark, f"{d}/project_summary.json").first()
+    assert (r["total_files"], r["nodes"], r["edges"]) == (3, 8, 7) and r["avg_degree"] == 1.75
+    hier = {"resolution_0.5": {"resolution": 0.5, "num_communities": 3, "modularity": 0.25,
+                               "statistics": {"community_details": {"0": {"size": 9}, "1": {"size": 2},
+                                                                    "2": {"size": 6}}}},
+            "resolution_2.0": {"resolution": 2.0, "num_communities": 2, "modularity": -0.01,
+                               "statistics": {"community_details": {"0": {"size": 1}}}}}
+    with open(f"{d}/hier.json", "w") as fh:
+        json.dump(hier, fh, indent=2)
+    levels, big = sk.resolution_levels_from_json(spark, f"{d}/hier.json")
+    assert sorted((r["resolution"], r["num_communities"]) for r in levels.collect()) == [(0.5, 3), (2.0, 2)]
+    assert [(r["community"], r["size"]) for r in big.orderBy("rank").collect()] == [("0", 9), ("2", 6)]
