@@ -65,3 +65,53 @@ def test_asof_and_latest_hot_key(spark, skewed):
             assert got[i] == exp, (i, k)
     latest = {r["key"]: r["ts"] for r in en.latest_per_key(df.select("key", "ts", "v"), "key", "ts").collect()}
     assert latest["hot"] == max(ts for _, k, ts, _ in skewed if k == "hot")
+
+
+def test_metrics_and_components_hot_community(spark):
+    from corpusgraph.operators import components as cc
+    from corpusgraph.operators import quality as qm
+    rnd = random.Random(11)
+    n = 300
+    hub = list(range(0, n, 3))                         # a third of the nodes, one community
+    edges = [(0, x) for x in hub[1:]]                  # star around node 0
+    edges += [(a, a + 1) for a in range(1, n - 1, 3)]  # small pairs elsewhere
+    edges += [(rnd.choice(hub), rnd.randrange(n)) for _ in range(60)]
+    edges = sorted({(min(a, b), max(a, b)) for a, b in edges})
+    memb = {x: ("hub" if x % 3 == 0 else f"c{x // 3}") for x in range(n)}
+    e_df = spark.createDataFrame(edges, "src long, dst long")
+    m_df = spark.createDataFrame(sorted(memb.items()), "node long, community string")
+    got = {r["community"]: r for r in qm.community_details(m_df, e_df).collect()}
+    # brute force, same definitions as the reference's loops
+    members = {}
+    for x, c in memb.items():
+        members.setdefault(c, set()).add(x)
+    adj = {x: set() for x in range(n)}
+    for a, b in edges:
+        adj[a].add(b)
+        adj[b].add(a)
+    for c, ms in members.items():
+        internal = sum(1 for a, b in edges if a != b and a in ms and b in ms)
+        total = sum(len(adj[x]) for x in ms)
+        external = sum(1 for x in ms for y in adj[x] if y not in ms)
+        r = got[c]
+        assert (r["size"], r["internal_edges"], r["external_edges"], r["total_edges"]) == \
+            (len(ms), internal, external, total)
+    comps = {r["node"]: r["community"] for r in
+             cc.connected_components(spark.range(n).withColumnRenamed("id", "node"), e_df).collect()}
+    # brute force components by BFS
+    seen, want = set(), {}
+    for s in range(n):
+        if s in seen:
+            continue
+        stack, comp = [s], []
+        seen.add(s)
+        while stack:
+            x = stack.pop()
+            comp.append(x)
+            for y in adj[x]:
+                if y not in seen:
+                    seen.add(y)
+                    stack.append(y)
+        for x in comp:
+            want[x] = min(comp)
+    assert comps == want
