@@ -109,7 +109,10 @@ def format_bytes(size) -> Column:
 
 
 def chunk(arr, size: int) -> Column:
-    """Consecutive slices of ``size`` elements (empty list → empty)."""
+    """Consecutive slices of ``size`` elements (empty list → empty).
+
+    Pass a column, not an expensive array expression: the array is read
+    inside a lambda, where an inlined expression is evaluated per element."""
     a = _c(arr)
     n = F.ceil(F.size(a) / size).cast("int")
     return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),

@@ -233,11 +233,14 @@ SELECT doc_id, {_bytes_sql('n_chars::DOUBLE')} AS size_text,
 FROM documents
 """)
 def q_document_size_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", "n_chars", F.split("text", " ", -1).alias("words"))
+    # chunk a column, not the split expression: inside the lambda an inlined
+    # expression would be evaluated once per element
     return d.select("doc_id", sc.format_bytes("n_chars").alias("size_text"),
                     sc.format_bytes(F.col("n_chars") * F.col("n_chars") * F.col("n_chars"))
                     .alias("cube_text"),
-                    F.size(sc.chunk(F.split("text", " ", -1), 3)).cast("long").alias("word_chunks"))
+                    F.size(sc.chunk(F.col("words"), 3)).cast("long").alias("word_chunks"))
 
 
 @reg.add("events_props_flat", """
