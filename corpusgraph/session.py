@@ -63,6 +63,21 @@ def _scratch_table_path(spark, kind: str) -> str:
     return f"{base}/corpusgraph/{kind}-{uuid.uuid4().hex}"
 
 
+def write_table(df, kind: str = "table") -> str:
+    """Write ``df`` as parquet in the session's checkpoint folder (shared
+    storage on a cluster) and return the path."""
+    path = _scratch_table_path(df.sparkSession, kind)
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def delete_table(spark, path: str) -> None:
+    """Delete a table written by ``write_table``, on whatever file system the
+    checkpoint folder lives."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df):
     """Write ``df`` as a parquet table in the session's checkpoint folder
     (shared storage on a cluster) and read it back.
@@ -71,27 +86,40 @@ def cut_lineage(df):
     at the table, so an executor loss never replays earlier stages.  Never a
     local checkpoint.
     """
-    path = _scratch_table_path(df.sparkSession, "table")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df))
 
 
 class RoundKeeper:
     """Lineage control for iterative jobs: every round's state becomes a
-    written table (``cut_lineage``), so plans never grow, nothing is
-    computed twice and a lost executor costs at most the current round.
-    The driver reads one scalar per round (rows with ``flag`` set)."""
-
-    def __init__(self) -> None:
-        self.round = 0
+    written table, so plans never grow, nothing is computed twice and a lost
+    executor costs at most the current round.  A round's table is deleted
+    when its successor has been written.  The driver reads one scalar row per
+    round."""
+
+    def __init__(self, signed: tuple[str, ...] = ()) -> None:
+        self.signed = signed
+        self.path: str | None = None
+
+    def _next(self, df):
+        spark, old = df.sparkSession, self.path
+        self.path = write_table(df, "round")
+        if old is not None:
+            delete_table(spark, old)
+        return spark.read.schema(df.schema).parquet(self.path)
 
     def keep(self, df, flag: str | None = None):
+        """The written state, and the rows (with ``flag`` set)."""
         from pyspark.sql import functions as F
 
-        self.round += 1
-        out = cut_lineage(df)
-        if flag is None:
-            n = out.count()
-        else:
-            n = out.agg(F.count_if(F.col(flag))).first()[0]
+        out = self._next(df)
+        n = out.count() if flag is None else out.agg(F.count_if(F.col(flag))).first()[0]
         return out, n
+
+    def keep_signed(self, df):
+        """The written state, and its order-free signature (rows, xor of the
+        row hashes over the ``signed`` columns)."""
+        from pyspark.sql import functions as F
+
+        out = self._next(df)
+        row = out.agg(F.count("*"), F.bit_xor(F.xxhash64(*self.signed))).first()
+        return out, (row[0], row[1])
