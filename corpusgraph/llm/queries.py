@@ -4,6 +4,9 @@ over its whole table with production parameters, and their DuckDB SQL."""
 from __future__ import annotations
 
 from corpusgraph.llm.packing import pack
+from corpusgraph.llm.quality_pu import quality
+from corpusgraph.llm.rules import judge
+from corpusgraph.llm.simhash import near_duplicates
 from corpusgraph.plans.common import Registry
 from corpusgraph.sources.tables import table
 
@@ -13,3 +16,56 @@ reg = Registry()
 @reg.add("op1_packing")
 def op1_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
+
+
+@reg.add("op2_quality_classifier")
+def op2_quality_classifier(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@reg.add("op9_simhash")
+def op9_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The rules of ``rules.RULES``, as SQL over the same counts.
+_OP10 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     x -> regexp_matches(x, '[^ 	-]')) AS ls
+  FROM documents),
+win AS (
+  SELECT rid, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] AS k
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS p FROM d)),
+rep AS (SELECT rid, k FROM win GROUP BY rid, k HAVING count(*) > 1),
+cov AS (
+  SELECT rid, count(DISTINCT p + o) AS n
+  FROM win JOIN rep USING (rid, k) CROSS JOIN range(0, 3) r(o) GROUP BY rid),
+c AS (
+  SELECT doc_id, t, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         len(ls) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN cov USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed
+            OR word_chars < 3 * n_words OR word_chars > 10 * n_words
+            OR 10 * n_symbols > n_words
+            OR 10 * n_dup_lines > 3 * n_lines
+            OR 10 * len(regexp_extract_all(t, '\p{Lu}')) > 3 * word_chars
+            OR 10 * len(regexp_extract_all(t, '\p{L}')) < 6 * word_chars
+            OR 100 * len(regexp_extract_all(
+                 t, '\.\.\.[ 	]*(
+|\z)|…[ 	]*(
+|\z)')) > 30 * n_lines) AS kept
+FROM b
+"""
+
+
+@reg.add("op10_quality_rules", _OP10)
+def op10_quality_rules(spark, sf_dir):
+    return judge(table(spark, sf_dir, "documents"))
