@@ -227,6 +227,20 @@ def score(docs: DataFrame, model: Network | None, threshold: float = THRESHOLD)
         "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def kept_documents(docs: DataFrame, model: Network | None,
+                   threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text scores at least ``threshold``, in one pass."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            x = np.array([features(t) for t in b.column(at).to_pylist()]).reshape(-1, N_FEATURES)
+            good = model.score(x) >= threshold if model else np.full(len(x), 0.5 >= threshold)
+            yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Train and score in one call."""
     return score(docs, train(docs, labels), threshold)

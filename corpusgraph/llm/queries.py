@@ -7,6 +7,7 @@ from corpusgraph.llm.packing import pack
 from corpusgraph.llm.quality_pu import quality
 from corpusgraph.llm.rules import judge
 from corpusgraph.llm.simhash import near_duplicates
+from corpusgraph.llm.suffixes import remove_repeats
 from corpusgraph.plans.common import Registry
 from corpusgraph.sources.tables import table
 
@@ -23,6 +24,11 @@ def op2_quality_classifier(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@reg.add("op4_suffix_dedup")
+def op4_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @reg.add("op9_simhash")
 def op9_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -32,9 +38,9 @@ def op9_simhash(spark, sf_dir):
 _OP10 = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t,
-         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)),
-                     x -> regexp_matches(x, '[^ 	-]')) AS ls
+                     lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
 win AS (
   SELECT rid, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] AS k
@@ -59,9 +65,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * len(regexp_extract_all(t, '\p{Lu}')) > 3 * word_chars
             OR 10 * len(regexp_extract_all(t, '\p{L}')) < 6 * word_chars
             OR 100 * len(regexp_extract_all(
-                 t, '\.\.\.[ 	]*(
-|\z)|…[ 	]*(
-|\z)')) > 30 * n_lines) AS kept
+                 t, '\.\.\.[\x20\x09\r]*(\n|\z)|…[\x20\x09\r]*(\n|\z)')) > 30 * n_lines) AS kept
 FROM b
 """
 

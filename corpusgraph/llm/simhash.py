@@ -42,6 +42,8 @@ from corpusgraph.session import cut_lineage
 SHINGLE, RADIUS, SEED = 3, 2, 42
 BLOCKS = 6
 BUCKET_ROWS = 4096
+#: Size up to which ids are broadcast in place of a shuffle of the texts.
+BROADCAST_BYTES = 48 << 20
 #: Rows that a task compares at once, and member-block comparisons per step.
 CHUNK_ROWS, STEP = 65_536, 1 << 19
 
@@ -275,3 +277,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return (fps.join(of_fp, "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                     "component_id"))
+
+
+def first_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The document with the smallest id of each group; rows that repeat an
+    id are one document, of which one row stays.  Rows without an id stay."""
+    found = cut_lineage(near_duplicates(docs, **options))
+    later = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    n = later.count()
+    small = F.broadcast(later) if 16 * n <= BROADCAST_BYTES else later
+    kept = docs.join(small, "doc_id", "left_anti").select(*docs.columns)
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where(
+        (F.col("n") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, "doc_id", "left_semi").select(*docs.columns)
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(
+        again.dropDuplicates(["doc_id"]))
