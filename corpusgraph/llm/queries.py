@@ -3,11 +3,16 @@ over its whole table with production parameters, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+from corpusgraph.llm.html_text import extract
+from corpusgraph.llm.nbest import segmentations
 from corpusgraph.llm.packing import pack
 from corpusgraph.llm.quality_pu import quality
 from corpusgraph.llm.rules import judge
 from corpusgraph.llm.simhash import near_duplicates
 from corpusgraph.llm.suffixes import remove_repeats
+from corpusgraph.llm.url_cascade import BLOCKED, judge_urls
+from corpusgraph.llm.vectors import near_vectors
+from corpusgraph.llm.warc import round_trip
 from corpusgraph.plans.common import Registry
 from corpusgraph.sources.tables import table
 
@@ -24,11 +29,87 @@ def op2_quality_classifier(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@reg.add("op3_embedding_near_dedup")
+def op3_embedding_near_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @reg.add("op4_suffix_dedup")
 def op4_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+#: Base32 of SHA-1 from its bits: digit j is bits 5j to 5j + 4.
+_OP5 = """
+WITH d AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex
+  FROM pages),
+b AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda j: substr(
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST(((('0x' || substr(hex, 1 + 10 * (j // 8), 10))::BIGINT
+                      >> (35 - 5 * (j % 8))) & 31) AS INTEGER), 1)), '') AS payload_digest
+  FROM d),
+m AS (SELECT payload_digest, max(page_id) AS largest FROM b GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN largest IS NOT NULL AND page_id IS DISTINCT FROM largest
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM b JOIN m USING (payload_digest)
+"""
+
+
+@reg.add("op5_warc", _OP5)
+def op5_warc(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+@reg.add("op6_nbest_segmentation")
+def op6_nbest_segmentation(spark, sf_dir):
+    return segmentations(table(spark, sf_dir, "documents"))
+
+
+@reg.add("op7_html_extraction")
+def op7_html_extraction(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
+_OP8 = """
+WITH u AS (
+  SELECT page_id,
+         CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest
+  FROM pages),
+p AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(rest, '^[^/?#]*'),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM u),
+f AS (
+  SELECT *, CASE
+      WHEN (host = 'example.org' OR ends_with(host, '.example.org'))
+           AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+      WHEN (host = 'example.org' OR ends_with(host, '.example.org'))
+           AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/'
+    END AS rule
+  FROM p)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN list_has_any(string_split(host, '.')[:-2], [{names}]) THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM f
+""".format(names=", ".join(f"'{n}'" for n in BLOCKED))
+
+
+@reg.add("op8_url_filter", _OP8)
+def op8_url_filter(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 @reg.add("op9_simhash")
 def op9_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
