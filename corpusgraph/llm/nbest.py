@@ -10,9 +10,8 @@ Per word: the forward Viterbi pass gives the best score from the start to each p
 best paths are found by A-star from the end backward; the forward score of the position
 reached is its exact remaining cost, so paths leave the queue best first and nothing else is
 expanded.  Per text only the words that can take part in the N best are
-searched: those with the smallest loss from best to second best, which the
-forward and backward passes give for every word (the best path through an
-edge that the best path does not use).  Words are cached in a bounded table.
+searched: those with the smallest loss from best to second best, which a
+forward pass that keeps two scores per position gives for every word.  Words are cached in a bounded table.
 
 Order.  Paths of a word: by score, then by ids read from the end.
 Segmentations of a text: by score, then by the ranks of their words' paths
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 MARK = "▁"
 
 Path = tuple[float, tuple[int, ...]]
@@ -57,7 +56,7 @@ class Lattice:
             model_file=os.path.join(folder, model) if folder else public_tokenizers.path(model))
         self.bytes_of: list[bytes] = []
         self.byte_id = [0] * 256
-        self.edge: dict[str, tuple[int, float]] = {}
+        scores: dict[str, tuple[float, tuple[int, ...]]] = {}
         for i in range(sp.vocab_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -67,18 +66,21 @@ class Lattice:
             elif sp.is_control(i) or sp.is_unknown(i):
                 self.bytes_of.append(b"")
             else:
-                self.edge[piece] = (i, sp.get_score(i))
+                scores[piece] = (sp.get_score(i), (i,))
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
-        self.unknown = min(s for _, s in self.edge.values()) - UNKNOWN_PENALTY
-        self.longest = max(map(len, self.edge))
-        inside = any(MARK in p.lstrip(MARK) or "\n" in p for p in self.edge)
+        self.unknown = min(w for w, _ in scores.values()) - UNKNOWN_PENALTY
+        #: Trie of the pieces: a node is its children and its score and ids.
+        self.root: tuple[dict, tuple | None] = _trie(scores)
+        inside = any(MARK in p.lstrip(MARK) or "\n" in p for p in scores)
         self.cut = re.compile(r".+" if inside else f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n", re.S)
+        #: Neighbours inside some piece: between all others every path is cut.
+        self.joined = {p[k:k + 2] for p in scores for k in range(len(p) - 1)}
         self.cache_words = cache_words
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.paths: list[Path] = []
+        self.parts: dict[str, tuple[float, float, bytes]] = {}
         self.raw_ids: list[bytes] = []
         self.score = np.zeros(self.cache_words)
         self.loss = np.zeros(self.cache_words)
@@ -87,17 +89,24 @@ class Lattice:
     # ------------------------------------------------------------- one word
     def _edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end position the edges ``(start, score, ids)`` into it."""
-        n, edge, into = len(word), self.edge, [[] for _ in range(len(word) + 1)]
+        n, into = len(word), [[] for _ in range(len(word) + 1)]
         for s in range(n):
-            for e in range(s + 1, min(n, s + self.longest) + 1):
-                got = edge.get(word[s:e])
-                if got:
-                    into[e].append((s, got[1], (got[0],)))
-                elif e == s + 1:
-                    ids = tuple(self.byte_id[b] for b in word[s].encode())
-                    into[e].append((s, self.unknown, ids))
+            into[s + 1].append((s, *self._single(word[s])))
+            node = self.root
+            for e in range(s, n):
+                node = node[0].get(word[e])
+                if node is None:
+                    break
+                if node[1] and e > s:
+                    into[e + 1].append((s, *node[1]))
         return into
 
+    def _single(self, char: str) -> tuple[float, tuple[int, ...]]:
+        """Score and ids of one character: its piece, or its bytes."""
+        node = self.root[0].get(char)
+        return node and node[1] or (
+            self.unknown, tuple(self.byte_id[b] for b in char.encode()))
+
     @staticmethod
     def _forward(into) -> list[float]:
         best = [0.0] * len(into)
@@ -121,37 +130,56 @@ class Lattice:
         return out
 
     def _best_and_loss(self, word: str) -> tuple[Path, float]:
-        """The best path and how much the second best loses."""
-        got = self.edge.get(word)
-        if len(word) == 1:
-            return self.n_best(word, 1)[0], np.inf
-        into = self._edges(word)
-        ahead = self._forward(into)
-        behind = [-np.inf] * len(into)
-        behind[-1], total = 0.0, ahead[-1]
-        for e in range(len(word), 0, -1):
-            b = behind[e]
-            for s, w, _ in into[e]:
-                if w + b > behind[s]:
-                    behind[s] = w + b
-        used, ids, at = set(), (), len(word)
-        while at:
-            s, w, piece = max(into[at], key=lambda x: ahead[x[0]] + x[1])
-            used.add((s, at))
-            ids, at = piece + ids, s
-        other = max((ahead[s] + w + behind[e] for e in range(1, len(into))
-                     for s, w, _ in into[e] if (s, e) not in used), default=-np.inf)
-        if other == total:      # ties: let the search order them
+        """The best path and how much the second best loses, by a forward
+        pass that keeps the two best scores at each position."""
+        n, low, children = len(word), -np.inf, self.root[0]
+        first, second, via = [low] * (n + 1), [low] * (n + 1), [(0, ())] * (n + 1)
+        first[0] = 0.0
+        for s in range(n):
+            a, a2, e = first[s], second[s], s
+            node, edge = children.get(word[s]), None
+            edge = node and node[1] or self._single(word[s])
+            while True:
+                e += 1
+                if edge:
+                    score = a + edge[0]
+                    if score > first[e]:
+                        second[e] = max(first[e], a2 + edge[0])
+                        first[e], via[e] = score, (s, edge[1])
+                    elif score > second[e]:
+                        second[e] = score
+                if node is None or e == n:
+                    break
+                node = node[0].get(word[e])
+                if node is None:
+                    break
+                edge = node[1]
+        if second[n] == first[n]:      # ties: the search orders them
             return self.n_best(word, 1)[0], 0.0
-        return (total, ids), total - other
+        ids, at = (), n
+        while at:
+            at, piece = via[at]
+            ids = piece + ids
+        return (first[n], ids), first[n] - second[n]
 
     def _learn(self, word: str) -> int:
-        (score, ids), loss = self._best_and_loss(word)
-        k = len(self.paths)
+        """Cache a word: the best path and least loss of its parts, cut
+        where no piece reaches across."""
+        joined, score, loss, raw, at = self.joined, 0.0, np.inf, [], 0
+        for k in range(1, len(word) + 1):
+            if k < len(word) and word[k - 1:k + 1] in joined:
+                continue
+            part = word[at:k]
+            got = self.parts.get(part)
+            if got is None:
+                (w, ids), d = self._best_and_loss(part)
+                got = self.parts[part] = (w, d, np.asarray(ids, "<u4").tobytes())
+            score, loss, at = score + got[0], min(loss, got[1]), k
+            raw.append(got[2])
+        k = len(self.raw_ids)
         self.index[word] = k
-        self.paths.append((score, ids))
-        self.raw_ids.append(np.asarray(ids, "<u4").tobytes())
-        self.score[k], self.loss[k], self.pieces[k] = score, loss, len(ids)
+        self.raw_ids.append(b"".join(raw))
+        self.score[k], self.loss[k], self.pieces[k] = score, loss, len(self.raw_ids[k]) // 4
         return k
 
     # ------------------------------------------------------------- one text
@@ -162,7 +190,7 @@ class Lattice:
         """The N best segmentations of a text: score, number of pieces, ids
         (little-endian unsigned 32-bit) and, by position, the words that differ from the best."""
         words = self.words(text)
-        if len(self.paths) + len(words) > self.cache_words:
+        if len(self.raw_ids) + len(words) > self.cache_words:
             self._reset()
             if len(words) > self.cache_words:
                 self.score, self.loss = np.zeros(len(words)), np.zeros(len(words))
@@ -197,6 +225,17 @@ class Lattice:
         return text.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def _trie(scores: dict) -> tuple[dict, None]:
+    root: dict = {}
+    for piece in sorted(scores):          # a prefix comes before its longer pieces
+        children = root
+        for k, char in enumerate(piece):
+            if char not in children:
+                children[char] = ({}, scores.get(piece[:k + 1]))
+            children = children[char][0]
+    return root, None
+
+
 @functools.lru_cache(maxsize=2)
 def _lattice(options: tuple) -> Lattice:
     """One lattice for each worker process and set of options."""

@@ -422,11 +422,11 @@ def _join_texts(docs: DataFrame, small: DataFrame, bytes_: int, how: str) -> Dat
     return docs.join(F.broadcast(small) if bytes_ <= BROADCAST_BYTES else small, "cid", how)
 
 
-def repeated_runs(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM,
+def repeated_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM,
                   hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """``cid, runs``: for each different text (by the first 16 bytes of its SHA-256) the runs of
-    starts whose ``depth``-byte string also starts elsewhere in the corpus.
-    ``docs`` has ``cid, doc_id, text``."""
+    """``cid, spans``: for each different text (by the first 16 bytes of its
+    SHA-256) the byte ranges covered by ``depth``-byte strings that also start
+    elsewhere in the corpus.  ``docs`` has ``cid, doc_id, text``."""
     spark = docs.sparkSession
     copies = cut_lineage(docs.groupBy("cid").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("rep"),
@@ -453,15 +453,16 @@ def repeated_runs(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM,
              .select("cid", F.transform("runs", lambda r: F.struct(
                  (F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"]).alias("b"))).alias("runs")))
     per_text = spans.groupBy("cid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    all_of = copies.where(F.col("n_bytes") >= depth).select("cid", F.array(F.struct(
-        F.lit(0).cast("long").alias("a"), (F.col("n_bytes") - depth).cast("long").alias("b"))).alias("runs"))
-    return per_text.join(all_of.select("cid"), "cid", "left_anti").unionByName(all_of)
+    whole_copies = copies.where(F.col("n_bytes") >= depth).select("cid", F.array(F.struct(
+        F.lit(0).cast("long").alias("a"), F.col("n_bytes").cast("long").alias("b"))).alias("spans"))
+    return _merged(per_text.join(whole_copies.select("cid"), "cid", "left_anti"), depth).unionByName(
+        whole_copies)
 
 
 def merged_spans(runs, depth: int = DEPTH) -> list[tuple[int, int]]:
-    """Maximal removed byte ranges ``[begin, end)`` of runs of starts."""
+    """Maximal byte ranges ``[begin, end)`` that runs of starts cover."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((r["a"], r["b"] + depth) for r in runs or ()):
+    for a, b in sorted((r["a"], r["b"] + depth) for r in runs):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -469,27 +470,41 @@ def merged_spans(runs, depth: int = DEPTH) -> list[tuple[int, int]]:
     return out
 
 
+def _merged(per_text: DataFrame, depth: int) -> DataFrame:
+    """Runs of a text (one per anchor) as its few spans."""
+    def run(batches):
+        for b in batches:
+            spans = [[{"a": x, "b": y} for x, y in merged_spans(r, depth)]
+                     for r in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, _SPANS)], ["cid", "spans"])
+
+    return per_text.mapInArrow(run, "cid binary, spans array<struct<a:bigint,b:bigint>>")
+
+
+_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
 def _with_cid(docs: DataFrame) -> DataFrame:
     return docs.withColumn("cid", F.unhex(F.substring(F.sha2(F.col("text"), 256), 1, 32)))
 
 
-def _cut(raw: bytes, runs, depth: int) -> tuple[bytes, int]:
-    """The bytes left, and the number of removed ranges."""
-    spans, at, parts = merged_spans(runs, depth), 0, []
-    for begin, end in spans:
-        parts.append(raw[at:begin])
-        at = end
-    return (b"".join([*parts, raw[at:]]) if spans else raw), len(spans)
+def _cut(raw: bytes, spans) -> bytes:
+    """The bytes outside the spans."""
+    at, parts = 0, []
+    for span in spans or ():
+        parts.append(raw[at:span["a"]])
+        at = span["b"]
+    return b"".join([*parts, raw[at:]]) if spans else raw
 
 
-def _with_runs(docs: DataFrame, depth: int, gram: int, hot_contexts: int) -> DataFrame:
-    """``docs`` (null text as empty) with the runs of each row's text."""
+def _with_spans(docs: DataFrame, depth: int, gram: int, hot_contexts: int) -> DataFrame:
+    """``docs`` (null text as empty) with the spans of each row's text."""
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     keyed = _with_cid(docs)
-    runs = cut_lineage(repeated_runs(keyed.select(
+    spans = cut_lineage(repeated_spans(keyed.select(
         "cid", F.col("doc_id").cast("long").alias("doc_id"), "text"), depth, gram, hot_contexts))
-    n, size = runs.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
-    return _join_texts(keyed, runs, 64 * n + 32 * size, "left").select(*docs.columns, "runs")
+    n, size = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    return _join_texts(keyed, spans, 64 * n + 32 * size, "left").select(*docs.columns, "spans")
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM,
@@ -498,17 +513,17 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM,
     def run(batches):
         for b in batches:
             rows = []
-            for doc_id, raw, runs in zip(b.column(0).to_pylist(), _raw(b.column(1)),
-                                         b.column(2).to_pylist()):
-                kept, n = _cut(raw, runs, depth)
-                rows.append((doc_id, len(raw), len(raw) - len(kept), n,
+            for doc_id, raw, spans in zip(b.column(0).to_pylist(), _raw(b.column(1)),
+                                          b.column(2).to_pylist()):
+                kept = _cut(raw, spans)
+                rows.append((doc_id, len(raw), len(raw) - len(kept), len(spans or ()),
                              hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, _RESULT.types)],
                 schema=_RESULT)
 
     pair = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_runs(pair, depth, gram, hot_contexts).mapInArrow(
+    return _with_spans(pair, depth, gram, hot_contexts).mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -525,11 +540,11 @@ def cut_texts(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM,
 
     def run(batches):
         for b in batches:
-            texts = [_cut(raw, runs, depth)[0].decode("utf-8", "ignore")
-                     for raw, runs in zip(_raw(b.column(1)), b.column(5).to_pylist())]
+            texts = [_cut(raw, spans).decode("utf-8", "ignore")
+                     for raw, spans in zip(_raw(b.column(1)), b.column(5).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(texts, pa.string()), b.column(2), b.column(3),
                  pa.array([len(t) for t in texts], pa.int64())], columns)
 
     docs = docs.select(*columns[:4], F.col("n_chars").cast("long").alias("n_chars"))
-    return _with_runs(docs, depth, gram, hot_contexts).mapInArrow(run, docs.schema)
+    return _with_spans(docs, depth, gram, hot_contexts).mapInArrow(run, docs.schema)
