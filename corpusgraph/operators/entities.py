@@ -27,10 +27,13 @@ NOTIFICATION_TTL_DAYS = 30
 
 
 def count_by(df: DataFrame, attribute: str) -> DataFrame:
-    """Items per value; list attributes count each element; null → 'None'."""
+    """Items per value; a list counts each element (an empty one counts
+    nothing), a null, also as a list, counts as ``'None'``."""
     col = F.col(attribute)
-    if isinstance(df.schema[attribute].dataType, T.ArrayType):
-        vals = df.select(F.explode_outer(col).alias("value"))
+    kind = df.schema[attribute].dataType
+    if isinstance(kind, T.ArrayType):
+        vals = df.select(F.explode(F.coalesce(
+            col, F.array(F.lit(None).cast(kind.elementType)))).alias("value"))
     else:
         vals = df.select(col.alias("value"))
     return (vals.select(F.coalesce(F.col("value").cast("string"), F.lit("None")).alias("value"))

@@ -33,52 +33,79 @@ RECORD_SCHEMA = T.StructType([
 ])
 
 
-def _decorators(node) -> list[str]:
-    return [d.id if isinstance(d, ast.Name) else ast.unparse(d) for d in node.decorator_list]
+class _FileReader(ast.NodeVisitor):
+    """One depth-first pass over a file's tree.
+
+    Callee texts go into one list for the file; what a definition calls is
+    the stretch that was added while it was open, so nested definitions cost
+    nothing extra.  ``found`` collects ``(depth, record)``; definitions on one
+    depth are met in source order, which makes a stable sort by depth the
+    breadth-first order that element keys are resolved in.
+    """
+
+    def __init__(self) -> None:
+        self.depth = 0
+        self.callees: list[str] = []
+        self.found: list[tuple[int, dict]] = []
+
+    def generic_visit(self, node: ast.AST) -> None:
+        self.depth += 1
+        super().generic_visit(node)
+        self.depth -= 1
+
+    @staticmethod
+    def _dotted(node: ast.expr) -> list[str]:
+        """The text of a plain or dotted name, else nothing."""
+        return [ast.unparse(node)] if isinstance(node, (ast.Name, ast.Attribute)) else []
+
+    def _definition(self, record: str, node, **columns) -> None:
+        entry = {"record": record, "name": node.name, "line_number": node.lineno,
+                 "docstring": ast.get_docstring(node) or "",
+                 "decorators": [ast.unparse(d) for d in node.decorator_list],
+                 "methods": [], "parameters": [], "inheritance": [], "calls": []} | columns
+        self.found.append((self.depth, entry))
+        opened = len(self.callees)
+        self.generic_visit(node)
+        if record == "function":
+            entry["calls"] = self.callees[opened:]
+
+    def visit_ClassDef(self, node: ast.ClassDef) -> None:
+        self._definition(
+            "class", node, methods=[x.name for x in node.body if type(x) is ast.FunctionDef],
+            inheritance=sum(map(self._dotted, node.bases), []))
+
+    def visit_FunctionDef(self, node: ast.FunctionDef) -> None:  # async ones are not elements
+        self._definition("function", node, parameters=[x.arg for x in node.args.args])
+
+    def visit_Call(self, node: ast.Call) -> None:
+        self.callees += self._dotted(node.func)
+        self.generic_visit(node)
+
+    def visit_Import(self, node: ast.Import) -> None:
+        self._imported(x.name for x in node.names)
+
+    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
+        if node.module:
+            self._imported(f"{node.module}.{x.name}" for x in node.names)
+
+    def _imported(self, names) -> None:
+        self.found += [(self.depth, {"record": "import", "name": n}) for n in names]
 
 
 def parse_source(path: str, text: str | None) -> list[dict]:
     """Records of one file; a syntax error (or no text) gives one reject."""
-    if text is None:
-        return [{"record": "reject", "file_path": path, "reason": "no_text"}]
+    reader = _FileReader()
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError) as exc:
-        return [{"record": "reject", "file_path": path, "reason": f"syntax_error: {exc.msg}"
-                 if isinstance(exc, SyntaxError) else "value_error"}]
-    out: list[dict] = []
-    for i, node in enumerate(ast.walk(tree)):
-        if isinstance(node, ast.ClassDef):
-            out.append({
-                "record": "class", "file_path": path, "name": node.name,
-                "line_number": node.lineno, "ordinal": i,
-                "docstring": ast.get_docstring(node) or "",
-                "methods": [b.name for b in node.body if isinstance(b, ast.FunctionDef)],
-                "parameters": [], "decorators": _decorators(node),
-                "inheritance": [b.id if isinstance(b, ast.Name) else ast.unparse(b)
-                                for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))],
-                "calls": []})
-        elif isinstance(node, ast.FunctionDef):  # async defs are not collected
-            calls = []
-            for child in ast.walk(node):
-                if isinstance(child, ast.Call):
-                    if isinstance(child.func, ast.Name):
-                        calls.append(child.func.id)
-                    elif isinstance(child.func, ast.Attribute):
-                        calls.append(ast.unparse(child.func))
-            out.append({
-                "record": "function", "file_path": path, "name": node.name,
-                "line_number": node.lineno, "ordinal": i,
-                "docstring": ast.get_docstring(node) or "", "methods": [],
-                "parameters": [a.arg for a in node.args.args],
-                "decorators": _decorators(node), "inheritance": [], "calls": calls})
-        elif isinstance(node, ast.Import):
-            out.extend({"record": "import", "file_path": path, "name": a.name, "ordinal": i}
-                       for a in node.names)
-        elif isinstance(node, ast.ImportFrom) and node.module:
-            out.extend({"record": "import", "file_path": path, "name": f"{node.module}.{a.name}",
-                        "ordinal": i} for a in node.names)
-    return out
+        if text is None:
+            raise ValueError("no_text")
+        reader.visit(ast.parse(text))
+    except SyntaxError as e:
+        return [{"record": "reject", "file_path": path, "reason": f"syntax_error: {e.msg}"}]
+    except (ValueError, RecursionError) as e:
+        reason = "no_text" if text is None else type(e).__name__
+        return [{"record": "reject", "file_path": path, "reason": reason}]
+    ordered = sorted(reader.found, key=lambda f: f[0])
+    return [entry | {"file_path": path, "ordinal": k} for k, (_, entry) in enumerate(ordered)]
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -59,10 +59,19 @@ def distinctive_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
             .where(F.length("line") > min_chars))
 
 
+def line_keys(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+    """``(doc_id, key)``: 128-bit hashes of a document's distinctive lines,
+    repeats inside a document dropped before anything is shuffled."""
+    lines = F.transform(F.split("text", "\n"), _trimmed)
+    keys = F.transform(F.array_distinct(F.filter(lines, lambda x: F.length(x) > min_chars)),
+                       lambda x: F.unhex(F.md5(x)))
+    return docs.select("doc_id", F.explode(keys).alias("key"))
+
+
 def shared_line_edges(docs: DataFrame, min_chars: int = 20) -> DataFrame:
-    """Documents linked when they share a distinctive line (C7 on text)."""
-    return co_occurrence_edges(distinctive_lines(docs, min_chars), "doc_id",
-                               "line", "shared_line")
+    """Documents linked when they share a distinctive line (C7 on text):
+    star edges to the line's smallest holder.  Only hashes are shuffled."""
+    return co_occurrence_edges(line_keys(docs, min_chars), "doc_id", "key", "shared_line")
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:

@@ -40,18 +40,24 @@ def search_pattern(corpus: DataFrame, pattern: str, id_col: str = "doc_id",
     return text_lines(src, id_col, text_col).where(F.col("line").rlike(pattern))
 
 
+def _lines_with(corpus: DataFrame, needle: str, id_col: str, text_col: str) -> DataFrame:
+    """Lines that hold ``needle``; texts without it are never split."""
+    return (text_lines(corpus.where(F.col(text_col).contains(needle)), id_col, text_col)
+            .where(F.col("line").contains(needle)))
+
+
 def find_definitions(corpus: DataFrame, kind: str, name: str | None = None,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines containing ``def <name>`` / ``class <name>`` (substring)."""
     if kind not in ("def", "class"):
         raise ValueError("kind is 'def' or 'class'")
     needle = f"{kind} {name or ''}"
-    return text_lines(corpus, id_col, text_col).where(F.col("line").contains(needle))
+    return _lines_with(corpus, needle, id_col, text_col)
 
 
 def list_imports(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines containing ``import``."""
-    return text_lines(corpus, id_col, text_col).where(F.col("line").contains("import"))
+    return _lines_with(corpus, "import", id_col, text_col)
 
 
 def file_structure(paths: DataFrame, path_col: str = "path") -> DataFrame:
@@ -133,33 +139,33 @@ def exact_duplicates(corpus: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 # ------------------------------------------------------------------ G8
-def token_sets(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Distinct lower-case word tokens per text: ``(id, tok)``."""
-    return (corpus.select(F.col(id_col).alias("id"),
-                          F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+")).alias("tok"))
-            .where(F.col("tok") != "").distinct())
+def token_arrays(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, toks)``: 64-bit hashes of a text's distinct lower-case word
+    tokens, one array per text."""
+    words = F.array_remove(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), "")
+    return corpus.select(F.col(id_col).alias("id"), F.coalesce(
+        F.transform(F.array_distinct(words), lambda w: F.xxhash64(w)),
+        F.array().cast("array<bigint>")).alias("toks"))
 
 
 def pair_jaccard(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """G8 (text): exact token-set Jaccard for the given pairs ``(src, dst)``.
+    """G8 (text): token-set Jaccard for the given pairs ``(src, dst)``.
 
     Pairs come from elsewhere (graph edges); no candidate pairs are
-    generated here, so nothing is quadratic in a group.  Intersections are
-    an equi-join on (pair, token), set sizes a grouped count.
+    generated here, so nothing is quadratic in a group.  Each pair meets its
+    two token arrays by two equi-joins and intersects them in place; a hub's
+    array goes to each of its pairs once and is never exploded.
     """
-    size = tokens.groupBy("id").agg(F.count("*").alias("n"))
-    left = pairs.select("src", "dst").join(tokens.withColumnRenamed("id", "src"), "src")
-    inter = (left.join(tokens.withColumnRenamed("id", "dst"), ["dst", "tok"])
-             .groupBy("src", "dst").agg(F.count("*").alias("common")))
-    out = (pairs.select("src", "dst")
-           .join(inter, ["src", "dst"], "left")
-           .join(size.select(F.col("id").alias("src"), F.col("n").alias("n_src")), "src", "left")
-           .join(size.select(F.col("id").alias("dst"), F.col("n").alias("n_dst")), "dst", "left"))
-    common = F.coalesce("common", F.lit(0))
-    union = F.coalesce("n_src", F.lit(0)) + F.coalesce("n_dst", F.lit(0)) - common
-    return out.select("src", "dst", common.cast("long").alias("common"),
-                      F.coalesce(F.try_divide(common.cast("double"), union.cast("double")),
-                                 F.lit(0.0)).alias("jaccard"))
+    left, right = (tokens.select(F.col("id").alias(side), F.col("toks").alias(f"t_{side}"))
+                   for side in ("src", "dst"))
+    both = pairs.select("src", "dst").join(left, "src", "left").join(right, "dst", "left")
+    none = F.array().cast("array<bigint>")
+    a, b = F.coalesce("t_src", none), F.coalesce("t_dst", none)
+    both = both.select("src", "dst", F.size(F.array_intersect(a, b)).cast("long").alias("common"),
+                       (F.size(a) + F.size(b)).alias("n"))
+    return both.select("src", "dst", "common", F.coalesce(F.try_divide(
+        F.col("common").cast("double"), (F.col("n") - F.col("common")).cast("double")),
+        F.lit(0.0)).alias("jaccard"))
 
 
 def centroid_cosine(vectors: DataFrame, id_col: str, vec_col: str, group_col: str) -> DataFrame:

@@ -50,48 +50,61 @@ def clean(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ H3
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    max_fetch: int = 100_000, buckets: int = 1024) -> list[float | None]:
+                    buckets: int = 1024) -> list[float | None]:
     """Exact quantiles with linear interpolation (numpy's default).
 
-    Distributed selection: the rank wanted is located by bucket counts over
-    a shrinking value range (one grouped aggregate of at most ``buckets``
-    rows per step); once the range holds at most ``max_fetch`` values they
-    are fetched sorted.  Nothing unbounded reaches the driver.
+    All ranks are located together.  Each pass is one grouped aggregate over
+    the rows still in question: it cuts every open value range into
+    ``buckets`` parts and returns the count, least and greatest value of each
+    part that holds rows (at most ranks times ``buckets`` rows, whatever the
+    input).  A rank is settled when its range holds a single value; a pass
+    narrows each range by at least the gap between two parts, so it ends for
+    any finite values.  NaN and infinities are counted aside: infinities
+    are the ends of the order, and any NaN makes every quantile NaN.
     """
     x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-    n = x.count()
+    inf = float("inf")
+    n, nan, low, high, lo, hi = x.agg(
+        F.count("*"), F.count_if(F.isnan("x")), F.count_if(F.col("x") == -inf),
+        F.count_if(F.col("x") == inf),
+        F.min(F.when(F.abs("x") < inf, F.col("x"))), F.max(F.when(F.abs("x") < inf, F.col("x")))).first()
     if n == 0:
         return [None for _ in probs]
-
-    def kth(k: int) -> float:  # 0-based order statistic
-        cur, below, cnt = x, 0, n
-        lo, hi = cur.agg(F.min("x"), F.max("x")).first()
-        while True:
-            if lo == hi:
-                return lo
-            if cnt <= max_fetch:  # checked bound: at most max_fetch values
-                vals = [r[0] for r in cur.orderBy("x").collect()]
-                return vals[k - below]
-            width = (hi - lo) / buckets
-            b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)).cast("int"),
-                        F.lit(buckets - 1))
-            hist = sorted(tuple(r) for r in cur.groupBy(b.alias("b")).count().collect())
-            for bi, c in hist:
-                if k < below + c:
-                    cur, cnt = cur.where(b == bi), c
-                    break
-                below += c
-            lo, hi = cur.agg(F.min("x"), F.max("x")).first()
-
+    if nan:
+        return [float("nan") for _ in probs]
+    want = {k for p in probs for k in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))}
+    value = {k: -inf if k < low else inf for k in want if k < low or k >= n - high}
+    # open ranges: (least, greatest) -> rank of the least value in it, ranks sought
+    todo = {(lo, hi): (low, sorted(want - value.keys()))} if want - value.keys() else {}
+    while todo:
+        for (a, b) in [r for r in todo if r[0] == r[1]]:
+            value |= {k: a for k in todo.pop((a, b))[1]}
+        if not todo:
+            break
+        part = F.lit(None).cast("long")
+        for i, (a, b) in enumerate(todo):
+            scale = 2.0 if b - a == inf else 1.0
+            share = (F.col("x") / scale - F.lit(a / scale)) / F.lit(b / scale - a / scale)
+            at = F.least(F.floor(share * buckets).cast("long"), F.lit(buckets - 1).cast("long"))
+            part = F.when(F.col("x").between(a, b), at + i * buckets).otherwise(part)
+        rows = (x.select("x", part.alias("part")).where(F.col("part").isNotNull()).groupBy("part")
+                .agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
+                .orderBy("part").collect())  # at most len(todo) * buckets rows
+        narrowed: dict = {}
+        for i, (rank, sought) in enumerate(todo.values()):
+            for r in rows:
+                if r["part"] // buckets == i:
+                    inside = [k for k in sought if rank <= k < rank + r["n"]]
+                    if inside:
+                        narrowed[(r["a"], r["b"])] = (rank, inside)
+                    rank += r["n"]
+        todo = narrowed
     out = []
     for p in probs:
-        pos = p * (n - 1)
-        i = int(pos)
-        frac = pos - i
-        v = kth(i)
-        if frac > 0:
-            v = v + (kth(i + 1) - v) * frac
-        out.append(float(v))
+        at = p * (n - 1)
+        i, share = int(at), at - int(at)
+        v = value[i]
+        out.append(float(v if share == 0 or value[i + 1] == v else v + (value[i + 1] - v) * share))
     return out
 
 
@@ -122,7 +135,7 @@ def aggregate(df: DataFrame, group_by: Sequence[str],
     dropped, output sorted by the keys.  Unknown column/function → error."""
     missing = [c for c in list(group_by) + list(spec) if c not in df.columns]
     if missing:
-        raise ValueError(f"Invalid column specified: {missing}")
+        raise ValueError(f"columns not in the table: {missing}")
     aggs = []
     for col, fns in spec.items():
         for fn in fns:
@@ -154,7 +167,7 @@ def resample(df: DataFrame, date_col: str, freq: str = "D", how: str = "mean",
     """H5: every bin between the first and the last is emitted; an empty
     bin has mean/last null and sum 0.  ``last`` = latest non-null value."""
     if how not in ("mean", "sum", "last"):
-        raise ValueError(f"Unsupported aggregation function: {how}")
+        raise ValueError(f"resample by mean, sum or last, not {how!r}")
     cols = list(value_cols) if value_cols is not None else [
         c for c in numeric_columns(df) if c != date_col]
     b = _bin(F.col(date_col), freq).alias("bin")
@@ -195,6 +208,14 @@ def detect_anomalies(df: DataFrame, col: str, threshold: float = 3.0,
                      F.coalesce(z > threshold, F.lit(False)).alias("is_anomaly"))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which null keys match each other; keys appear once."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns])
+    same = functools.reduce(lambda a, b: a & b,
+                            [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
+    return left.join(renamed, same, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def moving_averages(df: DataFrame, value_col: str, windows: Sequence[int],
                     order_by: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
     """H7: mean and sample std over the last ``w`` rows (per partition key);
@@ -215,7 +236,8 @@ def moving_averages(df: DataFrame, value_col: str, windows: Sequence[int],
     numbered = number_rows(df, keys + list(order_by)).withColumnRenamed("number", "_no")
     if keys:
         first = numbered.groupBy(*keys).agg(F.min("_no").alias("_first"))
-        numbered = numbered.join(first, keys).withColumn("_no", F.col("_no") - F.col("_first")).drop("_first")
+        numbered = _join_null_safe(numbered, first, keys).withColumn(
+            "_no", F.col("_no") - F.col("_first")).drop("_first")
     contrib = (numbered.select(*keys, "_no", F.col(value_col).alias("_v"))
                .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(wmax - 1))))
                .withColumn("_target", F.col("_no") + F.col("_j")))
@@ -227,7 +249,7 @@ def moving_averages(df: DataFrame, value_col: str, windows: Sequence[int],
                  F.stddev_samp(vals).alias(f"_s_{w}"),
                  F.count_if(inw).alias(f"_rows_{w}")]
     frames = contrib.groupBy(*keys, F.col("_target").alias("_no")).agg(*aggs)
-    out = numbered.join(frames, keys + ["_no"], "left")
+    out = _join_null_safe(numbered, frames, keys + ["_no"])
     for w in windows:
         full = (F.col(f"_n_{w}") == w) & (F.col(f"_rows_{w}") == w)
         out = out.withColumn(f"ma_{w}", F.when(full, F.col(f"_m_{w}"))) \
@@ -248,11 +270,10 @@ def merge(primary: DataFrame, secondary: DataFrame, on: str | Sequence[str],
     """H9: keys must exist on both sides; null keys match each other;
     overlapping non-key columns of the right side get ``_secondary``."""
     keys = [on] if isinstance(on, str) else list(on)
-    for k in keys:
-        if k not in primary.columns:
-            raise ValueError(f"Column '{k}' not found in primary DataFrame")
-        if k not in secondary.columns:
-            raise ValueError(f"Column '{k}' not found in secondary DataFrame")
+    for side, df in (("left", primary), ("right", secondary)):
+        absent = [k for k in keys if k not in df.columns]
+        if absent:
+            raise ValueError(f"keys absent on the {side}: {absent}")
     if how not in ("left", "right", "inner", "outer"):
         raise ValueError(f"unsupported merge {how!r}")
     left = primary.select([F.col(c).alias(c if c not in keys else f"_l_{c}") for c in primary.columns])
@@ -283,24 +304,22 @@ def merge(primary: DataFrame, secondary: DataFrame, on: str | Sequence[str],
 
 
 # ------------------------------------------------------------------ H10, H11
+#: What a declared Python type accepts; types not listed accept anything.
+_ACCEPTS = {str: T.StringType, int: NUMERIC, float: NUMERIC}
+
+
 def validate_schema(df: DataFrame, expected: dict[str, type]) -> DataFrame:
-    """Error messages from schema metadata only (no scan)."""
-    errors = []
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    for col, typ in expected.items():
-        if col not in fields:
-            errors.append(("missing_column", col, f"Missing required column: {col}"))
-            continue
-        dt = fields[col]
-        if typ is str and not isinstance(dt, T.StringType):
-            errors.append(("type", col, f"Column '{col}' expected type str but got {dt.simpleString()}"))
-        elif typ in (int, float) and not isinstance(dt, NUMERIC):
-            errors.append(("type", col, f"Column '{col}' expected numeric type but got {dt.simpleString()}"))
-    unexpected = sorted(set(fields) - set(expected))
-    if unexpected:
-        errors.append(("unexpected_columns", ",".join(unexpected),
-                       f"Unexpected columns found: {unexpected}"))
-    return df.sparkSession.createDataFrame(errors, "kind string, column string, message string")
+    """Findings ``(code, column, declared, actual)`` from the schema
+    alone (no scan): ``missing``, ``type`` and ``unexpected`` columns."""
+    actual = {f.name: f.dataType for f in df.schema.fields}
+    findings = [
+        *(("missing", c, t.__name__, None) for c, t in expected.items() if c not in actual),
+        *(("type", c, t.__name__, actual[c].simpleString()) for c, t in expected.items()
+          if c in actual and not isinstance(actual[c], _ACCEPTS.get(t, T.DataType))),
+        *(("unexpected", c, None, actual[c].simpleString()) for c in sorted(actual.keys() - expected.keys())),
+    ]
+    return df.sparkSession.createDataFrame(
+        findings, "code string, column string, declared string, actual string")
 
 
 def data_quality(df: DataFrame) -> DataFrame:

@@ -9,51 +9,114 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from corpusgraph.operators import communities as cm
+from corpusgraph.operators import components as cc
 from corpusgraph.operators import describe as ds
 from corpusgraph.operators import graph as g
 from corpusgraph.operators import quality as qm
 from corpusgraph.plans.common import Registry, rounded
 from corpusgraph.plans.graph_queries import DETAILS_CTE, doc_graph
+from corpusgraph.session import cut_lineage
 from corpusgraph.sources.tables import table
 
 reg = Registry()
 
 
 # ------------------------------------------------------------------ D1–D3
-@lru_cache(maxsize=8)
+DETECTORS = {"label_propagation": cm.label_propagation, "louvain": cm.louvain, "leiden": cm.leiden}
+
+
 def _detected(spark, sf_dir, algorithm):
+    """(edges, membership as a written table)."""
     nodes, edges = doc_graph(spark, sf_dir)
-    if algorithm == "label_propagation":
-        return cm.label_propagation(nodes, edges)
-    if algorithm == "louvain":
-        return cm.louvain(nodes, edges)
-    return cm.leiden(nodes, edges)
+    return edges, cut_lineage(DETECTORS[algorithm](nodes, edges))
 
 
 @reg.add("label_propagation")
 def q_label_propagation(spark, sf_dir):
-    return _detected(spark, sf_dir, "label_propagation")
+    return _detected(spark, sf_dir, "label_propagation")[1]
 
 
 @reg.add("louvain")
 def q_louvain(spark, sf_dir):
-    return _detected(spark, sf_dir, "louvain")
+    return _detected(spark, sf_dir, "louvain")[1]
 
 
 @reg.add("leiden")
 def q_leiden(spark, sf_dir):
-    return _detected(spark, sf_dir, "leiden")
+    return _detected(spark, sf_dir, "leiden")[1]
 
 
 @reg.add("leiden_modularity")
 def q_leiden_modularity(spark, sf_dir):
-    _, edges = doc_graph(spark, sf_dir)
-    return rounded(qm.modularity(_detected(spark, sf_dir, "leiden"), edges))
+    edges, members = _detected(spark, sf_dir, "leiden")
+    return rounded(qm.modularity(members, edges))
+
+
+# What must hold of a detector's membership: rows, different nodes, nodes whose
+# label is not their community's smallest member, and for each detector what
+# it promises: communities in several pieces (Leiden), a score below that of
+# the components (Louvain, Leiden), nodes that a neighbour label outnumbers
+# (label propagation).
+def _invariants_sql(*promises: str) -> str:
+    return ("SELECT count(*) AS num_rows, count(DISTINCT doc_id) AS nodes, 0::BIGINT AS mislabelled"
+            + "".join(f", 0::BIGINT AS {p}" for p in promises) + " FROM documents")
+
+
+def _in_pieces(nodes, edges, members):
+    ends = [members.select(F.col("node").alias(e), F.col("community").alias(f"c_{e}"))
+            for e in ("src", "dst")]
+    inside = edges.join(ends[0], "src").join(ends[1], "dst").where("c_src = c_dst").select("src", "dst")
+    pieces = cc.connected_components(nodes, inside).withColumnRenamed("community", "piece")
+    return (members.join(pieces, "node").groupBy("community")
+            .agg((F.min("piece") < F.max("piece")).alias("torn")).agg(F.count_if("torn")).scalar())
+
+
+def _below_components(nodes, edges, members):
+    score, trivial = (qm.modularity(m, edges).select("modularity").scalar()
+                      for m in (members, cc.connected_components(nodes, edges)))
+    return (score < trivial - 1e-9).cast("long")
+
+
+def _outnumbered(nodes, edges, members):
+    seen = (cm.weighted_arcs(edges).select("a", "b")
+            .join(members.select(F.col("node").alias("b"), F.col("community").alias("label")), "b")
+            .groupBy("a", "label").agg(F.count("*").alias("n")))
+    mine = members.select(F.col("node").alias("a"), F.col("community").alias("own"))
+    return (seen.join(mine, "a").groupBy("a").agg(
+        F.max("n").alias("most"),
+        F.coalesce(F.max(F.when(F.col("label") == F.col("own"), F.col("n"))), F.lit(0)).alias("n_own"))
+        .agg(F.count_if(F.col("n_own") < F.col("most"))).scalar())
+
+
+PROMISES = {"in_pieces": _in_pieces, "below_components": _below_components, "outnumbered": _outnumbered}
+
+
+def _invariants(spark, sf_dir, algorithm, *promises):
+    nodes, edges = doc_graph(spark, sf_dir)
+    members = cut_lineage(DETECTORS[algorithm](nodes, edges))
+    smallest = members.groupBy("community").agg(F.min("node").alias("least"))
+    return members.agg(F.count("*").alias("num_rows"), F.count_distinct("node").alias("nodes")).select(
+        "num_rows", "nodes",
+        smallest.agg(F.count_if(F.col("community") != F.col("least"))).scalar().alias("mislabelled"),
+        *[PROMISES[p](nodes, edges, members).alias(p) for p in promises])
+
+
+@reg.add("louvain_invariants", _invariants_sql("below_components"))
+def q_louvain_invariants(spark, sf_dir):
+    return _invariants(spark, sf_dir, "louvain", "below_components")
+
+
+@reg.add("leiden_invariants", _invariants_sql("in_pieces", "below_components"))
+def q_leiden_invariants(spark, sf_dir):
+    return _invariants(spark, sf_dir, "leiden", "in_pieces", "below_components")
+
+
+@reg.add("label_propagation_invariants", _invariants_sql("outnumbered"))
+def q_label_propagation_invariants(spark, sf_dir):
+    return _invariants(spark, sf_dir, "label_propagation", "outnumbered")
 
 
 # ------------------------------------------------------------------ F
@@ -187,11 +250,11 @@ def q_brand_names(spark, sf_dir):
 def q_algorithm_comparison(spark, sf_dir):
     """The three detectors on the document graph, modularity at γ=1."""
     import time
-    _, edges = doc_graph(spark, sf_dir)
+    nodes, edges = doc_graph(spark, sf_dir)
     runs = []
     for name in ("leiden", "louvain", "label_propagation"):
         t0 = time.time()
-        memb = _detected(spark, sf_dir, name)
+        memb = cut_lineage(DETECTORS[name](nodes, edges))
         runs.append((name, memb, time.time() - t0))
     return rounded(cm.compare_memberships(edges, runs)).drop("seconds")
 

@@ -9,7 +9,6 @@ connected components (D8).
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -119,17 +118,12 @@ def _with(cte: str, body: str) -> str:
 
 
 # ---------------------------------------------------------------- Spark side
-@lru_cache(maxsize=4)
-def _doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the edge set is derived once per session and input, then read back as
-    # a written table (shared checkpoint folder) by every graph query
-    docs = table(spark, sf_dir, "documents")
-    return cut_lineage(g.shared_line_edges(docs.select("doc_id", "text")))
-
-
 def doc_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"))
-    return nodes, _doc_edges(spark, sf_dir)
+    """Nodes and edges of the shared-line document graph.  The edges are a
+    written table, so a query that uses them more than once derives them once."""
+    docs = table(spark, sf_dir, "documents")
+    edges = cut_lineage(g.shared_line_edges(docs.select("doc_id", "text")))
+    return docs.select(F.col("doc_id").alias("node")), edges
 
 
 def source_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,20 +131,16 @@ def source_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("node"), F.col("source").alias("community"))
 
 
-@lru_cache(maxsize=4)
-def _components_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = doc_graph(spark, sf_dir)
-    return cc.connected_components(nodes, edges)
-
-
-def component_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The component labels are a checkpointed table; reuse it within a session.
-    return _components_cached(spark, sf_dir)
+def _source_details(spark, sf_dir):
+    _, edges = doc_graph(spark, sf_dir)
+    return qm.community_details(source_membership(spark, sf_dir), edges)
 
 
-def _details(spark, sf_dir, membership):
-    _, edges = doc_graph(spark, sf_dir)
-    return qm.community_details(membership, edges)
+def _components(spark, sf_dir):
+    """(nodes, edges, membership by component, details)."""
+    nodes, edges = doc_graph(spark, sf_dir)
+    members = cc.connected_components(nodes, edges)
+    return nodes, edges, members, qm.community_details(members, edges)
 
 
 @reg.add("shared_line_edges", _with(GRAPH_CTE, "SELECT src, dst, weight FROM edges"))
@@ -188,32 +178,32 @@ def q_node_degrees(spark, sf_dir):
 
 @reg.add("connected_components", _with(COMPONENTS_CTE, "SELECT node, community FROM membership"))
 def q_connected_components(spark, sf_dir):
-    return component_membership(spark, sf_dir)
+    return _components(spark, sf_dir)[2]
 
 
 @reg.add("component_stats", _with(COMPONENTS_CTE + DETAILS_CTE, f"SELECT {DETAIL_COLS} FROM details"))
 def q_component_stats(spark, sf_dir):
-    return rounded(_details(spark, sf_dir, component_membership(spark, sf_dir)))
+    return rounded(_components(spark, sf_dir)[3])
 
 
 @reg.add("source_community_stats", _with(SOURCE_CTE + DETAILS_CTE, f"SELECT {DETAIL_COLS} FROM details"))
 def q_source_community_stats(spark, sf_dir):
-    return rounded(_details(spark, sf_dir, source_membership(spark, sf_dir)))
+    return rounded(_source_details(spark, sf_dir))
 
 
 @reg.add("source_modularity", _with(SOURCE_CTE + DETAILS_CTE, MODULARITY_SQL))
 def q_source_modularity(spark, sf_dir):
-    return rounded(qm.modularity_of(_details(spark, sf_dir, source_membership(spark, sf_dir))))
+    return rounded(qm.modularity_of(_source_details(spark, sf_dir)))
 
 
 @reg.add("component_modularity", _with(COMPONENTS_CTE + DETAILS_CTE, MODULARITY_SQL))
 def q_component_modularity(spark, sf_dir):
-    return rounded(qm.modularity_of(_details(spark, sf_dir, component_membership(spark, sf_dir))))
+    return rounded(qm.modularity_of(_components(spark, sf_dir)[3]))
 
 
 @reg.add("component_summary", _with(COMPONENTS_CTE + DETAILS_CTE, SUMMARY_SQL))
 def q_component_summary(spark, sf_dir):
-    return rounded(qm.community_summary(_details(spark, sf_dir, component_membership(spark, sf_dir))))
+    return rounded(qm.community_summary(_components(spark, sf_dir)[3]))
 
 
 RULES_SQL = """
@@ -233,12 +223,12 @@ SELECT * FROM (
 
 @reg.add("source_recommendations", _with(SOURCE_CTE + DETAILS_CTE, RULES_SQL))
 def q_source_recommendations(spark, sf_dir):
-    return rounded(qm.recommendations(_details(spark, sf_dir, source_membership(spark, sf_dir))))
+    return rounded(qm.recommendations(_source_details(spark, sf_dir)))
 
 
 @reg.add("component_recommendations", _with(COMPONENTS_CTE + DETAILS_CTE, RULES_SQL))
 def q_component_recommendations(spark, sf_dir):
-    return rounded(qm.recommendations(_details(spark, sf_dir, component_membership(spark, sf_dir))))
+    return rounded(qm.recommendations(_components(spark, sf_dir)[3]))
 
 
 @reg.add("core_components", _with(COMPONENTS_CTE + DETAILS_CTE, """
@@ -250,8 +240,8 @@ SELECT d.community, d.size, round(d.cohesion, 6) AS cohesion, round(d.coupling,
 FROM details d WHERE d.size >= 5
 """))
 def q_core_components(spark, sf_dir):
-    m = component_membership(spark, sf_dir)
-    core = qm.core_communities(_details(spark, sf_dir, m), m)
+    _, _, members, details = _components(spark, sf_dir)
+    core = qm.core_communities(details, members)
     return rounded(core.withColumn("nodes", F.array_join(
         F.transform("nodes", lambda x: x.cast("string")), ",")))
 
@@ -260,7 +250,7 @@ def q_core_components(spark, sf_dir):
 SELECT {DETAIL_COLS} FROM details ORDER BY size DESC, community LIMIT 10
 """))
 def q_top_components(spark, sf_dir):
-    return rounded(qm.top_communities(_details(spark, sf_dir, component_membership(spark, sf_dir)), 10))
+    return rounded(qm.top_communities(_components(spark, sf_dir)[3], 10))
 
 
 @reg.add("component_size_histogram", _with(COMPONENTS_CTE + DETAILS_CTE, """
@@ -271,7 +261,7 @@ SELECT bin, count(*) AS num_communities FROM (
 ) GROUP BY bin
 """))
 def q_component_size_histogram(spark, sf_dir):
-    return qm.size_histogram(_details(spark, sf_dir, component_membership(spark, sf_dir)), 10)
+    return qm.size_histogram(_components(spark, sf_dir)[3], 10)
 
 
 @reg.add("source_size_share", _with(SOURCE_CTE + DETAILS_CTE, """
@@ -279,7 +269,7 @@ SELECT community, size, round(size * 100.0 / (SELECT sum(size) FROM details), 1)
 FROM details
 """))
 def q_source_size_share(spark, sf_dir):
-    return qm.size_share(_details(spark, sf_dir, source_membership(spark, sf_dir)))
+    return qm.size_share(_source_details(spark, sf_dir))
 
 
 @reg.add("source_quadrants", _with(SOURCE_CTE + DETAILS_CTE, """
@@ -291,7 +281,7 @@ SELECT community, round(cohesion, 6) AS cohesion, round(coupling, 6) AS coupling
 FROM details, (SELECT median(cohesion) AS mc, median(coupling) AS mp FROM details)
 """))
 def q_source_quadrants(spark, sf_dir):
-    return rounded(qm.quadrants(_details(spark, sf_dir, source_membership(spark, sf_dir)),
+    return rounded(qm.quadrants(_source_details(spark, sf_dir),
                                 use_median=True))
 
 
@@ -301,9 +291,8 @@ SELECT (SELECT count(*) FROM nodes) AS num_nodes, (SELECT count(*) FROM edges) A
        round((SELECT avg(size) FROM details), 6) AS avg_size
 """))
 def q_component_dashboard(spark, sf_dir):
-    nodes, edges = doc_graph(spark, sf_dir)
-    return rounded(qm.dashboard(nodes, edges, _details(spark, sf_dir,
-                                                       component_membership(spark, sf_dir))))
+    nodes, edges, _, details = _components(spark, sf_dir)
+    return rounded(qm.dashboard(nodes, edges, details))
 
 
 @reg.add("source_bands", _with(SOURCE_CTE + DETAILS_CTE, """
@@ -314,4 +303,4 @@ SELECT community,
 FROM details
 """))
 def q_source_bands(spark, sf_dir):
-    return qm.bands(_details(spark, sf_dir, source_membership(spark, sf_dir)))
+    return qm.bands(_source_details(spark, sf_dir))

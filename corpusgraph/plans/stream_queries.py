@@ -22,16 +22,30 @@ WITH d AS (SELECT date_trunc('day', ts) AS window_start, avg(value) AS mean, sum
                   count(*) AS n FROM events GROUP BY 1)
 SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, round(mean, 6) AS mean,
        round(sum, 6) AS sum, n
-FROM d WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+FROM d
 """)
 def q_events_daily_stream(spark, sf_dir):
-    """K2: windows closed by the watermark (max event time − 1 hour)."""
+    """K2: every window, the open one included, as last updated."""
     s = st.resample_stream(st.table_stream(spark, sf_dir, "events"), "ts", "value",
                            "1 day", "1 hour")
-    return rounded(st.run_to_table(s, "events_daily"))
+    raw = st.run_to_table(s, "events_daily", "update")
+    return rounded(en.latest_per_key(raw, "window_start", "_batch").drop("_batch"))
 
 
-@reg.add("rate_limit_decisions")
+#: Two accepted per sliding day: a request is accepted unless the last but
+#: one accepted request lies less than a day back.
+@reg.add("rate_limit_decisions", """
+WITH RECURSIVE e AS (
+  SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+r AS (
+  SELECT user_id, ts, n, true AS accepted, ts AS a1, CAST(NULL AS TIMESTAMP) AS a2 FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, ts, n, ok, CASE WHEN ok THEN ts ELSE a1 END, CASE WHEN ok THEN a1 ELSE a2 END
+  FROM (SELECT e.user_id, e.ts, e.n, r.a1, r.a2,
+               r.a2 IS NULL OR r.a2 <= e.ts - INTERVAL 1 DAY AS ok
+        FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id AS client, ts, accepted FROM r
+""")
 def q_rate_limit_decisions(spark, sf_dir):
     """K1: per user, at most 2 accepted events per sliding day."""
     s = st.rate_limit_stream(st.table_stream(spark, sf_dir, "events"), "user_id", "ts",

@@ -99,7 +99,7 @@ def q_document_similarity_pairs(spark, sf_dir):
     ends = (edges.select(F.col("src").alias("doc_id"))
             .unionByName(edges.select(F.col("dst").alias("doc_id"))).distinct())
     docs = _docs(spark, sf_dir).join(ends, "doc_id", "left_semi")
-    return rounded(se.pair_jaccard(edges, se.token_sets(docs)))
+    return rounded(se.pair_jaccard(edges, se.token_arrays(docs)))
 
 
 @reg.add("embedding_label_cosine", """

@@ -1,31 +1,39 @@
 """Structured Streaming forms of the time-based operators (K1–K4).
 
 * K1 ``rate_limit_stream`` — per-client sliding-window limiter as a
-  ``transformWithStateInPandas`` processor.  The state is the list of
-  accepted timestamps still inside the window (at most ``max_requests``
-  values per client), so a hot client costs state proportional to the limit,
-  not to its history.
+  ``transformWithStateInPandas`` processor.  The state is the accepted
+  times still inside the window (at most ``max_requests`` per client) and the
+  newest time decided; with ``expire`` (for streams that run on; a run over
+  a table would wait for the clock) it goes after a window without requests.
+  Within a micro-batch requests are decided in time order; one that comes after a later
+  one was decided gets no decision (null) and belongs in a side table.
 * K2 ``resample_stream`` — tumbling event-time windows with a watermark;
-  append mode emits a window once the watermark passes its end and then
-  drops its state.
-* K3 ``latest_value_stream`` — keyed latest value with expiry: a processor
-  keeps the newest value per key and emits it with its expiry time.
+  append mode emits closed windows, update mode also open ones.
+* K3 ``latest_value_stream`` — keyed latest value; with ``expire`` its state goes with it.
 * K4 ``expiry_sweep_stream`` — rows already expired at the sweep time.
 
-Sources are file streams over the driver tables; sinks are parquet tables
-in the session's (shared) checkpoint folder, read back as batch DataFrames.
-``withWatermark`` needs ``timestamp`` (not ``timestamp_ntz``), so event
-times are cast with the session time zone.
+Sources are file streams over tables, each a file or a folder of files.  By
+default one run takes all new files as one micro-batch, so the order in which
+files are listed cannot make rows late.  Sinks are parquet tables in the
+session's (shared) checkpoint folder, read back as batch DataFrames.  A run that
+dropped late rows fails with their number; none vanish silently.
+``withWatermark`` needs ``timestamp`` (not ``timestamp_ntz``), so event times
+are cast with the session time zone.
 """
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusgraph.session import ensure_checkpoint_dir
 
@@ -33,84 +41,118 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str,
-                 max_files_per_trigger: int = 1) -> DataFrame:
-    """A driver table as a file stream (schema taken from the file)."""
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """A table as a file stream (schema taken from the files)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(sf_dir))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if folder:
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The processors need the RocksDB state store: set for the run where the
+    session names another, and put back after it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
     """Run ``stream`` with ``availableNow`` into a parquet table under the
-    checkpoint folder; return that table as a batch DataFrame."""
+    checkpoint folder; return that table as a batch DataFrame.  In update
+    mode a column ``_batch`` tells the micro-batch that wrote a row."""
     spark = stream.sparkSession
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-    q = (stream.writeStream.format("parquet")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
-         .outputMode(output_mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(f"{base}/out")
-
-
-def _use_rocksdb(spark: SparkSession) -> None:
-    # the processors below travel to the Python workers by value, so the
-    # workers need not have this package installed
-    from pyspark import cloudpickle
-    import sys
+    writer = stream.writeStream.option("checkpointLocation", f"{base}/ckpt").outputMode(output_mode)
+    if output_mode == "append":
+        writer = writer.format("parquet").option("path", f"{base}/out")
+        written = stream.schema
+    else:
+        written = StructType([*stream.schema.fields, StructField("_batch", LongType())])
+
+        def write(rows: DataFrame, batch: int) -> None:
+            # a repeated batch replaces its own folder
+            rows.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(
+                f"{base}/out/part={batch}")
+
+        writer = writer.foreachBatch(write)
+    with _rocksdb(spark):
+        q = writer.trigger(availableNow=True).start()
+        q.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+    if late:
+        raise RuntimeError(f"{late} rows came after their watermark")
+    return spark.read.schema(written).option("recursiveFileLookup", "true").parquet(f"{base}/out")
+
+
+def _ship() -> None:
+    """The processors travel to the Python workers by value, so the workers
+    need not have this package installed."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    key = "spark.sql.streaming.stateStore.providerClass"
-    if spark.conf.get(key, "") != ROCKSDB:
-        spark.conf.set(key, ROCKSDB)
 
 
 # ------------------------------------------------------------------ K1
 class RateLimiter(StatefulProcessor):
     """Accept a request while fewer than ``max_requests`` accepted requests
-    lie in (t − W, t]; rejected requests do not count.  Within a micro-batch
-    a client's requests are processed in time order."""
+    lie in (t − W, t]; rejected requests do not count.  Only the times of a
+    client's micro-batch are held, eight bytes each."""
 
-    def __init__(self, max_requests: int, window_seconds: int) -> None:
+    def __init__(self, max_requests: int, window_seconds: int, expire: bool = False) -> None:
         self.max_requests = max_requests
         self.window_us = window_seconds * 1_000_000
+        self.ttl_ms = self.window_us // 1000 if expire else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getValueState("accepted", "ts ARRAY<BIGINT>")
+        self.state = handle.getValueState("accepted", "ts ARRAY<BIGINT>, decided BIGINT",
+                                          ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["t_us", "ts"], kind="stable")
-        live = list(self.accepted.get()[0]) if self.accepted.exists() else []
-        decisions = []
-        for t in batch["t_us"].tolist():
+        times = np.sort(np.concatenate([part["t_us"].to_numpy(np.int64) for part in rows]))
+        live, decided = self.state.get() if self.state.exists() else ([], -1 << 62)
+        live, verdicts = list(live), []
+        for t in times.tolist():
+            if t < decided:
+                verdicts.append(None)
+                continue
             live = [a for a in live if a > t - self.window_us]
-            ok = len(live) < self.max_requests
-            if ok:
+            verdicts.append(len(live) < self.max_requests)
+            if verdicts[-1]:
                 live.append(t)
-            decisions.append(ok)
-        self.accepted.update((live,))
-        yield pd.DataFrame({"client": [key[0]] * len(batch), "ts": batch["ts"].values,
-                            "accepted": decisions})
+        self.state.update((live, max(decided, int(times[-1]))))
+        for at in range(0, len(times), 10_000):
+            part = slice(at, at + 10_000)
+            yield pd.DataFrame({"client": key[0], "ts": pd.to_datetime(times[part], unit="us", utc=True),
+                                "accepted": pd.Series(verdicts[part], dtype="boolean")})
 
     def close(self) -> None:
         pass
 
 
 def rate_limit_stream(requests: DataFrame, client: str, ts: str, max_requests: int,
-                      window_seconds: int) -> DataFrame:
-    """K1: streaming ``(client, ts, accepted)``; ``requests`` may be batch
-    or streaming."""
-    _use_rocksdb(requests.sparkSession)
-    src = requests.select(F.col(client).alias("client"), F.col(ts).cast("timestamp").alias("ts"),
+                      window_seconds: int, expire: bool = False) -> DataFrame:
+    """K1: streaming ``(client, ts, accepted)``; ``accepted`` is null for a
+    request that came after a later one was decided."""
+    _ship()
+    src = requests.select(F.col(client).alias("client"),
                           F.unix_micros(F.col(ts).cast("timestamp")).alias("t_us"))
     return (src.groupBy("client").transformWithStateInPandas(
-        RateLimiter(max_requests, window_seconds),
+        RateLimiter(max_requests, window_seconds, expire),
         outputStructType=f"client {requests.schema[client].dataType.simpleString()}, "
                          "ts timestamp, accepted boolean",
-        outputMode="Append", timeMode="None"))
+        outputMode="Append", timeMode="ProcessingTime" if expire else "None"))
 
 
 # ------------------------------------------------------------------ K2
@@ -130,19 +172,21 @@ def resample_stream(stream: DataFrame, ts: str, value: str, window: str = "1 day
 class LatestValue(StatefulProcessor):
     """Newest value per key; emits it with its expiry (written + ttl)."""
 
-    def __init__(self, ttl_seconds: int) -> None:
+    def __init__(self, ttl_seconds: int, expire: bool = False) -> None:
         self.ttl_us = ttl_seconds * 1_000_000
+        self.ttl_ms = self.ttl_us // 1000 if expire else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "t_us BIGINT, value DOUBLE")
+        self.latest = handle.getValueState("latest", "t_us BIGINT, value DOUBLE",
+                                           ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        top = batch.sort_values(["t_us", "value"], kind="stable").iloc[-1]
         cur = self.latest.get() if self.latest.exists() else None
-        if cur is None or int(top["t_us"]) >= int(cur[0]):
-            cur = (int(top["t_us"]), float(top["value"]))
-            self.latest.update(cur)
+        for part in rows:  # one Arrow batch at a time
+            top = part.sort_values(["t_us", "value"], kind="stable").iloc[-1]
+            top = (int(top["t_us"]), float(top["value"]))
+            cur = top if cur is None or top >= tuple(cur) else cur
+        self.latest.update(tuple(cur))
         yield pd.DataFrame({"key": [key[0]],
                             "written_us": [cur[0]], "value": [cur[1]],
                             "expires_us": [cur[0] + self.ttl_us]})
@@ -152,18 +196,18 @@ class LatestValue(StatefulProcessor):
 
 
 def latest_value_stream(changes: DataFrame, key: str, ts: str, value: str,
-                        ttl_seconds: int) -> DataFrame:
+                        ttl_seconds: int, expire: bool = False) -> DataFrame:
     """K3: per key the newest value and its expiry time; one appended row
     per key and micro-batch (the newest row per key is the current view)."""
-    _use_rocksdb(changes.sparkSession)
+    _ship()
     src = changes.select(F.col(key).alias("key"),
                          F.unix_micros(F.col(ts).cast("timestamp")).alias("t_us"),
                          F.col(value).cast("double").alias("value"))
     return src.groupBy("key").transformWithStateInPandas(
-        LatestValue(ttl_seconds),
+        LatestValue(ttl_seconds, expire),
         outputStructType=f"key {changes.schema[key].dataType.simpleString()}, written_us bigint, "
                          "value double, expires_us bigint",
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="ProcessingTime" if expire else "None")
 
 
 def expiry_sweep_stream(stream: DataFrame, expires_col: str, as_of) -> DataFrame:

@@ -1,6 +1,7 @@
 """Community metrics and modularity on the golden graphs of FIXTURES.md §2."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusgraph.operators import components as cc
 from corpusgraph.operators import graph as g
@@ -88,6 +89,23 @@ def test_components_long_chain(spark):
     assert m.select("community").distinct().collect()[0][0] == 0
 
 
+@pytest.mark.parametrize("ids", ["descending", "shuffled"])
+def test_components_of_a_path_in_few_rounds(spark, ids, monkeypatch):
+    """A 10 000-node path whose ids do not follow it: O(log n) rounds."""
+    import random
+    n = 10_000
+    order = list(range(n, 0, -1)) if ids == "descending" else random.Random(3).sample(range(1, n + 1), n)
+    order.insert(0, 0) if ids == "descending" else None
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "src long, dst long")
+    rounds = []
+    keep = cc.RoundKeeper.keep_signed
+    monkeypatch.setattr(cc.RoundKeeper, "keep_signed", lambda self, df: rounds.append(1) or keep(self, df))
+    m = cc.connected_components(spark.createDataFrame([(i,) for i in order], "node long"), edges)
+    assert m.agg(F.count("*"), F.count_distinct("community"), F.min("community")).first() == (
+        len(order), 1, min(order))
+    assert len(rounds) <= 2 + 14  # log2 of 10 000
+
+
 def test_co_occurrence_star_edges(spark):
     pairs = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (3, "y"), (4, "y"), (5, "z")],
                                   "e long, k string")

@@ -21,7 +21,7 @@ def test_statistics_golden(spark):
 def test_exact_quantiles_selection_path(spark):
     df = spark.range(5000).select((F.col("id") * 7 % 5000).cast("double").alias("x"))
     # force the bucket-refinement path with a tiny fetch bound
-    got = tb.exact_quantiles(df, "x", [0.25, 0.5, 0.9], max_fetch=50, buckets=16)
+    got = tb.exact_quantiles(df, "x", [0.25, 0.5, 0.9], buckets=16)
     assert got == pytest.approx([1249.75, 2499.5, 4499.1])
 
 
@@ -67,9 +67,33 @@ def test_aggregate_names_and_null_keys(spark):
 
 def test_validate_schema(spark):
     df = spark.createDataFrame([(1, "a", 2.0)], "id int, name string, extra double")
-    kinds = {(r["kind"], r["column"]) for r in
+    found = {tuple(r) for r in
              tb.validate_schema(df, {"id": int, "name": int, "missing": str}).collect()}
-    assert kinds == {("missing_column", "missing"), ("type", "name"), ("unexpected_columns", "extra")}
+    assert found == {("missing", "missing", "str", None), ("type", "name", "int", "string"),
+                     ("unexpected", "extra", None, "double")}
+
+
+def test_quantiles_with_non_finite_values(spark):
+    import math
+
+    def quantiles(values, probs=(0.0, 0.25, 0.5, 1.0)):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        return tb.exact_quantiles(df, "x", probs, buckets=4)
+
+    inf = float("inf")
+    assert quantiles([1.0, 2.0, inf, -inf, 3.0, None]) == [-inf, 1.0, 2.0, inf]
+    assert quantiles([inf, inf]) == [inf] * 4 and quantiles([None]) == [None] * 4
+    assert all(math.isnan(q) for q in quantiles([1.0, float("nan")]))
+    wide = [-1.7e308, 1.7e308, 5e-324, 0.0, -0.0, 1e-300]
+    assert quantiles(wide, (0.0, 0.2, 0.8, 1.0)) == [-1.7e308, 0.0, 1e-300, 1.7e308]
+
+
+def test_moving_averages_keep_rows_with_null_keys(spark):
+    df = spark.createDataFrame([(None if i % 2 else "a", i, float(i)) for i in range(10)],
+                               "k string, t int, v double")
+    got = tb.moving_averages(df, "v", [2], ["t"], ["k"]).collect()
+    assert len(got) == 10
+    assert {r["t"]: r["ma_2"] for r in got if r["k"] is None} == {1: None, 3: 2.0, 5: 4.0, 7: 6.0, 9: 8.0}
 
 
 def test_scalar_functions(spark):
