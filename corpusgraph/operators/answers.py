@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 LOOSE_FALLBACK_CHARS = 200          # fallback keeps the first 200 characters
 LOOSE_FALLBACK = {"complexity": 5, "quality": 7}
 FENCED_DEFAULT = {"functionality": "analysis failed", "complexity": 5, "quality": 5}
+LIST_FIELDS = ("suggestions", "tags", "dependencies")   # empty lists by default
 NAME_PREFIXES = ["社区名称：", "名称：", "生成的社区名称：", "社区："]  # stripped in this order
 NAME_QUOTES = "\"'"
 NAME_MAX_CHARS = 10
@@ -32,6 +33,13 @@ def _fields(js: Column) -> dict[str, Column]:
             "quality": F.get_json_object(js, "$.quality").try_cast("int")}
 
 
+def _lists(js: Column, ok: Column) -> list[Column]:
+    """The list fields of a valid answer; absent ones are empty."""
+    parsed = F.from_json(js, ", ".join(f"{name} array<string>" for name in LIST_FIELDS))
+    return [F.coalesce(F.when(ok, parsed[name]), F.array().cast("array<string>")).alias(name)
+            for name in LIST_FIELDS]
+
+
 def parse_answer_loose(text) -> Column:
     """G1: JSON between the first ``{`` and the last ``}``; otherwise (or if
     invalid) the first 200 characters (+ ``...``) with complexity 5,
@@ -49,6 +57,7 @@ def parse_answer_loose(text) -> Column:
         F.when(ok, f["functionality"]).otherwise(fallback_text).alias("functionality"),
         F.when(ok, f["complexity"]).otherwise(F.lit(LOOSE_FALLBACK["complexity"])).alias("complexity"),
         F.when(ok, f["quality"]).otherwise(F.lit(LOOSE_FALLBACK["quality"])).alias("quality"),
+        *_lists(js, ok),
         (~ok).alias("is_default"))
 
 
@@ -74,6 +83,7 @@ def parse_answer_fenced(text) -> Column:
         F.when(ok, f["functionality"]).otherwise(F.lit(FENCED_DEFAULT["functionality"])).alias("functionality"),
         F.when(ok, f["complexity"]).otherwise(F.lit(FENCED_DEFAULT["complexity"])).alias("complexity"),
         F.when(ok, f["quality"]).otherwise(F.lit(FENCED_DEFAULT["quality"])).alias("quality"),
+        *_lists(js, ok),
         (~ok).alias("is_default"))
 
 
@@ -118,8 +128,8 @@ def with_defaults(items: DataFrame, answers: DataFrame, key: str, parsed: str,
 
 
 # ---- fixed values: default refactoring record --------------------------
-REFACTOR_DEFAULT = {"issues": ["无法分析代码问题"], "suggestions": ["请检查DeepSeek API配置"],
-                    "improvements": ["API连接失败"], "priority": "medium"}
+REFACTOR_DEFAULT = {"issues": ["not_analysed"], "suggestions": ["check_configuration"],
+                    "improvements": ["no_connection"], "priority": "medium"}
 # -------------------------------------------------------------------------
 
 

@@ -17,10 +17,25 @@ reg = Registry()
 def _record(spark_cols=True):
     return F.to_json(F.struct(F.left(F.col("text"), F.lit(80)).alias("functionality"),
                               (F.col("turn") + 1).alias("complexity"),
-                              F.length("role").alias("quality")))
+                              F.length("role").alias("quality"),
+                              F.array("role", F.left("text", F.lit(5))).alias("suggestions"),
+                              F.array(F.left("role", F.lit(1))).alias("tags")))
 
 
-REC_SQL = "json_object('functionality', left(text, 80), 'complexity', turn + 1, 'quality', length(role))"
+REC_SQL = ("json_object('functionality', left(text, 80), 'complexity', turn + 1, 'quality', length(role), "
+           "'suggestions', [role, left(text, 5)], 'tags', [left(role, 1)])")
+#: The list fields joined; the records hold no dependencies.
+LISTS_SQL = """
+  CASE WHEN ok THEN array_to_string(json_extract(js, '$.suggestions')::VARCHAR[], ';') ELSE '' END AS suggestions,
+  CASE WHEN ok THEN array_to_string(json_extract(js, '$.tags')::VARCHAR[], ';') ELSE '' END AS tags,
+  '' AS dependencies,"""
+
+
+def _flat(parsed):
+    """The parsed struct as columns, lists joined."""
+    fields = ("functionality", "complexity", "quality", "is_default")
+    return [*(parsed[f].alias(f) for f in fields),
+            *(F.array_join(parsed[f], ";").alias(f) for f in an.LIST_FIELDS)]
 
 
 def _conv(spark, sf_dir):
@@ -49,7 +64,7 @@ SELECT conv_id, turn,
   CASE WHEN ok THEN {_fields_sql('js')['functionality']}
        WHEN length(t) > 200 THEN left(t, 200) || '...' ELSE t END AS functionality,
   CASE WHEN ok THEN {_fields_sql('js')['complexity']} ELSE 5 END AS complexity,
-  CASE WHEN ok THEN {_fields_sql('js')['quality']} ELSE 7 END AS quality,
+  CASE WHEN ok THEN {_fields_sql('js')['quality']} ELSE 7 END AS quality,{LISTS_SQL}
   NOT ok AS is_default
 FROM v
 """)
@@ -59,7 +74,7 @@ def q_answer_parse_loose(spark, sf_dir):
          .when(F.col("role") == "system", F.concat(F.lit("Note { "), F.col("text")))
          .otherwise(F.col("text")))
     p = an.parse_answer_loose(t)
-    return c.select("conv_id", "turn", p.alias("p")).select("conv_id", "turn", "p.*")
+    return c.select("conv_id", "turn", *_flat(p))
 
 
 FENCED_ANSWER_SQL = f"""CASE WHEN role = 'assistant' THEN 'Here:' || chr(10) || '```json' || chr(10)
@@ -82,7 +97,7 @@ v AS (SELECT *, coalesce(json_valid(js), false) AS ok FROM j)
 SELECT conv_id, turn,
   CASE WHEN ok THEN {_fields_sql('js')['functionality']} ELSE 'analysis failed' END AS functionality,
   CASE WHEN ok THEN {_fields_sql('js')['complexity']} ELSE 5 END AS complexity,
-  CASE WHEN ok THEN {_fields_sql('js')['quality']} ELSE 5 END AS quality,
+  CASE WHEN ok THEN {_fields_sql('js')['quality']} ELSE 5 END AS quality,{LISTS_SQL}
   NOT ok AS is_default
 FROM v
 """)
@@ -94,28 +109,42 @@ def q_answer_parse_fenced(spark, sf_dir):
          .when(F.col("role") == "user", F.concat(F.lit("```"), nl, _record(), nl, F.lit("```")))
          .otherwise(F.col("text")))
     p = an.parse_answer_fenced(t)
-    return c.select("conv_id", "turn", p.alias("p")).select("conv_id", "turn", "p.*")
+    return c.select("conv_id", "turn", *_flat(p))
+
+
+#: A rating text by expression: no number on blogs, else 0.x, 1.x or 2.x.
+_RATING_SQL = """CASE WHEN contains(url, 'blog') THEN 'unrated'
+  ELSE 'rated ' || (length(url) // 30)::VARCHAR || '.' || (length(url) % 10)::VARCHAR || ' of 1' END"""
 
 
 @reg.add("page_url_score", r"""
 SELECT page_id,
-  coalesce(CASE WHEN regexp_extract(url, '0?\.\d+|\d+\.?\d*', 0) <> ''
-                THEN greatest(0.0, least(1.0, TRY_CAST(regexp_extract(url, '0?\.\d+|\d+\.?\d*', 0)
+  coalesce(CASE WHEN regexp_extract(t, '0?\.\d+|\d+\.?\d*', 0) <> ''
+                THEN greatest(0.0, least(1.0, TRY_CAST(regexp_extract(t, '0?\.\d+|\d+\.?\d*', 0)
                                                        AS DOUBLE))) END, 0.0) AS score
-FROM pages
+FROM (SELECT page_id, """ + _RATING_SQL + """ AS t FROM pages)
 """)
 def q_page_url_score(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", an.parse_score("url").alias("score"))
+    n = F.length("url")
+    rating = F.when(F.col("url").contains("blog"), "unrated").otherwise(F.concat(
+        F.lit("rated "), F.floor(n / 30).cast("string"), F.lit("."), (n % 10).cast("string"), F.lit(" of 1")))
+    return table(spark, sf_dir, "pages").select("page_id", an.parse_score(rating).alias("score"))
 
 
 @reg.add("conversation_names", """
-SELECT conv_id, turn,
-  CASE WHEN left(trim(trim(coalesce(text, '')), '"' || chr(39)), 10) = '' THEN '未知功能'
-       ELSE left(trim(trim(coalesce(text, '')), '"' || chr(39)), 10) END AS name
-FROM conversations
+WITH t AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN '名称：' || text WHEN 'system' THEN '""'
+                                 ELSE '"' || text || '"' END AS raw FROM conversations),
+s AS (SELECT conv_id, turn, CASE WHEN starts_with(trim(raw), '名称：') THEN trim(substr(trim(raw), 4))
+                                 ELSE trim(raw) END AS raw FROM t)
+SELECT conv_id, turn, CASE WHEN left(trim(raw, '"' || chr(39)), 10) = '' THEN '未知功能'
+                           ELSE left(trim(raw, '"' || chr(39)), 10) END AS name
+FROM s
 """)
 def q_conversation_names(spark, sf_dir):
-    return _conv(spark, sf_dir).select("conv_id", "turn", an.clean_name("text").alias("name"))
+    raw = (F.when(F.col("role") == "assistant", F.concat(F.lit("名称："), F.col("text")))
+           .when(F.col("role") == "system", F.lit('""'))
+           .otherwise(F.concat(F.lit('"'), F.col("text"), F.lit('"'))))
+    return _conv(spark, sf_dir).select("conv_id", "turn", an.clean_name(raw).alias("name"))
 
 
 @reg.add("uncached_prompts", """

@@ -97,28 +97,31 @@ def q_latest_event_per_user(spark, sf_dir):
     return en.latest_per_key(e, "user_id", "ts")
 
 
+#: Keys are shifted by 5 and names cut to 17 characters, so that references
+#: past the last customer or part dangle and names repeat.
 @reg.add("integrity_violations", """
 SELECT 'order_customer_missing' AS rule, o_orderkey::VARCHAR AS id FROM orders
-  WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL)
-     OR o_custkey IS NULL
+  WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey + 5)
 UNION ALL
 SELECT 'line_part_missing', l_orderkey::VARCHAR || '/' || l_linenumber::VARCHAR FROM lineitem
-  WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey)
+  WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey + 5)
 UNION ALL
-SELECT 'customer_name_duplicate', c_name FROM customer GROUP BY c_name HAVING count(*) > 1
+SELECT 'customer_name_duplicate', substr(c_name, 1, 17) FROM customer
+  GROUP BY substr(c_name, 1, 17) HAVING count(*) > 1
 """)
 def q_integrity_violations(spark, sf_dir):
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     li = li.withColumn("line_id", F.concat_ws("/", F.col("l_orderkey").cast("string"),
                                               F.col("l_linenumber").cast("string")))
-    return (en.integrity_violations(o.withColumnRenamed("o_custkey", "ck"),
+    return (en.integrity_violations(o.withColumn("ck", F.col("o_custkey") + 5),
                                     c.withColumnRenamed("c_custkey", "ck"), "ck", "ck",
                                     "order_customer_missing", "o_orderkey")
-            .unionByName(en.integrity_violations(li.withColumnRenamed("l_partkey", "pk"),
+            .unionByName(en.integrity_violations(li.withColumn("pk", F.col("l_partkey") + 5),
                                                  p.withColumnRenamed("p_partkey", "pk"), "pk", "pk",
                                                  "line_part_missing", "line_id"))
-            .unionByName(en.duplicate_values(c, "c_name", "customer_name_duplicate")))
+            .unionByName(en.duplicate_values(c.withColumn("c_name", F.substring("c_name", 1, 17)),
+                                             "c_name", "customer_name_duplicate")))
 
 
 @reg.add("order_notifications", """
@@ -130,16 +133,26 @@ def q_order_notifications(spark, sf_dir):
     return en.notifications(table(spark, sf_dir, "orders"), "o_custkey", "order", "o_orderdate")
 
 
+#: Language folders stand for the service's paths.
+_SERVICE_PATHS = (("/en/", "/api/docs"), ("/de/", "/api/health"), ("/fr/", "/api/auth/login"))
+
+
 @reg.add("page_public_paths", r"""
-SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
-  regexp_matches(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1),
-                 '^/api/auth/login$|^/api/auth/register$|^/api/health$|^/api/docs') AS is_public
-FROM pages
+SELECT page_id, path, regexp_matches(
+  path, '^/api/auth/login$|^/api/auth/register$|^/api/health$|^/api/docs') AS is_public
+FROM (SELECT page_id, CASE WHEN contains(p, '/en/') THEN '/api/docs' || p
+                           WHEN contains(p, '/de/') THEN '/api/health'
+                           WHEN contains(p, '/fr/') THEN '/api/auth/login' ELSE p END AS path
+      FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p
+            FROM pages))
 """)
 def q_page_public_paths(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(
-        "page_id", F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-        .alias("path"))
+    p = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    path = p
+    for folder, service in reversed(_SERVICE_PATHS):
+        path = F.when(p.contains(folder), F.concat(F.lit(service), p) if service == "/api/docs"
+                      else F.lit(service)).otherwise(path)
+    pages = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
     return pages.withColumn("is_public", en.public_path("path"))
 
 

@@ -30,32 +30,55 @@ def q_document_search(spark, sf_dir):
     return se.search_pattern(_docs(spark, sf_dir), "Licen[sc]e")
 
 
+#: Prose turned into something that looks like source, in order: each word
+#: that occurs becomes a token that the code searches look for.
+CODE_WORDS = (("in ", "async def "), ("the ", "def "), ("and ", "class "), ("of ", "import "),
+              ("to ", "if __name__ "), ("with ", "test_ "))
+
+
+def _code(spark, sf_dir):
+    text = F.col("text")
+    for word, token in CODE_WORDS:
+        text = F.replace(text, F.lit(word), F.lit(token))
+    return _docs(spark, sf_dir).withColumn("text", text)
+
+
+def _code_sql() -> str:
+    text = "text"
+    for word, token in CODE_WORDS:
+        text = f"replace({text}, '{word}', '{token}')"
+    return f"(SELECT doc_id, {text} AS text FROM documents)"
+
+
+CODE_LINES_SQL = LINES_SQL.replace("FROM documents", f"FROM {_code_sql()} AS documents")
+
+
 @reg.add("document_definitions", f"""
-WITH {LINES_SQL}
+WITH {CODE_LINES_SQL}
 SELECT doc_id, line_no, line FROM lines WHERE contains(line, 'def ')
 """)
 def q_document_definitions(spark, sf_dir):
-    return se.find_definitions(_docs(spark, sf_dir), "def")
+    return se.find_definitions(_code(spark, sf_dir), "def")
 
 
 @reg.add("document_imports", f"""
-WITH {LINES_SQL}
+WITH {CODE_LINES_SQL}
 SELECT doc_id, line_no, line FROM lines WHERE contains(line, 'import')
 """)
 def q_document_imports(spark, sf_dir):
-    return se.list_imports(_docs(spark, sf_dir))
+    return se.list_imports(_code(spark, sf_dir))
 
 
 def _panel_sql() -> str:
     cols = ", ".join(
         f"((length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{p}', ''))) "
         f"// {len(p)})::BIGINT AS {name}" for name, p in se.PATTERN_PANEL)
-    return f"SELECT doc_id, {cols} FROM documents"
+    return f"SELECT doc_id, {cols} FROM {_code_sql()}"
 
 
 @reg.add("document_pattern_panel", _panel_sql())
 def q_document_pattern_panel(spark, sf_dir):
-    return se.pattern_panel(_docs(spark, sf_dir))
+    return se.pattern_panel(_code(spark, sf_dir))
 
 
 @reg.add("large_corpus_flag", """

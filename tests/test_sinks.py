@@ -31,6 +31,19 @@ def test_export_graph_formats(spark, path_graph):
         sk.graph_lines(spark.createDataFrame([], "node string"), edges, "edgelist")
 
 
+def test_export_splits_nodes_and_edges_over_part_files(spark):
+    nodes = spark.range(20_000).selectExpr("cast(id as string) node")
+    edges = spark.range(50_000).selectExpr("cast(id % 20000 as string) src", "cast(id % 19997 as string) dst")
+    d = scratch()
+    sk.export_graph(nodes, edges, f"{d}/gexf", "gexf")
+    parts = sorted(f for f in os.listdir(f"{d}/gexf") if f.startswith("part-"))
+    texts = [open(f"{d}/gexf/{f}", encoding="utf-8").read() for f in parts]
+    assert sum("<node " in t for t in texts) > 1 and sum("<edge " in t for t in texts) > 1
+    import xml.etree.ElementTree as ET
+    root = ET.fromstring("".join(texts).encode())
+    assert len(list(root.iter())) > 70_000
+
+
 def test_report_sections_order_and_titles(spark):
     desc = spark.createDataFrame(
         [("10", "does ten", ["api"], []), ("2", "does two", [], ["split"]), ("x", "", [], [])],

@@ -65,6 +65,12 @@ def test_aggregate_names_and_null_keys(spark):
     assert [(x["k"], x["x_mean"], x["x_nunique"]) for x in r] == [("a", 2.0, 2)]
 
 
+def test_count_by_lists(spark):
+    df = spark.createDataFrame([(["a", "b"],), ([],), (None,), (["a", None],)], "tags array<string>")
+    from corpusgraph.operators import entities as en
+    assert dict(map(tuple, en.count_by(df, "tags").collect())) == {"a": 2, "b": 1, "None": 2}
+
+
 def test_validate_schema(spark):
     df = spark.createDataFrame([(1, "a", 2.0)], "id int, name string, extra double")
     found = {tuple(r) for r in
