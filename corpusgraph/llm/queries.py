@@ -29,7 +29,27 @@ def op2_quality_classifier(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@reg.add("op3_embedding_near_dedup")
+_OP3 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         coalesce(len(embedding) > 0
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok
+  FROM embeddings),
+l AS (
+  SELECT a.r AS x, b.r AS y FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE a.ok AND b.ok AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (
+  SELECT r AS x, r AS y FROM v UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y),
+c AS (SELECT reach.x AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.y GROUP BY 1),
+n AS (SELECT x AS r, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id,
+       vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
+
+@reg.add("op3_embedding_near_dedup", _OP3)
 def op3_embedding_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 

@@ -37,7 +37,7 @@ def test_links_match_brute_force_in_groups():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
     fp = np.concatenate([c ^ np.concatenate([
-        [0], (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64))
+        np.zeros(1, np.uint64), (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64))
         | (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64))]) for c in centres]).astype(np.uint64)
     group = np.sort(rng.integers(0, 3, len(fp)))
     for radius in (0, 1, 2, 3):
