@@ -112,6 +112,15 @@ def find_references(elements: DataFrame, symbol: str) -> DataFrame:
             .select("element_id", "name", "file_path").distinct())
 
 
+def referencing_lines(corpus: DataFrame, symbol: str, id_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """``(id, line_no, line)`` of lines that hold ``symbol`` as a whole
+    identifier; texts without it are never split."""
+    whole = rf"(^|[^A-Za-z0-9_])\Q{symbol}\E([^A-Za-z0-9_]|$)"
+    return (text_lines(corpus.where(F.col(text_col).contains(symbol)), id_col, text_col)
+            .where(F.col("line").rlike(whole)))
+
+
 def lookup(corpus: DataFrame, key, id_col: str = "doc_id") -> DataFrame:
     """The row(s) of one file/document."""
     return corpus.where(F.col(id_col) == F.lit(key))

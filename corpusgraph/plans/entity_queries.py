@@ -198,15 +198,64 @@ def q_product_report(spark, sf_dir):
 
 @reg.add("user_report", """
 SELECT 'users' AS report, NULL AS dimension, NULL AS key, metric, value FROM (
-  SELECT count(*)::DOUBLE AS total, count_if(c_acctbal > 0)::DOUBLE AS active FROM customer)
-  UNPIVOT (value FOR metric IN (total, active))
+  SELECT count(*)::DOUBLE AS total, count_if(c_acctbal > 0)::DOUBLE AS active,
+         count_if(c_mktsegment = 'BUILDING')::DOUBLE AS admins FROM customer)
+  UNPIVOT (value FOR metric IN (total, active, admins))
 UNION ALL
 SELECT 'users', 'c_mktsegment', coalesce(c_mktsegment, 'None'), metric, value FROM (
-  SELECT c_mktsegment, count(*)::DOUBLE AS total, count_if(c_acctbal > 0)::DOUBLE AS active
-  FROM customer GROUP BY c_mktsegment) UNPIVOT (value FOR metric IN (total, active))
+  SELECT c_mktsegment, count(*)::DOUBLE AS total, count_if(c_acctbal > 0)::DOUBLE AS active,
+         count_if(c_mktsegment = 'BUILDING')::DOUBLE AS admins
+  FROM customer GROUP BY c_mktsegment) UNPIVOT (value FOR metric IN (total, active, admins))
 """)
 def q_user_report(spark, sf_dir):
-    """I2 (users): total and active (positive balance), overall and per
-    segment (the role breakdown)."""
+    """I2 (users): total, active (positive balance) and admins (one segment
+    stands for the role), overall and per segment (the role breakdown)."""
     return en.breakdown_report(table(spark, sf_dir, "customer"), "users", ["c_mktsegment"], {
-        "total": "count(*)", "active": "count_if(c_acctbal > 0)"})
+        "total": "count(*)", "active": "count_if(c_acctbal > 0)",
+        "admins": "count_if(c_mktsegment = 'BUILDING')"})
+
+
+@reg.add("task_report", """
+WITH t AS (SELECT o_orderstatus, o_orderpriority,
+                  o_orderstatus <> 'F' AND o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1998-01-01' AS overdue
+           FROM orders)
+SELECT 'tasks' AS report, NULL AS dimension, NULL AS key, metric, value FROM (
+  SELECT count(*)::DOUBLE AS total, count_if(overdue)::DOUBLE AS overdue FROM t)
+  UNPIVOT (value FOR metric IN (total, overdue))
+UNION ALL
+SELECT 'tasks', 'o_orderstatus', o_orderstatus, metric, value FROM (
+  SELECT o_orderstatus, count(*)::DOUBLE AS total, count_if(overdue)::DOUBLE AS overdue
+  FROM t GROUP BY 1) UNPIVOT (value FOR metric IN (total, overdue))
+UNION ALL
+SELECT 'tasks', 'o_orderpriority', o_orderpriority, metric, value FROM (
+  SELECT o_orderpriority, count(*)::DOUBLE AS total, count_if(overdue)::DOUBLE AS overdue
+  FROM t GROUP BY 1) UNPIVOT (value FOR metric IN (total, overdue))
+""")
+def q_task_report(spark, sf_dir):
+    """I2 (tasks): orders as tasks, due 30 days after their date; total and
+    overdue, overall, per status and per priority."""
+    return en.breakdown_report(
+        table(spark, sf_dir, "orders"), "tasks", ["o_orderstatus", "o_orderpriority"],
+        {"total": "count(*)", "overdue": "count_if(o_orderstatus <> 'F' AND "
+                                         "o_orderdate + INTERVAL 30 DAYS < TIMESTAMP_NTZ '1998-01-01')"})
+
+
+@reg.add("all_notifications", """
+SELECT user_id AS recipient_id, 'user' AS type, ts AS created_at, ts + INTERVAL 30 DAY AS expires_at
+FROM events
+UNION ALL
+SELECT l_suppkey, 'task', CAST(l_shipdate AS TIMESTAMP), CAST(l_shipdate AS TIMESTAMP) + INTERVAL 30 DAY
+FROM lineitem
+UNION ALL
+SELECT o_custkey, 'order', CAST(o_orderdate AS TIMESTAMP), CAST(o_orderdate AS TIMESTAMP) + INTERVAL 30 DAY
+FROM orders
+""")
+def q_all_notifications(spark, sf_dir):
+    """The three kinds: user events, tasks (line items of a supplier), orders."""
+    def kind(name, user, label, at):
+        rows = table(spark, sf_dir, name).select(
+            F.col(user).cast("long").alias("who"), F.col(at).cast("timestamp_ntz").alias("at"))
+        return en.notifications(rows, "who", label, "at")
+
+    return (kind("events", "user_id", "user", "ts").unionByName(kind("lineitem", "l_suppkey", "task", "l_shipdate"))
+            .unionByName(kind("orders", "o_custkey", "order", "o_orderdate")))

@@ -69,6 +69,15 @@ def q_document_imports(spark, sf_dir):
     return se.list_imports(_code(spark, sf_dir))
 
 
+@reg.add("document_references", f"""
+WITH {LINES_SQL}
+SELECT doc_id, line_no, line FROM lines
+WHERE regexp_matches(line, '(^|[^A-Za-z0-9_])MIT([^A-Za-z0-9_]|$)')
+""")
+def q_document_references(spark, sf_dir):
+    return se.referencing_lines(_docs(spark, sf_dir), "MIT")
+
+
 def _panel_sql() -> str:
     cols = ", ".join(
         f"((length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{p}', ''))) "
