@@ -32,6 +32,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusgraph.llm.batches import values
+
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -252,7 +254,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars``, one row per page."""
     def run(batches):
         for b in batches:
-            texts = [main_text(x) for x in b.column(2).to_pylist()]
+            texts = [main_text(x) for x in values(b, 2)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())],

@@ -36,6 +36,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusgraph.llm.batches import values
+
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
 CACHE_WORDS = 800_000
@@ -251,7 +253,7 @@ def segmentations(docs: DataFrame, n: int = N_BEST, vocabulary: dict | None = No
         lattice = _lattice(options)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, text in zip(values(b, 0), values(b, 1)):
                 text = text or ""
                 words, first_ok = None, True
                 for rank, (score, pieces, raw, swapped) in enumerate(lattice.segment(text, n), 1):

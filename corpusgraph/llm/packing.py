@@ -34,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusgraph.llm.batches import values
+
 WINDOW = 2048
 END_ID = 1
 
@@ -197,8 +199,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID,
         from pyspark import TaskContext
 
         encode = _tokenizer(options).ids
-        rows = ((d, t) for b in batches for d, t in zip(b.column(0).to_pylist(),
-                                                        b.column(1).to_pylist()))
+        rows = (row for b in batches for row in zip(values(b, 0), values(b, 1)))
         first = TaskContext.get().partitionId() << 33
         out = []
         for row in _pack_rows(rows, encode, window, end_id, first):

@@ -34,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusgraph.llm.batches import values
+
 MAX_POSITIVE, MAX_UNLABELLED = 12_000, 24_000
 THRESHOLD = 0.3
 FOLDS = 5
@@ -178,7 +180,7 @@ def _features(docs: DataFrame) -> DataFrame:
     """``doc_id, x`` of ``docs(doc_id, text)``."""
     def run(batches):
         for b in batches:
-            x = [features(t) for t in b.column(1).to_pylist()]
+            x = [features(t) for t in values(b, 1)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "x"])
 
@@ -213,11 +215,8 @@ def score(docs: DataFrame, model: Network | None, threshold: float = THRESHOLD)
     """``doc_id, held_out, score, predicted``, one row per document."""
     def run(batches):
         for b in batches:
-            texts, out = b.column(1).to_pylist(), []
-            for at in range(0, len(texts), 512):
-                x = np.array([features(t) for t in texts[at:at + 512]]).reshape(-1, N_FEATURES)
-                out.append(model.score(x) if model else np.full(len(x), 0.5))
-            s = np.concatenate(out) if out else np.zeros(0)
+            x = np.array([features(t) for t in values(b, 1)]).reshape(-1, N_FEATURES)
+            s = model.score(x) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -234,7 +233,7 @@ def kept_documents(docs: DataFrame, model: Network | None,
 
     def run(batches):
         for b in batches:
-            x = np.array([features(t) for t in b.column(at).to_pylist()]).reshape(-1, N_FEATURES)
+            x = np.array([features(t) for t in values(b, at)]).reshape(-1, N_FEATURES)
             good = model.score(x) >= threshold if model else np.full(len(x), 0.5 >= threshold)
             yield b.filter(pa.array(good))
 

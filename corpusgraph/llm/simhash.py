@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusgraph.llm.batches import values
 from corpusgraph.operators.components import star_forest
 from corpusgraph.session import cut_lineage
 
@@ -77,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     """``doc_id, fp`` (the fingerprint's bits as a signed long)."""
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()),
+            fps = np.fromiter((fingerprint(t, shingle, seed) for t in values(b, 1)),
                               np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))],
                                              ["doc_id", "fp"])
@@ -230,32 +231,41 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = B
     """``src, dst``: edges among distinct fingerprints that connect exactly
     those joined by chains of links.  ``distinct`` has one row per ``fp``."""
     def run(batches):
-        held = None
-        for b in batches:
+        held, found = None, []
+        for b in filter(len, batches):
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
-            same = np.ones(max(0, len(cols[0]) - 1), bool)
-            for c in cols[:4]:
-                same &= c[1:] == c[:-1]
-            new = np.flatnonzero(~same) + 1
+            new = np.flatnonzero(differs(cols)) + 1
             cut = new[-1] if len(new) else 0
             if len(cols[0]) < CHUNK_ROWS or not cut:
                 held = cols
                 continue
-            yield from compared([c[:cut] for c in cols], same[:cut - 1])
+            found.append(compared([c[:cut] for c in cols]))
             held = [c[cut:] for c in cols]
-        if held is not None and len(held[0]):
-            same = np.ones(len(held[0]) - 1, bool)
-            for c in held[:4]:
-                same &= c[1:] == c[:-1]
-            yield from compared(held, same)
-
-    def compared(cols, same):
+            if sum(len(x[0]) for x in found) >= CHUNK_ROWS:
+                yield forest(found)
+                found = []
+        if held is not None:
+            found.append(compared(held))
+        if found:
+            yield forest(found)
+
+    def differs(cols):
+        return np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:4]])
+
+    def compared(cols):
         fp = cols[4].view(np.uint64)
-        i, j = links_in_groups(fp, np.concatenate([[0], np.cumsum(~same)]), radius)
-        if len(i):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fp[x].view(np.int64)) for x in (i, j)], ["src", "dst"])
+        i, j = links_in_groups(fp, np.concatenate([[0], np.cumsum(differs(cols))]), radius)
+        return cols[4][i], cols[4][j]
+
+    def forest(found):
+        """One forest of the links of many buckets."""
+        ends = np.concatenate([np.concatenate(x) for x in zip(*found)])
+        fps, index = np.unique(ends, return_inverse=True)
+        label = np.arange(len(fps))
+        _hook(label, *index.reshape(2, -1))
+        at = np.flatnonzero(label != np.arange(len(fps)))
+        return pa.RecordBatch.from_arrays([pa.array(fps[at]), pa.array(fps[label[at]])], ["src", "dst"])
 
     keys = ["t", "key", "i", "j"]
     return (_bucketed(distinct, radius, blocks, bucket_rows)

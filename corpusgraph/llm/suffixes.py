@@ -42,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusgraph.llm.batches import ROWS, values
 from corpusgraph.session import cut_lineage
 
 DEPTH = 200
@@ -261,15 +262,17 @@ def _anchor_counts(texts: DataFrame, depth: int, gram: int) -> DataFrame:
     def run(batches):
         anchors = Anchors(depth, gram)
         for b in batches:
-            for buffer, ends, text_of, *_ in _buffers(_raw(b.column(1)), depth):
+            for buffer, ends, text_of, *_ in _buffers(_raw(b, 1), depth):
                 h, n = np.unique(anchors.of(buffer, ends, text_of)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
     return texts.mapInArrow(run, "h long, n long")
 
 
-def _raw(column) -> list[bytes]:
-    return column.cast(pa.binary()).to_pylist()
+def _raw(batch: pa.RecordBatch, column: int):
+    """The texts of a column as UTF-8 bytes, a few at a time."""
+    for at in range(0, batch.num_rows, ROWS):
+        yield from batch.column(column).slice(at, ROWS).cast(pa.binary()).to_pylist()
 
 
 _BIT_LONGS = BITMAP_LONGS - 1
@@ -303,7 +306,7 @@ def _contexts(texts: DataFrame, bitmap, depth: int, gram: int) -> DataFrame:
         anchors, sent, bits = Anchors(depth, gram), set(), bitmap.value
         for b in batches:
             cids = b.column(0).to_pylist()
-            for buffer, ends, text_of, index, base, begin in _buffers(_raw(b.column(1)), depth):
+            for buffer, ends, text_of, index, base, begin in _buffers(_raw(b, 1), depth):
                 text, h, anchor, first, last = anchors.of(buffer, ends, text_of)
                 keep = np.flatnonzero(_in_bitmap(bits, h)) if len(h) else h
                 if not len(keep):
@@ -513,8 +516,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM,
     def run(batches):
         for b in batches:
             rows = []
-            for doc_id, raw, spans in zip(b.column(0).to_pylist(), _raw(b.column(1)),
-                                          b.column(2).to_pylist()):
+            for doc_id, raw, spans in zip(values(b, 0), _raw(b, 1), values(b, 2)):
                 kept = _cut(raw, spans)
                 rows.append((doc_id, len(raw), len(raw) - len(kept), len(spans or ()),
                              hashlib.sha256(kept).hexdigest()))
@@ -541,7 +543,7 @@ def cut_texts(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM,
     def run(batches):
         for b in batches:
             texts = [_cut(raw, spans).decode("utf-8", "ignore")
-                     for raw, spans in zip(_raw(b.column(1)), b.column(5).to_pylist())]
+                     for raw, spans in zip(_raw(b, 1), values(b, 5))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(texts, pa.string()), b.column(2), b.column(3),
                  pa.array([len(t) for t in texts], pa.int64())], columns)

@@ -11,7 +11,7 @@ WANT = {1: ("", "", None, "allow"), 2: ("", "", None, "allow"),
         4: ("example.org", "/en/12", "example.org/en/1", "block"), 5: ("x.com", "/de/a", "com/de/", "block"),
         6: ("x.com", "/fr/a", "com/fr/", "allow"), 7: ("free-bets.example.net", "/a", None, "block"),
         8: ("m.spam-farm.example.com", "", None, "block"), 9: ("org", "/", "org/", "allow"),
-        10: ("org", "", None, "allow"), 11: ("notorg", "/", None, "allow"), 12: ("y:", "", None, "allow"),
+        10: ("org", "", None, "allow"), 11: ("notorg", "/", None, "allow"), 12: ("y:", "//z/p", None, "allow"),
         13: ("É.net", "/É", None, "allow"), 14: ("", "", None, "allow")}
 
 
