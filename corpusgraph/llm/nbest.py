@@ -30,6 +30,7 @@ import heapq
 import itertools
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -40,7 +41,7 @@ from corpusgraph.llm.batches import values
 
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 MARK = "▁"
 
 Path = tuple[float, tuple[int, ...]]
@@ -82,7 +83,6 @@ class Lattice:
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.parts: dict[str, tuple[float, float, bytes]] = {}
         self.raw_ids: list[bytes] = []
         self.score = np.zeros(self.cache_words)
         self.loss = np.zeros(self.cache_words)
@@ -165,23 +165,29 @@ class Lattice:
         return (first[n], ids), first[n] - second[n]
 
     def _learn(self, word: str) -> int:
-        """Cache a word: the best path and least loss of its parts, cut
-        where no piece reaches across."""
-        joined, score, loss, raw, at = self.joined, 0.0, np.inf, [], 0
-        for k in range(1, len(word) + 1):
-            if k < len(word) and word[k - 1:k + 1] in joined:
-                continue
-            part = word[at:k]
-            got = self.parts.get(part)
-            if got is None:
-                (w, ids), d = self._best_and_loss(part)
-                got = self.parts[part] = (w, d, np.asarray(ids, "<u4").tobytes())
-            score, loss, at = score + got[0], min(loss, got[1]), k
-            raw.append(got[2])
+        """Cache a word.  One that some boundary cuts, because no piece
+        reaches across it, is put together from its parts, which are words of
+        the same table."""
+        joined, cuts = self.joined, [0]
+        for k in range(1, len(word)):
+            if word[k - 1:k + 1] not in joined:
+                cuts.append(k)
+        if len(cuts) == 1:
+            (score, ids), loss = self._best_and_loss(word)
+            raw = _packed(len(ids))(*ids)
+        else:
+            parts = [word[i:j] for i, j in zip(cuts, [*cuts[1:], len(word)])]
+            at = [self._learn(p) if (k := self.index.get(p)) is None else k for p in parts]
+            score, loss = sum(float(self.score[k]) for k in at), min(float(self.loss[k]) for k in at)
+            raw = b"".join([self.raw_ids[k] for k in at])
+        if len(self.raw_ids) == len(self.score):
+            self.score, self.loss, self.pieces = (
+                np.concatenate([x, np.zeros(1 + len(x) // 8, x.dtype)])
+                for x in (self.score, self.loss, self.pieces))
         k = len(self.raw_ids)
         self.index[word] = k
-        self.raw_ids.append(b"".join(raw))
-        self.score[k], self.loss[k], self.pieces[k] = score, loss, len(self.raw_ids[k]) // 4
+        self.raw_ids.append(raw)
+        self.score[k], self.loss[k], self.pieces[k] = score, loss, len(raw) // 4
         return k
 
     # ------------------------------------------------------------- one text
@@ -194,9 +200,6 @@ class Lattice:
         words = self.words(text)
         if len(self.raw_ids) + len(words) > self.cache_words:
             self._reset()
-            if len(words) > self.cache_words:
-                self.score, self.loss = np.zeros(len(words)), np.zeros(len(words))
-                self.pieces = np.zeros(len(words), np.int64)
         known, learn = self.index.get, self._learn
         at = np.fromiter((learn(w) if (k := known(w)) is None else k for w in words),
                          np.int64, len(words))
@@ -227,6 +230,12 @@ class Lattice:
         return text.removeprefix(b" ").decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=256)
+def _packed(n: int):
+    """Packs ``n`` ids, little-endian unsigned 32-bit."""
+    return struct.Struct(f"<{n}I").pack
+
+
 def _trie(scores: dict) -> tuple[dict, None]:
     root: dict = {}
     for piece in sorted(scores):          # a prefix comes before its longer pieces
