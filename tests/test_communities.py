@@ -122,8 +122,8 @@ def _modularity(memb, pairs):
     return inside / m - sum(k * k for k in mass.values()) / (4 * m * m)
 
 
-@pytest.mark.parametrize("kind,n", [("path", 200), ("ring", 100), ("grid", 64)])
-@pytest.mark.parametrize("algo", ["louvain", "leiden"])
+@pytest.mark.parametrize("kind,n,algo", [("path", 200, "louvain"), ("path", 100, "leiden"),
+                                         ("ring", 100, "louvain"), ("grid", 64, "leiden")])
 def test_tied_gains_do_not_stall(spark, kind, n, algo):
     """Unweighted graphs, all gains tied: at least 95 % of the modularity of
     the best cut into equal pieces (of consecutive ids)."""

@@ -103,7 +103,7 @@ def test_components_of_a_path_in_few_rounds(spark, ids, monkeypatch):
     m = cc.connected_components(spark.createDataFrame([(i,) for i in order], "node long"), edges)
     assert m.agg(F.count("*"), F.count_distinct("community"), F.min("community")).first() == (
         len(order), 1, min(order))
-    assert len(rounds) <= 2 + 14  # log2 of 10 000
+    assert len(rounds) <= 2 * 14  # O(log n): log2 of 10 000 is 13.3
 
 
 def test_co_occurrence_star_edges(spark):
