@@ -164,20 +164,22 @@ def judge(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataF
     base_failed, kept``, one row per document."""
     return _judged(docs.select("doc_id", "text"), rules, sample_rows).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", F.col("_rejected").isNull().alias("kept"))
+        "base_failed", _kept().alias("kept"))
 
 
 def kept_documents(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that no rule rejects, in one pass over the texts."""
-    judged = _judged(docs, rules, sample_rows).select(
-        "*", F.monotonically_increasing_id().alias("_row"))
-    # the row number keeps the filter above the counts: pushed below them it
-    # would evaluate the word arrays again for every array element
-    return judged.where(F.col("_rejected").isNull() & (F.col("_row") >= 0)).select(*docs.columns)
+    return _judged(docs, rules, sample_rows).where(_kept()).select(*docs.columns)
+
+
+def _kept() -> Column:
+    """The row number keeps a filter on this above the counts: pushed below
+    them it would evaluate the word arrays again for every array element."""
+    return F.col("_rejected").isNull() & (F.col("_row") >= 0)
 
 
 def _judged(docs: DataFrame, rules, sample_rows: int) -> DataFrame:
     ordered = [m[0] for m in order_rules(docs.select("doc_id", "text"), rules, sample_rows)]
     counted = word_counts(docs).withColumn("base_failed", base_failed())
     return counted.withColumn("_rejected", F.when(F.col("base_failed"), F.lit("base")).otherwise(
-        cascade(ordered)))
+        cascade(ordered))).select("*", F.monotonically_increasing_id().alias("_row"))
