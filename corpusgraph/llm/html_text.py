@@ -9,10 +9,16 @@ contain.  For every other node
     b = ln(chars / other_chars * link_chars + body_link_chars / body_chars * chars + e)
 
 (zero counts as one), so text thick in links scores low, and a node's density
-sum is the sum of its children's densities.  The node with the largest sum
-leads to the article: the threshold is the least density on its path to the
-body, and the result is the highest node of the path, below the body, that
-reaches the densities of the path above it; the body itself if it has the largest sum.
+sum is the sum of its child blocks' densities (inline elements are part of their
+block's text).  The threshold is the least density
+on the path from the node with the largest sum to the body.  From the body down,
+a block that reaches the threshold is kept and its blocks are judged in turn, so
+an article in several parts keeps them all; a block below it falls out, links and
+short texts between the parts alike.  In each kept block the one of the largest
+sum is article as a whole: of it only blocks of two or more links and hardly any
+other text fall out, if below the threshold.  Text is judged with its block
+(runs of text and inline elements beside blocks only if they hold links), and a
+heading goes with the block after it.
 
 Text: character references decoded, white space inside a block one space,
 blocks trimmed and joined by a line feed in page order; nothing is dropped
@@ -41,6 +47,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol "
     "p pre section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIP = RAW | frozenset(
     "head template nav header footer aside form button select option input object svg canvas "
     "menu dialog audio video map math".split())
@@ -70,13 +77,15 @@ _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 class Node:
     __slots__ = ("name", "parent", "kids", "apart", "chars", "tags", "link_chars", "link_tags",
-                 "density", "sum")
+                 "density", "sum", "block", "top", "keep", "whole")
 
     def __init__(self, name: str, parent: Node | None, apart: bool = False) -> None:
         self.name, self.parent, self.apart = name, parent, apart
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.block = self.keep = self.whole = False
+        self.top = self
 
 
 def _set_apart(name: str, attributes: str) -> bool:
@@ -171,52 +180,109 @@ def _ordered(root: Node) -> list[Node]:
     return out
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """Composite text density; ``ratio`` is the share of link text in the body."""
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + ratio * chars + math.e)
+    gain = chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)
+    return chars / max(1, tags) * math.log(max(gain, 1.0)) / math.log(max(base, 1.0001))
+
+
 def measure(body: Node) -> list[Node]:
     """Counts, densities and density sums of all nodes under ``body``."""
     nodes = _ordered(body)
     for x in reversed(nodes):
         x.chars = sum(len(k) for k in x.kids if isinstance(k, str) and not k.isspace())
+        x.block = x.name in BLOCK
         for k in x.kids:
             if isinstance(k, Node) and not k.apart:
                 x.chars += k.chars
                 x.tags += k.tags + 1
                 x.link_chars += k.link_chars
                 x.link_tags += k.link_tags + (k.name == "a")
+                x.block = x.block or k.block
         if x.name == "a":
             x.link_chars = x.chars
     ratio = body.link_chars / max(1, body.chars)
     for x in nodes:
-        if x.chars:
-            base = math.log(x.chars / max(1, x.chars - x.link_chars) * x.link_chars
-                            + ratio * x.chars + math.e)
-            gain = x.chars / max(1, x.link_chars) * max(1, x.tags) / max(1, x.link_tags)
-            x.density = x.chars / max(1, x.tags) * math.log(max(gain, 1.0)) / math.log(max(base, 1.0001))
+        x.density = density(x.chars, x.tags, x.link_chars, x.link_tags, ratio)
     for x in nodes:
-        x.sum = sum(k.density for k in x.kids if isinstance(k, Node) and not k.apart)
+        x.sum = sum(k.density for k in x.kids if isinstance(k, Node) and not k.apart and k.block)
     return nodes
 
 
-def main_node(root: Node) -> Node:
-    """The subtree that holds the article."""
+def select(root: Node) -> tuple[Node, float]:
+    """Marks what is kept; the body and the threshold."""
     body = next((k for k in root.kids if isinstance(k, Node) and k.name == "body"), root)
     nodes = measure(body)
-    best = max(nodes, key=lambda x: x.sum)
-    path = [best]
-    while path[-1] is not body:
-        path.append(path[-1].parent)
-    threshold = min(x.density for x in path)
-    chosen = best
-    for x in path[1:-1]:
-        if x.density < threshold or x.density < body.density:
-            break
-        chosen = x
-    return chosen
+    for x in reversed(nodes):
+        x.top = x
+        for k in x.kids:
+            if isinstance(k, Node) and not k.apart and k.top.sum > x.top.sum:
+                x.top = k.top
+    x = body.top
+    threshold = x.density
+    while x is not body:
+        x = x.parent
+        threshold = min(threshold, x.density)
+    stack = [body]
+    while stack:
+        x = stack.pop()
+        x.keep = True
+        inner = [k for k in x.kids if isinstance(k, Node) and not k.apart and k.block]
+        if not inner:
+            x.whole = True
+        y = x.top
+        y.whole = True
+        while not y.keep:
+            y.keep = True
+            y = y.parent
+        if not x.whole:
+            stack.extend(k for k in inner if k.keep or k.density >= threshold)
+    return body, threshold
+
+
+def _shown(x: Node, threshold: float, ratio: float) -> list[Node | str | None]:
+    """The kids of a kept node that are kept; None for a block that is not."""
+    out: list[Node | str | None] = []
+    run: list[Node | str] = []
+
+    def judge() -> None:
+        chars = tags = link_chars = link_tags = 0
+        for k in run:
+            if isinstance(k, str):
+                chars += 0 if k.isspace() else len(k)
+            elif not k.apart:
+                chars, tags = chars + k.chars, tags + k.tags + 1
+                link_chars += k.link_chars
+                link_tags += k.link_tags + (k.name == "a")
+        if not link_chars or density(chars, tags, link_chars, link_tags, ratio) >= threshold:
+            out.extend(run)
+        run.clear()
+
+    for k in x.kids:
+        if isinstance(k, Node) and (k.apart and k.name in BLOCK or k.block):
+            judge()
+            out.append(k if k.keep or k.apart or k.name in HEADINGS else None)
+        else:
+            run.append(k)
+    judge()
+    follows = False
+    for i in range(len(out) - 1, -1, -1):
+        k = out[i]
+        if isinstance(k, Node) and k.name in HEADINGS and not (k.keep or follows):
+            out[i] = None
+        elif k is None or isinstance(k, Node) and k.block:
+            follows = k is not None
+    return out
 
 
-def blocks(node: Node) -> list[str]:
-    """Texts of the blocks under ``node``, in page order."""
+def blocks(body: Node, threshold: float) -> list[str]:
+    """Texts of the kept blocks, in page order."""
     out: list[str] = []
     run: list[str] = []
+    ratio = body.link_chars / max(1, body.chars)
 
     def flush() -> None:
         text = " ".join("".join(run).split())
@@ -224,30 +290,35 @@ def blocks(node: Node) -> list[str]:
         if text:
             out.append(text)
 
-    stack: list[tuple[Node | str, bool]] = [(node, False)]
+    stack: list[tuple[Node | str | None, bool, bool]] = [(body, False, False)]
     while stack:
-        x, leaving = stack.pop()
+        x, leaving, whole = stack.pop()
         if isinstance(x, str):
             run.append(x)
-        elif leaving:
+        elif x is None or leaving:
             flush()
-        elif x.apart and x is not node:
+        elif x.apart:
             if x.name in BLOCK:
                 flush()
         elif x.name == "br":
             run.append(" ")
+        elif (whole and x.block and x.link_tags > 1 and x.density < threshold
+              and 10 * (x.chars - x.link_chars) < x.chars):
+            flush()
         else:
+            whole = whole or x.whole or not x.block
             if x.name in BLOCK:
                 flush()
-                stack.append((x, True))
-            stack.extend((k, False) for k in reversed(x.kids))
+                stack.append((x, True, whole))
+            kids = x.kids if whole or not x.keep else _shown(x, threshold, ratio)
+            stack.extend((k, False, whole) for k in reversed(kids))
     flush()
     return out
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page."""
-    return "\n".join(blocks(main_node(parse(page)))) if page else ""
+    return "\n".join(blocks(*select(parse(page)))) if page else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -56,3 +56,25 @@ def test_odd_rows(spark):
     assert sorted(map(tuple, H.extract(pages).collect()), key=str) == [
         (1, None, "", 0), (1, None, "", 0), (None, "u", "x", 1)]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+PARAGRAPH = "<p>" + "plain words of an article " * 19 + "and end.</p>"
+WORDS = " ".join(re.sub("<[^>]*>", "", PARAGRAPH).split())
+LINKS = "".join(f"<a href=/{i}>Link {i}</a>" for i in range(10))
+
+
+def test_link_blocks_in_a_wrapper_fall_out():
+    for inner in (f"<div>{LINKS}</div><div>{PARAGRAPH * 10}</div>", f"<div>{LINKS}</div>{PARAGRAPH * 10}",
+                  f"{LINKS}<div>{PARAGRAPH * 10}</div>", f"<div>{PARAGRAPH * 10}</div><p>{LINKS}</p>"):
+        for body in (inner, f"<div id=page>{inner}</div>", f"<div><div>{inner}</div></div>"):
+            assert H.main_text(page(body)) == "\n".join([WORDS] * 10)
+
+
+def test_all_parts_of_an_article_are_kept():
+    part = f"<div><h2>Part</h2>{PARAGRAPH * 5}<p>Yes.</p></div>"
+    want = "\n".join(["Part", *[WORDS] * 5, "Yes."])
+    assert H.main_text(page(part * 2)) == f"{want}\n{want}"
+    assert H.main_text(page(f"<h1>Head</h1>{part}<div>{LINKS}</div><div><div>{part}</div></div>")) == \
+        f"Head\n{want}\n{want}"
+    run = f"<div>{PARAGRAPH * 3}tail <i>in</i> <a href=x>a</a> run</div>"
+    assert H.main_text(page(run * 2)) == "\n".join([*[WORDS] * 3, "tail in a run"] * 2)
