@@ -2,8 +2,11 @@
 
 A tolerant tokenizer builds the tree of the whole page (implied and missing
 end tags as browsers treat them; a cut-off last tag is dropped).  Elements
-that never hold article text, by name, role or words of their class and id, are left out with all they
-contain.  For every other node
+that never hold article text, by name, or by a role, class or id that names such
+a part as a whole (``sidebar``, ``site-header``; not ``has-sidebar``), are left
+out with all they contain.  Of these, elements for layout and those left out for a
+role, class or id stay in if they hold most of the body's text outside links, or
+an article or main element, unless one stands outside them all.  For every other node
 
     density = chars / tags * log_b(chars / link_chars * tags / link_tags)
     b = ln(chars / other_chars * link_chars + body_link_chars / body_chars * chars + e)
@@ -50,7 +53,9 @@ BLOCK = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIP = RAW | frozenset(
     "head template nav header footer aside form button select option input object svg canvas "
-    "menu dialog audio video map math".split())
+    "menu dialog audio video map".split())
+#: Names and marks that a layout may put around the article all the same.
+LAYOUT = frozenset("nav header footer aside form menu dialog".split())
 #: What a start tag closes if it is open, and the elements that shield it.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -59,7 +64,7 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 _SHIELD = frozenset({"table", "td", "th", "button", "caption", "object", "template", "html"})
-#: Words of class, id or role that mark what is not the article.
+#: Classes, ids and roles that mark what is not the article.
 _APART = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header footer masthead sidebar "
@@ -68,6 +73,13 @@ _APART = frozenset(
     "signup login search comment comments commentlist respond reply replies disqus copyright "
     "legal disclaimer pagination pager toolbar skip contentinfo".split())
 
+#: Words that say which one of them it is, before or after the name.
+_WHICH = frozenset(
+    "site page main top bottom left right primary secondary global mobile sticky fixed list box bar "
+    "area block section container wrapper wrap links buttons form posts articles".split())
+#: Of these only before the name: a search-page or page-search is told apart.
+_AFTER = _WHICH - frozenset("site page main".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)", re.S)
@@ -77,32 +89,63 @@ _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 class Node:
     __slots__ = ("name", "parent", "kids", "apart", "chars", "tags", "link_chars", "link_tags",
-                 "density", "sum", "block", "top", "keep", "whole")
+                 "density", "sum", "block", "top", "keep", "whole", "plain", "named")
 
-    def __init__(self, name: str, parent: Node | None, apart: bool = False) -> None:
+    def __init__(self, name: str, parent: Node | None, apart: int = 0) -> None:
         self.name, self.parent, self.apart = name, parent, apart
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
         self.block = self.keep = self.whole = False
-        self.top = self
+        self.top, self.plain, self.named = self, 0, False
+
+
+def _names_apart(token: str) -> bool:
+    """Whether a class, id or role as a whole names a part that is not the article."""
+    words = [w.lower() for w in _SPLIT.split(token) if w and not w.isdigit()]
+    named = [i for i, w in enumerate(words) if w in _APART]
+    return bool(named) and all(
+        w in _APART or w in (_WHICH if i < named[0] else _AFTER) for i, w in enumerate(words))
 
 
-def _set_apart(name: str, attributes: str) -> bool:
-    if name in SKIP:
-        return True
-    if not attributes or name in ("body", "html", "article", "main"):
-        return False
-    for m in _ATTR.finditer(attributes):
+def _set_apart(name: str, attributes: str) -> int:
+    """0: not; 1: by its layout name, role, class or id; 2: never article text."""
+    if name in SKIP and name not in LAYOUT:
+        return 2
+    apart = int(name in LAYOUT)
+    for m in _ATTR.finditer(attributes) if name not in ("body", "html", "article", "main") else ():
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key in ("class", "id", "role") and any(
-                w.lower() in _APART for w in _SPLIT.split(value)):
-            return True
+            return 2
+        if key in ("class", "id", "role") and any(map(_names_apart, value.split())):
+            apart = 1
         if key == "style" and "display:none" in value.lower().replace(" ", ""):
-            return True
-    return False
+            return 2
+    return apart
+
+
+def _take_back(root: Node) -> None:
+    """Undoes ``apart`` of elements around most of the text, or around the article."""
+    nodes, stack, outside = [], [(root, False)], False
+    while stack:
+        x, inside = stack.pop()
+        nodes.append(x)
+        inside = inside or x.apart > 0
+        outside = outside or not inside and x.name in ("article", "main")
+        stack.extend((k, inside) for k in x.kids if isinstance(k, Node) and k.apart < 2)
+    for x in reversed(nodes):
+        x.named = x.name in ("article", "main")
+        for k in x.kids:
+            if isinstance(k, str):
+                x.plain += 0 if k.isspace() else len(k)
+            elif k.apart < 2:
+                x.plain += k.plain
+                x.named = x.named or k.named
+        if x.name == "a":
+            x.plain = 0
+    for x in nodes:
+        if x.apart == 1 and not outside and (2 * x.plain > root.plain or x.named):
+            x.apart = 0
 
 
 def parse(page: str) -> Node:
@@ -162,6 +205,7 @@ def parse(page: str) -> Node:
                 at = done.end() if done else size
             elif name not in VOID and not (m[3].endswith("/") and name in ("svg", "path", "math")):
                 here = node
+    _take_back(root)
     return root
 
 

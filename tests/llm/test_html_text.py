@@ -78,3 +78,22 @@ def test_all_parts_of_an_article_are_kept():
         f"Head\n{want}\n{want}"
     run = f"<div>{PARAGRAPH * 3}tail <i>in</i> <a href=x>a</a> run</div>"
     assert H.main_text(page(run * 2)) == "\n".join([*[WORDS] * 3, "tail in a run"] * 2)
+
+
+def test_layout_around_the_article_stays_in():
+    for wrap in ("div class='content has-sidebar'", "div class=no-sidebar", "div class=with-header",
+                 "div id=search-page", "div class=legal", "form id=aspnetForm", "div class='page sideMenu'"):
+        name = wrap.split()[0]
+        assert H.main_text(page(f"<{wrap}><div>{PARAGRAPH * 3}</div></{name}><footer>x</footer>")) == \
+            "\n".join([WORDS] * 3), wrap
+    short = f"<div class=sidebar><article><p>Short.</p></article></div><div class=comments>{PARAGRAPH}</div><footer>{PARAGRAPH}</footer>"
+    assert H.main_text(page(short)) == "Short."
+    for mark in ("class='site-header'", "id=left-sidebar", "class='col comment-list'", "id=adBox1",
+                 "role=complementary", "class=relatedPosts", "class=cookie-notice"):
+        assert H.main_text(page(f"<div {mark}>{PARAGRAPH}</div><div>{PARAGRAPH * 3}</div>")) == \
+            "\n".join([WORDS] * 3), mark
+
+
+def test_formulas_stay_in():
+    out = H.main_text(page(f"{PARAGRAPH}<p>Then <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>"))
+    assert out == f"{WORDS}\nThen x=1 holds."
