@@ -97,8 +97,36 @@ def q_latest_event_per_user(spark, sf_dir):
     return en.latest_per_key(e, "user_id", "ts")
 
 
-#: Keys are shifted by 5 and names cut to 17 characters, so that references
-#: past the last customer or part dangle and names repeat.
+def _violations(orders, customers, lines, parts):
+    lines = lines.withColumn("line_id", F.concat_ws("/", F.col("l_orderkey").cast("string"),
+                                                    F.col("l_linenumber").cast("string")))
+    return (en.integrity_violations(orders.withColumnRenamed("o_custkey", "ck"),
+                                    customers.withColumnRenamed("c_custkey", "ck"), "ck", "ck",
+                                    "order_customer_missing", "o_orderkey")
+            .unionByName(en.integrity_violations(lines.withColumnRenamed("l_partkey", "pk"),
+                                                 parts.withColumnRenamed("p_partkey", "pk"), "pk", "pk",
+                                                 "line_part_missing", "line_id"))
+            .unionByName(en.duplicate_values(customers, "c_name", "customer_name_duplicate")))
+
+
+@reg.add("key_violations", """
+SELECT 'order_customer_missing' AS rule, o_orderkey::VARCHAR AS id FROM orders
+  WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)
+UNION ALL
+SELECT 'line_part_missing', l_orderkey::VARCHAR || '/' || l_linenumber::VARCHAR FROM lineitem
+  WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey)
+UNION ALL
+SELECT 'customer_name_duplicate', c_name FROM customer GROUP BY c_name HAVING count(*) > 1
+""")
+def q_key_violations(spark, sf_dir):
+    """I13 over the real keys and whole names."""
+    return _violations(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"),
+                       table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+
+
+#: Not the real references (see ``key_violations``) but derived ones: keys are
+#: shifted by 5 and names cut to 17 characters, so that references past the
+#: last customer or part dangle and names repeat.
 @reg.add("integrity_violations", """
 SELECT 'order_customer_missing' AS rule, o_orderkey::VARCHAR AS id FROM orders
   WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey + 5)
@@ -110,18 +138,11 @@ SELECT 'customer_name_duplicate', substr(c_name, 1, 17) FROM customer
   GROUP BY substr(c_name, 1, 17) HAVING count(*) > 1
 """)
 def q_integrity_violations(spark, sf_dir):
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    li = li.withColumn("line_id", F.concat_ws("/", F.col("l_orderkey").cast("string"),
-                                              F.col("l_linenumber").cast("string")))
-    return (en.integrity_violations(o.withColumn("ck", F.col("o_custkey") + 5),
-                                    c.withColumnRenamed("c_custkey", "ck"), "ck", "ck",
-                                    "order_customer_missing", "o_orderkey")
-            .unionByName(en.integrity_violations(li.withColumn("pk", F.col("l_partkey") + 5),
-                                                 p.withColumnRenamed("p_partkey", "pk"), "pk", "pk",
-                                                 "line_part_missing", "line_id"))
-            .unionByName(en.duplicate_values(c.withColumn("c_name", F.substring("c_name", 1, 17)),
-                                             "c_name", "customer_name_duplicate")))
+    return _violations(
+        table(spark, sf_dir, "orders").withColumn("o_custkey", F.col("o_custkey") + 5),
+        table(spark, sf_dir, "customer").withColumn("c_name", F.substring("c_name", 1, 17)),
+        table(spark, sf_dir, "lineitem").withColumn("l_partkey", F.col("l_partkey") + 5),
+        table(spark, sf_dir, "part"))
 
 
 @reg.add("order_notifications", """

@@ -247,3 +247,26 @@ def test_due_purge_notifications(spark):
     assert sorted(r["id"] for r in kept.collect()) == [2, 4] and purged.first()["purged"] == 2
     notes = en.notifications(rows, "id", "task", "due").where("recipient_id = 1").first()
     assert notes["expires_at"] == dt.datetime(2024, 1, 31)
+
+
+def test_key_violations_of_real_keys_and_whole_names(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    tables = {
+        "customer": spark.createDataFrame(
+            [(k, f"Customer#00000{k:04d}") for k in range(1, 111) if k != 100] + [(111, "Customer#000000110")],
+            "c_custkey long, c_name string"),
+        "orders": spark.createDataFrame(
+            [(1, 100), (2, 105), (3, 110), (4, None)], "o_orderkey long, o_custkey long"),
+        "part": spark.createDataFrame([(k,) for k in range(1, 21) if k != 7], "p_partkey long"),
+        "lineitem": spark.createDataFrame(
+            [(1, 1, 7), (1, 2, 12), (2, 1, 20)], "l_orderkey long, l_linenumber int, l_partkey long")}
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = sorted(map(tuple, entry.queries()["key_violations"](spark, str(tmp_path)).collect()))
+    assert got == [("customer_name_duplicate", "Customer#000000110"), ("line_part_missing", "1/1"),
+                   ("order_customer_missing", "1"), ("order_customer_missing", "4")]
+    assert got == sorted(con.execute(entry.oracle_sql()["key_violations"]).fetchall())
