@@ -7,9 +7,12 @@ which is a narrow, per-row transformation — no shuffle).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusgraph.operators.graph import text_lines
+from corpusgraph.session import cut_lineage
 
 # ---- fixed values: the five patterns of the symbol panel (substrings) ----
 PATTERN_PANEL = [
@@ -157,6 +160,78 @@ def token_arrays(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.array().cast("array<bigint>")).alias("toks"))
 
 
+def token_keys(tokens: DataFrame) -> DataFrame:
+    """``(id, key, toks)``: texts of equal token sets have equal keys."""
+    t = tokens.select("id", F.array_sort("toks").alias("toks"))
+    return t.select("id", F.unhex(F.md5(F.array_join("toks", ",").cast("binary"))).alias("key"), "toks")
+
+
+def token_classes(keyed: DataFrame) -> DataFrame:
+    """``(id, class_id)``: the smallest id of those with the same key."""
+    least = keyed.groupBy("key").agg(F.min("id").alias("class_id"))
+    return keyed.select("id", "key").join(least, "key").select("id", "class_id")
+
+
+#: Tokens whose frequency counts in the order of the prefixes (1 MB on the driver).
+COMMON_TOKENS = 1 << 16
+
+
+def _prefixes(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """``(tok, id, n, pos)`` of the rarest tokens of each class: two sets of
+    Jaccard num/den share one.  Any order of the tokens is exact; the counts
+    of the most frequent ones only keep these out of the prefixes."""
+    top = (classes.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
+           .where("n > 1").orderBy(F.desc("n"), "tok").limit(COMMON_TOKENS).orderBy("tok").toPandas())
+    toks, counts = top["tok"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+    def run(batches):
+        for b in batches:
+            out = [[], [], [], []]
+            for i, own in zip(b.column(0).to_pylist(), b.column(1)):
+                own = own.values.to_numpy()
+                n = len(own)
+                keep = n - -(-num * n // den) + 1
+                if not n:
+                    continue
+                if len(toks):
+                    at = np.minimum(np.searchsorted(toks, own), len(toks) - 1)
+                    own = own[np.lexsort((own, np.where(toks[at] == own, counts[at], 0)))]
+                for c, v in zip(out, (own[:keep], np.full(keep, i), np.full(keep, n), np.arange(keep))):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out],
+                ["tok", "id", "n", "pos"])
+
+    return classes.select(F.col("id").cast("long"), "toks").mapInArrow(
+        run, "tok long, id long, n long, pos long")
+
+
+def similar_classes(keyed: DataFrame, num: int, den: int) -> DataFrame:
+    """G8 (text): all pairs of different token sets whose Jaccard is at least
+    num/den: ``src, dst, common, jaccard``, each set under its smallest id.
+    ``keyed`` is a written table of ``token_keys``.
+
+    Candidates share tokens of their prefixes: as many as the two sets need
+    besides what is left of the longer rest.  A hot token is one key of an
+    equi-join, which AQE splits.  Each candidate is verified."""
+    least = cut_lineage(keyed.groupBy("key").agg(F.min("id").alias("id")).select("id"))
+    classes = keyed.join(least, "id", "left_semi").select("id", "toks")
+    p = _prefixes(classes, num, den)
+    a, b = (p.select("tok", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos"))) for s in "ab")
+    need = num * (F.col("n_a") + F.col("n_b"))  # of (num + den) * common
+    room = (F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")))
+    rest = F.ceil(num * F.greatest("n_a", "n_b") / den) - 1
+    pairs = cut_lineage(
+        a.join(b, "tok")
+        .where((F.col("id_a") < F.col("id_b")) & (room * (num + den) >= need))
+        .groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+        .where((F.col("shared") + rest) * (num + den) >= need)
+        .select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    found = pair_jaccard(pairs, classes.join(ends, "id", "left_semi"))
+    return found.where(F.col("jaccard") >= num / den)
+
+
 def pair_jaccard(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """G8 (text): token-set Jaccard for the given pairs ``(src, dst)``.
 

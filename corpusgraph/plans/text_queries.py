@@ -9,6 +9,7 @@ from corpusgraph.functions import scalars as sc
 from corpusgraph.operators import search as se
 from corpusgraph.plans.common import Registry, rounded
 from corpusgraph.plans.graph_queries import GRAPH_CTE, doc_graph
+from corpusgraph.session import cut_lineage
 from corpusgraph.sources.tables import table
 
 reg = Registry()
@@ -126,6 +127,7 @@ FROM edges e LEFT JOIN inter i USING (src, dst)
 LEFT JOIN sz s1 ON s1.id = e.src LEFT JOIN sz s2 ON s2.id = e.dst
 """)
 def q_document_similarity_pairs(spark, sf_dir):
+    """Of the star edges of shared lines only; all similar pairs are in document_class_pairs."""
     _, edges = doc_graph(spark, sf_dir)
     # tokenise only the documents that are endpoints of a pair
     ends = (edges.select(F.col("src").alias("doc_id"))
@@ -134,6 +136,39 @@ def q_document_similarity_pairs(spark, sf_dir):
     return rounded(se.pair_jaccard(edges, se.token_arrays(docs)))
 
 
+#: Every document with its token set, the empty one included.
+SETS_SQL = f"""{TOKENS_SQL},
+sets AS (
+  SELECT d.doc_id, coalesce(list_sort(list(tok) FILTER (tok IS NOT NULL)), []) AS s
+  FROM documents d LEFT JOIN toks ON toks.id = d.doc_id GROUP BY d.doc_id),
+members AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id FROM sets)"""
+
+
+@reg.add("document_classes", f"WITH {SETS_SQL} SELECT doc_id, class_id FROM members")
+def q_document_classes(spark, sf_dir):
+    """Documents of equal token sets, the members of document_class_pairs."""
+    keyed = se.token_keys(se.token_arrays(_docs(spark, sf_dir))).select("id", "key")
+    return se.token_classes(cut_lineage(keyed)).withColumnRenamed("id", "doc_id")
+
+
+@reg.add("document_class_pairs", f"""
+WITH {SETS_SQL},
+c AS (SELECT toks.id, tok FROM toks JOIN members ON doc_id = toks.id WHERE doc_id = class_id),
+sz AS (SELECT id, count(*) AS n FROM c GROUP BY id),
+inter AS (
+  SELECT a.id AS src, b.id AS dst, count(*) AS common
+  FROM c a JOIN c b ON a.tok = b.tok AND a.id < b.id GROUP BY 1, 2)
+SELECT src, dst, common::BIGINT AS common,
+       round(common / (s1.n + s2.n - common)::DOUBLE, 6) AS jaccard
+FROM inter JOIN sz s1 ON s1.id = src JOIN sz s2 ON s2.id = dst
+WHERE 5 * common >= 4 * (s1.n + s2.n - common)
+""")
+def q_document_class_pairs(spark, sf_dir):
+    """All pairs of different token sets with a Jaccard of at least 0.8."""
+    keyed = cut_lineage(se.token_keys(se.token_arrays(_docs(spark, sf_dir))))
+    return rounded(se.similar_classes(keyed, 4, 5))
+
+
 @reg.add("embedding_label_cosine", """
 WITH comps AS (
   SELECT vec_id, label, i AS pos, x::DOUBLE AS x

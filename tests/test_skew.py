@@ -115,3 +115,32 @@ def test_metrics_and_components_hot_community(spark):
         for x in comp:
             want[x] = min(comp)
     assert comps == want
+
+
+def test_all_similar_pairs_beside_the_star_and_over_a_common_token(spark, tmp_path):
+    import random
+
+    import __spark_entry__ as entry
+    rng = random.Random(5)
+    line = "one line that every one of them holds"
+    texts = [f"{line}\nshort"]  # the smallest holder: near none of the others
+    for _ in range(60):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(4, 40))]
+        for _ in range(rng.randrange(1, 5)):
+            texts.append(line + "\n" + " ".join(w if rng.random() < 0.95 else f"w{rng.randrange(400)}"
+                                                for w in words))
+    texts += [texts[5], texts[5] + " " + texts[5].upper(), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: frozenset((t or "").lower().split()) for i, t in enumerate(texts)}
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(s, i)
+    got = {r.doc_id: r.class_id for r in entry.queries()["document_classes"](spark, str(tmp_path)).collect()}
+    assert got == {i: first[s] for i, s in sets.items()}
+    want = {(i, j, len(s & t)) for s, i in first.items() for t, j in first.items()
+            if i < j and 5 * len(s & t) >= 4 * len(s | t)}
+    rows = entry.queries()["document_class_pairs"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) > 50 and {(r.src, r.dst, r.common) for r in rows} == want
+    star = {(r.src, r.dst) for r in entry.queries()["document_similarity_pairs"](spark, str(tmp_path)).collect()}
+    assert not {(i, j) for i, j, _ in want} & star
