@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are training rows marked good; everything without a mark is
-unlabelled web text.  A small network is fitted by minimising the non-negative
+Trusted positives are training rows marked good; the unlabelled web text is all
+documents, their marks ignored, so it is never empty.  A small network is fitted by minimising the non-negative
 unbiased risk
 
     prior * R_pos(+) + max(0, R_unl(-) - prior * R_pos(-))
@@ -9,9 +9,10 @@ unbiased risk
 with the logistic loss, so its sigmoid output is a probability of being good.
 When the second term falls below zero, its gradient is followed back up, which
 is what keeps a flexible model from fitting the unlabelled text as negative.
-The class prior is estimated from the same two samples: a first fit ranks
-them, and over the ranks the least ratio of the unlabelled share to the
-positive share of the top, with a confidence margin on both, bounds the share of positives among the unlabelled.
+The class prior, the share of positives in the corpus, is estimated by a first
+fit that ranks the positives left out of it and all documents: the least ratio of the
+documents' share to the positives' share of the top, with a confidence margin on both, bounds it.
+The documents' shares are counts over the scores of all of them, one aggregate.
 
 Fitting uses a bounded sample: at most about ``MAX_POSITIVE`` and
 ``MAX_UNLABELLED`` rows, drawn by a hash of the id.  Scoring is one map-only
@@ -21,7 +22,7 @@ marks, language, source and id never do.
 Defined cases: null text counts as empty and gets a score like any other;
 rows whose id is null are scored and never trained on; a document with several marks counts
 as positive only if all of them are; repeated rows are scored once each; without
-any trusted positive, every score is the prior 0.5; empty tables
+two trusted positives or two documents, every score is the prior 0.5; empty tables
 give no rows; extra columns are ignored.
 """
 
@@ -146,29 +147,36 @@ def fit_risk(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 3,
     return Network(mean, scale, w1, b1, w2, float(b2))
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 3) -> float:
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 3, count_from=None) -> float:
     """Share of positives among the unlabelled rows.
 
-    A model fitted on half of each sample ranks the other halves.  For every
+    A model fitted on half of each sample ranks the other halves; with
+    ``count_from``, all unlabelled rows instead of the other half of the sample
+    (``count_from(model, cuts)``: rows from each cut on, and all rows).  For every
     cut c, share_unl(score >= c) is at least prior * share_pos(score >= c);
     the least ratio over the cuts, taken where its confidence margin is least, estimates the prior."""
     rng = np.random.default_rng(seed)
     p, u = rng.permutation(len(pos)), rng.permutation(len(unl))
     model = fit_risk(pos[p[::2]], unl[u[::2]], 0.5, seed, epochs=max(1, EPOCHS // 3))
-    sp, su = (np.sort(model.logit(x)) for x in (pos[p[1::2]], unl[u[1::2]]))
+    sp = np.sort(model.logit(pos[p[1::2]]))
     cuts = np.unique(sp)
     top_p = 1 - np.searchsorted(sp, cuts) / len(sp)
-    top_u = 1 - np.searchsorted(su, cuts) / len(su)
-    margin = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
+    if count_from:
+        counts, n = count_from(model, cuts)
+        top_u = counts / n
+    else:
+        su, n = np.sort(model.logit(unl[u[1::2]])), len(u[1::2])
+        top_u = 1 - np.searchsorted(su, cuts) / n
+    margin = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(n))
     best = np.argmin((top_u + margin) / top_p)
     return float(np.clip(top_u[best] / top_p[best], 0.05, 0.95))
 
 
-def fit(pos: np.ndarray, unl: np.ndarray) -> Network | None:
+def fit(pos: np.ndarray, unl: np.ndarray, count_from=None) -> Network | None:
     """The fitted network, or None without both samples."""
     if len(pos) < 2 or len(unl) < 2:
         return None
-    return fit_risk(pos, unl, estimate_prior(pos, unl))
+    return fit_risk(pos, unl, estimate_prior(pos, unl, count_from=count_from))
 
 
 # -------------------------------------------------------------------- spark
@@ -197,6 +205,29 @@ def _sample(docs: DataFrame, bound: int) -> np.ndarray:
     return np.array(rows["x"].tolist(), float).reshape(-1, N_FEATURES)
 
 
+def _counter(docs: DataFrame):
+    """``count_from`` of ``estimate_prior`` over all rows of ``docs(doc_id, text)``."""
+    def count_from(model: Network, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+        def run(batches):
+            counts = np.zeros(len(cuts) + 1, int)
+            for b in batches:
+                x = np.array([features(t) for t in values(b, 0)]).reshape(-1, N_FEATURES)
+                counts += np.bincount(np.searchsorted(cuts, model.logit(x), "right"),
+                                      minlength=len(counts))
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())],
+                                             ["at", "n"])
+
+        rows = (docs.select("text").mapInArrow(run, "at long, n long")
+                .groupBy("at").agg(F.sum("n").alias("n")).collect())
+        counts = np.zeros(len(cuts) + 1, int)
+        for r in rows:
+            counts[r["at"]] = r["n"]
+        return counts[::-1].cumsum()[::-1][1:], counts.sum()
+
+    return count_from
+
+
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
           max_unlabelled: int = MAX_UNLABELLED) -> Network | None:
     """Fit on ``documents`` and ``labels(doc_id, quality)``; labels of held-out
@@ -207,8 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     good = (marked.where(fold_of(F.col("doc_id")) != 0).groupBy("doc_id")
             .agg(F.min("quality").alias("q")).where("q = 1").select("doc_id"))
     pos = pair.join(good, "doc_id", "left_semi")
-    unl = pair.where(F.col("doc_id").isNotNull()).join(marked.select("doc_id"), "doc_id", "left_anti")
-    return fit(_sample(pos, max_positive), _sample(unl, max_unlabelled))
+    unl = pair.where(F.col("doc_id").isNotNull())
+    return fit(_sample(pos, max_positive), _sample(unl, max_unlabelled), _counter(unl))
 
 
 def score(docs: DataFrame, model: Network | None, threshold: float = THRESHOLD) -> DataFrame:

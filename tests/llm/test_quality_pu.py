@@ -54,3 +54,21 @@ def test_odd_tables(spark, label_rows):
     assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
     assert Q.quality(docs.limit(0), labels).count() == 0
     assert Q.kept_documents(docs, None).count() == 3
+
+
+def test_labels_of_every_document_leave_unlabelled_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 400")
+    labels = docs.selectExpr("doc_id", "cast(length(text) > 300 as int) as quality")
+    got = Q.quality(docs, labels).toPandas()
+    assert got.score.nunique() > 100 and set(got.predicted) == {0, 1}
+
+
+def test_prior_counts_every_document(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    x = Q.features("one")
+    model = Q.Network(np.zeros_like(x), np.ones_like(x), np.eye(len(x)), np.zeros(len(x)), np.ones(len(x)), 0.0)
+    logits = np.array([model.logit(Q.features(r.text)[None])[0] for r in docs.collect()])
+    u = np.unique(logits)
+    cuts = ((u[1:] + u[:-1]) / 2)[np.diff(u) > 1e-6][::50]
+    counts, n = Q._counter(docs)(model, cuts)
+    assert n == len(logits) and (counts == [(logits >= c).sum() for c in cuts]).all()
