@@ -6,6 +6,7 @@ from __future__ import annotations
 from corpusgraph.llm.html_text import extract
 from corpusgraph.llm.nbest import segmentations
 from corpusgraph.llm.packing import pack
+from corpusgraph.llm.ppm_lang import identify
 from corpusgraph.llm.quality_pu import quality
 from corpusgraph.llm.rules import judge
 from corpusgraph.llm.simhash import near_duplicates
@@ -174,3 +175,8 @@ FROM b
 @reg.add("op10_quality_rules", _OP10)
 def op10_quality_rules(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"))
+
+
+@reg.add("op12_language_id")
+def op12_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
