@@ -3,6 +3,7 @@ over its whole table with production parameters, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+from corpusgraph.llm.hard_negatives import mine
 from corpusgraph.llm.html_text import extract
 from corpusgraph.llm.nbest import segmentations
 from corpusgraph.llm.packing import pack
@@ -180,3 +181,34 @@ def op10_quality_rules(spark, sf_dir):
 @reg.add("op12_language_id")
 def op12_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
+
+
+_OP13 = """
+WITH t AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS vec_id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v),
+              lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
+  FROM t a JOIN t b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT r, anchor_id, br AS pr, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, br) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id,
+       p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.r = p.r AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+WINDOW w AS (PARTITION BY p.r, p.pr ORDER BY s.score DESC, s.vec_id, s.br)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+@reg.add("op13_hard_negatives", _OP13)
+def op13_hard_negatives(spark, sf_dir):
+    return mine(table(spark, sf_dir, "embeddings"))
