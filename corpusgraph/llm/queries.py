@@ -8,6 +8,7 @@ from corpusgraph.llm.html_text import extract
 from corpusgraph.llm.nbest import segmentations
 from corpusgraph.llm.packing import pack
 from corpusgraph.llm.ppm_lang import identify
+from corpusgraph.llm.prefix_trie import trie
 from corpusgraph.llm.quality_pu import quality
 from corpusgraph.llm.rules import judge
 from corpusgraph.llm.simhash import near_duplicates
@@ -178,6 +179,50 @@ def op10_quality_rules(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"))
 
 
+#: CRC-32 bit by bit: a digit is mixed in, then eight shifts (-1) follow.
+_OP11 = """
+WITH o AS (
+  SELECT conv_id AS c, length(coalesce(text, '')) AS size,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, k, size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS p FROM o),
+conv AS (
+  SELECT c, c - c % 100 AS base, xor(4294967295, list_reduce(
+           list_prepend(4294967295, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+             lambda d: list_prepend(CAST(ord(d) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1])))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384)
+                             ELSE a // 2 END)) % 6 AS h
+  FROM (SELECT DISTINCT c FROM own)),
+n_base AS (SELECT conv.c, count(own.c) AS n FROM conv LEFT JOIN own ON own.c = base AND p <= h GROUP BY 1),
+r AS (
+  SELECT conv.c, own.p AS d, k, size FROM conv JOIN own ON own.c = base AND own.p <= h
+  UNION ALL
+  SELECT conv.c, own.p - h + n, k, size FROM conv JOIN n_base USING (c) JOIN own ON own.c = conv.c AND own.p > h),
+m AS (
+  SELECT c, d, size, string_agg(k, '') OVER (PARTITION BY c ORDER BY d) AS path FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM conv),
+last AS (SELECT c, max(d) AS d, arg_max(path, d) AS path FROM m GROUP BY c),
+e AS (SELECT path, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM last GROUP BY path),
+node AS (SELECT d, path, min(c) AS c, count(*) AS n, any_value(size) AS size FROM m GROUP BY d, path),
+kids AS (SELECT left(path, 64 * (d - 1)) AS path, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+under AS (
+  SELECT left(node.path, 64 * x) AS path, sum(CAST(kids.path IS NULL AS INTEGER)) AS leaves,
+         sum((node.n - 1) * size) AS saved
+  FROM node LEFT JOIN kids ON kids.path = node.path, unnest(range(0, node.d + 1)) u(x) GROUP BY 1)
+SELECT node.c AS conv_id, CAST(node.d AS BIGINT) AS depth, up.c AS parent_conv_id,
+       CAST(node.n AS BIGINT) AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       coalesce(ends, sha256('')) AS ends_sha256
+FROM node JOIN under USING (path) LEFT JOIN kids USING (path) LEFT JOIN e USING (path)
+LEFT JOIN node up ON node.d > 0 AND up.path = left(node.path, 64 * (node.d - 1))
+"""
+
+
+@reg.add("op11_prefix_trie", _OP11)
+def op11_prefix_trie(spark, sf_dir):
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 @reg.add("op12_language_id")
 def op12_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
