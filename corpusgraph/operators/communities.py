@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusgraph.operators.components import connected_components
 from corpusgraph.operators.quality import community_details, modularity_of
-from corpusgraph.session import RoundKeeper, cut_lineage
+from corpusgraph.session import RoundKeeper, cut_lineage, delete_table, write_table
 
 EPS = 1e-12
 _DEBUG = bool(__import__("os").environ.get("CG_DEBUG"))
@@ -69,57 +69,70 @@ def split_isolated(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
 
 
 # --------------------------------------------------------------------- D1
+#: One round: ``state(node, label, r)`` to every node's next label and mark
+#: (2 changed, 1 unsettled, 0 settled).  ``unsettled`` nodes have a label that
+#: another one outnumbers among their neighbours.
+_LABELS = """
+WITH seen AS (
+  SELECT a, label, sum(n) AS n, max(own) AS own, max(r) AS r FROM (
+    SELECT a, label, 1 AS n, false AS own, r FROM {{arcs}} arcs JOIN {{state}} ON b = node {open}
+    UNION ALL SELECT node, label, 0, true, r FROM {{state}})
+  GROUP BY a, label),
+best AS (
+  SELECT a, max(struct(n, label)) AS top, max(if(own, n, null)) AS n, max(r) AS r FROM seen GROUP BY a),
+unsettled AS (
+  SELECT a, top.label AS label, struct(xxhash64(a, r) AS h, a AS id) AS prio FROM best WHERE n < top.n),
+turn AS ({turn})
+SELECT node, if(goes, turn.label, state.label) AS label, r + 1 AS r,
+       CASE WHEN goes THEN 2 WHEN a IS NOT NULL THEN 1 ELSE 0 END AS mark
+FROM {{state}} state LEFT JOIN turn ON a = node
+"""
+_TURN = {
+    "half": "SELECT a, label, pmod(prio.h, 2) = 0 AS goes FROM unsettled",
+    "set": """
+  SELECT u.a, u.label, coalesce(u.prio > rival, true) AS goes FROM unsettled u LEFT JOIN (
+    SELECT arcs.a, max(v.prio) AS rival FROM {{arcs}} arcs LEFT SEMI JOIN unsettled o ON o.a = arcs.a
+    JOIN unsettled v ON v.a = b GROUP BY arcs.a) s ON s.a = u.a""",
+}
+
+
 def label_propagation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Majority label; keep the current label when it is among the most
     frequent, otherwise take the largest of them.  Isolated nodes keep their
     own label.  Semi-synchronous by default: the first round lets half of
-    the nodes (hash parity) change; later rounds let an independent set of
-    the unsettled nodes change (each beats all unsettled neighbours by a
-    per-round hash priority), which rules out the oscillation of
-    synchronous updates: a change adds edges inside labels and no neighbour
-    changes with it, so the number of such edges only grows and the loop
-    ends.  It stops when every node's label is among its most frequent
-    neighbour labels; there is no cap on rounds.
+    the unsettled nodes (hash parity) change; later rounds let an independent
+    set of them change (each beats all unsettled neighbours by a per-round
+    hash priority), which rules out the oscillation of synchronous updates: a
+    change adds edges inside labels and no neighbour changes with it, so the
+    number of such edges only grows and the loop ends.  A round looks at the
+    unsettled nodes and the neighbours of changed ones only, as nothing else
+    can have become unsettled.  It stops when every node's label is among its
+    most frequent neighbour labels; there is no cap on rounds.
     """
     nodes, isolated = split_isolated(nodes, edges)
-    arcs = cut_lineage(weighted_arcs(edges).select("a", "b"))
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
-    keeper = RoundKeeper()
+    arcs = weighted_arcs(edges).select("a", "b")
+    arcs_path = write_table(arcs, "arcs")
+    spark = arcs.sparkSession
+    arcs = spark.read.schema(arcs.schema).parquet(arcs_path)
+    state = nodes.select("node", F.col("node").alias("label"), F.lit(0).alias("r"))
+    keeper, frontier = RoundKeeper(), False
     for r in itertools.count():
-        nb = (arcs.join(labels.select(F.col("node").alias("b"), F.col("label").alias("nl")), "b")
-              .groupBy("a", "nl").agg(F.count("*").alias("cnt")))
-        cur = labels.select(F.col("node").alias("a"), F.col("label").alias("cur"))
-        best = (nb.join(cur, "a")
-                .groupBy("a", "cur")
-                .agg(F.max(F.struct("cnt", "nl")).alias("best"),
-                     F.max(F.when(F.col("nl") == F.col("cur"), F.col("cnt"))).alias("cur_cnt")))
-        complete = F.coalesce(F.col("cur_cnt") == F.col("best.cnt"), F.lit(False))
-        # after the first (hash-parity) round only an independent set moves:
-        # an unsettled node changes only if its (hash, id) priority beats
-        # every unsettled neighbour's, so two neighbours never flip together
-        strict = r >= 1
-        if strict:
-            prio = F.struct(F.xxhash64(F.col("a"), F.lit(r)).alias("h"), F.col("a").alias("id"))
-            best = best.withColumn("prio", prio).withColumn("inc", ~complete)
-            rivals = (arcs.join(best.where("inc").select(F.col("a").alias("b"), F.col("prio").alias("rp")), "b")
-                      .groupBy("a").agg(F.max("rp").alias("rival")))
-            best = best.join(rivals, "a", "left")
-            active = F.col("rival").isNull() | (F.col("prio") > F.col("rival"))
-        else:
-            active = F.pmod(F.xxhash64(F.col("a"), F.lit(r)), F.lit(2)) == 0
-        upd = best.select(
-            F.col("a").alias("node"),
-            F.when(~complete & active, F.col("best.nl")).otherwise(F.col("cur")).alias("new"),
-            (~complete).alias("incomplete"))
-        nxt = (labels.join(upd, "node", "left")
-               .select("node", F.coalesce("new", "label").alias("label"),
-                       F.coalesce("incomplete", F.lit(False)).alias("incomplete")))
-        nxt, pending = keeper.keep(nxt, "incomplete")
-        _log(f"label-propagation round {r}: {pending} incomplete{' (independent set)' if strict else ''}")
-        labels = nxt.select("node", "label")
-        if pending == 0:
+        views = {"state": state, "arcs": arcs}
+        if frontier:
+            went = state.where("mark = 2").select(F.col("node").alias("b"))
+            views["open"] = (arcs.join(went, "b", "left_semi").select(F.col("a").alias("node"))
+                             .unionByName(state.where("mark = 1").select("node")))
+        text = _LABELS.format(turn=_TURN["set" if r else "half"].format(),
+                              open="LEFT SEMI JOIN {open} o ON o.node = arcs.a" if frontier else "")
+        state, seen = keeper.keep_counts(
+            spark.sql(text, **views), changed=F.count_if(F.col("mark") == 2),
+            waiting=F.count_if(F.col("mark") == 1), n=F.count("*"))
+        _log(f"label-propagation round {r}: {seen}")
+        if not seen["changed"] and not seen["waiting"]:
             break
-    return relabel_min(labels.select("node", F.col("label").alias("community"))).unionByName(isolated)
+        frontier = seen["changed"] * FRONTIER < seen["n"]
+    delete_table(spark, arcs_path)
+    return relabel_min(state.select("node", F.col("label").alias("community"))).unionByName(isolated)
 
 
 # --------------------------------------------------------------------- D2–D4
@@ -151,86 +164,133 @@ def _with_degrees(vs: DataFrame, wedges: DataFrame) -> LevelGraph:
     return LevelGraph(cut_lineage(vertices), cut_lineage(wedges))
 
 
+#: One round of local moving: ``state(v, c, x, r)`` and ``arcs(a, b, w, x)``
+#: (x: the constant mass of a) to every vertex's next community and mark (2
+#: moved, 1 waits, 0 rests).  ``wanted`` has the best move that gains of each
+#: open vertex; one aggregate by (vertex, community) holds links, mass and the
+#: vertex's own community.  The rest decides which are made, see
+#: ``_local_moves``.  The round's number r is a column: as a literal it would
+#: make each round's generated code new to the compiler.
+_ROUND = """
+WITH tot AS (SELECT c AS cb, sum(x) AS tot, count(*) AS n, max(r) AS r FROM {{state}} GROUP BY c),
+seen AS (
+  SELECT a, cb, sum(w) AS kic, max(x) AS x, max(own) AS own FROM (
+    SELECT a, c AS cb, w, arcs.x, false AS own FROM {{arcs}} arcs JOIN {{state}} ON b = v {open}
+    UNION ALL SELECT v, c, 0.0D, x, true FROM {{state}})
+  GROUP BY a, cb),
+rated AS (
+  SELECT a, cb, x, own, n, r, {link}D * kic - {unit}D * x * (tot - if(own, x, 0.0D)) AS gain
+  FROM seen JOIN tot USING (cb)),
+best AS (
+  SELECT a, max(if(own, null, struct(gain, xxhash64(cb, r) AS h, cb))) AS t, max(x) AS x, max(r) AS r,
+         max(if(own, cb, null)) AS cur, max(if(own, gain, null)) AS stay, max(if(own, n, null)) AS n
+  FROM rated GROUP BY a),
+wanted AS (
+  SELECT a, cur, t.cb AS to, x, r, t.gain - stay AS delta,
+         struct(t.gain - stay AS delta, xxhash64(a, r) AS h, a, t.cb AS to) AS rank
+  FROM best WHERE t.gain - stay > {eps} {alone}),
+sides AS (
+  SELECT c, coalesce(sum(if(goes, null, gain)), 0) AS gain_in, coalesce(sum(if(goes, gain, null)), 0) AS gain_out,
+         sum(if(goes, null, x)) AS x_in, sum(if(goes, x, null)) AS x_out,
+         max(if(goes, null, rank)) AS first_in, max(if(goes, rank, null)) AS first_out, max(r) AS r
+  FROM (SELECT explode(array(struct(to AS c, false AS goes), struct(cur AS c, true AS goes))) AS e, e.c, e.goes,
+               CAST(delta / {link}D AS DECIMAL(28, 6)) AS gain, x, rank, r FROM wanted)
+  GROUP BY c),
+roles AS (SELECT c, x_in, x_out, first_in, first_out, {gives} AS gives FROM sides),
+made AS (
+  SELECT w.a, w.to, f.gives AND NOT t.gives AND {fits} AS accepted
+  FROM wanted w JOIN roles f ON f.c = w.cur JOIN roles t ON t.c = w.to)
+SELECT v, if(accepted, to, c) AS c, x, r + 1 AS r, CASE WHEN accepted THEN 2 WHEN to IS NOT NULL THEN 1 ELSE 0 END AS mark
+FROM {{state}} LEFT JOIN made ON a = v
+"""
+_GIVES = {
+    "sums": "gain_out > gain_in OR gain_out = gain_in AND coalesce("
+            "xxhash64(c, r, 'side') > xxhash64(first_out.to, r, 'side'), false)",
+    "coin": "pmod(xxhash64(c, r, 'side'), 2) = 0",
+    "single": "first_in IS NULL OR coalesce(first_out > first_in, false)",
+}
+
+
+#: Below one vertex in so many moved, the next round rates only open vertices;
+#: below one accepted move in so many, the hash alone chooses the next givers.
+FRONTIER, COIN = 8, 8
+
+
 def _local_moves(lg: LevelGraph, start: DataFrame, m: float, resolution: float, objective: str,
                  merge_only: bool = False) -> tuple[DataFrame, int]:
     """Parallel local moving on one level from ``start(v, c)``; returns
     (``v, c``) and the number of moves.
 
-    Per round every vertex names the community it gains most from, and every
-    community lets its vertex with the largest gain go (ties by the round's
-    hash).  Of the moves that touch a community the first in that order makes
-    it a giver or a taker; a move counts if it leads from a giver to a taker.
-    A taker accepts all that come if the sum of their gains exceeds what they
-    cost each other (the null-model term of every pair of them, edges between
-    them not counted), else only the first.  Each accepted move thus raises
-    the objective whatever moves beside it, and the first of all moves is
-    always accepted, so the rounds end without a cap: when none has a gain.
+    Per round every open vertex names the community it gains most from, and
+    an independent set of these moves is made, any number of them out of or
+    into one community, so that the rounds do not grow with the size of
+    communities.  Open are first all vertices, then the neighbours of those
+    that moved and those whose move was not accepted.
+
+    Communities are givers or takers for the round and moves lead from givers
+    to takers, so no move changes what another one joins or leaves behind,
+    but for vertices that share their source or their target.  Two that share
+    one cost each other the null-model term of their pair; a move is accepted
+    if it gains more than half of that with all others wanted there, so the
+    accepted ones raise the objective together, whichever they are.
+
+    A community gives if moves out of it gain more in sum than moves into it;
+    summed over all such givers some move then leads to a taker.  Where both
+    sums are equal it gives if the round's hash puts it above the community
+    that its first move leads to, so of two that want each other one gives.
+    After a round that accepted few of the moves wanted the hash alone
+    decides, which lets a quarter of them pass whatever the gains; after one
+    that moved nothing a community's first move (gain, then hash) decides and
+    only moves that come first on both sides are made: the first of all always
+    is.  So the loop ends, without a cap, when no open vertex gains.
 
     With ``merge_only`` only vertices that are still alone may move (the
     refinement of Leiden).  All figures are partial aggregates; the driver
-    reads one count per round.
+    reads one row of counts per round.
     """
-    loose = lg.wedges.where(F.col("src") != F.col("dst"))
-    arcs = (loose.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w"))
-            .unionByName(loose.select(F.col("dst").alias("a"), F.col("src").alias("b"),
-                                      F.col("weight").alias("w"))))
-    assign = lg.vertices.join(start, "v").select("v", "c", "k", "size")
     mass, unit = ("k", resolution / (2.0 * m * m)) if objective == "modularity" else ("size", resolution)
     link = 1.0 / m if objective == "modularity" else 1.0
-    keeper = RoundKeeper()
-    total_moves = 0
+    masses = lg.vertices.select("v", F.col(mass).cast("double").alias("x"))
+    arcs = weighted_arcs(lg.wedges).join(masses.withColumnRenamed("v", "a"), "a").select("a", "b", "w", "x")
+    arcs_path = write_table(arcs, "arcs")
+    arcs = arcs.sparkSession.read.schema(arcs.schema).parquet(arcs_path)
+    state = masses.join(start, "v").select("v", "c", "x", F.lit(0).alias("r"))
+    keeper, spark = RoundKeeper(), arcs.sparkSession
+    mode, frontier, total_moves = "sums", False, 0
     for r in itertools.count():
-        tot = assign.groupBy("c").agg(F.sum(mass).alias("tot"), F.count("*").alias("cnodes"))
-        kic = (arcs.join(assign.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
-               .groupBy("a", "cb").agg(F.sum("w").alias("kic")))
-        me = (assign.join(tot, "c")
-              .select(F.col("v").alias("a"), F.col("c").alias("cur"), F.col(mass).alias("x"),
-                      (F.col("tot") - F.col(mass)).alias("rest"), F.col("cnodes").alias("n_cur")))
-        if merge_only:
-            me = me.where("n_cur = 1")
-        own = F.col("cb") == F.col("cur")
-        cand = (kic.join(me, "a").join(tot.select(F.col("c").alias("cb"), "tot"), "cb")
-                .withColumn("gain", link * F.col("kic") - unit * F.col("x")
-                            * F.when(own, F.col("rest")).otherwise(F.col("tot"))))
-        option = F.struct("gain", F.xxhash64("cb", F.lit(r)).alias("h"), "cb")
-        stay = F.coalesce(F.col("own_gain"), -unit * F.col("x") * F.col("rest"))
-        rank = F.struct("delta", F.xxhash64("a", F.lit(r)).alias("h"), "a")
-        wanted = (cand.groupBy("a", "cur", "x", "rest")
-                  .agg(F.max(F.when(~own, option)).alias("t"), F.max(F.when(own, F.col("gain"))).alias("own_gain"))
-                  .select("a", "cur", "x", (F.col("t.gain") - stay).alias("delta"), F.col("t.cb").alias("to"))
-                  .where(F.col("delta") > EPS))
-        leaving = wanted.groupBy("cur").agg(F.max_by(F.struct("a", "x", "delta", "to"), rank).alias("mv")) \
-            .select("cur", "mv.*").withColumn("rank", rank)
-        roles = (leaving.select(F.col("cur").alias("c"), "rank", F.lit(True).alias("gives"))
-                 .unionByName(leaving.select(F.col("to").alias("c"), "rank", F.lit(False).alias("gives")))
-                 .groupBy("c").agg(F.max_by("gives", "rank").alias("gives")))
-        going = (leaving.join(roles.where("gives").select(F.col("c").alias("cur")), "cur", "left_semi")
-                 .join(roles.where("not gives").select(F.col("c").alias("to")), "to", "left_semi"))
-        taken = going.groupBy("to").agg(
-            F.sum("delta").alias("sum_delta"), F.sum("x").alias("sx"),
-            F.sum(F.col("x") * F.col("x")).alias("sxx"), F.max("rank").alias("first"))
-        all_in = F.col("sum_delta") - unit * (F.col("sx") * F.col("sx") - F.col("sxx")) / 2.0 > EPS
-        moves = (going.join(taken.select("to", all_in.alias("all_in"), F.col("first.a").alias("first")), "to")
-                 .where(F.col("all_in") | (F.col("a") == F.col("first")))
-                 .select(F.col("a").alias("v"), F.col("to").alias("nc")))
-        nxt = assign.join(moves, "v", "left").select(
-            "v", F.coalesce("nc", "c").alias("c"), "k", "size", F.col("nc").isNotNull().alias("moved"))
-        nxt, moved = keeper.keep(nxt, "moved")
-        _log(f"local-move round {r}: {moved} moved")
-        assign = nxt.select("v", "c", "k", "size")
+        fits = (f"w.delta > {unit}D / 2 * w.x * (t.x_in + f.x_out - 2 * w.x) + {EPS}" if mode != "single"
+                else "f.first_out.a = w.a AND t.first_in.a = w.a")
+        text = _ROUND.format(
+            link=link, unit=unit, eps=EPS, gives=_GIVES[mode], fits=f"({fits})",
+            alone="AND n = 1" if merge_only else "",
+            open="LEFT SEMI JOIN {open} o ON o.v = arcs.a" if frontier else "")
+        views = {"state": state, "arcs": arcs}
+        if frontier:
+            went = state.where("mark = 2").select(F.col("v").alias("b"))
+            views["open"] = (arcs.join(went, "b", "left_semi").select(F.col("a").alias("v"))
+                             .unionByName(state.where("mark = 1").select("v")))
+        state, seen = keeper.keep_counts(
+            spark.sql(text, **views), moved=F.count_if(F.col("mark") == 2),
+            waiting=F.count_if(F.col("mark") == 1), n=F.count("*"))
+        moved, waiting = seen["moved"], seen["waiting"]
+        _log(f"local-move round {r}: {moved} moved, {waiting} wait ({mode})")
         total_moves += moved
-        if not moved:
-            return assign.select("v", "c"), total_moves
+        if not moved and not waiting:
+            delete_table(spark, arcs_path)
+            return state.select("v", "c"), total_moves
+        mode = "single" if not moved else "coin" if moved * COIN < waiting else "sums"
+        frontier = moved * FRONTIER < seen["n"]
 
 
 def _contract(lg: LevelGraph, assign: DataFrame) -> LevelGraph:
+    """Communities become vertices; their degree and size are their members' sums."""
     e = (lg.wedges.join(assign.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src")
          .join(assign.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst")
          .select(F.least("cs", "cd").alias("src"), F.greatest("cs", "cd").alias("dst"), "weight")
          .groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    vs = (assign.join(lg.vertices, "v").groupBy("c")
-          .agg(F.sum("size").alias("size")).select(F.col("c").alias("v"), "size"))
-    return _with_degrees(vs, e)
+    vs = assign.join(lg.vertices, "v").groupBy(F.col("c").alias("v")).agg(
+        F.sum("k").alias("k"), F.sum("size").alias("size"))
+    return LevelGraph(cut_lineage(vs), cut_lineage(e))
 
 
 def _inside(lg: LevelGraph, assign: DataFrame) -> DataFrame:
@@ -281,8 +341,9 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0,
             parts, _ = _local_moves(LevelGraph(lg.vertices, inside), alone, m, resolution, objective,
                                     merge_only=True)
         place = cut_lineage(place.join(parts, "v").select("node", F.col("c").alias("v")))
-        start = cut_lineage(parts.withColumnRenamed("c", "p").join(assign, "v")
-                            .groupBy(F.col("p").alias("v")).agg(F.min("c").alias("c")))
+        joint = parts.withColumnRenamed("c", "p").join(assign, "v") if refine else assign.withColumn("p", F.col("c"))
+        start = joint.groupBy(F.col("p").alias("v")).agg(F.min("c").alias("c"))
+        start = cut_lineage(start) if refine else start
         lg = _contract(lg, parts)
     membership = cut_lineage(place.join(start, "v").select("node", F.col("c").alias("community")))
     if refine:  # a vertex that left may have held two parts together

@@ -115,6 +115,14 @@ class RoundKeeper:
         n = out.count() if flag is None else out.agg(F.count_if(F.col(flag))).first()[0]
         return out, n
 
+    def keep_counts(self, df, **counts):
+        """The written state, and figures over it that the write observes."""
+        from pyspark.sql import Observation
+
+        seen = Observation()
+        out = self._next(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+        return out, seen.get
+
     def keep_signed(self, df):
         """The written state, and its order-free signature (rows, xor of the
         row hashes over the ``signed`` columns)."""

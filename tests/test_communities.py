@@ -132,3 +132,40 @@ def test_tied_gains_do_not_stall(spark, kind, n, algo):
     memb, _ = cm.detect(spark.range(n).withColumnRenamed("id", "node"), edges, algo)
     best = max(_modularity({i: i * k // n for i in range(n)}, pairs) for k in range(1, n))
     assert _modularity(dict(map(tuple, memb.collect())), pairs) >= 0.95 * best
+
+
+def _rounds(monkeypatch, run):
+    """Rounds of local moving that ``run`` takes."""
+    seen = []
+    keep = cm.RoundKeeper.keep_counts
+    monkeypatch.setattr(cm.RoundKeeper, "keep_counts", lambda self, df, **c: seen.append(1) or keep(self, df, **c))
+    out = run()
+    monkeypatch.undo()
+    return len(seen), out
+
+
+def test_a_large_community_dissolves_in_few_rounds(spark, monkeypatch):
+    """Leaves that start together, apart from the hub that all of them want to
+    join, go at once, however many they are."""
+    rounds = {}
+    for n in (20, 400):
+        edges = spark.range(1, n + 1).selectExpr("0L as src", "id as dst").unionByName(
+            spark.range(n + 1, 3 * n, 2).selectExpr("id as src", "id + 1 as dst"))
+        nodes = edges.selectExpr("src as node").union(edges.selectExpr("dst")).distinct()
+        lg = cm._level0(nodes, edges)
+        start = lg.vertices.selectExpr("v", f"if(v between 1 and {n}, 1, v) as c")
+        rounds[n], (memb, moves) = _rounds(
+            monkeypatch, lambda: cm._local_moves(lg, start, float(edges.count()), 1.0, "modularity"))
+        assert memb.where(f"v between 0 and {n}").select("c").distinct().count() == 1 and moves >= n
+    assert rounds[400] <= rounds[20] + 2 <= 8
+
+
+def test_rising_gains_along_a_path_take_few_rounds(spark, monkeypatch):
+    """Every vertex wants the next one, the last edge weighs most."""
+    n = 200
+    edges = spark.range(n - 1).selectExpr("id as src", "id + 1 as dst", "1.0 + id / 100 as weight")
+    lg = cm._level0(spark.range(n).selectExpr("id as node"), edges)
+    m = edges.agg(F.sum("weight")).first()[0]
+    rounds, _ = _rounds(monkeypatch, lambda: cm._local_moves(
+        lg, lg.vertices.selectExpr("v", "v as c"), m, 1.0, "modularity"))
+    assert rounds < 30
