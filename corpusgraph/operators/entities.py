@@ -10,7 +10,9 @@ from __future__ import annotations
 import functools
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from corpusgraph.operators import folds
 
 # ---- fixed values: allowed order status transitions (from -> to) ---------
 ORDER_TRANSITIONS = {
@@ -112,29 +114,11 @@ def order_totals(lines: DataFrame, order_col: str, qty_col: str, subtotal: Colum
 
 def apply_transitions(events: DataFrame, key: str, order_col: str, status_col: str,
                       initial: str = "pending") -> DataFrame:
-    """I8: fold status requests in order; an illegal move is rejected and
-    the state stays.  Returns ``key, final_status, accepted, rejected``.
-
-    The fold runs on each key's sorted request list (``aggregate`` HOF);
-    a key's list must fit one task — use the streaming form for unbounded
-    per-key histories.
-    """
-    allowed = F.create_map(*[x for k, vs in ORDER_TRANSITIONS.items()
-                             for x in (F.lit(k), F.array(*[F.lit(v) for v in vs])
-                                       if vs else F.array().cast("array<string>"))])
-    seq = (events.groupBy(key)
-           .agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"),
-                                                     F.col(status_col).alias("s")))).alias("reqs")))
-    init = F.struct(F.lit(initial).alias("state"), F.lit(0).alias("ok"), F.lit(0).alias("bad"))
-
-    def step(acc, r):
-        legal = F.coalesce(F.array_contains(F.element_at(allowed, acc["state"]), r["s"]), F.lit(False))
-        return F.struct(F.when(legal, r["s"]).otherwise(acc["state"]).alias("state"),
-                        (acc["ok"] + F.when(legal, 1).otherwise(0)).alias("ok"),
-                        (acc["bad"] + F.when(legal, 0).otherwise(1)).alias("bad"))
-    res = F.aggregate("reqs", init, step)
-    return seq.select(key, res["state"].alias("final_status"), res["ok"].alias("accepted"),
-                      res["bad"].alias("rejected"))
+    """I8: fold status requests by (order, status); an illegal move is
+    rejected and the state stays.  Returns ``key, final_status, accepted,
+    rejected``.  A key's requests are cut into blocks over many tasks; what a
+    block does to every state is composed along the key."""
+    return folds.transitions(events, key, order_col, status_col, ORDER_TRANSITIONS, initial)
 
 
 def due_flags(df: DataFrame, due_col: str, as_of, done: Column | None = None) -> DataFrame:
@@ -181,28 +165,9 @@ def rate_limit(requests: DataFrame, client: str, ts: str, max_requests: int,
                window_seconds: int) -> DataFrame:
     """I14 (batch): per client, a request is accepted while fewer than
     ``max_requests`` *accepted* requests lie in (t − W, t]; rejections do
-    not count.  Fold over each client's time-sorted request list with the
-    accepted timestamps as state (bounded by ``max_requests``).  For
-    clients whose history does not fit one task use the streaming form
-    (``corpusgraph.streaming.ratelimit``), which keeps only that state.
-    """
-    seq = (requests.groupBy(client)
-           .agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp"))
-                                                     .alias("t"), F.col(ts).alias("ts"))))
-                .alias("reqs")))
-    w = window_seconds * 1_000_000
-    init = F.struct(F.array().cast("array<bigint>").alias("acc"),
-                    F.array().cast("array<boolean>").alias("dec"))
-
-    def step(state, r):
-        live = F.filter(state["acc"], lambda a: a > r["t"] - w)
-        ok = F.size(live) < max_requests
-        return F.struct(F.when(ok, F.concat(live, F.array(r["t"]))).otherwise(live).alias("acc"),
-                        F.concat(state["dec"], F.array(ok)).alias("dec"))
-    res = F.aggregate("reqs", init, step)
-    out = seq.select(client, F.arrays_zip(F.col("reqs"), res["dec"].alias("d")).alias("z"))
-    return out.select(client, F.inline("z")).select(
-        client, F.col("reqs.ts").alias(ts), F.col("d").alias("accepted"))
+    not count.  A client's requests are cut into blocks over many tasks, which
+    run again until every block starts where its predecessor ends."""
+    return folds.rate_limit(requests, client, ts, max_requests, window_seconds)
 
 
 def public_path(path) -> Column:
@@ -228,47 +193,14 @@ def notifications(events: DataFrame, user_col: str, kind: str, at_col: str) -> D
 
 # ------------------------------------------------------------------ I15
 def asof_lookup(reads: DataFrame, writes: DataFrame, key: str, ts: str, value: str,
-                ttl_seconds: int | None = None, bucket_seconds: int = 86_400) -> DataFrame:
+                ttl_seconds: int | None = None) -> DataFrame:
     """I15 as-of join: for every read, the latest write with time <= read
     time for the same key; ``valid`` when read time <= write time + ttl.
 
-    Skew-aware and exact: time is cut into buckets.  Inside a (key, bucket)
-    a window carries the last write forward (bounded by the bucket); the
-    write carried in from earlier buckets comes from a window over the
-    per-(key, bucket) last writes — one row per bucket, not per event — so
-    a key with a third of all events is still split by time.
-    """
-    def bucket(c: str) -> Column:
-        return F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_seconds).cast("long")
-
-    extra = [c for c in reads.columns if c not in (key, ts)]
-    w = writes.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.col(value).alias("v")) \
-        .withColumn("b", bucket("t"))
-    r = reads.select(F.col(key).alias("k"), F.col(ts).alias("t"),
-                     F.struct(*[F.col(c) for c in extra]).alias("payload")) if extra else \
-        reads.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.lit(None).alias("payload"))
-    r = r.withColumn("b", bucket("t"))
-    last_in_bucket = w.groupBy("k", "b").agg(F.max_by(F.struct("t", "v"), "t").alias("lw"))
-    carry_w = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    # buckets holding reads but no writes need the carried write too
-    all_b = r.select("k", "b").distinct().join(last_in_bucket.select("k", "b"), ["k", "b"], "full")
-    carry_all = (all_b.join(last_in_bucket, ["k", "b"], "left")
-                 .withColumn("carry", F.last("lw", ignorenulls=True).over(carry_w))
-                 .select("k", "b", "carry"))
-    wv_type = (f"struct<t:{writes.schema[ts].dataType.simpleString()},"
-               f"v:{writes.schema[value].dataType.simpleString()}>")
-    events = (w.select("k", "b", "t", F.lit(0).alias("is_read"), F.struct("t", "v").alias("wv"),
-                       F.lit(None).cast(r.schema["payload"].dataType).alias("payload"))
-              .unionByName(r.select("k", "b", "t", F.lit(1).alias("is_read"),
-                                    F.lit(None).cast(wv_type).alias("wv"), "payload")))
-    inb = Window.partitionBy("k", "b").orderBy("t", "is_read").rowsBetween(Window.unboundedPreceding, 0)
-    found = (events.withColumn("lw", F.last("wv", ignorenulls=True).over(inb))
-             .where(F.col("is_read") == 1)
-             .join(carry_all, ["k", "b"], "left")
-             .withColumn("hit", F.coalesce("lw", "carry")))
-    out = found.select(F.col("k").alias(key), F.col("t").alias(ts),
-                       *[F.col(f"payload.{c}").alias(c) for c in extra],
-                       F.col("hit.t").alias("written_at"), F.col("hit.v").alias(value))
+    Reads and writes are range-partitioned by (key, time), so any key, and
+    any second of a key, is split evenly; the last write is carried forward
+    inside a partition and by one row per partition from each to the next."""
+    out = folds.carried(reads, writes, key, ts, value)
     if ttl_seconds is not None:
         ok = F.col(ts) <= F.col("written_at") + F.expr(f"INTERVAL {ttl_seconds} SECONDS")
         out = out.withColumn("valid", F.coalesce(ok, F.lit(False)))
@@ -278,27 +210,11 @@ def asof_lookup(reads: DataFrame, writes: DataFrame, key: str, ts: str, value: s
 # ------------------------------------------------------------------ I7, I9
 def allocate_stock(lines: DataFrame, stock: DataFrame, product: str, order_col: str,
                    qty: str, initial: str) -> DataFrame:
-    """Per product, lines in arrival order take stock while enough is
-    left; a rejected line consumes nothing.  ``(line..., allocated, left)``.
-    Sequential per product: a fold over the product's sorted lines (bounded
-    by one product's lines per task)."""
-    seq = (lines.groupBy(product)
-           .agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"),
-                                                     F.col(qty).alias("q")))).alias("ls"))
-           .join(stock.select(product, F.col(initial).alias("s0")), product))
-    init = F.struct(F.col("s0").cast("long").alias("left"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(acc, ln):
-        fits = acc["left"] >= ln["q"]
-        return F.struct(F.when(fits, acc["left"] - ln["q"]).otherwise(acc["left"]).alias("left"),
-                        F.concat(acc["ok"], F.array(fits)).alias("ok"))
-    res = F.aggregate("ls", init, step)
-    z = seq.select(product, F.arrays_zip(F.col("ls"), res["ok"].alias("a")).alias("z"),
-                   res["left"].alias("stock_left"))
-    return z.select(product, "stock_left", F.inline("z")).select(
-        product, F.col("ls.o").alias(order_col), F.col("ls.q").alias(qty),
-        F.col("a").alias("allocated"), "stock_left",
-        (F.col("stock_left") > 0).alias("is_available"))
+    """Per product, lines by (order, quantity) take stock while enough is
+    left; a rejected line consumes nothing.  ``(product, order, qty,
+    allocated, stock_left, is_available)``.  A product's lines are cut into
+    blocks over many tasks; the stock left passes over blocks by their sums."""
+    return folds.allocate(lines, stock, product, order_col, qty, initial)
 
 
 def task_progress(tasks: DataFrame, id_col: str = "id", parent_col: str = "parent_id",

@@ -280,3 +280,74 @@ def q_all_notifications(spark, sf_dir):
 
     return (kind("events", "user_id", "user", "ts").unionByName(kind("lineitem", "l_suppkey", "task", "l_shipdate"))
             .unionByName(kind("orders", "o_custkey", "order", "o_orderdate")))
+
+
+#: Statuses asked for along a customer's orders, by the order's priority.
+_STATUS_OF = {"1-URGENT": "active", "2-HIGH": "completed", "3-MEDIUM": "pending",
+              "4-NOT SPECIFIED": "failed", "5-LOW": "cancelled"}
+_CASES = " ".join(f"WHEN '{p}' THEN '{s}'" for p, s in _STATUS_OF.items())
+
+
+@reg.add("customer_status_transitions", f"""
+WITH RECURSIVE e AS (
+  SELECT o_custkey AS k, CASE o_orderpriority {_CASES} END AS s,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+r AS (
+  SELECT k, 0::BIGINT AS n, 'pending' AS state, 0::BIGINT AS ok FROM (SELECT DISTINCT k FROM e)
+  UNION ALL
+  SELECT k, n, CASE WHEN legal THEN s ELSE state END, ok + legal::BIGINT FROM (
+    SELECT e.k, e.n, e.s, r.state, r.ok, coalesce(
+      r.state = 'pending' AND e.s IN ('active', 'cancelled')
+      OR r.state = 'active' AND e.s IN ('completed', 'failed', 'cancelled')
+      OR r.state = 'failed' AND e.s = 'pending', false) AS legal
+    FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1))
+SELECT k AS o_custkey, arg_max(state, n) AS final_status, max(ok) AS accepted, max(n) - max(ok) AS rejected
+FROM r GROUP BY k
+""")
+def q_customer_status_transitions(spark, sf_dir):
+    """I8: each customer's orders in turn ask for a status."""
+    cases = F.expr(f"CASE o_orderpriority {_CASES} END")
+    asked = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", cases.alias("status"))
+    return en.apply_transitions(asked, "o_custkey", "o_orderkey", "status")
+
+
+@reg.add("part_stock_allocation", """
+WITH RECURSIVE e AS (
+  SELECT l_partkey AS k, l_orderkey AS o, CAST(l_quantity AS BIGINT) AS q, CAST(p_size AS BIGINT) * 10 AS s0,
+         row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_quantity) AS n
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
+r AS (
+  SELECT DISTINCT k, 0::BIGINT AS n, 0::BIGINT AS o, 0::BIGINT AS q, s0 AS s, false AS ok FROM e
+  UNION ALL
+  SELECT e.k, e.n, e.o, e.q, CASE WHEN e.q <= r.s THEN r.s - e.q ELSE r.s END, e.q <= r.s
+  FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1)
+SELECT k AS l_partkey, o AS l_orderkey, q AS quantity, ok AS allocated,
+       min(s) OVER (PARTITION BY k) AS stock_left, min(s) OVER (PARTITION BY k) > 0 AS is_available
+FROM r QUALIFY n > 0
+""")
+def q_part_stock_allocation(spark, sf_dir):
+    """Order lines take a part's stock (ten times its size) in order."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_orderkey", F.col("l_quantity").cast("long").alias("quantity"))
+    stock = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"), (F.col("p_size").cast("long") * 10).alias("stock"))
+    return en.allocate_stock(lines, stock, "l_partkey", "l_orderkey", "quantity", "stock")
+
+
+#: Twenty accepted per sliding day and event type: a request is accepted unless
+#: the twentieth accepted one before it lies less than a day back.
+@reg.add("event_type_rate_limit", """
+WITH RECURSIVE e AS (
+  SELECT event_type AS k, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events),
+r AS (
+  SELECT k, ts, n, true AS accepted, [ts] AS live FROM e WHERE n = 1
+  UNION ALL
+  SELECT k, ts, n, len(live) < 20, CASE WHEN len(live) < 20 THEN list_append(live, ts) ELSE live END
+  FROM (SELECT e.k, e.ts, e.n, list_filter(r.live, lambda a: a > e.ts - INTERVAL 1 DAY) AS live
+        FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1))
+SELECT k AS event_type, ts, accepted FROM r
+""")
+def q_event_type_rate_limit(spark, sf_dir):
+    """I14 as a batch: at most 20 accepted events per type and sliding day."""
+    return en.rate_limit(table(spark, sf_dir, "events").select("event_type", "ts"),
+                         "event_type", "ts", 20, 86_400)

@@ -53,8 +53,7 @@ def test_asof_and_latest_hot_key(spark, skewed):
     df = spark.createDataFrame(skewed, "id long, key string, ts timestamp_ntz, v double")
     writes = df.where(F.col("id") % 2 == 0).select("key", "ts", "v")
     reads = df.where(F.col("id") % 2 == 1).select("key", "ts", "id")
-    got = {r["id"]: r["v"] for r in en.asof_lookup(reads, writes, "key", "ts", "v",
-                                                   bucket_seconds=6 * 3600).collect()}
+    got = {r["id"]: r["v"] for r in en.asof_lookup(reads, writes, "key", "ts", "v").collect()}
     w = [(k, ts, v) for i, k, ts, v in skewed if i % 2 == 0]
     for i, k, ts, _ in skewed:
         if i % 2 == 1:

@@ -206,8 +206,7 @@ def test_asof_lookup_carries_across_buckets(spark):
                                    ("k", t(81), "r3"), ("q", t(3), "r4")],
                                   "key string, ts timestamp_ntz, rid string")
     got = {r["rid"]: (r["v"], r["valid"]) for r in
-           en.asof_lookup(reads, writes, "key", "ts", "v", ttl_seconds=24 * 3600,
-                          bucket_seconds=86_400).collect()}
+           en.asof_lookup(reads, writes, "key", "ts", "v", ttl_seconds=24 * 3600).collect()}
     # r1 reads at the write's own time (inclusive); r2 two days later: found but expired
     assert got == {"r0": (None, False), "r1": (2.0, True), "r2": (2.0, False), "r3": (3.0, True),
                    "r4": (None, False)}
