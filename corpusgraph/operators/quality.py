@@ -12,6 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from corpusgraph.operators.tabular import exact_quantiles
+from corpusgraph.session import cut_lineage
+
 # Fixed thresholds of the rules (E6) and of the bands.
 LARGEST_COMMUNITY_LIMIT = 20      # largest > 20
 SMALLEST_COMMUNITY_LIMIT = 3      # smallest < 3 (and more than one community)
@@ -194,8 +197,8 @@ def size_share(details: DataFrame) -> DataFrame:
 def quadrants(details: DataFrame, use_median: bool = False) -> DataFrame:
     """cohesion/coupling quadrant by 0.5 lines or by the medians."""
     if use_median:
-        ch = details.agg(F.median("cohesion")).scalar()
-        cp = details.agg(F.median("coupling")).scalar()
+        details = cut_lineage(details)
+        ch, cp = (F.lit(exact_quantiles(details, c, [0.5])[0]) for c in ("cohesion", "coupling"))
     else:
         ch, cp = F.lit(0.5), F.lit(0.5)
     hi_c = F.col("cohesion") >= ch

@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from corpusgraph.session import cut_lineage
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
 
@@ -121,30 +123,109 @@ def statistics(df: DataFrame, col: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ H4
+def grouped_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Sequence[float],
+                      buckets: int = 1024) -> DataFrame:
+    """Exact quantiles (linear interpolation) of every group, ``by..., q0, q1,
+    ...``, all groups together and no group in one buffer.
+
+    A group keeps the value ranges that hold its ranks, at first one from its
+    least to its greatest value.  Each pass is one aggregate for all groups: a
+    row finds the range of its group that holds it, and every range is cut
+    into ``buckets`` parts of which count, least and greatest value remain.
+    The parts with a rank are the next ranges; a rank is settled when its
+    range holds one value.  Hot groups are partial counts; the ranges are a
+    written table.  Nulls do not count, a group without values has none, a
+    NaN makes all quantiles of its group NaN, infinities are the ends of the
+    order.  Null keys are a group of their own.
+    """
+    inf = float("inf")
+    keys = [f"_k{i}" for i in range(len(by))]
+    x = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(col).cast("double").alias("x"))
+    finite = F.when(F.abs("x") < inf, F.col("x"))
+    groups = cut_lineage(x.groupBy(*keys).agg(
+        F.count("x").alias("n"), F.count_if(F.isnan("x")).alias("nan"), F.count_if(F.col("x") == -inf).alias("low"),
+        F.count_if(F.col("x") == inf).alias("high"), F.min(finite).alias("a"), F.max(finite).alias("b"))
+        .withColumn("g", F.monotonically_increasing_id()))
+    same = functools.reduce(lambda p, q: p & q, [F.col(f"x.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys])
+    x = x.where(F.abs("x") < inf).alias("x").join(groups.alias("g"), same).select("g", "x")
+
+    at = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    ranks = groups.where("n > 0 and nan = 0").select("g", "n", "low", "high", "a", "b", F.explode(F.array_distinct(F.flatten(
+        F.array(*[F.array(F.floor(i), F.least(F.floor(i) + 1, F.col("n") - 1)) for i in at])))).alias("k"))
+    ends = ranks.where("k < low or k >= n - high").select("g", "k", F.when(F.col("k") < F.col("low"), -inf).otherwise(inf).alias("v"))
+    open_ = ranks.where("k >= low and k < n - high").groupBy("g", "a", "b").agg(
+        F.max("low").alias("base"), F.collect_set("k").alias("ks"))
+    settled, open_ = [ends], cut_lineage(open_)
+    while True:
+        done = open_.where("a = b").select("g", F.explode("ks").alias("k"), F.col("a").alias("v"))
+        settled.append(done)
+        open_ = open_.where("a < b")
+        if open_.isEmpty():
+            break
+        ranges = open_.groupBy("g").agg(F.collect_list(F.struct("a", "b", "base", "ks")).alias("rs"))
+        half = F.when(F.col("r.b") - F.col("r.a") == inf, 2.0).otherwise(1.0)
+        share = (F.col("x") / half - F.col("r.a") / half) / (F.col("r.b") / half - F.col("r.a") / half)
+        parts = (x.join(ranges, "g").select("g", "x", F.filter(
+            "rs", lambda r: F.col("x").between(r["a"], r["b"])).alias("r"))
+            .where(F.size("r") > 0).select("g", "x", F.col("r")[0].alias("r"))
+            .groupBy("g", F.col("r.a").alias("from"), F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("part"))
+            .agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"),
+                 F.first("r.base").alias("base"), F.first("r.ks").alias("ks")))
+        before = Window.partitionBy("g", "from").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        first = F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0))  # over ``buckets`` rows at most
+        open_ = cut_lineage(
+            parts.withColumn("base", first).withColumn("ks", F.filter(
+                "ks", lambda k: (k >= F.col("base")) & (k < F.col("base") + F.col("n"))))
+            .where(F.size("ks") > 0).select("g", "a", "b", "base", "ks"))
+    values = functools.reduce(DataFrame.unionByName, settled).groupBy("g").agg(
+        F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("value"))
+    out = groups.join(values, "g", "left")
+    for i, p in enumerate(at):
+        low, up = F.col("value")[F.floor(p)], F.col("value")[F.least(F.floor(p) + 1, F.col("n") - 1)]
+        v = F.when(low == up, low).otherwise(low + (up - low) * (p - F.floor(p)))
+        v = F.when(p == F.floor(p), low).otherwise(v)
+        out = out.withColumn(f"q{i}", F.when(F.col("n") == 0, F.lit(None)).when(
+            F.col("nan") > 0, F.lit(float("nan"))).otherwise(v))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *[f"q{i}" for i in range(len(probs))])
+
+
 AGG_FUNCS: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max,
     "std": F.stddev_samp, "var": F.var_samp, "nunique": F.count_distinct,
-    "median": F.median, "first": lambda c: F.first(c, ignorenulls=True),
-    "last": lambda c: F.last(c, ignorenulls=True),
 }
+ORDERED_FUNCS = {"first": F.min_by, "last": F.max_by}
 
 
 def aggregate(df: DataFrame, group_by: Sequence[str],
-              spec: dict[str, Sequence[str]]) -> DataFrame:
+              spec: dict[str, Sequence[str]], order_by: Sequence[str] | None = None) -> DataFrame:
     """H4: ``{col: [fn, ...]}`` → columns ``col_fn``; rows with a null key
-    dropped, output sorted by the keys.  Unknown column/function → error."""
-    missing = [c for c in list(group_by) + list(spec) if c not in df.columns]
+    dropped, output sorted by the keys.  ``first`` and ``last`` are the first
+    and last value that is not null by ``order_by`` (by all columns of the
+    row without it), ties by the value; medians are selected by ranges
+    (``grouped_quantiles``).  Unknown column/function → error."""
+    order = list(df.columns if order_by is None else order_by)
+    missing = [c for c in [*group_by, *spec, *order] if c not in df.columns]
     if missing:
         raise ValueError(f"columns not in the table: {missing}")
-    aggs = []
+    aggs, medians = [], []
     for col, fns in spec.items():
         for fn in fns:
-            if fn not in AGG_FUNCS:
+            if fn == "median":
+                medians.append(col)
+            elif fn in ORDERED_FUNCS:
+                place = F.when(F.col(col).isNotNull(), F.struct(*order, col))
+                aggs.append(ORDERED_FUNCS[fn](F.col(col), place).alias(f"{col}_{fn}"))
+            elif fn in AGG_FUNCS:
+                aggs.append(AGG_FUNCS[fn](F.col(col)).alias(f"{col}_{fn}"))
+            else:
                 raise ValueError(f"unsupported aggregation {fn!r}")
-            aggs.append(AGG_FUNCS[fn](F.col(col)).alias(f"{col}_{fn}"))
     keyed = df.where(functools.reduce(lambda a, b: a & b,
                                       [F.col(k).isNotNull() for k in group_by]))
-    return keyed.groupBy(*group_by).agg(*aggs).orderBy(*group_by)
+    out = keyed.groupBy(*group_by).agg(*aggs) if aggs else keyed.select(*group_by).distinct()
+    for col in medians:
+        out = out.join(grouped_quantiles(keyed, group_by, col, [0.5]).withColumnRenamed("q0", f"{col}_median"),
+                       list(group_by), "left")
+    return out.select(*group_by, *[f"{c}_{fn}" for c, fns in spec.items() for fn in fns]).orderBy(*group_by)
 
 
 # ------------------------------------------------------------------ H5
@@ -326,31 +407,40 @@ def data_quality(df: DataFrame) -> DataFrame:
     """H11 in long form ``(metric, column, value)``: total rows/columns,
     duplicate rows (extras only), per-column null count and percent (only
     where > 0), per numeric column distinct/min/max/mean/sample std."""
-    n = df.agg(F.count("*")).scalar()
-    distinct = df.distinct().agg(F.count("*")).scalar()
+    numeric = numeric_columns(df)
+    # distinct values of all columns and of the row, in one long form: a
+    # partial aggregate by (column, value) and one shuffle for all of them
+    cells = [F.struct(F.lit(c).alias("of"), (F.col(c) + F.lit(0).cast(df.schema[c].dataType)).cast("string").alias("value"))
+             for c in numeric]
+    whole = F.struct(F.lit("").alias("of"), F.concat_ws(
+        " ", F.xxhash64(*df.columns), F.xxhash64(F.lit("second"), *[F.col(c) for c in df.columns])).alias("value"))
+    counts = (df.select(F.explode(F.array(whole, *cells)).alias("c")).select("c.*").distinct()
+              .groupBy("of").agg(F.count("value").alias("n")))
+    counts = counts.agg(F.map_from_entries(F.collect_list(F.struct("of", "n"))).alias("distinct"))  # a row a column
+    plain = [F.count("*").alias("rows")] + [F.count_if(F.col(c).isNull()).alias(f"nulls__{c}") for c in df.columns]
+    for c in numeric:
+        x = F.col(c).cast("double")
+        plain += [F.min(x).alias(f"min__{c}"), F.max(x).alias(f"max__{c}"), F.avg(x).alias(f"mean__{c}"),
+                  F.stddev_samp(x).alias(f"std__{c}")]
 
     def row(metric: str, column: str | None, value: Column) -> Column:
         return F.struct(F.lit(metric).alias("metric"),
                         F.lit(column).cast("string").alias("column"),
                         value.cast("double").alias("value"))
 
+    def distinct(c: str) -> Column:
+        return F.coalesce(F.col("distinct")[F.lit(c)], F.lit(0))
+
+    n = F.col("rows")
     rows = [row("total_rows", None, n), row("total_columns", None, F.lit(len(df.columns))),
-            row("duplicate_rows", None, n - distinct)]
-    aggs = []
-    for c in df.columns:
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"nulls__{c}"))
-    for c in numeric_columns(df):
-        x = F.col(c).cast("double")
-        aggs += [F.count_distinct(F.col(c)).alias(f"nunique__{c}"), F.min(x).alias(f"min__{c}"),
-                 F.max(x).alias(f"max__{c}"), F.avg(x).alias(f"mean__{c}"),
-                 F.stddev_samp(x).alias(f"std__{c}")]
-    one = df.agg(*aggs)
+            row("duplicate_rows", None, n - distinct(""))]
     for c in df.columns:
         rows.append(row("null_count", c, F.col(f"nulls__{c}")))
-        rows.append(row("null_percent", c, F.col(f"nulls__{c}") * 100.0 / n))
-    for c in numeric_columns(df):
-        for metric in ("nunique", "min", "max", "mean", "std"):
-            rows.append(row(metric, c, F.col(f"{metric}__{c}")))
+        rows.append(row("null_percent", c, F.try_divide(F.col(f"nulls__{c}") * 100.0, n)))
+    for c in numeric:
+        rows.append(row("nunique", c, distinct(c)))
+        rows += [row(metric, c, F.col(f"{metric}__{c}")) for metric in ("min", "max", "mean", "std")]
+    one = df.agg(*plain).withColumn("distinct", counts.scalar())
     out = one.select(F.inline(F.array(*rows)))
     return out.where(~(F.col("metric").isin("null_count", "null_percent")
                        & (F.col("value") <= 0)))

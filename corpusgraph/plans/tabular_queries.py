@@ -194,3 +194,26 @@ def _quality_sql() -> str:
 @reg.add("events_data_quality", _quality_sql())
 def q_events_data_quality(spark, sf_dir):
     return rounded(tb.data_quality(events_with_gaps(spark, sf_dir)))
+
+
+@reg.add("lineitem_order_statistics", """
+SELECT l_suppkey, median(l_extendedprice) AS l_extendedprice_median, median(l_discount) AS l_discount_median,
+       arg_min(l_quantity, (l_orderkey, l_linenumber, l_quantity)) AS l_quantity_first,
+       arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity)) AS l_quantity_last
+FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY l_suppkey
+""")
+def q_lineitem_order_statistics(spark, sf_dir):
+    """H4: exact medians, and first and last by order line, per supplier."""
+    return rounded(tb.aggregate(table(spark, sf_dir, "lineitem"), ["l_suppkey"], {
+        "l_extendedprice": ["median"], "l_discount": ["median"], "l_quantity": ["first", "last"]},
+        order_by=["l_orderkey", "l_linenumber"]))
+
+
+@reg.add("event_type_quartiles", """
+SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q0, round(quantile_cont(value, 0.5), 6) AS q1,
+       round(quantile_cont(value, 0.75), 6) AS q2
+FROM events GROUP BY event_type
+""")
+def q_event_type_quartiles(spark, sf_dir):
+    """H4: exact quartiles of all event types in one selection."""
+    return rounded(tb.grouped_quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.25, 0.5, 0.75]))
