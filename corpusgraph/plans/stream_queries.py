@@ -82,3 +82,35 @@ def q_expired_notifications_stream(spark, sf_dir):
                              "o_orderdate")
     return st.run_to_table(st.expiry_sweep_stream(notes, "expires_at", SWEEP_AS_OF),
                            "expiry_sweep")
+
+
+LIFETIME_TTL_S = 12 * 3600
+
+
+@reg.add("value_lifetimes_stream", f"""
+WITH m AS (SELECT (epoch_ms(max(ts)) - 3600000) * 1000 AS mark FROM events),
+w AS (SELECT user_id AS key, epoch_us(ts) AS written_us, value, mark,
+             lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, value) AS next
+      FROM events, m WHERE epoch_us(ts) <= mark),
+e AS (SELECT *, written_us + {LIFETIME_TTL_S * 1_000_000} AS ended FROM w)
+SELECT key, written_us, value, coalesce(least(next, ended), ended) AS ended_us,
+       CASE WHEN next <= ended THEN 'replaced' ELSE 'expired' END AS reason
+FROM e WHERE next IS NOT NULL OR ended < mark
+""")
+def q_value_lifetimes_stream(spark, sf_dir):
+    """K3: every user's values until they are replaced or, after twelve hours
+    of event time, expire."""
+    s = st.lifetimes_stream(st.table_stream(spark, sf_dir, "events"), "user_id", "ts", "value", LIFETIME_TTL_S)
+    return st.run_to_table(s, "value_lifetimes")
+
+
+@reg.add("notification_expiry_stream", """
+SELECT o_custkey AS recipient_id, 'order' AS type, CAST(o_orderdate AS TIMESTAMP) AS created_at,
+       CAST(o_orderdate AS TIMESTAMP) + INTERVAL 30 DAY AS expires_at
+FROM orders WHERE o_orderdate + INTERVAL 30 DAY < (SELECT max(o_orderdate) - INTERVAL 1 HOUR FROM orders)
+""")
+def q_notification_expiry_stream(spark, sf_dir):
+    """K4: order notifications that expire as the orders' own time goes on."""
+    notes = en.notifications(st.table_stream(spark, sf_dir, "orders"), "o_custkey", "order", "o_orderdate")
+    out = st.run_to_table(st.expiry_timer_stream(notes, "created_at", "expires_at"), "notification_expiry")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "expires_at")})

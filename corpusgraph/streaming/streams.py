@@ -9,14 +9,21 @@
   one was decided gets no decision (null) and belongs in a side table.
 * K2 ``resample_stream`` — tumbling event-time windows with a watermark;
   append mode emits closed windows, update mode also open ones.
-* K3 ``latest_value_stream`` — keyed latest value; with ``expire`` its state goes with it.
+* K3 ``latest_value_stream`` — keyed latest value; with ``expire`` its state
+  goes with it.  ``lifetimes_stream`` — every value's life until it is replaced
+  or expires, by event-time timers.
 * K4 ``expiry_sweep_stream`` — rows already expired at the sweep time.
+  ``expiry_timer_stream`` — rows that expire as the watermark passes them.
+* ``split_late`` — rows behind the watermark go to a side table.
 
 Sources are file streams over tables, each a file or a folder of files.  By
 default one run takes all new files as one micro-batch, so the order in which
 files are listed cannot make rows late.  Sinks are parquet tables in the
-session's (shared) checkpoint folder, read back as batch DataFrames.  A run that
-dropped late rows fails with their number; none vanish silently.
+session's (shared) checkpoint folder, read back as batch DataFrames.  Runs whose
+micro-batches may be out of order pass ``split_late`` first, which keeps late
+rows; a run that dropped any fails with their number, so none vanish silently.
+Streams belong to a session of their own that has the caller's settings and the
+state store the processors need; the caller's session is not changed.
 ``withWatermark`` needs ``timestamp`` (not ``timestamp_ntz``), so event times
 are cast with the session time zone.
 """
@@ -26,12 +33,11 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -40,13 +46,25 @@ from corpusgraph.session import ensure_checkpoint_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` with its settings and the RocksDB state store."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1000000")  # run_to_table reads all of them
+    own.home = spark  # tables are read back here
+    return own
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """A table as a file stream (schema taken from the files)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = stream_session(spark).readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if folder:
@@ -54,20 +72,40 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str,
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-@contextmanager
-def _rocksdb(spark: SparkSession) -> Iterator[None]:
-    """The processors need the RocksDB state store: set for the run where the
-    session names another, and put back after it."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def split_late(stream: DataFrame, ts: str, delay: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(stream of the rows on time, batch table of the late ones).
+
+    A row is late if a row of an earlier micro-batch lies more than ``delay``
+    after it.  Each micro-batch writes its rows of both kinds and the newest
+    event time it saw, one row; the next ones read that.  A repeated batch
+    replaces its own folders.  The returned stream takes up the micro-batches
+    in order, so none of its rows is behind the same watermark again.  Rows
+    without a time are on time.
+    """
+    spark = stream.sparkSession
+    base, schema = _folder(spark, name), stream.schema
+    t = F.col(ts).cast("timestamp")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        own = rows.sparkSession
+        before = own.createDataFrame([], "newest timestamp, part long") if batch == 0 else \
+            own.read.schema("newest timestamp, part long").parquet(f"{base}/newest")
+        newest = before.where(F.col("part") < batch).agg(F.max("newest")).first()[0]
+        late = F.coalesce(t < F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        rows.where(~late).write.mode("overwrite").parquet(f"{base}/on_time/part={batch}")
+        rows.where(late).write.mode("overwrite").parquet(f"{base}/late/part={batch}")
+        rows.agg(F.max(t).alias("newest")).write.mode("overwrite").parquet(f"{base}/newest/part={batch}")
+
+    query = (stream.writeStream.option("checkpointLocation", f"{base}/ckpt").foreachBatch(write)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    home = getattr(spark, "home", spark)
+    flat = lambda r: r.schema(schema).option("recursiveFileLookup", "true")
+    return flat(spark.readStream).parquet(f"{base}/on_time"), flat(home.read).parquet(f"{base}/late")
 
 
 def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
@@ -75,7 +113,7 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> D
     checkpoint folder; return that table as a batch DataFrame.  In update
     mode a column ``_batch`` tells the micro-batch that wrote a row."""
     spark = stream.sparkSession
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    base = _folder(spark, name)
     writer = stream.writeStream.option("checkpointLocation", f"{base}/ckpt").outputMode(output_mode)
     if output_mode == "append":
         writer = writer.format("parquet").option("path", f"{base}/out")
@@ -89,13 +127,12 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> D
                 f"{base}/out/part={batch}")
 
         writer = writer.foreachBatch(write)
-    with _rocksdb(spark):
-        q = writer.trigger(availableNow=True).start()
-        q.awaitTermination()
+    q = writer.trigger(availableNow=True).start()
+    q.awaitTermination()
     late = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
     if late:
         raise RuntimeError(f"{late} rows came after their watermark")
-    return spark.read.schema(written).option("recursiveFileLookup", "true").parquet(f"{base}/out")
+    return getattr(spark, "home", spark).read.schema(written).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
 def _ship() -> None:
@@ -210,6 +247,152 @@ def latest_value_stream(changes: DataFrame, key: str, ts: str, value: str,
         outputMode="Append", timeMode="ProcessingTime" if expire else "None")
 
 
+class Lifetimes(StatefulProcessor):
+    """The lives of a key's values, in order of event time.
+
+    A write ends the value before it, as ``replaced`` at its own time, or as
+    ``expired`` a time-to-live after it was written if that is earlier.  Writes
+    wait in the state (16 bytes each) until the watermark has passed them, so
+    the outcome does not depend on the micro-batches; the value that lives then
+    ends by a timer."""
+
+    def __init__(self, ttl_seconds: int) -> None:
+        self.ttl_us = ttl_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", "t ARRAY<BIGINT>, v ARRAY<DOUBLE>")
+        self.live = handle.getValueState("live", "t BIGINT, v DOUBLE")
+
+    def _advance(self, key, t: list, v: list, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        """Process the waiting writes that the watermark has passed."""
+        now = watermark_ms * 1000
+        order = sorted(range(len(t)), key=lambda i: (t[i], v[i] is not None, v[i] or 0.0))
+        due = [i for i in order if t[i] <= now]
+        rest = [i for i in order if t[i] > now]
+        live = tuple(self.live.get()) if self.live.exists() else None
+        ended = []
+        for i in due:
+            if live is not None:
+                end = min(t[i], live[0] + self.ttl_us)
+                ended.append((*live, end, t[i] <= live[0] + self.ttl_us))
+            live = (t[i], v[i])
+        if live is not None and live[0] + self.ttl_us < now:
+            ended.append((*live, live[0] + self.ttl_us, False))
+            live = None
+        self.waiting.clear()
+        if rest:
+            self.waiting.update(([t[i] for i in rest], [v[i] for i in rest]))
+        self.live.clear()
+        if live is not None:
+            self.live.update(live)
+        wake = [t[rest[0]]] if rest else []
+        wake += [live[0] + self.ttl_us + 1] if live is not None else []
+        for us in wake:  # the first whole millisecond from then on
+            self.handle.registerTimer(-(-us // 1000))
+        if ended:
+            yield pd.DataFrame({"key": [key[0]] * len(ended), "written_us": [e[0] for e in ended],
+                                "value": pd.Series([e[1] for e in ended], dtype="float64"),
+                                "ended_us": [e[2] for e in ended], "replaced": [e[3] for e in ended]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        t, v = (list(x) for x in self.waiting.get()) if self.waiting.exists() else ([], [])
+        for part in rows:
+            t += part["t_us"].astype("int64").tolist()
+            v += [None if pd.isna(x) else float(x) for x in part["value"]]
+        yield from self._advance(key, t, v, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        t, v = (list(x) for x in self.waiting.get()) if self.waiting.exists() else ([], [])
+        yield from self._advance(key, t, v, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def lifetimes_stream(changes: DataFrame, key: str, ts: str, value: str, ttl_seconds: int,
+                     delay: str = "1 hour") -> DataFrame:
+    """K3: ``key, written_us, value, ended_us, reason`` of every value whose end
+    the watermark has passed; writes of one time are ordered by value.  Writes
+    without a time are left out."""
+    _ship()
+    src = (changes.where(F.col(ts).isNotNull())
+           .select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("_et"),
+                   F.unix_micros(F.col(ts).cast("timestamp")).alias("t_us"), F.col(value).cast("double").alias("value"))
+           .withWatermark("_et", delay))
+    out = src.groupBy("key").transformWithStateInPandas(
+        Lifetimes(ttl_seconds),
+        outputStructType=f"key {changes.schema[key].dataType.simpleString()}, written_us bigint, "
+                         "value double, ended_us bigint, replaced boolean",
+        outputMode="Append", timeMode="EventTime")
+    return out.select("key", "written_us", "value", "ended_us",
+                      F.when(F.col("replaced"), "replaced").otherwise("expired").alias("reason"))
+
+
+def lifetimes(changes: DataFrame, key: str, ts: str, value: str, ttl_seconds: int,
+              delay: str = "1 hour") -> DataFrame:
+    """K3 as a batch: the same rows from a finished table, whose newest time
+    less ``delay`` (to the millisecond) is the watermark."""
+    w = changes.where(F.col(ts).isNotNull()).select(
+        F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("written_us"),
+        F.col(value).cast("double").alias("value"))
+    newest = changes.agg(F.max(F.col(ts).cast("timestamp")).alias("t")).select(
+        F.unix_millis(F.col("t") - F.expr(f"INTERVAL {delay}")) * 1000).scalar()
+    along = Window.partitionBy("key").orderBy("written_us", "value")
+    ttl = ttl_seconds * 1_000_000
+    ended = F.col("written_us") + ttl
+    return (w.withColumn("mark", newest).where(F.col("written_us") <= F.col("mark"))
+            .withColumn("next", F.lead("written_us").over(along))
+            .select("key", "written_us", "value", F.coalesce(F.least("next", ended), ended).alias("ended_us"),
+                    F.when(F.col("next") <= ended, "replaced").otherwise("expired").alias("reason"),
+                    "mark", "next")
+            .where(F.col("next").isNotNull() | (F.col("ended_us") < F.col("mark"))).drop("mark", "next"))
+
+
+class Expiring(StatefulProcessor):
+    """Holds a row until the watermark has passed its expiry, then emits it with
+    the times it came."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "expires_us BIGINT, n BIGINT")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n = self.held.get()[1] if self.held.exists() else 0
+        for part in rows:
+            n, expires = n + len(part), int(part["expires_us"].iloc[0])
+        self.held.update((expires, n))
+        self.handle.registerTimer(expires // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists():
+            expires, n = self.held.get()
+            self.held.clear()
+            yield pd.DataFrame({"row_key": [key[0]], "expires_us": [expires], "n": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def expiry_timer_stream(stream: DataFrame, ts: str, expires_col: str, delay: str = "1 hour") -> DataFrame:
+    """K4: the rows whose expiry the watermark has passed, each one time for
+    each time it came; the row itself is the key, so no recipient is a hot one.
+    Rows without an expiry never expire."""
+    _ship()
+    cols = list(stream.columns)
+    src = (stream.where(F.col(expires_col).isNotNull())
+           .select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("row_key"),
+                   F.col(ts).cast("timestamp").alias("_et"),
+                   F.unix_micros(F.col(expires_col).cast("timestamp")).alias("expires_us"))
+           .withWatermark("_et", delay))
+    out = src.groupBy("row_key").transformWithStateInPandas(
+        Expiring(), outputStructType="row_key string, expires_us bigint, n bigint", outputMode="Append",
+        timeMode="EventTime")
+    return out.select(F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_i"),
+                      F.from_json("row_key", stream.schema.simpleString()).alias("r")).select("r.*")
+
+
 def expiry_sweep_stream(stream: DataFrame, expires_col: str, as_of) -> DataFrame:
     """K4: rows already expired at ``as_of`` (null expiry never expires),
     marked with the sweep time; a stateless streaming filter."""

@@ -62,3 +62,63 @@ def test_late_rows_are_told(spark, tmp_path):
     with pytest.raises(RuntimeError, match="after their watermark"):
         st.run_to_table(st.resample_stream(st.table_stream(spark, str(tmp_path), "events", 1),
                                            "ts", "value"), "t_late_daily")
+
+
+def _changes(spark, tmp_path, rows, per_file):
+    """Rows in their order, ``per_file`` a file and micro-batch."""
+    (spark.createDataFrame(rows, "k string, t timestamp_ntz, v double").coalesce(1)
+     .write.option("maxRecordsPerFile", per_file).parquet(str(tmp_path / "events.parquet")))
+    return spark.read.parquet(str(tmp_path / "events.parquet"))
+
+
+def test_lifetimes_stream_equals_batch_whatever_the_micro_batches(spark, tmp_path):
+    import random
+    r = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(r.choice(["hot", "hot", "a", "b"]), t0 + dt.timedelta(minutes=5 * i, seconds=r.randrange(900)),
+             None if r.random() < 0.1 else float(r.randrange(5))) for i in range(300)]
+    rows += [("hot", None, 1.0)]
+    outs = []
+    for per_file in (40, 1000):
+        batch = _changes(spark, tmp_path / str(per_file), rows, per_file)
+        s = st.table_stream(spark, str(tmp_path / str(per_file)), "events", 1)
+        out = st.run_to_table(st.lifetimes_stream(s, "k", "t", "v", 1200), "t_lives")
+        want = st.lifetimes(batch, "k", "t", "v", 1200)
+        key = lambda x: tuple((v is not None, v or 0) for v in x)
+        outs.append(sorted(map(tuple, out.collect()), key=key))
+        assert outs[-1] == sorted(map(tuple, want.collect()), key=key)
+        assert {x[4] for x in outs[-1]} == {"replaced", "expired"}
+    assert outs[0] == outs[1]
+
+
+def test_late_rows_go_to_the_side_table(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    hour = lambda h: t0 + dt.timedelta(hours=h)
+    rows = [("a", hour(0), 1.0), ("a", hour(10), 2.0),           # first micro-batch
+            ("a", hour(3), 3.0), ("a", hour(9.5), 4.0),          # one late, one on time
+            ("a", hour(30), 5.0), ("a", hour(8), 6.0)]           # late as well
+    _changes(spark, tmp_path, rows, 2)
+    source = st.table_stream(spark, str(tmp_path), "events", 1)
+    on_time, late = st.split_late(source, "t", "1 hour", "t_split")
+    assert sorted(r["v"] for r in late.collect()) == [3.0, 6.0]
+    out = st.run_to_table(st.lifetimes_stream(on_time, "k", "t", "v", 3600), "t_split_lives")
+    kept = spark.createDataFrame([x for x in rows if x[2] not in (3.0, 6.0)], "k string, t timestamp_ntz, v double")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, st.lifetimes(kept, "k", "t", "v", 3600).collect()))
+
+
+def test_expiry_timers_equal_batch(spark):
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    notes = en.notifications(st.table_stream(spark, SF_SMALL, "orders"), "o_custkey", "order", "o_orderdate")
+    twice = notes.unionByName(notes)
+    got = st.run_to_table(st.expiry_timer_stream(twice, "created_at", "expires_at"), "t_expiry")
+    mark = orders.agg(F.max("o_orderdate")).first()[0]
+    want = orders.where(F.col("o_orderdate") < F.lit(mark - dt.timedelta(days=30, hours=1))).count()
+    assert got.count() == 2 * want > 0 and got.columns == notes.columns
+
+
+def test_streams_leave_the_session_alone(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    s = st.table_stream(spark, SF_SMALL, "events")
+    assert s.sparkSession.conf.get(key) == st.ROCKSDB and spark.conf.get(key, None) == before
+    assert s.sparkSession.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
