@@ -177,3 +177,69 @@ def code_graph(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = canonical_edges(inheritance_edges(elements).unionByName(call_edges(elements)))
     nodes = elements.select(F.col("element_id").alias("node")).distinct()
     return nodes, edges
+
+
+# ------------------------------------------------------------------ C1, C2 by hubs
+def _call_ends(elements: DataFrame) -> DataFrame:
+    """``node, name, calls, kind``: for calls of functions by bare names and for
+    bases of classes, the referring (``calls`` 1) and the defining end (0)."""
+    def ends(kind: str, refs) -> DataFrame:
+        own = elements.where(F.col("kind") == kind)
+        return own.select(F.col("element_id").alias("node"), F.explode(refs).alias("name"), F.lit(1).alias("calls")) \
+            .unionByName(own.select(F.col("element_id").alias("node"), "name", F.lit(0).alias("calls"))) \
+            .withColumn("kind", F.lit(kind))
+
+    bare = F.filter(F.array_distinct("calls"), lambda c: ~c.contains("."))
+    return ends("function", bare).unionByName(ends("class", F.array_distinct("inheritance"))).where("name is not null")
+
+
+def name_hubs(elements: DataFrame) -> DataFrame:
+    """C1/C2 in linear form: ``node, kind, name, calls, callers, definitions``.
+
+    Instead of one edge per caller and definition, every name with both is a
+    hub that its callers and its definitions are joined to, so a name used in
+    every file costs one row a use.  Counts are partial aggregates; the join
+    back on a hot name is one that adaptive execution can split."""
+    ends = _call_ends(elements)
+    hubs = ends.groupBy("kind", "name").agg(
+        F.count_if(F.col("calls") == 1).alias("callers"), F.count_if(F.col("calls") == 0).alias("definitions"))
+    return ends.join(hubs.where("callers > 0 and definitions > 0"), ["kind", "name"])
+
+
+def hub_degrees(elements: DataFrame) -> DataFrame:
+    """C5 over C1/C2: ``node, out_degree, in_degree``, the definitions a node's
+    references lead to and the references that lead to it, counted with
+    multiplicity and without listing a single edge."""
+    return name_hubs(elements).groupBy("node").agg(
+        F.sum(F.when(F.col("calls") == 1, F.col("definitions")).otherwise(0)).alias("out_degree"),
+        F.sum(F.when(F.col("calls") == 0, F.col("callers")).otherwise(0)).alias("in_degree"))
+
+
+def hub_components(elements: DataFrame) -> DataFrame:
+    """D8 over C1/C2: the components of the graph of all caller-definition
+    edges, found through the hubs; elements without an edge are alone."""
+    from corpusgraph.operators.components import connected_components
+
+    hub = F.struct(F.lit(1).alias("hub"), F.concat_ws(" ", "kind", "name").alias("id"))
+    node = lambda c: F.struct(F.lit(0).alias("hub"), F.col(c).cast("string").alias("id"))
+    edges = name_hubs(elements).select(node("node").alias("src"), hub.alias("dst"))
+    nodes = elements.select(node("element_id").alias("node")).distinct()
+    # elements sort before hubs, so the smallest member is an element
+    return connected_components(nodes, edges).select(
+        F.col("node.id").alias("node"), F.col("community.id").alias("community"))
+
+
+def hub_modularity(elements: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """D6 over C1/C2 (multiplicities kept): ``num_edges, modularity`` of a
+    ``membership(node, community)`` from counts per (name, community): a name's
+    edges inside a community are its callers there times its definitions there."""
+    hubs = name_hubs(elements).join(membership, "node")
+    inside = hubs.groupBy("kind", "name", "community").agg(
+        (F.count_if(F.col("calls") == 1) * F.count_if(F.col("calls") == 0)).alias("inside")) \
+        .groupBy("community").agg(F.sum("inside").alias("inside"))
+    mass = hubs.groupBy("community").agg(
+        F.sum(F.when(F.col("calls") == 1, F.col("definitions")).otherwise(F.col("callers"))).alias("mass"))
+    both = mass.join(inside, "community").select(F.col("mass").cast("double"), F.col("inside").cast("double"))
+    m = both.agg(F.sum("mass")).select(F.col("sum(mass)") / 2).scalar()
+    return both.agg(F.sum(F.col("inside") / m - resolution * F.pow(F.col("mass") / (2 * m), 2)).alias("q")).select(
+        F.coalesce(m, F.lit(0.0)).cast("long").alias("num_edges"), F.coalesce("q", F.lit(0.0)).alias("modularity"))

@@ -316,24 +316,64 @@ ARCHITECTURE_NAMES = {
 # ---------------------------------------------------------------------------
 
 
+def keyword_terms(lang: str = "en") -> list[tuple[str, str]]:
+    """(term, keyword) in the order they count: description terms, then
+    dictionary keywords, then phrases."""
+    return [*DESCRIPTION_TERMS, *((w, w) for w in FUNCTION_WORDS[lang]),
+            *((p.lower(), kw) for p, kw in SPECIAL_PHRASES)]
+
+
 def extract_keywords(functionality, lang: str = "en", k: int = 2) -> Column:
-    """description terms, then dictionary keywords, then phrases — in
-    that order — as found in the lower-cased text; first ``k`` distinct."""
+    """F13 as an expression, for short texts: the terms found in the
+    lower-cased text, first ``k`` distinct keywords."""
     low = F.lower(F.col(functionality) if isinstance(functionality, str) else functionality)
-    found = ([F.when(low.contains(t), F.lit(kw)) for t, kw in DESCRIPTION_TERMS]
-             + [F.when(low.contains(w), F.lit(w)) for w in FUNCTION_WORDS[lang]]
-             + [F.when(low.contains(p.lower()), F.lit(kw)) for p, kw in SPECIAL_PHRASES])
+    found = [F.when(low.contains(t), F.lit(kw)) for t, kw in keyword_terms(lang)]
     return F.slice(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull())), 1, k)
 
 
-def name_from_description(functionality, tags, pattern, lang: str = "en") -> Column:
+def with_keywords(df: DataFrame, functionality: str, lang: str = "en", k: int = 2,
+                  out: str = "keywords") -> DataFrame:
+    """F13 over long texts: ``df`` with the first ``k`` distinct keywords in
+    ``out``.  One automaton of all terms reads each text once, whatever the
+    number of terms.  Null text has none."""
+    terms = keyword_terms(lang)
+    places: dict[str, list[int]] = {}
+    for i, (t, _) in enumerate(terms):
+        places.setdefault(t, []).append(i)
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for t, at in places.items():
+            automaton.add_word(t, at)
+        automaton.make_automaton()
+
+        def keywords(text):
+            met = {i for _, at in automaton.iter(text or "") for i in at}
+            return list(dict.fromkeys(terms[i][1] for i in sorted(met)))[:k]
+
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                cut = b.slice(i, 256)
+                found = [keywords(t) for t in cut.column(cut.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*cut.columns[:-1], pa.array(found, pa.list_(pa.string()))], [*cut.schema.names[:-1], out])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.withColumn("_low", F.lower(functionality)).mapInArrow(run, f"{kept}, {out} array<string>")
+
+
+def name_from_description(functionality, tags, pattern, lang: str = "en", keywords=None) -> Column:
     """keywords of the functionality → name; else the first two tags
     that are dictionary words (or the first tag title-cased); the
-    architecture pattern only when there is neither text nor tags."""
+    architecture pattern only when there is neither text nor tags.
+    ``keywords``: those of ``with_keywords``, if already there."""
     fn = F.col(functionality) if isinstance(functionality, str) else functionality
     tg = F.coalesce(F.col(tags) if isinstance(tags, str) else tags, F.array().cast("array<string>"))
     pt = F.col(pattern) if isinstance(pattern, str) else pattern
-    kws = extract_keywords(fn, lang)
+    kws = extract_keywords(fn, lang) if keywords is None else F.col(keywords)
     words = F.create_map(*[x for k2, v in FUNCTION_WORDS[lang].items() for x in (F.lit(k2), F.lit(v))])
     known = F.filter(F.slice(tg, 1, 2), lambda t: F.element_at(words, t).isNotNull())
     tag_name = F.when(F.size(known) > 0, F.concat(F.array_join(F.transform(known, lambda t: F.element_at(words, t)),

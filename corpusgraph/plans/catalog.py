@@ -12,6 +12,7 @@ PLAN_MODULES = (
     "corpusgraph.plans.community_queries",
     "corpusgraph.plans.stream_queries",
     "corpusgraph.plans.answer_queries",
+    "corpusgraph.plans.code_queries",
 )
 
 
