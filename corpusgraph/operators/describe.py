@@ -119,3 +119,29 @@ def prompt_text(digest_col: str = "digest", size_col: str = "size", cohesion_col
         "Members: %s. Answer as JSON with functionality, architecture_pattern, "
         "design_quality, refactor_suggestions, functional_tags, external_dependencies.",
         F.col(size_col), F.col(cohesion_col), F.col(coupling_col), F.col(digest_col))
+
+
+ELEMENT_CHARS = 2000   # fixed value: so much of an element's code is sent
+
+
+def element_prompt(code, chars: int = ELEMENT_CHARS) -> Column:
+    """one request text per element (our own wording) with the first
+    ``chars`` characters of its code; null code is empty."""
+    return F.concat(
+        F.lit("Analyse this code and answer as JSON with functionality, complexity (1-10), quality (1-10), "
+              "suggestions, tags, dependencies.\n\n"),
+        F.left(F.coalesce(F.col(code) if isinstance(code, str) else code, F.lit("")), F.lit(chars)))
+
+
+def naming_prompt(context: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``community, prompt``, one naming request per community (our own
+    wording) from its size and the samples of ``naming.context_sample``."""
+    def listing(c: str) -> Column:
+        return F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), ", ")
+
+    j = sizes.select("community", "size").join(context, "community", "left")
+    return j.select("community", F.concat(
+        F.lit("Name this code community in two to six words by what it does.\nId: "), F.col("community").cast("string"),
+        F.lit("\nMembers: "), F.col("size").cast("string"), F.lit("\nFiles: "), listing("files"),
+        F.lit("\nFunctions: "), listing("functions"), F.lit("\nClasses: "), listing("classes"),
+        F.lit("\nAnswer with the name alone.")).alias("prompt"))

@@ -243,3 +243,15 @@ def community_profiles(membership: DataFrame, details: DataFrame, elements: Data
                          F.count_if(F.col("size") >= min_size).alias("kept"),
                          F.count_if(F.col("size") < min_size).alias("filtered"))
     return kept.join(members.groupBy("community").agg(F.count("*").alias("members")), "community"), counts
+
+
+def profile_elements(membership: DataFrame, details: DataFrame, elements: DataFrame,
+                     min_size: int = 5) -> DataFrame:
+    """The element rows of the profiled communities, ``community, node,
+    kind, name, file_path, docstring``, one row for each member that is an
+    element; a long table, so a community of any size spreads over tasks."""
+    kept = details.where(F.col("size") >= min_size).select("community")
+    cols = ["kind", "name", "file_path", "docstring"]
+    own = elements.select("node", *[F.col(c) if c in elements.columns else F.lit(None).cast("string").alias(c)
+                                    for c in cols])
+    return membership.join(kept, "community", "left_semi").join(own, "node").select("community", "node", *cols)

@@ -15,15 +15,15 @@ reg = Registry()
 
 
 def _record(spark_cols=True):
-    return F.to_json(F.struct(F.left(F.col("text"), F.lit(80)).alias("functionality"),
+    return F.to_json(F.struct(F.col("text").alias("functionality"),
                               (F.col("turn") + 1).alias("complexity"),
                               F.length("role").alias("quality"),
-                              F.array("role", F.left("text", F.lit(5))).alias("suggestions"),
-                              F.array(F.left("role", F.lit(1))).alias("tags")))
+                              F.array("role", "text").alias("suggestions"),
+                              F.array("role").alias("tags")))
 
 
-REC_SQL = ("json_object('functionality', left(text, 80), 'complexity', turn + 1, 'quality', length(role), "
-           "'suggestions', [role, left(text, 5)], 'tags', [left(role, 1)])")
+REC_SQL = ("json_object('functionality', text, 'complexity', turn + 1, 'quality', length(role), "
+           "'suggestions', [role, text], 'tags', [role])")
 #: The list fields joined; the records hold no dependencies.
 LISTS_SQL = """
   CASE WHEN ok THEN array_to_string(json_extract(js, '$.suggestions')::VARCHAR[], ';') ELSE '' END AS suggestions,

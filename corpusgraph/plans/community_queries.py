@@ -15,6 +15,7 @@ from corpusgraph.operators import communities as cm
 from corpusgraph.operators import components as cc
 from corpusgraph.operators import describe as ds
 from corpusgraph.operators import graph as g
+from corpusgraph.operators import naming as nm
 from corpusgraph.operators import quality as qm
 from corpusgraph.plans.common import Registry, rounded
 from corpusgraph.plans.graph_queries import DETAILS_CTE, doc_graph
@@ -289,3 +290,50 @@ def q_brand_prompts(spark, sf_dir):
     det = qm.community_details(membership, edges)
     j = det.join(ds.member_digest(membership, 20), "community")
     return j.select("community", ds.prompt_text().alias("prompt"))
+
+
+@reg.add("brand_profile_elements", """
+WITH pn AS (SELECT p_name || '_' || p_partkey::VARCHAR AS node, p_brand AS community, p_name, p_type FROM part),
+kept AS (SELECT community FROM pn GROUP BY community HAVING count(*) >= 5)
+SELECT community, node, p_type AS kind, p_name AS name, community AS file_path, NULL::VARCHAR AS docstring
+FROM pn JOIN kept USING (community)
+""")
+def q_brand_profile_elements(spark, sf_dir):
+    """The element rows of the profiled brands, parts as elements."""
+    membership, edges = part_graph(spark, sf_dir)
+    elements = table(spark, sf_dir, "part").select(
+        F.concat_ws("_", "p_name", F.col("p_partkey").cast("string")).alias("node"), F.col("p_type").alias("kind"),
+        F.col("p_name").alias("name"), F.col("p_brand").alias("file_path"))
+    return qm.profile_elements(membership, qm.community_details(membership, edges), elements)
+
+
+@reg.add("document_element_prompts", """
+SELECT doc_id, 'Analyse this code and answer as JSON with functionality, complexity (1-10), quality (1-10), '
+  || 'suggestions, tags, dependencies.' || chr(10) || chr(10) || left(coalesce(text, ''), 2000) AS prompt
+FROM documents
+""")
+def q_document_element_prompts(spark, sf_dir):
+    """one element request per document; the cut at 2000 characters is
+    the request's own."""
+    return table(spark, sf_dir, "documents").select("doc_id", ds.element_prompt("text").alias("prompt"))
+
+
+@reg.add("brand_naming_prompts", """
+WITH pn AS (SELECT p_brand AS community, p_name, p_type FROM part),
+f AS (SELECT community, array_to_string(list(v ORDER BY v), ', ') AS t FROM (
+  SELECT DISTINCT community, p_name AS v FROM pn QUALIFY dense_rank() OVER (PARTITION BY community ORDER BY p_name) <= 5)
+  GROUP BY community),
+n AS (SELECT community, count(*) AS size FROM pn GROUP BY community)
+SELECT community, 'Name this code community in two to six words by what it does.' || chr(10) || 'Id: ' || community
+  || chr(10) || 'Members: ' || size || chr(10) || 'Files: ' || coalesce(t, '') || chr(10) || 'Functions: '
+  || coalesce(t, '') || chr(10) || 'Classes: ' || chr(10) || 'Answer with the name alone.' AS prompt
+FROM n LEFT JOIN f USING (community)
+""")
+def q_brand_naming_prompts(spark, sf_dir):
+    """one naming request per brand, parts as functions in files of
+    their names."""
+    membership, edges = part_graph(spark, sf_dir)
+    elements = table(spark, sf_dir, "part").select(
+        F.concat_ws("_", "p_name", F.col("p_partkey").cast("string")).alias("node"), F.col("p_name").alias("name"),
+        F.lit("function").alias("kind"), F.concat(F.lit("src/"), "p_name", F.lit(".py")).alias("file_path"))
+    return ds.naming_prompt(nm.context_sample(membership, elements), qm.community_details(membership, edges))

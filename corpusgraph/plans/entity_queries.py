@@ -124,23 +124,25 @@ def q_key_violations(spark, sf_dir):
                        table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
 
 
-#: Not the real references (see ``key_violations``) but derived ones: keys are
-#: shifted by 5 and names cut to 17 characters, so that references past the
-#: last customer or part dangle and names repeat.
-@reg.add("integrity_violations", """
+#: Not the real references (see ``key_violations``) but derived ones, so that
+#: every rule reports rows: keys are shifted by 5, which leaves the references
+#: to the last customers and parts dangling, and segment and nation stand for
+#: the customer's name, which then repeats.
+@reg.add("derived_key_violations", """
 SELECT 'order_customer_missing' AS rule, o_orderkey::VARCHAR AS id FROM orders
   WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey + 5)
 UNION ALL
 SELECT 'line_part_missing', l_orderkey::VARCHAR || '/' || l_linenumber::VARCHAR FROM lineitem
   WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey + 5)
 UNION ALL
-SELECT 'customer_name_duplicate', substr(c_name, 1, 17) FROM customer
-  GROUP BY substr(c_name, 1, 17) HAVING count(*) > 1
+SELECT 'customer_name_duplicate', c_mktsegment || '/' || c_nationkey FROM customer
+  GROUP BY c_mktsegment || '/' || c_nationkey HAVING count(*) > 1
 """)
-def q_integrity_violations(spark, sf_dir):
+def q_derived_key_violations(spark, sf_dir):
     return _violations(
         table(spark, sf_dir, "orders").withColumn("o_custkey", F.col("o_custkey") + 5),
-        table(spark, sf_dir, "customer").withColumn("c_name", F.substring("c_name", 1, 17)),
+        table(spark, sf_dir, "customer").withColumn("c_name", F.concat_ws(
+            "/", "c_mktsegment", F.col("c_nationkey").cast("string"))),
         table(spark, sf_dir, "lineitem").withColumn("l_partkey", F.col("l_partkey") + 5),
         table(spark, sf_dir, "part"))
 

@@ -1,9 +1,8 @@
 """Sources and sinks around the analysis.
 
-Writers are plain DataFrame writers (sharded, one file per partition);
-documents that the reference writes as one JSON/Markdown file are built as
-rows with ``to_json`` / ``concat_ws`` and written with ``write.text``.
-Nothing is collected to the driver.
+Writers are plain DataFrame writers (sharded, one file per partition).
+Documents with arrays of any size are folders of numbered shards with a
+manifest (``write_document``).  No array and no data row passes the driver.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpusgraph.operators import tabular as tb
+from corpusgraph.session import cut_lineage
 
 GRAPH_FORMATS = ("edgelist", "json", "graphml", "gexf")
 DEFAULT_NAME_PREFIX = "Community "
@@ -118,13 +118,94 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str, fmt: str = "edge
 
 
 # ------------------------------------------------------------------ A6, A7, A9
-def results_document(summary: DataFrame, communities: DataFrame, stamp_col=None) -> DataFrame:
-    """One JSON text ``{timestamp, analysis, communities}``; the
-    community rows are nested as an array (a report-sized table)."""
-    comm = communities.agg(F.collect_list(F.struct(*communities.columns))).scalar()
-    return summary.select(F.to_json(F.struct(
-        (stamp_col if stamp_col is not None else F.current_timestamp().cast("string")).alias("timestamp"),
-        F.struct(*summary.columns).alias("analysis"), comm.alias("communities"))).alias("json"))
+#: Elements of a shard of a document's array.
+SHARD_ROWS = 1_000_000
+
+
+def _shard_number(file: str) -> tuple[int, int]:
+    """A part file's task and its number among the task's files."""
+    import re
+    task, own = re.match(r"part-(\d+)-.*-c(\d+)", file).groups()
+    return int(task), int(own)
+
+
+def write_document(header: DataFrame, arrays: dict[str, DataFrame], path: str,
+                   order: dict[str, list[str]] | None = None, formats: dict[str, str] | None = None,
+                   shard_rows: int = SHARD_ROWS) -> None:
+    """A document whose arrays may be larger than a task, as a folder: each
+    array is a folder of numbered shards of at most ``shard_rows`` elements, one
+    a line, in the order of its columns ``order`` over all shards, and ``manifest`` is one JSON line
+    with the header's row (``header``) and, per array, its ``shards`` in order
+    with their ``rows``.  An array in the format ``text`` has one column, the
+    lines; the others are JSON.  The manifest comes last, so a folder without
+    one is not finished.  The driver reads one row a shard."""
+    spark = header.sparkSession
+    listed = []
+    for name, rows in arrays.items():
+        at, kind = f"{path}/{name}", (formats or {}).get(name, "json")
+        keys = (order or {}).get(name)
+        rows = rows.orderBy(*keys) if keys else rows
+        out = rows.select(rows.columns[0]) if kind == "text" else rows.select(
+            F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+        out.write.mode("overwrite").option("maxRecordsPerFile", shard_rows).text(at)
+        counts = {r["f"]: r["n"] for r in spark.read.schema("value string").text(at).groupBy(
+            F.element_at(F.split(F.input_file_name(), "/"), -1).alias("f")).agg(F.count("*").alias("n")).collect()}
+        listed.append((name, [(f"{name}/{f}", counts[f]) for f in sorted(counts, key=_shard_number)]))
+    shards = spark.createDataFrame(listed, "name string, shards array<struct<file:string,rows:long>>").coalesce(1)
+    one = shards.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("name", "shards"))).alias("arrays"))
+    head = header.groupBy().agg(F.first(F.struct(*header.columns)).alias("header"))
+    one.select(F.to_json(F.struct(head.scalar().alias("header"), "arrays"), {"ignoreNullFields": "false"}).alias(
+        "value")).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def read_document(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """The elements of a document's JSON array with ``shard``, their shard's
+    number in the manifest; without a manifest the folder is not read."""
+    manifest = spark.read.text(f"{path}/manifest").select(F.from_json(
+        "value", "arrays map<string, array<struct<file:string,rows:long>>>")["arrays"][name].alias("s"))
+    shards = manifest.select(F.posexplode("s").alias("shard", "s")).select(
+        "shard", F.element_at(F.split("s.file", "/"), -1).alias("file"))
+    lines = spark.read.schema("value string").text(f"{path}/{name}").select(
+        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.from_json("value", schema).alias("e"))
+    return lines.join(shards, "file").select("shard", "e.*")
+
+
+def write_results(summary: DataFrame, communities: DataFrame, path: str, order: list[str] | None = None,
+                  stamp=None, shard_rows: int = SHARD_ROWS) -> None:
+    """``{timestamp, analysis}`` with the communities as a sharded array."""
+    stamp = stamp if stamp is not None else F.current_timestamp().cast("string")
+    header = summary.select(stamp.alias("timestamp"), F.struct(*summary.columns).alias("analysis"))
+    write_document(header, {"communities": communities}, path, {"communities": order or communities.columns[:1]},
+                   shard_rows=shard_rows)
+
+
+def write_descriptions(descriptions: DataFrame, path: str, order: list[str] | None = None, stamp=None,
+                       shard_rows: int = SHARD_ROWS) -> None:
+    """The descriptions, numbered from 1 by ``order``, as sharded JSON
+    (``descriptions``) and Markdown (``report``, a title and one section each).
+    A missing field reads ``N/A``; absent lists leave their part out."""
+    order = order or ["community"]
+    d = cut_lineage(number_rows(descriptions, order))
+    have = set(descriptions.columns)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A")) if c in have else F.lit("N/A")
+    lists = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")) if c in have else F.array().cast("array<string>")
+    advice, tags = lists("refactor_suggestions"), lists("functional_tags")
+    section = F.concat_ws(
+        "\n", F.format_string("## %d. Community %s", F.col("number"), F.col("community").cast("string")), F.lit(""),
+        F.concat(F.lit("**Functionality**: "), text("functionality")), F.lit(""),
+        F.concat(F.lit("**Architecture pattern**: "), text("architecture_pattern")), F.lit(""),
+        F.concat(F.lit("**Design quality**: "), text("design_quality"), F.lit("/10")), F.lit(""),
+        F.when(F.size(advice) > 0, F.concat(F.lit("**Refactoring suggestions**:\n- "), F.array_join(advice, "\n- "), F.lit("\n"))),
+        F.when(F.size(tags) > 0, F.concat(F.lit("**Tags**: "), F.array_join(tags, ", "), F.lit("\n"))), F.lit("---"), F.lit(""))
+    n = d.agg(F.count("*")).scalar()
+    stamp = stamp if stamp is not None else F.current_timestamp().cast("string")
+    title = d.sparkSession.range(1).select(F.concat(
+        F.lit("# Community descriptions\n\nGenerated: "), stamp, F.lit("\nCommunities: "), n.cast("string"),
+        F.lit("\n")).alias("line"), F.lit(0).cast("long").alias("number"))
+    report = title.unionByName(d.select(section.alias("line"), "number"))
+    header = d.sparkSession.range(1).select(stamp.alias("timestamp"), n.alias("communities"))
+    write_document(header, {"descriptions": d, "report": report}, path,
+                   {"descriptions": ["number"], "report": ["number"]}, {"report": "text"}, shard_rows)
 
 
 def report_sections(descriptions: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -161,7 +242,6 @@ def number_rows(df: DataFrame, order_cols: list[str]) -> DataFrame:
     cannot renumber); per-partition counts (one row per partition) give the
     offsets.  ``order_cols`` should be unique for a deterministic numbering.
     """
-    from corpusgraph.session import cut_lineage
     mask = (1 << 33) - 1
     frozen = cut_lineage(df.orderBy(*order_cols)
                          .withColumn("_pid", F.spark_partition_id())
@@ -177,13 +257,14 @@ def number_rows(df: DataFrame, order_cols: list[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ A8
 def related_files(membership: DataFrame, elements: DataFrame | None = None) -> DataFrame:
-    """Per community the distinct sorted files: the part before the
-    first ``:`` of each node plus each element's file path."""
+    """``community, file``, one row for each distinct file of a community:
+    the part before the first ``:`` of each node and each element's file path.
+    ``write_document`` with order (community, file) writes them sorted."""
     files = membership.select("community", F.split("node", ":")[0].alias("file"))
     if elements is not None:
         files = files.unionByName(membership.join(elements.select("node", "file_path"), "node")
                                   .select("community", F.col("file_path").alias("file")))
-    return files.distinct().groupBy("community").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return files.where(F.col("file").isNotNull()).distinct()
 
 
 def short_path(path) -> F.Column:

@@ -58,10 +58,19 @@ def test_report_sections_order_and_titles(spark):
 
 def test_results_document_and_entities(spark):
     summ = spark.createDataFrame([(5, 10, 20)], "total_files int, total_classes int, total_functions int")
-    comm = spark.createDataFrame([(3, 0.5)], "num_communities int, modularity double")
-    doc = json.loads(sk.results_document(summ, comm, F.lit("t0")).first()["json"])
-    assert doc["analysis"]["total_files"] == 5 and doc["communities"][0]["modularity"] == 0.5
+    comm = spark.range(5000).selectExpr("(id * 7919) % 5000 as community", "0.5D as modularity", "cast(null as string) name")
     d = scratch()
+    sk.write_results(summ, comm, f"{d}/res", stamp=F.lit("t0"), shard_rows=700)
+    doc = json.loads(spark.read.text(f"{d}/res/manifest").first()["value"])
+    assert doc["header"] == {"timestamp": "t0", "analysis": {"total_files": 5, "total_classes": 10, "total_functions": 20}}
+    shards = doc["arrays"]["communities"]
+    assert len(shards) > 1 and sum(x["rows"] for x in shards) == 5000
+    lines = [line for x in shards for line in open(f"{d}/res/{x['file']}", encoding="utf-8")]
+    assert [json.loads(x)["community"] for x in lines] == list(range(5000))
+    back = sk.read_document(spark, f"{d}/res", "communities", "community long, modularity double, name string")
+    assert back.agg(F.count("*"), F.sum("community"), F.max("shard")).first() == (5000, 5000 * 4999 // 2, len(shards) - 1)
+    sk.write_results(summ, comm.limit(0), f"{d}/none")
+    assert json.loads(spark.read.text(f"{d}/none/manifest").first()["value"])["arrays"] == {"communities": []}
     sk.export_entities({"users": spark.createDataFrame([(1, "a")], "id int, name string"),
                         "tasks": spark.createDataFrame([(7,)], "id int")}, f"{d}/out")
     assert {"entity=tasks", "entity=users"} <= set(os.listdir(f"{d}/out"))
@@ -89,8 +98,15 @@ def test_core_communities_json_and_csv(spark):
 def test_related_files_short_path(spark):
     memb = spark.createDataFrame([("pkg/src/a.py:f", 1), ("pkg/src/a.py:g", 1), ("b.py:h", 1)],
                                  "node string, community int")
-    files = sk.related_files(memb).first()["files"]
-    assert files == ["b.py", "pkg/src/a.py"]
+    assert sorted(map(tuple, sk.related_files(memb).collect())) == [(1, "b.py"), (1, "pkg/src/a.py")]
+    el = spark.createDataFrame([("b.py:h", "other.py"), ("b.py:h", None)], "node string, file_path string")
+    assert sk.related_files(memb, el).where("file = 'other.py'").count() == 1
+    hot = spark.range(20_000).selectExpr("concat('f', id, '.py:x') node", "1 community")
+    d = scratch()
+    sk.write_document(spark.range(1), {"files": sk.related_files(hot)}, f"{d}/f", {"files": ["community", "file"]}, shard_rows=3000)
+    shards = json.loads(spark.read.text(f"{d}/f/manifest").first()["value"])["arrays"]["files"]
+    got = [json.loads(line)["file"] for x in shards for line in open(f"{d}/f/{x['file']}", encoding="utf-8")]
+    assert len(shards) > 1 and got == sorted(f"f{i}.py" for i in range(20_000))
     r = spark.createDataFrame([("repo/src/x/y.py",), ("deep/dir/z.py",)], "p string") \
         .select(sk.short_path("p").alias("s")).collect()
     assert [x["s"] for x in r] == ["src/x/y.py", "dir/z.py"]
@@ -122,3 +138,23 @@ def test_analysis_summaries_from_json(spark):
     levels, big = sk.resolution_levels_from_json(spark, f"{d}/hier.json")
     assert sorted((r["resolution"], r["num_communities"]) for r in levels.collect()) == [(0.5, 3), (2.0, 2)]
     assert [(r["community"], r["size"]) for r in big.orderBy("rank").collect()] == [("0", 9), ("2", 6)]
+
+
+def test_descriptions_as_json_and_markdown(spark):
+    rows = [(f"c{i:04d}", f"does {i}" if i else None, ["api"] if i % 2 else [], ["split"] if i % 3 else None, 7)
+            for i in range(3000)]
+    desc = spark.createDataFrame(rows, "community string, functionality string, functional_tags array<string>, "
+                                       "refactor_suggestions array<string>, design_quality int").repartition(7)
+    d = scratch()
+    sk.write_descriptions(desc, f"{d}/out", stamp=F.lit("t0"), shard_rows=900)
+    doc = json.loads(spark.read.text(f"{d}/out/manifest").first()["value"])
+    assert doc["header"] == {"timestamp": "t0", "communities": 3000}
+    read = lambda name: [x for f in doc["arrays"][name] for x in open(f"{d}/out/{f['file']}", encoding="utf-8")]
+    recs = [json.loads(x) for x in read("descriptions")]
+    assert [(r["number"], r["community"]) for r in recs] == [(i + 1, f"c{i:04d}") for i in range(3000)]
+    text = "".join(read("report"))
+    assert text.startswith("# Community descriptions\n\nGenerated: t0\nCommunities: 3000\n")
+    heads = [x for x in text.split("\n") if x.startswith("## ")]
+    assert heads == [f"## {i + 1}. Community c{i:04d}" for i in range(3000)]
+    assert "**Functionality**: N/A" in text and "**Architecture pattern**: N/A" in text and "- split" in text
+    assert len(doc["arrays"]["report"]) > 1
