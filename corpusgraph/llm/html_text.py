@@ -23,6 +23,13 @@ other text fall out, if below the threshold.  Text is judged with its block
 (runs of text and inline elements beside blocks only if they hold links), and a
 heading goes with the block after it.
 
+A page with exactly one article element that is not set apart is judged inside
+it alone, with the headings right before it or what holds it.  Elsewhere three
+or more sisters of one name, class and make-up, each a short name, something
+dated or to click, and a text, are reader comments if they hold less than half
+of the page's plain text.  A button stays in where its parent's own text is
+longer, as in a sentence.
+
 Text: character references decoded, white space inside a block one space,
 blocks trimmed and joined by a line feed in page order; nothing is dropped
 or cut otherwise.
@@ -64,6 +71,19 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 _SHIELD = frozenset({"table", "td", "th", "button", "caption", "object", "template", "html"})
+#: For "p" and each of these a bit tells whether one that the start tag closes is
+#: open and not shielded, so that no start tag has to look for it.
+_FAMILIES = {"p": ({"p"}, _SHIELD | {"body"}),
+             **{k: (names, shields | {"body"}) for k, (names, shields) in CLOSES.items()}}
+_BIT = {family: 1 << i for i, family in enumerate(_FAMILIES)}
+
+
+def _mask(name: str) -> tuple[int, int]:
+    """Bits that an element of this name sets and keeps for what it holds."""
+    sets = sum(_BIT[f] for f, (names, _) in _FAMILIES.items() if name in names)
+    return sets, ~sum(_BIT[f] for f, (_, shields) in _FAMILIES.items() if name in shields)
+
+
 #: Classes, ids and roles that mark what is not the article.
 _APART = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion "
@@ -89,10 +109,14 @@ _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 class Node:
     __slots__ = ("name", "parent", "kids", "apart", "chars", "tags", "link_chars", "link_tags",
-                 "density", "sum", "block", "top", "keep", "whole", "plain", "named")
-
-    def __init__(self, name: str, parent: Node | None, apart: int = 0) -> None:
-        self.name, self.parent, self.apart = name, parent, apart
+                 "density", "sum", "block", "top", "keep", "whole", "plain", "named", "mark", "open", "scope")
+
+    def __init__(self, name: str, parent: Node | None, apart: int = 0, mark: str = "") -> None:
+        self.name, self.parent, self.apart, self.mark = name, parent, apart, mark
+        sets, keeps = _mask(name)
+        self.open = (parent.open if parent else 0) & keeps | sets
+        #: open elements by name, up to the next shield
+        self.scope: dict[str, int] = {} if parent is None or name in _SHIELD else parent.scope
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -108,20 +132,22 @@ def _names_apart(token: str) -> bool:
         w in _APART or w in (_WHICH if i < named[0] else _AFTER) for i, w in enumerate(words))
 
 
-def _set_apart(name: str, attributes: str) -> int:
-    """0: not; 1: by its layout name, role, class or id; 2: never article text."""
+def _set_apart(name: str, attributes: str) -> tuple[int, str]:
+    """0: not; 1: by its layout name, role, class or id; 2: never article text.
+    And the class."""
     if name in SKIP and name not in LAYOUT:
-        return 2
-    apart = int(name in LAYOUT)
+        return 2, ""
+    apart, mark = int(name in LAYOUT), ""
     for m in _ATTR.finditer(attributes) if name not in ("body", "html", "article", "main") else ():
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        mark = value if key == "class" else mark
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return 2
+            return 2, mark
         if key in ("class", "id", "role") and any(map(_names_apart, value.split())):
             apart = 1
         if key == "style" and "display:none" in value.lower().replace(" ", ""):
-            return 2
-    return apart
+            return 2, mark
+    return apart, mark
 
 
 def _take_back(root: Node) -> None:
@@ -148,6 +174,84 @@ def _take_back(root: Node) -> None:
             x.apart = 0
 
 
+def _text(x: Node) -> str:
+    """All text under a node, white space as one space."""
+    out, stack = [], [x]
+    while stack:
+        y = stack.pop()
+        if isinstance(y, str):
+            out.append(y)
+        else:
+            stack.extend(reversed(y.kids))
+    return " ".join("".join(out).split())
+
+
+_NAME, _RECORD, _FEW = 40, 1000, 3
+
+
+def _is_comment(x: Node) -> bool:
+    """A short name first, something dated or to click, and a text."""
+    parts = [k for k in x.kids if isinstance(k, Node)]
+    if len(parts) < 3 or x.plain > _RECORD or parts[0].name in HEADINGS:
+        return False
+    texts = [_text(k) for k in parts]
+    dated = [len(t) <= _NAME and (k.name in ("time", "a", "button") or any(c.isdigit() for c in t))
+             for k, t in zip(parts, texts)]
+    words = max((len(t.split()) for t, d in zip(texts[1:], dated[1:]) if not d), default=0)
+    return (0 < len(texts[0]) <= _NAME and texts[0][-1] not in ".!?:;," and any(dated[1:])
+            and words > len(texts[0].split()))
+
+
+def _comments_apart(root: Node) -> None:
+    """Sets reader comments without a telling name apart, by their make-up; and
+    keeps a button's text where it is part of a sentence."""
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        groups: dict[tuple, list[Node]] = {}
+        own = sum(len(k.strip()) for k in x.kids if isinstance(k, str))
+        for k in x.kids:
+            if isinstance(k, Node):
+                if k.name == "button" and own > len(_text(k)):
+                    k.apart = 0
+                if not k.apart:
+                    stack.append(k)
+                    if k.name in BLOCK and k.plain <= _RECORD:
+                        made = tuple(y.name for y in k.kids if isinstance(y, Node))
+                        groups.setdefault((k.name, k.mark, made), []).append(k)
+        for like in groups.values():
+            if len(like) >= _FEW and 2 * sum(k.plain for k in like) < root.plain and all(map(_is_comment, like)):
+                for k in like:
+                    k.apart = 1
+
+
+def _lone_article(root: Node) -> Node | None:
+    """The only article element that is not set apart, if it holds text."""
+    found, stack = [], [root]
+    while stack and len(found) < 2:
+        x = stack.pop()
+        if x.name == "article":
+            found.append(x)
+        stack.extend(k for k in x.kids if isinstance(k, Node) and not k.apart)
+    return found[0] if len(found) == 1 and found[0].plain else None
+
+
+def _headings_before(x: Node) -> list[Node]:
+    """The headings right before a node, or before what holds it, in page order."""
+    out: list[Node] = []
+    while x.parent is not None:
+        here = []
+        at = next(i for i, k in enumerate(x.parent.kids) if k is x)
+        for k in reversed(x.parent.kids[:at]):
+            if isinstance(k, Node) and k.name in HEADINGS and not k.apart:
+                here.append(k)
+            elif isinstance(k, Node) and not k.apart or isinstance(k, str) and not k.isspace():
+                break
+        out = here[::-1] + out
+        x = x.parent
+    return out
+
+
 def parse(page: str) -> Node:
     """The tree of a page; the root is named ``html``."""
     root = Node("html", None)
@@ -155,6 +259,7 @@ def parse(page: str) -> Node:
     here = root
 
     def close(names, shields) -> None:
+        """Closes the nearest of ``names`` that is known to be open."""
         nonlocal here
         x = here
         while x.parent is not None and x.name not in names:
@@ -162,8 +267,20 @@ def parse(page: str) -> Node:
                 return
             x = x.parent
         if x.parent is not None:
-            here = x.parent
+            while here is not x.parent:
+                leave(here)
+                here = here.parent
+
+    def leave(x: Node) -> None:
+        x.parent.scope[x.name] -= 1
+        opened[x.name] -= 1
+
+    def enter(x: Node) -> Node:
+        x.parent.scope[x.name] = x.parent.scope.get(x.name, 0) + 1
+        opened[x.name] = opened.get(x.name, 0) + 1
+        return x
 
+    opened: dict[str, int] = {}
     while at < size:
         begin = page.find("<", at)
         m = None
@@ -180,32 +297,35 @@ def parse(page: str) -> Node:
         at = m.end()
         if m[1]:
             name = m[1].lower()
-            if name == "p" or name not in ("body", "html"):
-                close({name}, frozenset() if name in _SHIELD else _SHIELD - {name})
+            if name in _SHIELD:
+                if name != "html" and opened.get(name):
+                    close({name}, frozenset())
+            elif name != "body" and here.scope.get(name):
+                close({name}, _SHIELD)
         elif m[2] and m[4]:
             name = m[2].lower()
             if name in ("html", "body"):
                 if name == "body" and body is root:
                     while here.parent is not None:
+                        leave(here)
                         here = here.parent
-                    body = here = _add(here, Node("body", here))
+                    body = here = enter(_add(here, Node("body", here)))
                 continue
-            if name in BLOCK:
-                close({"p"}, _SHIELD | {"body"})
+            if name in BLOCK and here.open & _BIT["p"]:
+                close(*_FAMILIES["p"])
             if name in CLOSES:
-                names, shields = CLOSES[name]
                 for _ in range(3):
-                    before = here
-                    close(names, shields | {"body"})
-                    if here is before:
+                    if not here.open & _BIT[name]:
                         break
-            node = _add(here, Node(name, here, _set_apart(name, m[3])))
+                    close(*_FAMILIES[name])
+            node = _add(here, Node(name, here, *_set_apart(name, m[3])))
             if name in RAW:
                 done = re.compile(f"</{name}[^>]*>", re.I).search(page, at)
                 at = done.end() if done else size
             elif name not in VOID and not (m[3].endswith("/") and name in ("svg", "path", "math")):
-                here = node
+                here = enter(node)
     _take_back(root)
+    _comments_apart(root)
     return root
 
 
@@ -258,7 +378,7 @@ def measure(body: Node) -> list[Node]:
 
 def select(root: Node) -> tuple[Node, float]:
     """Marks what is kept; the body and the threshold."""
-    body = next((k for k in root.kids if isinstance(k, Node) and k.name == "body"), root)
+    body = _lone_article(root) or next((k for k in root.kids if isinstance(k, Node) and k.name == "body"), root)
     nodes = measure(body)
     for x in reversed(nodes):
         x.top = x
@@ -362,7 +482,11 @@ def blocks(body: Node, threshold: float) -> list[str]:
 
 def main_text(page: str | None) -> str:
     """The main text of one page."""
-    return "\n".join(blocks(*select(parse(page)))) if page else ""
+    if not page:
+        return ""
+    body, threshold = select(parse(page))
+    heads = [_text(h) for h in _headings_before(body)] if body.name == "article" else []
+    return "\n".join([h for h in heads if h] + blocks(body, threshold))
 
 
 def extract(pages: DataFrame) -> DataFrame:

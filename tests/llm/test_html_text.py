@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 from corpusgraph.llm import html_text as H
 
@@ -37,6 +39,12 @@ def test_references_space_and_damage():
         assert H.main_text(odd) == ""
     deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000
     assert H.main_text(deep) == "deep"
+    began = time.time()
+    for inner in ("<div>" * 200_000 + "deep", "<div>" * 100_000 + "</span>" * 100_000 + "deep",
+                  "<p><table>" + "<div>" * 100_000 + "<td></td>" * 1000 + "deep",
+                  "<li><ul>" + "<b>" * 50_000 + "<i></i></li>" * 50_000 + "deep"):
+        assert H.main_text(inner) == "deep"
+    assert time.time() - began < 30
     assert H.main_text("<p>" + "word " * 200_000) == " ".join(["word"] * 200_000)
 
 
@@ -97,3 +105,51 @@ def test_layout_around_the_article_stays_in():
 def test_formulas_stay_in():
     out = H.main_text(page(f"{PARAGRAPH}<p>Then <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>"))
     assert out == f"{WORDS}\nThen x=1 holds."
+
+
+POSTS = "".join(f"<div class=post><span>Reader {w}</span><time>May {i}</time><p>I think so too, {w}.</p></div>"
+                for i, w in enumerate("one two three four five six seven eight nine ten".split()))
+
+
+def test_unnamed_comments_stay_out():
+    assert H.main_text(page(f"<article>{PARAGRAPH * 2}</article><div class=thread>{POSTS}</div>")) == \
+        "\n".join([WORDS] * 2)
+    assert H.main_text(page(f"<article><p>Short.</p></article><div>{PARAGRAPH}</div>")) == "Short."
+    for body in (f"<div>{PARAGRAPH * 5}</div><div class=x1>{POSTS}</div>", f"<div>{PARAGRAPH * 5}{POSTS}</div>",
+                 f"<article>{PARAGRAPH * 5}<section>{POSTS}</section></article>"):
+        assert H.main_text(page(body)) == "\n".join([WORDS] * 5)
+    # a list of steps is no thread, nor is a page of records alone
+    steps = "".join(f"<div><b>Step {i}</b><p>Do it well.</p></div>" for i in range(4))
+    assert H.main_text(page(f"<div>{PARAGRAPH * 3}{steps}</div>")).count("Do it well.") == 4
+    assert "I think so too, ten." in H.main_text(page(f"<div>{POSTS}</div>"))
+
+
+def test_a_heading_before_the_lone_article_goes_with_it():
+    assert H.main_text(page(f"<p>Other words.</p><h1>Title</h1><div><article>{PARAGRAPH}</article></div><p>More.</p>")) == \
+        f"Title\n{WORDS}"
+    two = f"<article>{PARAGRAPH * 2}</article>"
+    assert H.main_text(page(f"<div>{two}{two}</div>")) == "\n".join([WORDS] * 4)
+
+
+def test_buttons_in_sentences_stay_in():
+    out = H.main_text(page(f"<article><p>Press the <button>Start</button> key to begin.</p><p><button>Share</button></p>{PARAGRAPH}</article>"))
+    assert out == f"Press the Start key to begin.\n{WORDS}"
+
+
+def test_a_second_extractor_agrees_on_generated_shapes():
+    """Pages put together from known parts; the wanted text comes from the parts."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    for n in range(150):
+        want, inner = [], ""
+        for _ in range(rng.randrange(2, 9)):
+            words = [word() for _ in range(rng.randrange(30, 90))]
+            tag, end = rng.choice([("p", ""), ("p", "</p>"), ("div", "</div>"), ("blockquote", "</blockquote>")])
+            bold = rng.randrange(len(words))
+            shown = [f"<b>{w}</b>" if i == bold else w for i, w in enumerate(words)]
+            inner += f"<{tag}>{rng.choice(['', chr(10)])}" + rng.choice([" ", "\n  "]).join(shown) + end
+            want.append(" ".join(words))
+        wrap = rng.choice(["article", "div", "main", "section"])
+        rest = f"<nav>{LINKS}</nav>", "<aside><p>side words here</p></aside>", "<footer>foot</footer>"
+        body = rest[0] + f"<{wrap}>{inner}</{wrap}>" + rest[1] + (f"<div>{LINKS}</div>" if rng.random() < 0.5 else "") + rest[2]
+        assert H.main_text(page(body)) == "\n".join(want), (n, body)
