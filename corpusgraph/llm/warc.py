@@ -14,7 +14,10 @@ expects a gzip member or a version line and checks what follows: headers,
 block length, block and payload digest, record end.  After a failed check it searches
 for the next gzip magic or version line from which a whole record passes all
 checks, logs the bytes between as a quarantined gap with the reason, and goes
-on.  Later records are never lost to an earlier fault.
+on.  A gzip member that is damaged, cut off or holds a bad record is inflated
+as far as it goes, and what came out is walked in the same way, so its other
+records are kept; its gaps name the inflated bytes.  Later records are never
+lost to an earlier fault, unless the fault keeps them from being inflated.
 
 Defined cases: null html counts as empty (its payload is empty and takes part
 in revisits like any other); line breaks in a url become spaces; a null url leaves the
@@ -40,7 +43,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusgraph.session import _scratch_table_path
 
 MIN_REVISIT_BYTES = 0
-RECORDS_PER_FILE = 10_000
+#: Bounds of an archive; records are dealt to files by size class, so that no
+#: file passes the bytes by more than its last record.
+RECORDS_PER_FILE, FILE_BYTES = 10_000, 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 BROADCAST_BYTES = 48 << 20
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -106,11 +111,24 @@ def records(marked: DataFrame, date: str = DATE) -> DataFrame:
         F.concat(head, F.lit(crlf), F.col("_block"), F.lit(crlf + "\r")).alias("value"))
 
 
+def _size_class(payload_bytes: Column) -> Column:
+    """k where the payload has less than 16 ** k KiB."""
+    return F.ceil(F.log2(payload_bytes / 1024 + 1) / 4).cast("int")
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES,
-                   records_per_file: int = RECORDS_PER_FILE, date: str = DATE) -> None:
-    """Write the pages as WARC files of at most ``records_per_file`` records."""
-    (records(with_revisits(pages, min_bytes), date).write
-     .option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path))
+                   records_per_file: int = RECORDS_PER_FILE, date: str = DATE,
+                   file_bytes: int = FILE_BYTES) -> None:
+    """Write the pages as WARC files below ``path``, one folder for each size
+    class that occurs, of at most ``records_per_file`` records and about
+    ``file_bytes`` bytes (or one record)."""
+    marked = with_revisits(pages, min_bytes).withColumn("_class", _size_class(F.col("payload_bytes")))
+    classes = [r["k"] for r in pages.select(_size_class(F.coalesce(F.octet_length("html"), F.lit(0))).alias("k"))
+               .distinct().collect()]  # a handful
+    for k in sorted(classes):
+        most = max(1, min(records_per_file, file_bytes // (1024 * 16 ** k + 1024)))
+        (records(marked.where(F.col("_class") == k), date).write
+         .option("lineSep", "\n").option("maxRecordsPerFile", most).text(f"{path}/size-{k}"))
 
 
 def gzip_members(raw_records: list[bytes]) -> bytes:
@@ -186,50 +204,78 @@ def _plain(raw: bytes, at: int) -> tuple[Record, int]:
     return record, stop + 4
 
 
-def _member(raw: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member at ``at`` and the position after it."""
-    inflate, parts, pos = zlib.decompressobj(31), [], at
-    try:
-        while not inflate.eof and pos < len(raw):
-            parts.append(inflate.decompress(raw[pos:pos + 65_536]))
-            pos += 65_536
-    except zlib.error as e:
-        raise _Bad("gzip member damaged") from e
-    if not inflate.eof:
-        raise _Bad("gzip member does not end")
-    content, end = b"".join(parts), min(pos, len(raw)) - len(inflate.unused_data)
-    pos, found = 0, []
-    while pos < len(content):
-        record, pos = _plain(content, pos)
-        found.append(Record(at, end - at, record.headers, record.block))
-    return found, end
-
-
-def _at(raw: bytes, at: int) -> tuple[list[Record], int]:
-    if raw.startswith(b"\x1f\x8b\x08", at):
+def _inflated(raw: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at ``at`` gives, the position after what was read
+    of it, and what is wrong with it (None: nothing)."""
+    inflate, parts, pos, step = zlib.decompressobj(31), [], at, 65_536
+    while not inflate.eof and pos < len(raw):
+        before = inflate.copy() if step > 1 else None
+        try:
+            parts.append(inflate.decompress(raw[pos:pos + step]))
+        except zlib.error:
+            if step == 1:
+                return b"".join(parts), pos, "gzip member damaged"
+            inflate, step = before, step // 256 or 1  # again in smaller pieces, up to the fault
+            continue
+        pos += step
+    end = min(pos, len(raw)) - len(inflate.unused_data)
+    return b"".join(parts), end, None if inflate.eof else "gzip member does not end"
+
+
+def _member(raw: bytes, at: int) -> tuple[list[Record | Gap], int | None]:
+    """What the gzip member at ``at`` holds and the position after it, None if
+    it is damaged; raises without a record that passes all checks.  Records and
+    gaps have the member's place; a gap's reason names the inflated bytes."""
+    content, end, fault = _inflated(raw, at)
+    found = []
+    for x in salvage(content, inside=True):
+        if isinstance(x, Record):
+            found.append(Record(at, end - at, x.headers, x.block))
+        else:
+            found.append(Gap(at, end - at, f"{fault or x.reason}: inflated bytes {x.offset} to {x.offset + x.length}"))
+    if fault and not any(isinstance(x, Gap) for x in found):
+        found.append(Gap(at, end - at, f"{fault}: after inflated byte {len(content)}"))
+    if not any(isinstance(x, Record) for x in found) and (fault or found):
+        raise _Bad(fault or "no record in a gzip member")
+    return found, None if fault else end
+
+
+def _at(raw: bytes, at: int, inside: bool = False) -> tuple[list[Record | Gap], int | None]:
+    if not inside and raw.startswith(b"\x1f\x8b\x08", at):
         return _member(raw, at)
     record, end = _plain(raw, at)
     return [record], end
 
 
-def salvage(raw: bytes) -> Iterator[Record | Gap]:
+def salvage(raw: bytes, inside: bool = False) -> Iterator[Record | Gap]:
     """Records of an archive's bytes, and the gaps between them, in order;
-    together they cover every byte."""
-    at = 0
+    together they cover every byte.  ``inside`` a member there are no members."""
+    at, pattern = 0, _VERSION if inside else _CANDIDATE
+    ready = None  # what the search found at ``at``
     while at < len(raw):
+        found, reason, good = [], "", at
         try:
-            found, end = _at(raw, at)
-            yield from found
+            found, end = ready or _at(raw, at, inside)
         except _Bad as e:
+            reason, end = str(e), None
+        if found and end is None:  # a damaged member: inflated up to here
+            good = found[0].offset + found[0].length
+        ready = None
+        if end is None:
             end = len(raw)
-            for m in _CANDIDATE.finditer(raw, at + 1):
+            for m in pattern.finditer(raw, at + 1):
+                if m.start() < good and raw[m.start()] != 0x1F:
+                    continue  # in a stored block, found by inflating it
                 try:
-                    _at(raw, m.start())
+                    ready = _at(raw, m.start(), inside)
                 except _Bad:
                     continue
                 end = m.start()
                 break
-            yield Gap(at, end - at, str(e))
+            found = found or [Gap(at, 0, reason)]
+            for x in found:
+                x.length = end - at
+        yield from found
         at = end
 
 
@@ -265,7 +311,7 @@ def _rows(file: str, raw: bytes, payloads: bool) -> Iterator[tuple]:
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """One row per record (``reason`` null) and per quarantined gap (``reason``
     set) of all archives under ``path``.  A file is salvaged in one task; the
-    writer bounds its records."""
+    writer bounds its records and bytes."""
     def run(batches):
         for b in batches:
             for file, raw in zip(b.column(0).to_pylist(), b.column(1)):
@@ -296,9 +342,11 @@ def round_trip(pages: DataFrame, path: str | None = None,
                min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Write the pages to archives (in the shared checkpoint folder by
     default) and read them back: ``page_id, payload_bytes, payload_digest,
-    record_type, refers_to``."""
+    record_type, refers_to``.  A gap in what was just written is an error."""
     spark = pages.sparkSession
     path = path or _scratch_table_path(spark, "warc")
     write_archives(pages, path, min_bytes)
-    return read_archives(spark, path).where(F.col("reason").isNull()).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    lost = F.raise_error(F.concat(F.lit("quarantined in "), "file", F.lit(": "), "reason"))
+    return read_archives(spark, path).select(
+        F.when(F.col("reason").isNull(), F.col("page_id")).otherwise(lost.cast("long")).alias("page_id"),
+        "payload_bytes", "payload_digest", "record_type", "refers_to")
