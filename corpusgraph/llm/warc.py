@@ -125,7 +125,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     marked = with_revisits(pages, min_bytes).withColumn("_class", _size_class(F.col("payload_bytes")))
     classes = [r["k"] for r in pages.select(_size_class(F.coalesce(F.octet_length("html"), F.lit(0))).alias("k"))
                .distinct().collect()]  # a handful
-    for k in sorted(classes):
+    for k in sorted(classes) or [0]:
         most = max(1, min(records_per_file, file_bytes // (1024 * 16 ** k + 1024)))
         (records(marked.where(F.col("_class") == k), date).write
          .option("lineSep", "\n").option("maxRecordsPerFile", most).text(f"{path}/size-{k}"))
