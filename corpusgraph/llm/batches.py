@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Rows, and bytes beyond a single row, that a worker holds as Python objects at once.
 ROWS, BYTES = 256, 4 << 20
@@ -17,7 +18,7 @@ def _cuts(column: pa.Array) -> list[int]:
     n = len(column)
     cuts = list(range(0, n, ROWS))
     if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
-        ends = np.cumsum(np.nan_to_num(pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(float)))
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(float)))
         if n and ends[-1] > BYTES:
             cuts, at = [], 0
             while at < n:
