@@ -1,12 +1,12 @@
 """Trigram postings: searches that read only texts that can match.
 
 An index is four written tables in one folder: the texts, partitioned by a
-hash of the id; ``postings(gram, id, part)``, one row per different three-byte
-string of a text, sorted by gram, so that a lookup reads the row groups of its
-grams alone; the number of texts of each gram; and the texts and bytes of each
-partition.  A search takes the literal strings that any match must hold, looks
-up the rarest of their grams and scans the partitions and texts that hold all
-of them.  A pattern without such a string scans everything; the rows are those
+hash of the id and numbered in blocks of ``BLOCK``; ``postings(gram, block,
+part)``, one row per different three-byte string of a block, sorted by gram, so
+that a lookup reads the row groups of its grams alone; the number of blocks of
+each gram; and the texts and bytes of each partition.  A search takes the
+literal strings that any match must hold, looks up the rarest of their grams
+and scans the partitions and blocks that hold all of them.  A pattern without such a string scans everything; the rows are those
 of the plain scan in any case.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpusgraph.operators.graph import text_lines
 from corpusgraph.session import write_table
 
-#: Grams of a search that are looked up, the rarest ones.
-LOOKED_UP = 6
+#: Grams of a search that are looked up, the rarest ones; texts of a block.
+LOOKED_UP, BLOCK = 6, 64
 
 
 @dataclass
@@ -51,28 +51,31 @@ def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = corpus.sparkSession
     path = path or f"{write_table(spark.range(0), 'postings')}-index"
     part = F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")
-    corpus.select(id_col, F.col(text_col).cast("string").alias(text_col), part.alias("part")).repartition("part", F.pmod(
-        F.xxhash64(id_col, F.lit(1)), F.lit(8))).write.mode("overwrite").partitionBy("part").parquet(f"{path}/texts")
     kind = corpus.schema[id_col].dataType.simpleString()
     index = Index(spark, path, id_col, text_col, {
-        "texts": f"`{id_col}` {kind}, `{text_col}` string, part int", "postings": f"gram int, id {kind}, part int",
+        "texts": f"`{id_col}` {kind}, `{text_col}` string, block long, part int",
+        "postings": "gram int, block long, part int",
         "counts": "gram int, n long", "parts": "part int, texts long, bytes long"})
+    dealt = corpus.select(id_col, F.col(text_col).cast("string").alias(text_col), part.alias("part")).repartition(
+        "part", F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(8))).sortWithinPartitions("part")
+    dealt.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)).write.mode("overwrite").partitionBy(
+        "part").parquet(f"{path}/texts")
     texts = index.table("texts")
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                cut = b.slice(i, 64)
-                found = [grams_of(t or b"") for t in cut.column(1).to_pylist()]
-                at = pa.array(np.repeat(np.arange(len(found)), [len(g) for g in found]))
-                if len(at):
+            block, part = (b.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            new = np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0)) + 1
+            cuts = [0, *new.tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi:
+                    found = np.unique(np.concatenate([grams_of(t or b"") for t in b.column(0).slice(lo, hi - lo).to_pylist()]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(found), pa.int32()), cut.column(0).take(at), cut.column(2).take(at)],
-                        ["gram", "id", "part"])
+                        [pa.array(found, pa.int32()), pa.array(np.full(len(found), block[lo], np.int64)),
+                         pa.array(np.full(len(found), part[lo], np.int32))], ["gram", "block", "part"])
 
-    rows = texts.select(id_col, F.col(text_col).cast("binary"), "part").mapInArrow(
-        run, index.schemas["postings"])
-    rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").option(
+    rows = texts.select(F.col(text_col).cast("binary"), "block", "part").mapInArrow(run, index.schemas["postings"])
+    rows.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.mode("overwrite").option(
         "parquet.block.size", 8 << 20).parquet(f"{path}/postings")
     index.table("postings").groupBy("gram").agg(F.count("*").alias("n")).sort("gram").write.mode(
         "overwrite").parquet(f"{path}/counts")
@@ -114,7 +117,7 @@ def needles(pattern: str) -> list[str]:
 
 
 def candidates(index: Index, strings: list[str]) -> DataFrame | None:
-    """``id, part`` of the texts that hold the rarest grams of the strings;
+    """``block, part`` of the blocks that hold the rarest grams of the strings;
     None if the strings have no grams."""
     grams = sorted({int(g) for s in strings for g in grams_of(s.encode())})
     if not grams:
@@ -122,9 +125,9 @@ def candidates(index: Index, strings: list[str]) -> DataFrame | None:
     counts = {r["gram"]: r["n"] for r in index.table("counts").where(F.col("gram").isin(grams)).collect()}
     rare = sorted(grams, key=lambda g: (counts.get(g, 0), g))[:LOOKED_UP]
     if any(g not in counts for g in rare):
-        return index.table("postings").limit(0).select("id", "part")
-    return (index.table("postings").where(F.col("gram").isin(rare)).groupBy("id", "part")
-            .agg(F.count("*").alias("n")).where(F.col("n") == len(rare)).select("id", "part"))
+        return index.table("postings").limit(0).select("block", "part")
+    return (index.table("postings").where(F.col("gram").isin(rare)).groupBy("block", "part")
+            .agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(rare)).select("block", "part"))
 
 
 def _texts(index: Index, strings: list[str]) -> DataFrame:
@@ -133,8 +136,7 @@ def _texts(index: Index, strings: list[str]) -> DataFrame:
     if found is None:
         return texts
     parts = [r["part"] for r in found.select("part").distinct().collect()]  # at most the index's partitions
-    return texts.where(F.col("part").isin(parts)).join(
-        found.select(F.col("id").alias(index.id_col)), index.id_col, "left_semi")
+    return texts.where(F.col("part").isin(parts)).join(found, ["block", "part"], "left_semi")
 
 
 def search_pattern(index: Index, pattern: str) -> DataFrame:
@@ -157,10 +159,9 @@ def reading(index: Index, strings: list[str]) -> DataFrame:
     reads and of the texts it scans."""
     parts, found = index.table("parts"), candidates(index, strings)
     if found is None:
-        found = index.table("texts").select(F.col(index.id_col).alias("id"), "part")
+        found = index.table("texts").select("block", "part").distinct()
     used = parts.join(found.select("part").distinct(), "part", "left_semi")
-    scanned = index.table("texts").join(found.select(F.col("id").alias(index.id_col), "part"),
-                                        [index.id_col, "part"], "left_semi")
+    scanned = index.table("texts").join(found, ["block", "part"], "left_semi")
     size = F.coalesce(F.sum(F.coalesce(F.octet_length(index.text_col), F.lit(0))), F.lit(0))
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return index.spark.range(1).select(
