@@ -41,7 +41,7 @@ from corpusgraph.llm.batches import values
 
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 1_200_000
+CACHE_WORDS, CACHE_BYTES = 1_200_000, 128 << 20
 MARK = "▁"
 
 Path = tuple[float, tuple[int, ...]]
@@ -74,6 +74,7 @@ class Lattice:
         self.unknown = min(w for w, _ in scores.values()) - UNKNOWN_PENALTY
         #: Trie of the pieces: a node is its children and its score and ids.
         self.root: tuple[dict, tuple | None] = _trie(scores)
+        self.scores, self.longest = scores, max(map(len, scores))
         inside = any(MARK in p.lstrip(MARK) or "\n" in p for p in scores)
         self.cut = re.compile(r".+" if inside else f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n", re.S)
         #: Neighbours inside some piece: between all others every path is cut.
@@ -84,24 +85,36 @@ class Lattice:
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.raw_ids: list[bytes] = []
+        self.held = 0
         self.score = np.zeros(self.cache_words)
         self.loss = np.zeros(self.cache_words)
         self.pieces = np.zeros(self.cache_words, np.int64)
 
     # ------------------------------------------------------------- one word
-    def _edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end position the edges ``(start, score, ids)`` into it."""
-        n, into = len(word), [[] for _ in range(len(word) + 1)]
+    def _into(self, word: str, e: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """The edges ``(start, score, ids)`` into an end position."""
+        edges = [(e - 1, *self._single(word[e - 1]))]
+        for s in range(max(0, e - self.longest), e - 1):
+            if (known := self.scores.get(word[s:e])) is not None:
+                edges.append((s, *known))
+        return edges
+
+    def _ahead(self, word: str) -> list[float]:
+        """The best score from the start to each position."""
+        n, children = len(word), self.root[0]
+        best = [-np.inf] * (n + 1)
+        best[0] = 0.0
         for s in range(n):
-            into[s + 1].append((s, *self._single(word[s])))
-            node = self.root
-            for e in range(s, n):
-                node = node[0].get(word[e])
-                if node is None:
+            e, node = s, children.get(word[s])
+            edge = node and node[1] or self._single(word[s])
+            while True:
+                e += 1
+                if edge and best[s] + edge[0] > best[e]:
+                    best[e] = best[s] + edge[0]
+                if node is None or e == n or (node := node[0].get(word[e])) is None:
                     break
-                if node[1] and e > s:
-                    into[e + 1].append((s, *node[1]))
-        return into
+                edge = node[1]
+        return best
 
     def _single(self, char: str) -> tuple[float, tuple[int, ...]]:
         """Score and ids of one character: its piece, or its bytes."""
@@ -109,26 +122,40 @@ class Lattice:
         return node and node[1] or (
             self.unknown, tuple(self.byte_id[b] for b in char.encode()))
 
-    @staticmethod
-    def _forward(into) -> list[float]:
-        best = [0.0] * len(into)
-        for e in range(1, len(into)):
-            best[e] = max(best[s] + w for s, w, _ in into[e])
-        return best
-
     def n_best(self, word: str, n: int) -> list[Path]:
-        """The N best paths, best first, by backward A-star."""
-        into = self._edges(word)
-        ahead = self._forward(into)
-        # (minus score of the whole, ids from the end, score so far, position)
-        queue, out = [(-ahead[-1], (), 0.0, len(word))], []
-        while queue and len(out) < n:
-            whole, back, behind, at = heapq.heappop(queue)
+        """The N best paths, best first, by backward A-star.
+
+        A state is its score as a whole, what lies behind it, its position, its
+        back-pointer ``(state, ids from the end, depth)`` and whether it comes
+        before the state expanded last where scores tie.  As the forward scores
+        are exact, every waiting state is good for a path of its score, so no
+        more states wait than paths are still sought."""
+        ahead = self._ahead(word)
+        waiting, out, last = [[ahead[-1], 0.0, len(word), None, False]], [], None
+        while waiting and len(out) < n:
+            state = waiting.pop(0)
+            if state[3] is not None and state[3][0] is last:
+                for other in waiting:
+                    if other[3][0] is last:
+                        other[4] = other[3][1] < state[3][1]
+            else:
+                for other in waiting:
+                    other[4] = _before(other, state)
+            last = state
+            whole, behind, at = state[:3]
             if not at:
-                out.append((-whole, back[::-1]))
+                out.append((whole, _ids(state)))
+                del waiting[n - len(out):]
                 continue
-            for s, w, ids in into[at]:
-                heapq.heappush(queue, (-(ahead[s] + w + behind), back + ids[::-1], w + behind, s))
+            depth = state[3][2] + 1 if state[3] else 1
+            for s, w, ids in self._into(word, at):
+                made = [ahead[s] + w + behind, w + behind, s, (state, ids[::-1], depth), False]
+                place = len(waiting)
+                while place and _after(waiting[place - 1], made, state):
+                    place -= 1
+                if place < n - len(out):
+                    waiting.insert(place, made)
+                    del waiting[n - len(out):]
         return out
 
     def _best_and_loss(self, word: str) -> tuple[Path, float]:
@@ -158,11 +185,11 @@ class Lattice:
                 edge = node[1]
         if second[n] == first[n]:      # ties: the search orders them
             return self.n_best(word, 1)[0], 0.0
-        ids, at = (), n
+        ids, at = [], n
         while at:
             at, piece = via[at]
-            ids = piece + ids
-        return (first[n], ids), first[n] - second[n]
+            ids.extend(reversed(piece))
+        return (first[n], tuple(reversed(ids))), first[n] - second[n]
 
     def _learn(self, word: str) -> int:
         """Cache a word.  One that some boundary cuts, because no piece
@@ -187,6 +214,7 @@ class Lattice:
         k = len(self.raw_ids)
         self.index[word] = k
         self.raw_ids.append(raw)
+        self.held += len(raw) + 4 * len(word)
         self.score[k], self.loss[k], self.pieces[k] = score, loss, len(raw) // 4
         return k
 
@@ -198,7 +226,7 @@ class Lattice:
         """The N best segmentations of a text: score, number of pieces, ids
         (little-endian unsigned 32-bit) and, by position, the words that differ from the best."""
         words = self.words(text)
-        if len(self.raw_ids) + len(words) > self.cache_words:
+        if len(self.raw_ids) + len(words) > self.cache_words or self.held > CACHE_BYTES:
             self._reset()
         known, learn = self.index.get, self._learn
         at = np.fromiter((learn(w) if (k := known(w)) is None else k for w in words),
@@ -230,6 +258,34 @@ class Lattice:
         return text.removeprefix(b" ").decode("utf-8", "replace")
 
 
+def _ids(state: list) -> tuple[int, ...]:
+    """A whole path's ids, from the start: the back-pointers lead to the end."""
+    out: list[int] = []
+    while state[3] is not None:
+        out.extend(reversed(state[3][1]))
+        state = state[3][0]
+    return tuple(out)
+
+
+def _before(x: list, y: list) -> bool:
+    """Whether x's ids, read from the end, come before y's."""
+    a = b = ()
+    while x is not y:
+        deeper = (x[3][2] if x[3] else 0) - (y[3][2] if y[3] else 0)
+        if deeper >= 0:
+            a, x = x[3][1], x[3][0]
+        if deeper <= 0:
+            b, y = y[3][1], y[3][0]
+    return a < b
+
+
+def _after(x: list, new: list, parent: list) -> bool:
+    """Whether a waiting state comes after one that its parent has just made."""
+    if x[0] != new[0]:
+        return x[0] < new[0]
+    return x[3][1] > new[3][1] if x[3][0] is parent else not x[4]
+
+
 @functools.lru_cache(maxsize=256)
 def _packed(n: int):
     """Packs ``n`` ids, little-endian unsigned 32-bit."""

@@ -1,4 +1,6 @@
 import itertools
+import random
+import time
 
 import numpy as np
 import pytest
@@ -15,12 +17,10 @@ def lattice():
 
 
 def all_paths(lattice, word):
-    into = lattice._edges(word)
-
     def back(e):
         if not e:
             yield 0.0, ()
-        for s, w, ids in into[e] if e else ():
+        for s, w, ids in lattice._into(word, e) if e else ():
             for score, path in back(s):
                 yield score + w, path + ids
 
@@ -36,6 +36,33 @@ def test_words_against_all_paths(lattice):
         assert loss == (paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf)
 
 
+def test_ties_and_near_ties_against_all_paths(lattice):
+    rng = random.Random(2)
+    for _ in range(60):
+        w = "".join(rng.choice("aabé中") for _ in range(rng.randrange(1, 11)))
+        paths = all_paths(lattice, w)
+        for n in (1, 2, 5, 40):
+            assert lattice.n_best(w, n) == paths[:n], (w, n)
+
+
+def test_edges_into_and_ahead_agree(lattice):
+    w = "▁thanedble,中éaaa"
+    ahead = lattice._ahead(w)
+    for e in range(1, len(w) + 1):
+        assert ahead[e] == max(ahead[s] + x for s, x, _ in lattice._into(w, e))
+
+
+def test_very_long_words_in_time_and_whole(lattice):
+    rng = random.Random(3)
+    for w in ("a" * 300_000, "".join(rng.choice("ABCDabcdefgh0123+/") for _ in range(1_000_000))):
+        began = time.time()
+        got = lattice.segment(w, 4)
+        assert time.time() - began < 60
+        assert len(got) == 4 and len({x[2] for x in got}) == 4
+        assert [x[0] for x in got] == sorted((x[0] for x in got), reverse=True)
+        assert all(lattice.decode(x[2]) == w for x in got)
+
+
 def test_texts_against_all_combinations(lattice):
     for t in TEXTS:
         words = [all_paths(lattice, w)[:4] for w in lattice.words(t)]
