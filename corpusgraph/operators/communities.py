@@ -13,6 +13,7 @@ same output.  Community labels are the smallest member id.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from dataclasses import dataclass
 
@@ -139,10 +140,45 @@ def label_propagation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 @dataclass
 class LevelGraph:
     """A (possibly contracted) weighted graph: ``vertices(v, k, size)`` and
-    ``wedges(src, dst, weight)`` in canonical form, self-loops allowed."""
+    ``wedges(src, dst, weight)`` in canonical form, self-loops allowed.  With
+    lanes (see ``Scale``) a vertex is ``(g, v)``; ``shared`` wedges are kept
+    once for all lanes and lead between plain ``v``."""
 
     vertices: DataFrame
     wedges: DataFrame
+    shared: bool = False
+
+
+@dataclass
+class Scale:
+    """What a move gains: ``link`` per unit of edge weight less ``unit`` per
+    pair of masses (a vertex column).  One per resolution; with several,
+    ``lanes`` is set, every vertex carries its resolution's number as ``g``
+    and all of them move in the same rounds."""
+
+    link: list
+    unit: list
+    mass: list
+    lanes: bool = False
+
+    @classmethod
+    def of(cls, m: float, terms: list, lanes: bool = False) -> Scale:
+        """From ``(resolution, objective)`` and the graph's edge weight."""
+        mod = [objective == "modularity" for _, objective in terms]
+        return cls([1.0 / m if q else 1.0 for q in mod],
+                   [g / (2.0 * m * m) if q else float(g) for (g, _), q in zip(terms, mod)],
+                   ["k" if q else "size" for q in mod], lanes)
+
+    def pick(self, values: list, vertex: str) -> str:
+        """SQL: the value that holds for the lane of ``vertex``."""
+        return f"element_at(array({', '.join(values)}), {vertex}.g + 1)" if self.lanes else values[0]
+
+    def number(self, name: str, vertex: str) -> str:
+        return self.pick([f"{x}D" for x in getattr(self, name)], vertex)
+
+    def mass_of(self, vertex: str, table: str = "") -> str:
+        degree = self.pick([str(x == "k").lower() for x in self.mass], vertex)
+        return f"CAST(if({degree}, {table}k, {table}size) AS DOUBLE)"
 
 
 def _level0(nodes: DataFrame, edges: DataFrame) -> LevelGraph:
@@ -175,11 +211,11 @@ _ROUND = """
 WITH tot AS (SELECT c AS cb, sum(x) AS tot, count(*) AS n, max(r) AS r FROM {{state}} GROUP BY c),
 seen AS (
   SELECT a, cb, sum(w) AS kic, max(x) AS x, max(own) AS own FROM (
-    SELECT a, c AS cb, w, arcs.x, false AS own FROM {{arcs}} arcs JOIN {{state}} ON b = v {open}
+    {links}
     UNION ALL SELECT v, c, 0.0D, x, true FROM {{state}})
   GROUP BY a, cb),
 rated AS (
-  SELECT a, cb, x, own, n, r, {link}D * kic - {unit}D * x * (tot - if(own, x, 0.0D)) AS gain
+  SELECT a, cb, x, own, n, r, {link} * kic - {unit} * x * (tot - if(own, x, 0.0D)) AS gain
   FROM seen JOIN tot USING (cb)),
 best AS (
   SELECT a, max(if(own, null, struct(gain, xxhash64(cb, r) AS h, cb))) AS t, max(x) AS x, max(r) AS r,
@@ -194,7 +230,7 @@ sides AS (
          sum(if(goes, null, x)) AS x_in, sum(if(goes, x, null)) AS x_out,
          max(if(goes, null, rank)) AS first_in, max(if(goes, rank, null)) AS first_out, max(r) AS r
   FROM (SELECT explode(array(struct(to AS c, false AS goes), struct(cur AS c, true AS goes))) AS e, e.c, e.goes,
-               CAST(delta / {link}D AS DECIMAL(28, 6)) AS gain, x, rank, r FROM wanted)
+               CAST(delta / {link} AS DECIMAL(28, 6)) AS gain, x, rank, r FROM wanted)
   GROUP BY c),
 roles AS (SELECT c, x_in, x_out, first_in, first_out, {gives} AS gives FROM sides),
 made AS (
@@ -203,6 +239,17 @@ made AS (
 SELECT v, if(accepted, to, c) AS c, x, r + 1 AS r, CASE WHEN accepted THEN 2 WHEN to IS NOT NULL THEN 1 ELSE 0 END AS mark
 FROM {{state}} LEFT JOIN made ON a = v
 """
+#: The links of open vertices to the communities beside them, by (arcs shared
+#: by all lanes, open vertices known).
+_LINKS = {
+    (False, False): "SELECT a, c AS cb, w, arcs.x, false AS own FROM {{arcs}} arcs JOIN {{state}} ON b = v",
+    (False, True): "SELECT a, c AS cb, w, arcs.x, false AS own FROM {{arcs}} arcs JOIN {{state}} ON b = v "
+                   "LEFT SEMI JOIN {{open}} o ON o.v = arcs.a",
+    (True, False): "SELECT struct(s.v.g AS g, arcs.a AS v) AS a, s.c AS cb, w, {x} AS x, false AS own "
+                   "FROM {{arcs}} arcs JOIN {{state}} s ON arcs.b = s.v.v",
+    (True, True): "SELECT o.v AS a, s.c AS cb, w, {x} AS x, false AS own FROM {{open}} o "
+                  "JOIN {{arcs}} arcs ON arcs.a = o.v.v JOIN {{state}} s ON s.v = struct(o.v.g AS g, arcs.b AS v)",
+}
 _GIVES = {
     "sums": "gain_out > gain_in OR gain_out = gain_in AND coalesce("
             "xxhash64(c, r, 'side') > xxhash64(first_out.to, r, 'side'), false)",
@@ -218,8 +265,25 @@ FRONTIER, COIN = 8, 8
 
 def _local_moves(lg: LevelGraph, start: DataFrame, m: float, resolution: float, objective: str,
                  merge_only: bool = False) -> tuple[DataFrame, int]:
+    """``_move`` for one resolution: (``v, c``) and the number of moves."""
+    out, moves = _move(lg, start, Scale.of(m, [(resolution, objective)]), merge_only)
+    return out, moves[0]
+
+
+def _open_vertices(state: DataFrame, arcs: DataFrame, shared: bool) -> DataFrame:
+    """The neighbours of the vertices that moved and those whose move waits."""
+    waits, went = state.where("mark = 1").select("v"), state.where("mark = 2").select("v")
+    if not shared:
+        beside = arcs.join(went.withColumnRenamed("v", "b"), "b", "left_semi").select(F.col("a").alias("v"))
+        return beside.unionByName(waits)
+    beside = (went.select(F.col("v.g").alias("g"), F.col("v.v").alias("b")).join(arcs, "b")
+              .select(F.struct("g", F.col("a").alias("v")).alias("v")))
+    return beside.unionByName(waits).distinct()
+
+
+def _move(lg: LevelGraph, start: DataFrame, scale: Scale, merge_only: bool = False) -> tuple[DataFrame, list]:
     """Parallel local moving on one level from ``start(v, c)``; returns
-    (``v, c``) and the number of moves.
+    (``v, c``) and the number of moves of every lane.
 
     Per round every open vertex names the community it gains most from, and
     an independent set of these moves is made, any number of them out of or
@@ -248,33 +312,37 @@ def _local_moves(lg: LevelGraph, start: DataFrame, m: float, resolution: float,
     refinement of Leiden).  All figures are partial aggregates; the driver
     reads one row of counts per round.
     """
-    mass, unit = ("k", resolution / (2.0 * m * m)) if objective == "modularity" else ("size", resolution)
-    link = 1.0 / m if objective == "modularity" else 1.0
-    masses = lg.vertices.select("v", F.col(mass).cast("double").alias("x"))
-    arcs = weighted_arcs(lg.wedges).join(masses.withColumnRenamed("v", "a"), "a").select("a", "b", "w", "x")
+    masses = lg.vertices.select("v", F.expr(scale.mass_of("v")).alias("x"))
+    arcs = weighted_arcs(lg.wedges)
+    if lg.shared:
+        of_a = lg.vertices.groupBy(F.col("v.v").alias("a")).agg(F.max("k").alias("k"), F.max("size").alias("size"))
+        arcs = arcs.join(of_a, "a").select("a", "b", "w", "k", "size")
+    else:
+        arcs = arcs.join(masses.withColumnRenamed("v", "a"), "a").select("a", "b", "w", "x")
     arcs_path = write_table(arcs, "arcs")
     arcs = arcs.sparkSession.read.schema(arcs.schema).parquet(arcs_path)
     state = masses.join(start, "v").select("v", "c", "x", F.lit(0).alias("r"))
     keeper, spark = RoundKeeper(), arcs.sparkSession
-    mode, frontier, total_moves = "sums", False, 0
+    mode, frontier, total_moves = "sums", False, [0] * len(scale.mass)
+    went = F.col("mark") == 2
+    of_lane = {f"moved{g}": F.count_if(went & (F.col("v.g") == g) if scale.lanes else went)
+               for g in range(len(scale.mass))}
     for r in itertools.count():
-        fits = (f"w.delta > {unit}D / 2 * w.x * (t.x_in + f.x_out - 2 * w.x) + {EPS}" if mode != "single"
-                else "f.first_out.a = w.a AND t.first_in.a = w.a")
+        fits = (f"w.delta > {scale.number('unit', 'w.a')} / 2 * w.x * (t.x_in + f.x_out - 2 * w.x) + {EPS}"
+                if mode != "single" else "f.first_out.a = w.a AND t.first_in.a = w.a")
         text = _ROUND.format(
-            link=link, unit=unit, eps=EPS, gives=_GIVES[mode], fits=f"({fits})",
-            alone="AND n = 1" if merge_only else "",
-            open="LEFT SEMI JOIN {open} o ON o.v = arcs.a" if frontier else "")
+            link=scale.number("link", "a"), unit=scale.number("unit", "a"), eps=EPS, gives=_GIVES[mode],
+            fits=f"({fits})", alone="AND n = 1" if merge_only else "",
+            links=_LINKS[lg.shared, frontier].format(x=scale.mass_of("s.v", "arcs.")))
         views = {"state": state, "arcs": arcs}
         if frontier:
-            went = state.where("mark = 2").select(F.col("v").alias("b"))
-            views["open"] = (arcs.join(went, "b", "left_semi").select(F.col("a").alias("v"))
-                             .unionByName(state.where("mark = 1").select("v")))
+            views["open"] = _open_vertices(state, arcs, lg.shared)
         state, seen = keeper.keep_counts(
-            spark.sql(text, **views), moved=F.count_if(F.col("mark") == 2),
-            waiting=F.count_if(F.col("mark") == 1), n=F.count("*"))
-        moved, waiting = seen["moved"], seen["waiting"]
+            spark.sql(text, **views), waiting=F.count_if(F.col("mark") == 1), n=F.count("*"), **of_lane)
+        now = [seen[name] for name in of_lane]
+        moved, waiting = sum(now), seen["waiting"]
         _log(f"local-move round {r}: {moved} moved, {waiting} wait ({mode})")
-        total_moves += moved
+        total_moves = [x + y for x, y in zip(total_moves, now)]
         if not moved and not waiting:
             delete_table(spark, arcs_path)
             return state.select("v", "c"), total_moves
@@ -282,10 +350,21 @@ def _local_moves(lg: LevelGraph, start: DataFrame, m: float, resolution: float,
         frontier = moved * FRONTIER < seen["n"]
 
 
+def _ends(lg: LevelGraph, assign: DataFrame) -> DataFrame:
+    """The edges with the communities ``cs``, ``cd`` of their ends; shared ones
+    become every lane's own."""
+    edges, src = lg.wedges, assign.select(F.col("v").alias("src"), F.col("c").alias("cs"))
+    dst = assign.select(F.col("v").alias("dst"), F.col("c").alias("cd"))
+    if not lg.shared:
+        return edges.join(src, "src").join(dst, "dst")
+    ends = [F.struct("g", F.col(end).alias("v")).alias(end) for end in ("src", "dst")]
+    own = edges.join(src.select("src.g", F.col("src.v").alias("src"), "cs"), "src")
+    return own.select(*ends, "weight", "cs").join(dst, "dst")
+
+
 def _contract(lg: LevelGraph, assign: DataFrame) -> LevelGraph:
     """Communities become vertices; their degree and size are their members' sums."""
-    e = (lg.wedges.join(assign.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src")
-         .join(assign.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst")
+    e = (_ends(lg, assign)
          .select(F.least("cs", "cd").alias("src"), F.greatest("cs", "cd").alias("dst"), "weight")
          .groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     vs = assign.join(lg.vertices, "v").groupBy(F.col("c").alias("v")).agg(
@@ -295,10 +374,7 @@ def _contract(lg: LevelGraph, assign: DataFrame) -> LevelGraph:
 
 def _inside(lg: LevelGraph, assign: DataFrame) -> DataFrame:
     """The edges whose ends share a community."""
-    return cut_lineage(
-        lg.wedges.join(assign.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src")
-        .join(assign.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst")
-        .where(F.col("cs") == F.col("cd")).select("src", "dst", "weight"))
+    return cut_lineage(_ends(lg, assign).where(F.col("cs") == F.col("cd")).select("src", "dst", "weight"))
 
 
 def _split_disconnected(graph: LevelGraph, membership: DataFrame) -> DataFrame:
@@ -405,18 +481,82 @@ def compare(nodes: DataFrame, edges: DataFrame,
     return df.withColumn("best", F.col("algorithm") == F.lit(best))
 
 
+def _in_lanes(col, lanes: int):
+    """``(g, v)`` for every lane g of a node."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(lanes - 1)),
+                                 lambda g: F.struct(g.alias("g"), col.alias("v"))))
+
+
+def resolution_memberships(nodes: DataFrame, edges: DataFrame,
+                           resolutions=(0.01, 0.5, 1.0, 2.0)) -> DataFrame:
+    """``(resolution, node, community)``, Leiden at every resolution (as
+    ``leiden``: modularity at γ = 1, constant Potts model otherwise) in one
+    run.  The state is keyed by (resolution, vertex): a round of local moving
+    reads the edges once and moves the vertices of all resolutions, on the
+    nodes' own graph over one copy of the arcs.  A resolution that moved
+    nothing on a level is finished and leaves the later levels.  Repeated
+    resolutions count once; without edges every node is alone.
+    """
+    gammas = list(dict.fromkeys(float(r) for r in resolutions))
+    if not gammas:
+        raise ValueError("no resolutions")
+    everyone, n = nodes.select("node"), len(gammas)
+    nodes, isolated = split_isolated(nodes, edges)
+    base = _level0(nodes, edges)
+    m = base.wedges.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    own = lambda df: df.select(_in_lanes(F.col("node"), n).alias("node")).withColumn("community", F.col("node"))
+    if m <= 0:
+        membership = own(everyone)
+    else:
+        scale = Scale.of(m, [(g, "modularity" if g == 1.0 else "cpm") for g in gammas], lanes=True)
+        graph = lg = LevelGraph(
+            cut_lineage(base.vertices.select(_in_lanes(F.col("v"), n).alias("v"), "k", "size")), base.wedges, True)
+        place = graph.vertices.select(F.col("v").alias("node"), "v")
+        start, active, done = lg.vertices.select("v", F.col("v").alias("c")), set(range(n)), []
+        while active:
+            assign, moves = _move(lg, start, scale)
+            _log(f"level done: {moves} moves")
+            rests = sorted(g for g in active if not moves[g])
+            if rests:
+                done.append(cut_lineage(place.where(F.col("v.g").isin(rests)).join(assign, "v")
+                                        .select("node", F.col("c").alias("community"))))
+                active -= set(rests)
+                if not active:
+                    break
+                goes = lambda df, v: df.where(F.col(f"{v}.g").isin(sorted(active)))
+                place, assign = goes(place, "v"), goes(assign, "v")
+                lg = LevelGraph(goes(lg.vertices, "v"), lg.wedges if lg.shared else goes(lg.wedges, "src"), lg.shared)
+            alone = lg.vertices.select("v", F.col("v").alias("c"))
+            parts, _ = _move(LevelGraph(lg.vertices, _inside(lg, assign)), alone, scale, merge_only=True)
+            place = cut_lineage(place.join(parts, "v").select("node", F.col("c").alias("v")))
+            start = cut_lineage(parts.withColumnRenamed("c", "p").join(assign, "v")
+                                .groupBy(F.col("p").alias("v")).agg(F.min("c").alias("c")))
+            lg = _contract(lg, parts)
+        membership = functools.reduce(DataFrame.unionByName, done)
+        membership = relabel_min(_split_disconnected(graph, membership)).unionByName(own(isolated))
+    return membership.select(F.element_at(F.array(*map(F.lit, gammas)), F.col("node.g") + 1).alias("resolution"),
+                             F.col("node.v").alias("node"), F.col("community.v").alias("community"))
+
+
+def by_resolution(memberships: DataFrame, edges: DataFrame, resolutions) -> tuple[DataFrame, DataFrame]:
+    """Membership and edges whose nodes are ``(g, v)``, g the resolution."""
+    of = F.explode(F.array(*[F.lit(float(r)) for r in dict.fromkeys(resolutions)]))
+    keyed = lambda *cols: [F.struct("g", F.col(c).alias("v")).alias(c) for c in cols]
+    return (memberships.withColumnRenamed("resolution", "g").select(*keyed("node", "community")),
+            _weighted(edges).withColumn("g", of).select(*keyed("src", "dst"), "weight"))
+
+
+def resolution_scores(memberships: DataFrame, edges: DataFrame, resolutions) -> DataFrame:
+    """(resolution, #communities, modularity at γ=1) of ``memberships``; one
+    aggregate for all resolutions."""
+    details = community_details(*by_resolution(memberships, edges, resolutions))
+    return modularity_of(details.withColumn("resolution", F.col("community.g")), by=("resolution",))
+
+
 def resolution_sweep(nodes: DataFrame, edges: DataFrame,
                      resolutions=(0.01, 0.5, 1.0, 2.0)) -> DataFrame:
-    """(resolution, #communities, modularity at γ=1) per resolution."""
-    parts = []
-    for r in resolutions:
-        memb = leiden(nodes, edges, r)
-        parts.append(modularity_of(community_details(memb, edges))
-                     .select(F.lit(float(r)).alias("resolution"), "num_communities", "modularity"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """``resolution_scores`` of ``resolution_memberships``."""
+    return resolution_scores(cut_lineage(resolution_memberships(nodes, edges, resolutions)), edges, resolutions)
 
 
 def compare_memberships(edges: DataFrame, runs: list) -> DataFrame:

@@ -83,12 +83,13 @@ def community_details(membership: DataFrame, edges: DataFrame) -> DataFrame:
         "deg_sum", "inside_weight")
 
 
-def modularity_of(details: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """D6 from E-details: Q = Σ L_c/m − γ Σ (k_c / 2m)², m = Σ k_c / 2.
+def modularity_of(details: DataFrame, resolution: float = 1.0, by: tuple = ()) -> DataFrame:
+    """D6 from E-details: Q = Σ L_c/m − γ Σ (k_c / 2m)², m = Σ k_c / 2; one
+    row, or one per value of the columns ``by``.
 
     A graph without edges has modularity 0.0.
     """
-    g = details.agg(F.sum("inside_weight").alias("L"),
+    g = details.groupBy(*by).agg(F.sum("inside_weight").alias("L"),
                     F.sum("deg_sum").alias("K"),
                     F.sum(F.col("deg_sum") * F.col("deg_sum")).alias("K2"),
                     F.count("*").alias("num_communities"))
@@ -96,7 +97,7 @@ def modularity_of(details: DataFrame, resolution: float = 1.0) -> DataFrame:
     q = F.when(F.col("K") > 0,
                F.col("L") / m - F.lit(resolution) * F.col("K2") / (4.0 * m * m)
                ).otherwise(F.lit(0.0))
-    return g.select("num_communities", F.coalesce(q, F.lit(0.0)).alias("modularity"))
+    return g.select(*by, "num_communities", F.coalesce(q, F.lit(0.0)).alias("modularity"))
 
 
 def modularity(membership: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:

@@ -18,7 +18,7 @@ from corpusgraph.operators import graph as g
 from corpusgraph.operators import naming as nm
 from corpusgraph.operators import quality as qm
 from corpusgraph.plans.common import Registry, rounded
-from corpusgraph.plans.graph_queries import DETAILS_CTE, doc_graph
+from corpusgraph.plans.graph_queries import DETAILS_CTE, GRAPH_CTE, doc_graph
 from corpusgraph.session import cut_lineage
 from corpusgraph.sources.tables import table
 
@@ -120,6 +120,58 @@ def q_label_propagation_invariants(spark, sf_dir):
     return _invariants(spark, sf_dir, "label_propagation", "outnumbered")
 
 
+# ------------------------------------------------------------------ D10
+RESOLUTIONS = (0.01, 0.5, 1.0, 2.0)
+
+
+def _swept(spark, sf_dir):
+    nodes, edges = doc_graph(spark, sf_dir)
+    return nodes, edges, cut_lineage(cm.resolution_memberships(nodes, edges, RESOLUTIONS))
+
+
+@reg.add("resolution_sweep")
+def q_resolution_sweep(spark, sf_dir):
+    _, edges, found = _swept(spark, sf_dir)
+    return rounded(cm.resolution_scores(found, edges, RESOLUTIONS))
+
+
+# Per resolution: rows, different nodes, labels that are not the smallest
+# member, communities in several pieces, whether the score is below that of
+# lone nodes, and whether anything merged (each edge weighs 1, so under the
+# constant Potts model linked nodes merge below γ = 1 and none above).
+@reg.add("resolution_sweep_invariants", "WITH " + GRAPH_CTE.strip() + f"""
+SELECT resolution, (SELECT count(*) FROM documents) AS num_rows,
+       (SELECT count(DISTINCT doc_id) FROM documents) AS nodes, 0::BIGINT AS mislabelled,
+       0::BIGINT AS in_pieces, 0::BIGINT AS below_alone,
+       (resolution <= 1 AND EXISTS (SELECT * FROM edges))::BIGINT AS merged
+FROM (VALUES {", ".join(f"({g}::DOUBLE)" for g in RESOLUTIONS)}) AS v(resolution)
+""")
+def q_resolution_sweep_invariants(spark, sf_dir):
+    nodes, edges, found = _swept(spark, sf_dir)
+    members, arcs = cm.by_resolution(found, edges, RESOLUTIONS)
+    inside = qm.annotate_edges(arcs, members).where("cs = cd").select("src", "dst")
+    pieces = cc.connected_components(members.select("node"), inside).withColumnRenamed("community", "piece")
+    torn = (members.join(pieces, "node").groupBy("community").agg(
+        F.count("*").alias("n"), F.count_distinct("node").alias("nodes"), F.min("node").alias("least"),
+        (F.min("piece") < F.max("piece")).alias("torn")))
+    details = qm.community_details(members, arcs).select("community", "deg_sum", "inside_weight")
+    g, size, edge_weight = F.col("resolution"), F.col("n"), F.sum("deg_sum") / 2
+    lone = (_weighted_degrees(edges).agg(F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0.0))).scalar())
+    potts = F.sum("inside_weight") - F.first("resolution") * F.sum(size * (size - 1) / 2)
+    mod = F.sum("inside_weight") - (F.sum(F.col("deg_sum") * F.col("deg_sum")) - lone) / (4 * edge_weight)
+    return (torn.join(details, "community").withColumn("resolution", F.col("community.g")).groupBy(g)
+            .agg(F.sum("n").alias("num_rows"), F.sum("nodes").alias("nodes"),
+                 F.count_if(F.col("least") != F.col("community")).alias("mislabelled"),
+                 F.count_if("torn").alias("in_pieces"),
+                 (F.when(F.first("resolution") == 1, F.coalesce(mod, F.lit(0.0))).otherwise(potts) < -1e-6)
+                 .cast("long").alias("below_alone"),
+                 F.max(size > 1).cast("long").alias("merged")))
+
+
+def _weighted_degrees(edges):
+    return cm.weighted_arcs(edges).groupBy("a").agg(F.sum("w").alias("k"))
+
+
 # ------------------------------------------------------------------ F
 PART_GRAPH_CTE = """
 pn AS (SELECT p_partkey, p_name || '_' || p_partkey::VARCHAR AS node, p_brand FROM part),

@@ -169,3 +169,62 @@ def test_rising_gains_along_a_path_take_few_rounds(spark, monkeypatch):
     rounds, _ = _rounds(monkeypatch, lambda: cm._local_moves(
         lg, lg.vertices.selectExpr("v", "v as c"), m, 1.0, "modularity"))
     assert rounds < 30
+
+
+def _objective(memb, pairs, gamma):
+    """Modularity at γ = 1, else weight inside less γ per pair of members."""
+    if gamma == 1.0:
+        return _modularity(memb, pairs)
+    sizes = {}
+    for c in memb.values():
+        sizes[c] = sizes.get(c, 0) + 1
+    return (sum(memb[a] == memb[b] for a, b in pairs)
+            - gamma * sum(n * (n - 1) / 2 for n in sizes.values()))
+
+
+def test_resolutions_swept_together(spark, monkeypatch):
+    """Cliques on a ring with an isolated node: every resolution of one run is
+    a partition with the smallest members as labels, about as good as the best
+    cut of the ring into equal stretches, and the cliques or lone nodes where
+    these are best; the shared arcs are written once."""
+    size, cliques, gammas = 5, 8, (0.01, 0.3, 1.0, 2.0, 0.3)
+    n = size * cliques
+    pairs = [(c * size + i, c * size + j) for c in range(cliques) for i in range(size) for j in range(i)]
+    pairs += [(c * size, (c + 1) % cliques * size + 1) for c in range(cliques)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    nodes = spark.range(n + 1).withColumnRenamed("id", "node")
+    shared, write = [], cm.write_table
+    monkeypatch.setattr(cm, "write_table", lambda df, kind="table": (
+        shared.append(df.count()) if "k" in df.columns and kind == "arcs" else None) or write(df, kind))
+    found = cm.cut_lineage(cm.resolution_memberships(nodes, edges, gammas))
+    monkeypatch.undo()
+    rows = found.collect()
+    assert shared == [2 * len(pairs)]
+    assert len(rows) == 4 * (n + 1)
+    scores = {r["resolution"]: r for r in cm.resolution_scores(found, edges, gammas).collect()}
+    assert sorted(scores) == sorted(set(gammas))
+    for g, row in scores.items():
+        memb = {r["node"]: r["community"] for r in rows if r["resolution"] == g}
+        assert sorted(memb) == list(range(n + 1))
+        assert all(min(v for v in memb if memb[v] == c) == c for c in memb.values())
+        best = max(_objective({v: v * k // n for v in range(n)}, pairs, g) for k in range(1, n + 1))
+        assert _objective(memb, pairs, g) >= 0.95 * best
+        assert row["num_communities"] == len(set(memb.values()))
+        assert row["modularity"] == pytest.approx(_modularity(memb, pairs))
+        if g == 0.3:
+            assert memb == {v: v // size * size for v in memb}
+        if g == 2.0:
+            assert all(v == c for v, c in memb.items())
+
+
+def test_resolutions_without_edges_and_of_names(spark, path_graph):
+    nodes, _ = path_graph
+    none = spark.createDataFrame([], "src string, dst string")
+    rows = cm.resolution_memberships(nodes, none, (0.5, 1.0)).collect()
+    assert len(rows) == 16 and all(r["node"] == r["community"] for r in rows)
+    with pytest.raises(ValueError):
+        cm.resolution_memberships(nodes, none, ())
+    nodes, edges = two_triangles(spark)
+    rows = cm.resolution_memberships(nodes, edges, (0.4, 1.0)).collect()
+    for g in (0.4, 1.0):
+        assert {r["node"]: r["community"] for r in rows if r["resolution"] == g} == dict(zip("abcxyzq", "aaaxxxq"))
