@@ -13,10 +13,13 @@ whole, and the state each block starts in.
   least stock with which a larger one fits tell, for every k, whether the
   block can be passed without looking into it.  A key's chain stops at blocks
   where the stock leaves its power of two, which happens once per power.
-* Rate limit (I14): all blocks run at once from the state their predecessor
-  last ended in, those whose start changed again, until no start changes.  A
+* Rate limit (I14): a task carries the state along a key's blocks in one range
+  partition; all partitions run at once from the state their predecessor last
+  ended in, those whose start changed again, until no start changes.  So the
+  steps are as many as the partitions a key spans at most, whatever its rows; a
   start is the accepted times still inside the window, so ends agree as soon
-  as a window passes in which the limit was not reached.
+  as a window passes in which the limit was not reached.  At the limit a block
+  is passed from one accepted request to the next by binary search.
 * As-of (I15): the last write is carried forward inside a partition, and one
   row per partition end carries it on.
 
@@ -26,7 +29,7 @@ Null keys are a key of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +120,8 @@ def _streamed(df: DataFrame, step, out: str) -> DataFrame:
     def run(batches):
         def rows():
             for b in batches:
-                yield from b.to_pylist()
+                for i in range(0, b.num_rows, 256):
+                    yield from b.slice(i, 256).to_pylist()
 
         held = []
         for made in step(rows()):
@@ -265,30 +269,59 @@ def rate_limit(requests: DataFrame, client: str, ts: str, max_requests: int, win
     w = window_seconds * 1_000_000
     b = blocks(requests.where(F.col(ts).isNotNull()).withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))), client, ["_t"], ["_t", ts])
 
+    b = b.withColumn("part", F.shiftright("block", 33))  # the range partition a block was cut in
+    key_type = b.schema["key"].dataType.simpleString()
+
     def fold(times, start):
-        live, ok, first = list(start), [], 0
-        for t in times:
-            first = bisect_right(live, t - w, first)  # times up to t - W have left
-            ok.append(len(live) - first < max_requests)
-            if ok[-1]:
-                live.append(t)
+        live, ok, i = list(start), [False] * len(times), 0
+        while max_requests > 0 and i < len(times):
+            if len(live) >= max_requests:  # none is accepted before the oldest that counts has left
+                i = bisect_left(times, live[-max_requests] + w, i)
+                if i == len(times):
+                    break
+            ok[i] = True
+            live.append(times[i])
+            i += 1
         return {"ok": ok, "end": live[bisect_right(live, times[-1] - w):]}
 
-    along = Window.partitionBy("key").orderBy("block")
+    def carry(rows):
+        """Every block with the start it has once ``start`` of its key's first
+        block in the partition is carried on to it."""
+        part = key = live = None
+        for r in rows:
+            if part != r["part"] or not (key == r["key"] or key != key and r["key"] != r["key"]):
+                part, key, live = r["part"], r["key"], r["start"]
+            end = fold(r["_t"], live)["end"]
+            yield key, part, r["block"], r["_t"][0], live, end
+            live = end
+
+    def carried_on(starts):
+        """(every block's start, one row for each key and partition)"""
+        whole = starts.repartition("part").sortWithinPartitions("block")
+        each = _streamed(whole.select("key", "part", "block", "_t", "start"), carry,
+                         f"key {key_type}, part long, block long, t0 long, start array<long>, end array<long>")
+        return each, each.groupBy("key", "part").agg(
+            F.min("t0").alias("t0"), F.min_by("start", "block").alias("start"), F.max_by("end", "block").alias("end"))
+
+    along = Window.partitionBy("key").orderBy("part")
     none = F.array().cast("array<long>")
-    #: what of the predecessor's end still counts at the block's first request
+    #: what of the predecessor's end still counts at a partition's first request
     came = F.filter(F.coalesce(F.lag("end").over(along), none), lambda a: a > F.col("t0") - w)
-    out = {"ok": "array<boolean>", "end": "array<long>"}
-    runs = cut_lineage(_per_block(b.select("key", "block", "_t", none.alias("start")), ["_t", "start"], fold, out)
-                       .select("key", "block", F.col("_t")[0].alias("t0"), "start", "end"))
+    cols = ["key", "part", "t0", "start", "end"]
+    runs = cut_lineage(carried_on(b.withColumn("start", none))[1].select(*cols))
+    started = lambda s: b.join(
+        s.select(F.col("key").alias("_k"), F.col("part").alias("_p"), "start"),
+        F.col("key").eqNullSafe(F.col("_k")) & (F.col("part") == F.col("_p")))
     while True:
-        now = cut_lineage(runs.withColumn("new", came))
+        now = runs.withColumn("new", came)
         changed = F.col("new") != F.col("start")
-        starts = now.where(changed).select("block", "t0", F.col("new").alias("start"))
+        starts = now.where(changed).select("key", "part", F.col("new").alias("start"))
         if starts.isEmpty():
             break
-        again = _per_block(b.select("key", "block", "_t").join(starts, "block"), ["_t", "start"], fold, out)
-        runs = cut_lineage(now.where(~changed).drop("new").unionByName(again.select(*runs.columns)))
+        again = carried_on(started(starts))[1]
+        runs = cut_lineage(now.where(~changed).select(*cols).unionByName(again.select(*cols)))
+    runs = cut_lineage(carried_on(started(runs))[0].select("block", "start"))
+    out = {"ok": "array<boolean>", "end": "array<long>"}
     done = _per_block(b.join(runs.select("block", "start"), "block"), ["_t", "start"], fold, out)
     unknown = requests.where(F.col(ts).isNull()).select(client, ts, F.lit(None).cast("boolean").alias("accepted"))
     return done.select("key", F.explode(F.arrays_zip(F.col(ts).alias("ts"), "ok")).alias("z")).select(

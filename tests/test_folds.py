@@ -98,6 +98,23 @@ def test_rate_limit(spark, rows_a_block, limit, window):
     assert [x for x in got if not x[1]] == [("hot", None, None)]
 
 
+def test_rate_limit_without_a_pause_takes_as_many_steps_as_partitions(spark, monkeypatch):
+    """One client far beyond its limit all the time: 250 blocks, few partitions."""
+    monkeypatch.setattr(folds, "ROWS", 16)
+    made = []
+    cut = folds.cut_lineage
+    monkeypatch.setattr(folds, "cut_lineage", lambda df: made.append(df.columns) or cut(df))
+    df = spark.range(4000).selectExpr("'c' as c", "timestamp_seconds(id + id % 3) as t")
+    got = [(r["t"], r["accepted"]) for r in en.rate_limit(df, "c", "t", 3, 100).collect()]
+    taken, want = [], []
+    for t in sorted(x[0] for x in got):
+        ok = sum(a > t - dt.timedelta(seconds=100) for a in taken[-3:]) < 3
+        taken += [t] if ok else []
+        want.append((t, ok))
+    assert sorted(got) == sorted(want)
+    assert len(made) <= 4 + 2 * 8  # at most 8 partitions in these tests' session
+
+
 def test_asof_over_partitions_and_one_second(spark):
     """A key with most rows, many of them in one second."""
     r = random.Random(4)
