@@ -350,45 +350,86 @@ def lifetimes(changes: DataFrame, key: str, ts: str, value: str, ttl_seconds: in
 
 
 class Expiring(StatefulProcessor):
-    """Holds a row until the watermark has passed its expiry, then emits it with
-    the times it came."""
+    """Holds the rows of a bucket until the watermark has passed their expiry.
+    The state is a list of chunks of rows and how often each came, so a
+    micro-batch costs a bucket a few calls and not some for each row."""
+
+    CHUNK = 4096
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "expires_us BIGINT, n BIGINT")
+        self.held = handle.getListState("held", "expires_us ARRAY<BIGINT>, rows ARRAY<STRING>, n ARRAY<BIGINT>")
+        self.next = handle.getValueState("next", "ms BIGINT")
+
+    def _wake(self, ms: int) -> None:
+        """A timer at the earliest expiry that is held."""
+        self.next.update((ms,))
+        self.handle.registerTimer(ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.held.get()[1] if self.held.exists() else 0
+        first = None
         for part in rows:
-            n, expires = n + len(part), int(part["expires_us"].iloc[0])
-        self.held.update((expires, n))
-        self.handle.registerTimer(expires // 1000 + 1)
+            came: dict = {}
+            for x in zip(part["expires_us"].astype("int64").tolist(), part["row_key"].tolist()):
+                came[x] = came.get(x, 0) + 1
+            held = [(us, x, n) for (us, x), n in came.items()]
+            for at in range(0, len(held), self.CHUNK):
+                self.held.appendValue(tuple(map(list, zip(*held[at:at + self.CHUNK]))))
+            low = min(us for us, _, _ in held)
+            first = low if first is None else min(first, low)
+        ms = first // 1000 + 1
+        if self.next.exists():
+            was = self.next.get()[0]
+            if was <= ms:
+                return iter(())
+            self.handle.deleteTimer(was)
+        self._wake(ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.held.exists():
-            expires, n = self.held.get()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        rest, first = [], None
+        for chunk in self.held.get():
+            chunk = list(zip(*chunk))
+            out = [x for x in chunk if x[0] // 1000 + 1 <= now]
+            left = [x for x in chunk if x[0] // 1000 + 1 > now]
+            if out:
+                yield pd.DataFrame({"row_key": [x for _, x, _ in out], "n": [n for _, _, n in out]})
+            if left:
+                rest.append(tuple(map(list, zip(*left))))
+                low = min(rest[-1][0])
+                first = low if first is None else min(first, low)
+        self.next.clear()
+        if rest:
+            self.held.put(rest)
+            self._wake(first // 1000 + 1)
+        else:
             self.held.clear()
-            yield pd.DataFrame({"row_key": [key[0]], "expires_us": [expires], "n": [n]})
 
     def close(self) -> None:
         pass
 
 
+#: Buckets that rows of one day of expiry are dealt into.
+EXPIRY_BUCKETS = 8
+
+
 def expiry_timer_stream(stream: DataFrame, ts: str, expires_col: str, delay: str = "1 hour") -> DataFrame:
     """K4: the rows whose expiry the watermark has passed, each one time for
-    each time it came; the row itself is the key, so no recipient is a hot one.
-    Rows without an expiry never expire."""
+    each time it came.  Rows are kept by day of expiry and hash of the row, so
+    neither a recipient nor a day is a hot key.  Rows without an expiry never
+    expire."""
     _ship()
     cols = list(stream.columns)
     src = (stream.where(F.col(expires_col).isNotNull())
            .select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("row_key"),
                    F.col(ts).cast("timestamp").alias("_et"),
                    F.unix_micros(F.col(expires_col).cast("timestamp")).alias("expires_us"))
+           .withColumn("day", F.floor(F.col("expires_us") / 86_400_000_000))
+           .withColumn("bucket", F.pmod(F.xxhash64("row_key"), F.lit(EXPIRY_BUCKETS)))
            .withWatermark("_et", delay))
-    out = src.groupBy("row_key").transformWithStateInPandas(
-        Expiring(), outputStructType="row_key string, expires_us bigint, n bigint", outputMode="Append",
-        timeMode="EventTime")
+    out = src.groupBy("day", "bucket").transformWithStateInPandas(
+        Expiring(), outputStructType="row_key string, n bigint", outputMode="Append", timeMode="EventTime")
     return out.select(F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_i"),
                       F.from_json("row_key", stream.schema.simpleString()).alias("r")).select("r.*")
 

@@ -116,6 +116,25 @@ def test_expiry_timers_equal_batch(spark):
     assert got.count() == 2 * want > 0 and got.columns == notes.columns
 
 
+def test_expiry_state_is_kept_by_bucket_and_lasts_over_batches(spark, tmp_path, monkeypatch):
+    """Chunks of a day's rows; what a micro-batch leaves goes in a later one."""
+    monkeypatch.setattr(st, "EXPIRY_BUCKETS", 2)
+    monkeypatch.setattr(st.Expiring, "CHUNK", 3)
+    t0 = dt.datetime(2024, 5, 1)
+    rows = [(i % 9, t0 + dt.timedelta(minutes=20 * b, milliseconds=i), t0 + dt.timedelta(minutes=(7 * i) % 120, milliseconds=i))
+            for b in range(6) for i in range(30)]
+    rows += [(0, t0, None), (1, t0 + dt.timedelta(hours=5), t0 + dt.timedelta(days=3))]
+    for i in range(0, len(rows), 30):
+        spark.createDataFrame(rows[i:i + 30], "k int, t timestamp_ntz, e timestamp_ntz").coalesce(1).write.mode(
+            "append").parquet(f"{tmp_path}/notes.parquet")
+    stream = st.expiry_timer_stream(st.table_stream(spark, str(tmp_path), "notes", 1), "t", "e", "2 hours")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "bucket" in plan and "day" in plan  # the state is keyed by these, not by the row
+    got = st.run_to_table(stream, "t_buckets")
+    want = [r for r in rows if r[2] and r[2] < t0 + dt.timedelta(hours=3)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 150
+
+
 def test_streams_leave_the_session_alone(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
