@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusgraph.session import cut_lineage
+
 # Characters stripped from both ends of a line before it is compared.
 LINE_TRIM = " \t\r"
 
@@ -180,13 +182,13 @@ def code_graph(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # ------------------------------------------------------------------ C1, C2 by hubs
-def _call_ends(elements: DataFrame) -> DataFrame:
-    """``node, name, calls, kind``: for calls of functions by bare names and for
+def _call_ends(elements: DataFrame, *keep: str) -> DataFrame:
+    """``node, name, calls, kind`` and the columns ``keep``: for calls of functions by bare names and for
     bases of classes, the referring (``calls`` 1) and the defining end (0)."""
     def ends(kind: str, refs) -> DataFrame:
-        own = elements.where(F.col("kind") == kind)
-        return own.select(F.col("element_id").alias("node"), F.explode(refs).alias("name"), F.lit(1).alias("calls")) \
-            .unionByName(own.select(F.col("element_id").alias("node"), "name", F.lit(0).alias("calls"))) \
+        own, node = elements.where(F.col("kind") == kind), F.col("element_id").alias("node")
+        return own.select(node, *keep, F.explode(refs).alias("name"), F.lit(1).alias("calls")) \
+            .unionByName(own.select(node, *keep, "name", F.lit(0).alias("calls"))) \
             .withColumn("kind", F.lit(kind))
 
     bare = F.filter(F.array_distinct("calls"), lambda c: ~c.contains("."))
@@ -231,15 +233,20 @@ def hub_components(elements: DataFrame) -> DataFrame:
 
 def hub_modularity(elements: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
     """D6 over C1/C2 (multiplicities kept): ``num_edges, modularity`` of a
-    ``membership(node, community)`` from counts per (name, community): a name's
-    edges inside a community are its callers there times its definitions there."""
-    hubs = name_hubs(elements).join(membership, "node")
-    inside = hubs.groupBy("kind", "name", "community").agg(
-        (F.count_if(F.col("calls") == 1) * F.count_if(F.col("calls") == 0)).alias("inside")) \
-        .groupBy("community").agg(F.sum("inside").alias("inside"))
-    mass = hubs.groupBy("community").agg(
-        F.sum(F.when(F.col("calls") == 1, F.col("definitions")).otherwise(F.col("callers"))).alias("mass"))
-    both = mass.join(inside, "community").select(F.col("mass").cast("double"), F.col("inside").cast("double"))
+    ``membership(node, community)`` from counts per (name, community), which alone
+    are shuffled: a name's edges inside a community are its callers there times its definitions there."""
+    sides = [F.count_if(F.col("calls") == 1).alias("c"), F.count_if(F.col("calls") == 0).alias("d")]
+    own = membership.select(F.col("node").alias("element_id"), "community")
+    # an end's row is no longer needed once it is counted for its name and community
+    lists = {c: F.array_distinct(c) for c in ("calls", "inheritance")}
+    there = _call_ends(elements.withColumns(lists).join(own, "element_id"), "community").where("community is not null") \
+        .groupBy("kind", "name", "community").agg(*sides)
+    hubs = _call_ends(elements).groupBy("kind", "name").agg(
+        F.count_if(F.col("calls") == 1).alias("callers"), F.count_if(F.col("calls") == 0).alias("definitions"))
+    hubs = there.join(hubs.where("callers > 0 and definitions > 0"), ["kind", "name"])
+    both = cut_lineage(hubs.groupBy("community").agg(
+        F.sum(F.col("c") * F.col("definitions") + F.col("d") * F.col("callers")).cast("double").alias("mass"),
+        F.sum(F.col("c") * F.col("d")).cast("double").alias("inside")))
     m = both.agg(F.sum("mass")).select(F.col("sum(mass)") / 2).scalar()
     return both.agg(F.sum(F.col("inside") / m - resolution * F.pow(F.col("mass") / (2 * m), 2)).alias("q")).select(
         F.coalesce(m, F.lit(0.0)).cast("long").alias("num_edges"), F.coalesce("q", F.lit(0.0)).alias("modularity"))

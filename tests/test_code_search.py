@@ -102,3 +102,26 @@ def test_keyword_automaton(spark):
     b = nm.with_keywords(df, "t").select("id", nm.name_from_description(
         "t", F.array().cast("array<string>"), F.lit("unknown"), keywords="keywords").alias("n"))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_hub_modularity_counts_before_it_joins(spark, monkeypatch):
+    """Ends are counted by name and community and never joined row by row; a
+    node may lack a community or have several."""
+    import random
+    r = random.Random(3)
+    rows = [(i, "function", r.choice("abcd"), [r.choice("abcdef") for _ in range(r.randrange(6))], []) for i in range(200)]
+    el = spark.createDataFrame(rows, "element_id long, kind string, name string, calls array<string>, inheritance array<string>")
+    memb = [(i, r.choice(["x", "y", "z", None])) for i in range(180)] + [(0, "x"), (1, "y")]
+    hubs = g.name_hubs(el).join(spark.createDataFrame(memb, "node long, community string"), "node").collect()
+    mass, callers, defs = {}, {}, {}
+    for h in hubs:
+        if h.community is not None:
+            mass[h.community] = mass.get(h.community, 0) + (h.definitions if h.calls else h.callers)
+            side = callers if h.calls else defs
+            side[h.name, h.community] = side.get((h.name, h.community), 0) + 1
+    inside = sum(n * defs.get(k, 0) for k, n in callers.items())
+    m = sum(mass.values()) / 2
+    monkeypatch.setattr(g, "name_hubs", None)
+    got = g.hub_modularity(el, spark.createDataFrame(memb, "node long, community string")).first()
+    assert got.num_edges == int(m)
+    assert abs(got.modularity - (inside / m - sum((k / (2 * m)) ** 2 for k in mass.values()))) < 1e-9
