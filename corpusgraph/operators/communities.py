@@ -222,20 +222,20 @@ best AS (
          max(if(own, cb, null)) AS cur, max(if(own, gain, null)) AS stay, max(if(own, n, null)) AS n
   FROM rated GROUP BY a),
 wanted AS (
-  SELECT a, cur, t.cb AS to, x, r, t.gain - stay AS delta,
+  SELECT a, cur, t.cb AS to, x, r, t.gain - stay AS delta, {level} AS lvl,
          struct(t.gain - stay AS delta, xxhash64(a, r) AS h, a, t.cb AS to) AS rank
   FROM best WHERE t.gain - stay > {eps} {alone}),
 sides AS (
-  SELECT c, coalesce(sum(if(goes, null, gain)), 0) AS gain_in, coalesce(sum(if(goes, gain, null)), 0) AS gain_out,
-         sum(if(goes, null, x)) AS x_in, sum(if(goes, x, null)) AS x_out,
+  SELECT c, {by} coalesce(sum(if(goes, null, gain)), 0) AS gain_in, coalesce(sum(if(goes, gain, null)), 0) AS gain_out,
+         coalesce(sum(if(goes, null, x)), 0) AS x_in, coalesce(sum(if(goes, x, null)), 0) AS x_out,
          max(if(goes, null, rank)) AS first_in, max(if(goes, rank, null)) AS first_out, max(r) AS r
   FROM (SELECT explode(array(struct(to AS c, false AS goes), struct(cur AS c, true AS goes))) AS e, e.c, e.goes,
-               CAST(delta / {link} AS DECIMAL(28, 6)) AS gain, x, rank, r FROM wanted)
-  GROUP BY c),
-roles AS (SELECT c, x_in, x_out, first_in, first_out, {gives} AS gives FROM sides),
+               CAST(delta / {link} AS DECIMAL(28, 6)) AS gain, x, rank, r, lvl FROM wanted)
+  GROUP BY {by} c),
+roles AS (SELECT c, {by} x_in, x_out, first_in, first_out, {gives} AS gives FROM {sides}),
 made AS (
   SELECT w.a, w.to, f.gives AND NOT t.gives AND {fits} AS accepted
-  FROM wanted w JOIN roles f ON f.c = w.cur JOIN roles t ON t.c = w.to)
+  FROM wanted w JOIN roles f ON f.c = w.cur {at_f} JOIN roles t ON t.c = w.to {at_t})
 SELECT v, if(accepted, to, c) AS c, x, r + 1 AS r, CASE WHEN accepted THEN 2 WHEN to IS NOT NULL THEN 1 ELSE 0 END AS mark
 FROM {{state}} LEFT JOIN made ON a = v
 """
@@ -250,6 +250,20 @@ _LINKS = {
     (True, True): "SELECT o.v AS a, s.c AS cb, w, {x} AS x, false AS own FROM {{open}} o "
                   "JOIN {{arcs}} arcs ON arcs.a = o.v.v JOIN {{state}} s ON s.v = struct(o.v.g AS g, arcs.b AS v)",
 }
+#: How the moves wanted are ranked against each other: all alike, or by levels,
+#: each with half the moves of the one below, of which a move bears all the mass
+#: above it (twice, as a pair on one level shares its cost).
+_ALIKE = {"level": "0", "by": "", "sides": "sides", "at_f": "", "at_t": ""}
+_LEVELS = {
+    "level": "bit_count((xxhash64(a, r, 'level') & 9223372036854775807) - 1 & ~xxhash64(a, r, 'level'))",
+    "by": "lvl,", "at_f": "AND f.lvl = w.lvl", "at_t": "AND t.lvl = w.lvl",
+    "sides": """(
+  SELECT c, lvl, r, sum(gain_in) OVER whole AS gain_in, sum(gain_out) OVER whole AS gain_out,
+         -x_in + 2 * sum(x_in) OVER above AS x_in, -x_out + 2 * sum(x_out) OVER above AS x_out,
+         max(first_in) OVER whole AS first_in, max(first_out) OVER whole AS first_out
+  FROM sides WINDOW whole AS (PARTITION BY c),
+    above AS (PARTITION BY c ORDER BY lvl DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+}
 _GIVES = {
     "sums": "gain_out > gain_in OR gain_out = gain_in AND coalesce("
             "xxhash64(c, r, 'side') > xxhash64(first_out.to, r, 'side'), false)",
@@ -259,7 +273,8 @@ _GIVES = {
 
 
 #: Below one vertex in so many moved, the next round rates only open vertices;
-#: below one accepted move in so many, the hash alone chooses the next givers.
+#: below one accepted move in so many, the moves wanted are ranked by levels, and
+#: where they are, the hash alone chooses the next givers.
 FRONTIER, COIN = 8, 8
 
 
@@ -302,11 +317,17 @@ def _move(lg: LevelGraph, start: DataFrame, scale: Scale, merge_only: bool = Fal
     summed over all such givers some move then leads to a taker.  Where both
     sums are equal it gives if the round's hash puts it above the community
     that its first move leads to, so of two that want each other one gives.
-    After a round that accepted few of the moves wanted the hash alone
-    decides, which lets a quarter of them pass whatever the gains; after one
-    that moved nothing a community's first move (gain, then hash) decides and
-    only moves that come first on both sides are made: the first of all always
-    is.  So the loop ends, without a cap, when no open vertex gains.
+
+    Where many want the same community, none may gain enough for all the
+    others.  So after a round that accepted few of the moves wanted they are
+    ranked by levels, drawn by hash, each with half the moves of the one below:
+    a move bears the whole cost of the pairs with higher levels and half of
+    those on its own, so each pair is paid for and the few on high levels go.
+    After a round by levels that accepted few, the hash alone chooses the next
+    givers, which lets a quarter of the moves pass whatever the gains; after
+    one that moved nothing a community's first move (gain, then hash) decides
+    and only moves that come first on both sides are made: the first of all
+    always is.  So the loop ends, without a cap, when no open vertex gains.
 
     With ``merge_only`` only vertices that are still alone may move (the
     refinement of Leiden).  All figures are partial aggregates; the driver
@@ -323,7 +344,7 @@ def _move(lg: LevelGraph, start: DataFrame, scale: Scale, merge_only: bool = Fal
     arcs = arcs.sparkSession.read.schema(arcs.schema).parquet(arcs_path)
     state = masses.join(start, "v").select("v", "c", "x", F.lit(0).alias("r"))
     keeper, spark = RoundKeeper(), arcs.sparkSession
-    mode, frontier, total_moves = "sums", False, [0] * len(scale.mass)
+    mode, ranks, frontier, total_moves = "sums", _ALIKE, False, [0] * len(scale.mass)
     went = F.col("mark") == 2
     of_lane = {f"moved{g}": F.count_if(went & (F.col("v.g") == g) if scale.lanes else went)
                for g in range(len(scale.mass))}
@@ -332,7 +353,7 @@ def _move(lg: LevelGraph, start: DataFrame, scale: Scale, merge_only: bool = Fal
                 if mode != "single" else "f.first_out.a = w.a AND t.first_in.a = w.a")
         text = _ROUND.format(
             link=scale.number("link", "a"), unit=scale.number("unit", "a"), eps=EPS, gives=_GIVES[mode],
-            fits=f"({fits})", alone="AND n = 1" if merge_only else "",
+            fits=f"({fits})", **ranks, alone="AND n = 1" if merge_only else "",
             links=_LINKS[lg.shared, frontier].format(x=scale.mass_of("s.v", "arcs.")))
         views = {"state": state, "arcs": arcs}
         if frontier:
@@ -341,12 +362,17 @@ def _move(lg: LevelGraph, start: DataFrame, scale: Scale, merge_only: bool = Fal
             spark.sql(text, **views), waiting=F.count_if(F.col("mark") == 1), n=F.count("*"), **of_lane)
         now = [seen[name] for name in of_lane]
         moved, waiting = sum(now), seen["waiting"]
-        _log(f"local-move round {r}: {moved} moved, {waiting} wait ({mode})")
+        _log(f"local-move round {r}: {moved} moved, {waiting} wait ({mode}{', levels' * (ranks is _LEVELS)})")
         total_moves = [x + y for x, y in zip(total_moves, now)]
         if not moved and not waiting:
             delete_table(spark, arcs_path)
             return state.select("v", "c"), total_moves
-        mode = "single" if not moved else "coin" if moved * COIN < waiting else "sums"
+        few = moved * COIN < waiting
+        if not moved and mode != "sums":
+            mode, ranks = "single", _ALIKE
+        else:
+            mode = "coin" if few and mode == "sums" and ranks is _LEVELS else "sums"
+            ranks = _LEVELS if few else ranks
         frontier = moved * FRONTIER < seen["n"]
 
 

@@ -171,6 +171,19 @@ def test_rising_gains_along_a_path_take_few_rounds(spark, monkeypatch):
     assert rounds < 30
 
 
+def test_many_that_want_one_community_take_few_rounds(spark, monkeypatch):
+    """Leaves of one hub under the constant Potts model: any hundred of them
+    gain beside it, no one gains enough for half of all the others."""
+    n, gamma = 400, 0.01
+    edges = spark.range(1, n + 1).selectExpr("0L as src", "id as dst")
+    lg = cm._level0(spark.range(n + 1).selectExpr("id as node"), edges)
+    rounds, (memb, moves) = _rounds(monkeypatch, lambda: cm._local_moves(
+        lg, lg.vertices.selectExpr("v", "v as c"), float(n), gamma, "cpm"))
+    sizes = sorted(r["count"] for r in memb.groupBy("c").count().collect())
+    assert moves >= 99 and sizes == [1] * (n - 99) + [100]
+    assert rounds < 30
+
+
 def _objective(memb, pairs, gamma):
     """Modularity at γ = 1, else weight inside less γ per pair of members."""
     if gamma == 1.0:
