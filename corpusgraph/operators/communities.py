@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -33,6 +34,17 @@ def _log(*a):
         print(f"[cg {time.strftime('%H:%M:%S')}]", *a, flush=True)
 
 
+#: Up to so many vertices a round's joins may be broadcasts, which pass through
+#: the driver; beyond it they are merges, so that what the driver gets does not
+#: grow with the graph.
+MERGED = 150_000
+
+
+def _sized(text: str, n: int) -> str:
+    """A round's statement for ``n`` vertices, without its merge hints if few."""
+    return text if n > MERGED else re.sub(r"/\*\+.*?\*/ ", "", text)
+
+
 def _weighted(edges: DataFrame) -> DataFrame:
     w = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
     return edges.select("src", "dst", w.cast("double").alias("weight"))
@@ -76,7 +88,7 @@ def split_isolated(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
 _LABELS = """
 WITH seen AS (
   SELECT a, label, sum(n) AS n, max(own) AS own, max(r) AS r FROM (
-    SELECT a, label, 1 AS n, false AS own, r FROM {{arcs}} arcs JOIN {{state}} ON b = node {open}
+    SELECT /*+ MERGE(arcs, s, o) */ a, label, 1 AS n, false AS own, r FROM {{arcs}} arcs JOIN {{state}} s ON b = node {open}
     UNION ALL SELECT node, label, 0, true, r FROM {{state}})
   GROUP BY a, label),
 best AS (
@@ -84,15 +96,15 @@ best AS (
 unsettled AS (
   SELECT a, top.label AS label, struct(xxhash64(a, r) AS h, a AS id) AS prio FROM best WHERE n < top.n),
 turn AS ({turn})
-SELECT node, if(goes, turn.label, state.label) AS label, r + 1 AS r,
+SELECT /*+ MERGE(state, turn) */ node, if(goes, turn.label, state.label) AS label, r + 1 AS r,
        CASE WHEN goes THEN 2 WHEN a IS NOT NULL THEN 1 ELSE 0 END AS mark
 FROM {{state}} state LEFT JOIN turn ON a = node
 """
 _TURN = {
     "half": "SELECT a, label, pmod(prio.h, 2) = 0 AS goes FROM unsettled",
     "set": """
-  SELECT u.a, u.label, coalesce(u.prio > rival, true) AS goes FROM unsettled u LEFT JOIN (
-    SELECT arcs.a, max(v.prio) AS rival FROM {{arcs}} arcs LEFT SEMI JOIN unsettled o ON o.a = arcs.a
+  SELECT /*+ MERGE(u, s) */ u.a, u.label, coalesce(u.prio > rival, true) AS goes FROM unsettled u LEFT JOIN (
+    SELECT /*+ MERGE(arcs, o, v) */ arcs.a, max(v.prio) AS rival FROM {{arcs}} arcs LEFT SEMI JOIN unsettled o ON o.a = arcs.a
     JOIN unsettled v ON v.a = b GROUP BY arcs.a) s ON s.a = u.a""",
 }
 
@@ -116,7 +128,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spark = arcs.sparkSession
     arcs = spark.read.schema(arcs.schema).parquet(arcs_path)
     state = nodes.select("node", F.col("node").alias("label"), F.lit(0).alias("r"))
-    keeper, frontier = RoundKeeper(), False
+    keeper, frontier, n = RoundKeeper(), False, nodes.count()
     for r in itertools.count():
         views = {"state": state, "arcs": arcs}
         if frontier:
@@ -126,7 +138,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         text = _LABELS.format(turn=_TURN["set" if r else "half"].format(),
                               open="LEFT SEMI JOIN {open} o ON o.node = arcs.a" if frontier else "")
         state, seen = keeper.keep_counts(
-            spark.sql(text, **views), changed=F.count_if(F.col("mark") == 2),
+            spark.sql(_sized(text, n), **views), changed=F.count_if(F.col("mark") == 2),
             waiting=F.count_if(F.col("mark") == 1), n=F.count("*"))
         _log(f"label-propagation round {r}: {seen}")
         if not seen["changed"] and not seen["waiting"]:
@@ -215,7 +227,7 @@ seen AS (
     UNION ALL SELECT v, c, 0.0D, x, true FROM {{state}})
   GROUP BY a, cb),
 rated AS (
-  SELECT a, cb, x, own, n, r, {link} * kic - {unit} * x * (tot - if(own, x, 0.0D)) AS gain
+  SELECT /*+ MERGE(seen, tot) */ a, cb, x, own, n, r, {link} * kic - {unit} * x * (tot - if(own, x, 0.0D)) AS gain
   FROM seen JOIN tot USING (cb)),
 best AS (
   SELECT a, max(if(own, null, struct(gain, xxhash64(cb, r) AS h, cb))) AS t, max(x) AS x, max(r) AS r,
@@ -234,20 +246,22 @@ sides AS (
   GROUP BY {by} c),
 roles AS (SELECT c, {by} x_in, x_out, first_in, first_out, {gives} AS gives FROM {sides}),
 made AS (
-  SELECT w.a, w.to, f.gives AND NOT t.gives AND {fits} AS accepted
+  SELECT /*+ MERGE(w, f, t) */ w.a, w.to, f.gives AND NOT t.gives AND {fits} AS accepted
   FROM wanted w JOIN roles f ON f.c = w.cur {at_f} JOIN roles t ON t.c = w.to {at_t})
-SELECT v, if(accepted, to, c) AS c, x, r + 1 AS r, CASE WHEN accepted THEN 2 WHEN to IS NOT NULL THEN 1 ELSE 0 END AS mark
-FROM {{state}} LEFT JOIN made ON a = v
+SELECT /*+ MERGE(s, made) */ v, if(accepted, to, c) AS c, x, r + 1 AS r,
+       CASE WHEN accepted THEN 2 WHEN to IS NOT NULL THEN 1 ELSE 0 END AS mark
+FROM {{state}} s LEFT JOIN made ON a = v
 """
 #: The links of open vertices to the communities beside them, by (arcs shared
 #: by all lanes, open vertices known).
 _LINKS = {
-    (False, False): "SELECT a, c AS cb, w, arcs.x, false AS own FROM {{arcs}} arcs JOIN {{state}} ON b = v",
-    (False, True): "SELECT a, c AS cb, w, arcs.x, false AS own FROM {{arcs}} arcs JOIN {{state}} ON b = v "
+    (False, False): "SELECT /*+ MERGE(arcs, s) */ a, c AS cb, w, arcs.x, false AS own "
+                    "FROM {{arcs}} arcs JOIN {{state}} s ON b = v",
+    (False, True): "SELECT /*+ MERGE(arcs, s, o) */ a, c AS cb, w, arcs.x, false AS own FROM {{arcs}} arcs JOIN {{state}} s ON b = v "
                    "LEFT SEMI JOIN {{open}} o ON o.v = arcs.a",
-    (True, False): "SELECT struct(s.v.g AS g, arcs.a AS v) AS a, s.c AS cb, w, {x} AS x, false AS own "
+    (True, False): "SELECT /*+ MERGE(arcs, s) */ struct(s.v.g AS g, arcs.a AS v) AS a, s.c AS cb, w, {x} AS x, false AS own "
                    "FROM {{arcs}} arcs JOIN {{state}} s ON arcs.b = s.v.v",
-    (True, True): "SELECT o.v AS a, s.c AS cb, w, {x} AS x, false AS own FROM {{open}} o "
+    (True, True): "SELECT /*+ MERGE(o, arcs, s) */ o.v AS a, s.c AS cb, w, {x} AS x, false AS own FROM {{open}} o "
                   "JOIN {{arcs}} arcs ON arcs.a = o.v.v JOIN {{state}} s ON s.v = struct(o.v.g AS g, arcs.b AS v)",
 }
 #: How the moves wanted are ranked against each other: all alike, or by levels,
@@ -343,7 +357,7 @@ def _move(lg: LevelGraph, start: DataFrame, scale: Scale, merge_only: bool = Fal
     arcs_path = write_table(arcs, "arcs")
     arcs = arcs.sparkSession.read.schema(arcs.schema).parquet(arcs_path)
     state = masses.join(start, "v").select("v", "c", "x", F.lit(0).alias("r"))
-    keeper, spark = RoundKeeper(), arcs.sparkSession
+    keeper, spark, n = RoundKeeper(), arcs.sparkSession, lg.vertices.count()
     mode, ranks, frontier, total_moves = "sums", _ALIKE, False, [0] * len(scale.mass)
     went = F.col("mark") == 2
     of_lane = {f"moved{g}": F.count_if(went & (F.col("v.g") == g) if scale.lanes else went)
@@ -359,7 +373,7 @@ def _move(lg: LevelGraph, start: DataFrame, scale: Scale, merge_only: bool = Fal
         if frontier:
             views["open"] = _open_vertices(state, arcs, lg.shared)
         state, seen = keeper.keep_counts(
-            spark.sql(text, **views), waiting=F.count_if(F.col("mark") == 1), n=F.count("*"), **of_lane)
+            spark.sql(_sized(text, n), **views), waiting=F.count_if(F.col("mark") == 1), n=F.count("*"), **of_lane)
         now = [seen[name] for name in of_lane]
         moved, waiting = sum(now), seen["waiting"]
         _log(f"local-move round {r}: {moved} moved, {waiting} wait ({mode}{', levels' * (ranks is _LEVELS)})")

@@ -184,6 +184,22 @@ def test_many_that_want_one_community_take_few_rounds(spark, monkeypatch):
     assert rounds < 30
 
 
+def test_rounds_on_large_graphs_broadcast_nothing(spark, monkeypatch):
+    """Beyond ``MERGED`` vertices no join of a round passes through the driver,
+    and the memberships are those of the broadcast joins."""
+    nodes, edges = two_triangles(spark)
+    plans, keep = [], cm.RoundKeeper.keep_counts
+    monkeypatch.setattr(cm.RoundKeeper, "keep_counts", lambda self, df, **c: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or keep(self, df, **c))
+    found = {}
+    for most in (cm.MERGED, 0):
+        monkeypatch.setattr(cm, "MERGED", most)
+        plans.clear()
+        found[most] = [sorted(map(tuple, f(nodes, edges).collect())) for f in (cm.label_propagation, cm.louvain)]
+        hinted = [p for p in plans if "SortMergeJoin" in p]
+    assert len(hinted) == len(plans) and len({str(x) for x in found.values()}) == 1
+
+
 def _objective(memb, pairs, gamma):
     """Modularity at γ = 1, else weight inside less γ per pair of members."""
     if gamma == 1.0:
