@@ -9,7 +9,7 @@ from corpusgraph.functions import scalars as sc
 from corpusgraph.operators import search as se
 from corpusgraph.plans.common import Registry, rounded
 from corpusgraph.plans.graph_queries import GRAPH_CTE, doc_graph
-from corpusgraph.session import cut_lineage
+from corpusgraph.session import cut_lineage, delete_table, write_table
 from corpusgraph.sources.tables import table
 
 reg = Registry()
@@ -165,8 +165,11 @@ WHERE 5 * common >= 4 * (s1.n + s2.n - common)
 """)
 def q_document_class_pairs(spark, sf_dir):
     """All pairs of different token sets with a Jaccard of at least 0.8."""
-    keyed = cut_lineage(se.token_keys(se.token_arrays(_docs(spark, sf_dir))))
-    return rounded(se.similar_classes(keyed, 4, 5))
+    sets = se.token_keys(se.token_arrays(_docs(spark, sf_dir)))
+    path = write_table(sets)
+    pairs = se.similar_classes(spark.read.schema(sets.schema).parquet(path), 4, 5)
+    delete_table(spark, path)
+    return rounded(pairs)
 
 
 @reg.add("embedding_label_cosine", """

@@ -143,3 +143,36 @@ def test_all_similar_pairs_beside_the_star_and_over_a_common_token(spark, tmp_pa
     assert len(rows) == len(want) > 50 and {(r.src, r.dst, r.common) for r in rows} == want
     star = {(r.src, r.dst) for r in entry.queries()["document_similarity_pairs"](spark, str(tmp_path)).collect()}
     assert not {(i, j) for i, j, _ in want} & star
+
+
+def test_pairs_that_only_share_a_rare_token_are_not_written_and_large_cells_are_split(
+        spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+    from corpusgraph.operators import search as se
+    rng = random.Random(6)
+    texts = []
+    for size in (12, 60, 111, 223, 445, 600):  # both sides of the sketches' widths
+        words = [f"k{size}x{i}" for i in range(size)]
+        for _ in range(12):
+            texts.append(" ".join(words[rng.randrange(3):] + [f"k{size}y{rng.randrange(9)}"]))
+        # far from each other, over one rare token
+        texts += [f"aa{size} " + " ".join(f"z{rng.randrange(10**6)}" for _ in range(size)) for _ in range(40)]
+    texts += texts[:3]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    sets, first = [frozenset(t.split()) for t in texts], {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, i)
+    want = {(i, j, len(s & t)) for s, i in first.items() for t, j in first.items()
+            if i < j and 5 * len(s & t) >= 4 * len(s | t)}
+    candidates, verified = [], se._verified
+
+    def seen(pairs, *rest):
+        candidates.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(se, "_verified", seen)
+    monkeypatch.setattr(se, "CELL", 4)
+    rows = entry.queries()["document_class_pairs"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) > 100 and {(r.src, r.dst, r.common) for r in rows} == want
+    assert len(want) <= candidates[0] < 1.2 * len(want)
