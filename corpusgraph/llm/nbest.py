@@ -28,6 +28,7 @@ from __future__ import annotations
 import functools
 import heapq
 import itertools
+import operator
 import os
 import re
 import struct
@@ -42,6 +43,8 @@ from corpusgraph.llm.batches import values
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
 CACHE_WORDS, CACHE_BYTES = 1_200_000, 128 << 20
+#: Words whose N best paths are held, and the letters of such a word.
+HELD_WORDS, HELD_LETTERS = 1 << 14, 32
 MARK = "▁"
 
 Path = tuple[float, tuple[int, ...]]
@@ -80,8 +83,19 @@ class Lattice:
         #: Neighbours inside some piece: between all others every path is cut.
         self.joined = {p[k:k + 2] for p in scores for k in range(len(p) - 1)}
         self.cache_words = cache_words
+        self.paths: dict[tuple[str, int], list[Path]] = {}
         self._reset()
 
+    def _options(self, word: str, n: int) -> list[Path]:
+        """``n_best``, held for the last short words."""
+        if len(word) > HELD_LETTERS:
+            return self.n_best(word, n)
+        if (known := self.paths.get((word, n))) is None:
+            if len(self.paths) >= HELD_WORDS:
+                self.paths.clear()
+            known = self.paths[word, n] = self.n_best(word, n)
+        return known
+
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.raw_ids: list[bytes] = []
@@ -164,25 +178,23 @@ class Lattice:
         n, low, children = len(word), -np.inf, self.root[0]
         first, second, via = [low] * (n + 1), [low] * (n + 1), [(0, ())] * (n + 1)
         first[0] = 0.0
-        for s in range(n):
-            a, a2, e = first[s], second[s], s
-            node, edge = children.get(word[s]), None
-            edge = node and node[1] or self._single(word[s])
+        for s, char in enumerate(word):
+            a, a2, e = first[s], second[s], s + 1
+            node = children.get(char)
+            edge = node and node[1] or self._single(char)
             while True:
-                e += 1
                 if edge:
-                    score = a + edge[0]
-                    if score > first[e]:
-                        second[e] = max(first[e], a2 + edge[0])
+                    score, best = a + edge[0], first[e]
+                    if score > best:
+                        other = a2 + edge[0]
+                        second[e] = other if other > best else best
                         first[e], via[e] = score, (s, edge[1])
                     elif score > second[e]:
                         second[e] = score
-                if node is None or e == n:
-                    break
-                node = node[0].get(word[e])
-                if node is None:
+                if node is None or e == n or (node := node[0].get(word[e])) is None:
                     break
                 edge = node[1]
+                e += 1
         if second[n] == first[n]:      # ties: the search orders them
             return self.n_best(word, 1)[0], 0.0
         ids, at = [], n
@@ -195,17 +207,15 @@ class Lattice:
         """Cache a word.  One that some boundary cuts, because no piece
         reaches across it, is put together from its parts, which are words of
         the same table."""
-        joined, cuts = self.joined, [0]
-        for k in range(1, len(word)):
-            if word[k - 1:k + 1] not in joined:
-                cuts.append(k)
-        if len(cuts) == 1:
+        inside = list(map(self.joined.__contains__, map(operator.add, word, word[1:])))
+        if all(inside):
             (score, ids), loss = self._best_and_loss(word)
             raw = _packed(len(ids))(*ids)
         else:
-            parts = [word[i:j] for i, j in zip(cuts, [*cuts[1:], len(word)])]
+            cuts = [0, *(k for k, whole in enumerate(inside, 1) if not whole), len(word)]
+            parts = [word[i:j] for i, j in itertools.pairwise(cuts)]
             at = [self._learn(p) if (k := self.index.get(p)) is None else k for p in parts]
-            score, loss = sum(float(self.score[k]) for k in at), min(float(self.loss[k]) for k in at)
+            score, loss = sum(map(self.score.item, at)), min(map(self.loss.item, at))
             raw = b"".join([self.raw_ids[k] for k in at])
         if len(self.raw_ids) == len(self.score):
             self.score, self.loss, self.pieces = (
@@ -222,10 +232,12 @@ class Lattice:
     def words(self, text: str) -> list[str]:
         return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def segment(self, text: str, n: int) -> list[tuple[float, int, bytes, dict[int, Path]]]:
-        """The N best segmentations of a text: score, number of pieces, ids
-        (little-endian unsigned 32-bit) and, by position, the words that differ from the best."""
-        words = self.words(text)
+    def segment(self, text: str, n: int, words: list[str] | None = None,
+                ) -> list[tuple[float, int, bytes, dict[int, Path]]]:
+        """The N best segmentations of a text (whose ``words`` may be given):
+        score, number of pieces, ids (little-endian unsigned 32-bit) and, by
+        position, the words that differ from the best."""
+        words = self.words(text) if words is None else words
         if len(self.raw_ids) + len(words) > self.cache_words or self.held > CACHE_BYTES:
             self._reset()
         known, learn = self.index.get, self._learn
@@ -237,7 +249,7 @@ class Lattice:
         loss = self.loss[at]
         near = np.argsort(loss, kind="stable")[:n - 1]
         near = sorted(near[loss[near] < np.inf].tolist())
-        options = [self.n_best(words[i], n) for i in near]
+        options = [self._options(words[i], n) for i in near]
         found = []
         for ranks in itertools.product(*(range(len(o)) for o in options)):
             if 0 < sum(ranks) < n:
@@ -320,12 +332,11 @@ def segmentations(docs: DataFrame, n: int = N_BEST, vocabulary: dict | None = No
             rows = []
             for doc_id, text in zip(values(b, 0), values(b, 1)):
                 text = text or ""
-                words, first_ok = None, True
-                for rank, (score, pieces, raw, swapped) in enumerate(lattice.segment(text, n), 1):
+                words, first_ok = lattice.words(text), True
+                for rank, (score, pieces, raw, swapped) in enumerate(lattice.segment(text, n, words), 1):
                     if rank == 1:
                         ok = first_ok = lattice.decode(raw) == text
                     else:  # the words that differ must decode to the same text
-                        words = words or lattice.words(text)
                         ok = first_ok and all(
                             lattice.decode(np.asarray((0, *ids), "<u4").tobytes()).removeprefix(" ")
                             == words[i].replace(MARK, " ").removeprefix(" ")

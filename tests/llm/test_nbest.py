@@ -80,6 +80,19 @@ def test_a_small_cache_changes_nothing(lattice):
         assert [x[:3] for x in small.segment(t, 3)] == [x[:3] for x in lattice.segment(t, 3)]
 
 
+def test_words_found_once_a_text_and_paths_held_within_bounds(lattice, monkeypatch):
+    monkeypatch.setattr(N, "HELD_WORDS", 3)
+    calls, one = [], N.Lattice()
+    monkeypatch.setattr(one, "n_best", lambda w, n: calls.append(w) or lattice.n_best(w, n))
+    want = [x[:3] for x in lattice.segment("the thanedble", 3)]
+    for _ in range(2):
+        assert [x[:3] for x in one.segment("the thanedble", 3, one.words("the thanedble"))] == want
+    assert len(calls) == len(set(calls)) > 0
+    for t in TEXTS + ["x" * 40]:
+        assert [x[:3] for x in one.segment(t, 3)] == [x[:3] for x in lattice.segment(t, 3)]
+        assert len(one.paths) <= 3
+
+
 def test_rows(spark):
     rows = [(1, "the cat", "c"), (1, "the cat", "c"), (2, None, "c"), (3, "", "c"), (4, "x ▁ y", "c"),
             (5, "word " * 20_000, "c"), (6, "q" * 3000, "c")]
