@@ -18,13 +18,14 @@ import itertools
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from corpusgraph.operators import moving
 from corpusgraph.operators.components import connected_components
+from corpusgraph.operators.moving import EPS, FRONTIER, next_rule
 from corpusgraph.operators.quality import community_details, modularity_of
 from corpusgraph.session import RoundKeeper, cut_lineage, delete_table, write_table
 
-EPS = 1e-12
 _DEBUG = bool(__import__("os").environ.get("CG_DEBUG"))
 
 
@@ -39,6 +40,12 @@ def _log(*a):
 #: grow with the graph.
 MERGED = 150_000
 
+#: Up to so many edges, counted once for each resolution, a sweep's rounds run in
+#: one task: its arrays take some 130 bytes for each, while a round of stages
+#: takes seconds however few they are.  The second is the most weight in all,
+#: below which gains in millionths can be summed as whole numbers.
+ONE_TASK, MOST_WEIGHT = 4_000_000, 1e12
+
 
 def _sized(text: str, n: int) -> str:
     """A round's statement for ``n`` vertices, without its merge hints if few."""
@@ -286,12 +293,6 @@ _GIVES = {
 }
 
 
-#: Below one vertex in so many moved, the next round rates only open vertices;
-#: below one accepted move in so many, the moves wanted are ranked by levels, and
-#: where they are, the hash alone chooses the next givers.
-FRONTIER, COIN = 8, 8
-
-
 def _local_moves(lg: LevelGraph, start: DataFrame, m: float, resolution: float, objective: str,
                  merge_only: bool = False) -> tuple[DataFrame, int]:
     """``_move`` for one resolution: (``v, c``) and the number of moves."""
@@ -310,6 +311,12 @@ def _open_vertices(state: DataFrame, arcs: DataFrame, shared: bool) -> DataFrame
     return beside.unionByName(waits).distinct()
 
 
+def _shared_arcs(lg: LevelGraph) -> DataFrame:
+    """Both directions of the shared wedges with the masses of a."""
+    of_a = lg.vertices.groupBy(F.col("v.v").alias("a")).agg(F.max("k").alias("k"), F.max("size").alias("size"))
+    return weighted_arcs(lg.wedges).join(of_a, "a").select("a", "b", "w", "k", "size")
+
+
 def _move(lg: LevelGraph, start: DataFrame, scale: Scale, merge_only: bool = False) -> tuple[DataFrame, list]:
     """Parallel local moving on one level from ``start(v, c)``; returns
     (``v, c``) and the number of moves of every lane.
@@ -348,17 +355,15 @@ def _move(lg: LevelGraph, start: DataFrame, scale: Scale, merge_only: bool = Fal
     reads one row of counts per round.
     """
     masses = lg.vertices.select("v", F.expr(scale.mass_of("v")).alias("x"))
-    arcs = weighted_arcs(lg.wedges)
     if lg.shared:
-        of_a = lg.vertices.groupBy(F.col("v.v").alias("a")).agg(F.max("k").alias("k"), F.max("size").alias("size"))
-        arcs = arcs.join(of_a, "a").select("a", "b", "w", "k", "size")
+        arcs = _shared_arcs(lg)
     else:
-        arcs = arcs.join(masses.withColumnRenamed("v", "a"), "a").select("a", "b", "w", "x")
+        arcs = weighted_arcs(lg.wedges).join(masses.withColumnRenamed("v", "a"), "a").select("a", "b", "w", "x")
     arcs_path = write_table(arcs, "arcs")
     arcs = arcs.sparkSession.read.schema(arcs.schema).parquet(arcs_path)
     state = masses.join(start, "v").select("v", "c", "x", F.lit(0).alias("r"))
     keeper, spark, n = RoundKeeper(), arcs.sparkSession, lg.vertices.count()
-    mode, ranks, frontier, total_moves = "sums", _ALIKE, False, [0] * len(scale.mass)
+    mode, levels, frontier, total_moves = "sums", False, False, [0] * len(scale.mass)
     went = F.col("mark") == 2
     of_lane = {f"moved{g}": F.count_if(went & (F.col("v.g") == g) if scale.lanes else went)
                for g in range(len(scale.mass))}
@@ -367,7 +372,7 @@ def _move(lg: LevelGraph, start: DataFrame, scale: Scale, merge_only: bool = Fal
                 if mode != "single" else "f.first_out.a = w.a AND t.first_in.a = w.a")
         text = _ROUND.format(
             link=scale.number("link", "a"), unit=scale.number("unit", "a"), eps=EPS, gives=_GIVES[mode],
-            fits=f"({fits})", **ranks, alone="AND n = 1" if merge_only else "",
+            fits=f"({fits})", **(_LEVELS if levels else _ALIKE), alone="AND n = 1" if merge_only else "",
             links=_LINKS[lg.shared, frontier].format(x=scale.mass_of("s.v", "arcs.")))
         views = {"state": state, "arcs": arcs}
         if frontier:
@@ -376,17 +381,12 @@ def _move(lg: LevelGraph, start: DataFrame, scale: Scale, merge_only: bool = Fal
             spark.sql(_sized(text, n), **views), waiting=F.count_if(F.col("mark") == 1), n=F.count("*"), **of_lane)
         now = [seen[name] for name in of_lane]
         moved, waiting = sum(now), seen["waiting"]
-        _log(f"local-move round {r}: {moved} moved, {waiting} wait ({mode}{', levels' * (ranks is _LEVELS)})")
+        _log(f"local-move round {r}: {moved} moved, {waiting} wait ({mode}{', levels' * levels})")
         total_moves = [x + y for x, y in zip(total_moves, now)]
         if not moved and not waiting:
             delete_table(spark, arcs_path)
             return state.select("v", "c"), total_moves
-        few = moved * COIN < waiting
-        if not moved and mode != "sums":
-            mode, ranks = "single", _ALIKE
-        else:
-            mode = "coin" if few and mode == "sums" and ranks is _LEVELS else "sums"
-            ranks = _LEVELS if few else ranks
+        mode, levels = next_rule(mode, levels, moved, waiting)
         frontier = moved * FRONTIER < seen["n"]
 
 
@@ -535,7 +535,10 @@ def resolution_memberships(nodes: DataFrame, edges: DataFrame,
     reads the edges once and moves the vertices of all resolutions, on the
     nodes' own graph over one copy of the arcs.  A resolution that moved
     nothing on a level is finished and leaves the later levels.  Repeated
-    resolutions count once; without edges every node is alone.
+    resolutions count once; without edges every node is alone.  Up to
+    ``ONE_TASK`` edges all rounds run in one task, over arrays; beyond it, where
+    a round's data outweigh its stages, they are joins and aggregates.  Both
+    find the same communities.
     """
     gammas = list(dict.fromkeys(float(r) for r in resolutions))
     if not gammas:
@@ -543,41 +546,74 @@ def resolution_memberships(nodes: DataFrame, edges: DataFrame,
     everyone, n = nodes.select("node"), len(gammas)
     nodes, isolated = split_isolated(nodes, edges)
     base = _level0(nodes, edges)
-    m = base.wedges.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    m, num_edges, unknown = base.wedges.agg(
+        F.coalesce(F.sum("weight"), F.lit(0.0)), F.count("*"), F.count_if(F.col("weight").isNull())).first()
     own = lambda df: df.select(_in_lanes(F.col("node"), n).alias("node")).withColumn("community", F.col("node"))
     if m <= 0:
         membership = own(everyone)
     else:
         scale = Scale.of(m, [(g, "modularity" if g == 1.0 else "cpm") for g in gammas], lanes=True)
-        graph = lg = LevelGraph(
-            cut_lineage(base.vertices.select(_in_lanes(F.col("v"), n).alias("v"), "k", "size")), base.wedges, True)
-        place = graph.vertices.select(F.col("v").alias("node"), "v")
-        start, active, done = lg.vertices.select("v", F.col("v").alias("c")), set(range(n)), []
-        while active:
-            assign, moves = _move(lg, start, scale)
-            _log(f"level done: {moves} moves")
-            rests = sorted(g for g in active if not moves[g])
-            if rests:
-                done.append(cut_lineage(place.where(F.col("v.g").isin(rests)).join(assign, "v")
-                                        .select("node", F.col("c").alias("community"))))
-                active -= set(rests)
-                if not active:
-                    break
-                goes = lambda df, v: df.where(F.col(f"{v}.g").isin(sorted(active)))
-                place, assign = goes(place, "v"), goes(assign, "v")
-                lg = LevelGraph(goes(lg.vertices, "v"), lg.wedges if lg.shared else goes(lg.wedges, "src"), lg.shared)
-            alone = lg.vertices.select("v", F.col("v").alias("c"))
-            parts, _ = _move(LevelGraph(lg.vertices, _inside(lg, assign)), alone, scale, merge_only=True)
-            place = cut_lineage(place.join(parts, "v").select("node", F.col("c").alias("v")))
-            start = cut_lineage(parts.withColumnRenamed("c", "p").join(assign, "v")
-                                .groupBy(F.col("p").alias("v")).agg(F.min("c").alias("c")))
-            lg = _contract(lg, parts)
-        membership = functools.reduce(DataFrame.unionByName, done)
-        membership = relabel_min(_split_disconnected(graph, membership)).unionByName(own(isolated))
+        one_task = num_edges * n <= ONE_TASK and m < MOST_WEIGHT and not unknown and _numbered(base)
+        membership = (_sweep_in_one_task if one_task else _sweep_by_rounds)(base, scale).unionByName(own(isolated))
     return membership.select(F.element_at(F.array(*map(F.lit, gammas)), F.col("node.g") + 1).alias("resolution"),
                              F.col("node.v").alias("node"), F.col("community.v").alias("community"))
 
 
+def _numbered(base: LevelGraph) -> bool:
+    """Whether the ids are of a type that arrays can number in Spark's order."""
+    ids = {base.vertices.schema["v"].dataType, *(base.wedges.schema[x].dataType for x in ("src", "dst"))}
+    return len(ids) == 1 and ids <= {T.StringType(), T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType()}
+
+
+def _sweep_in_one_task(base: LevelGraph, scale: Scale) -> DataFrame:
+    """``(node, community)`` of lanes over the nodes' own graph: the edges and
+    nodes go to one task, which makes all rounds of all levels there."""
+    terms = list(zip(scale.link, scale.unit, scale.mass))
+    arcs = _shared_arcs(LevelGraph(base.vertices.select(F.struct("v").alias("v"), "k", "size"), base.wedges, True))
+    arcs_path = write_table(arcs, "arcs")
+    spark, id_type = arcs.sparkSession, base.vertices.schema["v"].dataType
+    arcs = spark.read.schema(arcs.schema).parquet(arcs_path).select("a", "b", "w")
+    named = F.array(*[F.xxhash64(F.lit(g), "v") for g in range(len(terms))])
+    nodes = (base.vertices.groupBy("v").agg(F.max("k").alias("k"), F.count("*").alias("copies"))
+             .select(F.col("v").alias("a"), "k", "copies", named.alias("named")))
+    rows = nodes.unionByName(arcs, allowMissingColumns=True).repartition(1)
+    schema = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("node", id_type),
+                           T.StructField("community", id_type)])
+    found = cut_lineage(rows.mapInArrow(functools.partial(moving.sweep_rows, terms=terms), schema))
+    delete_table(spark, arcs_path)
+    return found.select(*[F.struct("g", F.col(x).alias("v")).alias(x) for x in ("node", "community")])
+
+
+def _sweep_by_rounds(base: LevelGraph, scale: Scale) -> DataFrame:
+    """The same by ``_move``, whose rounds are joins and aggregates."""
+    n = len(scale.link)
+    graph = lg = LevelGraph(
+        cut_lineage(base.vertices.select(_in_lanes(F.col("v"), n).alias("v"), "k", "size")), base.wedges, True)
+    place = graph.vertices.select(F.col("v").alias("node"), "v")
+    start, active, done = lg.vertices.select("v", F.col("v").alias("c")), set(range(n)), []
+    while active:
+        assign, moves = _move(lg, start, scale)
+        _log(f"level done: {moves} moves")
+        rests = sorted(g for g in active if not moves[g])
+        if rests:
+            done.append(cut_lineage(place.where(F.col("v.g").isin(rests)).join(assign, "v")
+                                    .select("node", F.col("c").alias("community"))))
+            active -= set(rests)
+            if not active:
+                break
+            goes = lambda df, v: df.where(F.col(f"{v}.g").isin(sorted(active)))
+            place, assign = goes(place, "v"), goes(assign, "v")
+            lg = LevelGraph(goes(lg.vertices, "v"), lg.wedges if lg.shared else goes(lg.wedges, "src"), lg.shared)
+        alone = lg.vertices.select("v", F.col("v").alias("c"))
+        parts, _ = _move(LevelGraph(lg.vertices, _inside(lg, assign)), alone, scale, merge_only=True)
+        place = cut_lineage(place.join(parts, "v").select("node", F.col("c").alias("v")))
+        start = cut_lineage(parts.withColumnRenamed("c", "p").join(assign, "v")
+                            .groupBy(F.col("p").alias("v")).agg(F.min("c").alias("c")))
+        lg = _contract(lg, parts)
+    membership = functools.reduce(DataFrame.unionByName, done)
+    return relabel_min(_split_disconnected(graph, membership))
+
+
 def by_resolution(memberships: DataFrame, edges: DataFrame, resolutions) -> tuple[DataFrame, DataFrame]:
     """Membership and edges whose nodes are ``(g, v)``, g the resolution."""
     of = F.explode(F.array(*[F.lit(float(r)) for r in dict.fromkeys(resolutions)]))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.operators import communities as cm
 from corpusgraph.operators import components as cc
+from corpusgraph.operators import moving
 from corpusgraph.operators import quality as qm
 
 
@@ -257,3 +258,33 @@ def test_resolutions_without_edges_and_of_names(spark, path_graph):
     rows = cm.resolution_memberships(nodes, edges, (0.4, 1.0)).collect()
     for g in (0.4, 1.0):
         assert {r["node"]: r["community"] for r in rows if r["resolution"] == g} == dict(zip("abcxyzq", "aaaxxxq"))
+
+
+def test_a_sweep_in_one_task_finds_what_rounds_of_joins_find(spark, monkeypatch):
+    """A small graph's sweep keeps no round's state, and its memberships are
+    those of the rounds: hubs that many want, cliques, ties, a loop, an end that
+    is no node, a node listed twice, names of several bytes."""
+    pairs = [(0, i) for i in range(1, 25)] + [(i, i + 1) for i in range(20, 40)] + [(50, 50), (51, 90)]
+    pairs += [(c + i, c + j) for c in (41, 45) for i in range(4) for j in range(i)] + [(40, 41), (44, 45)]
+    named = lambda i: "é" * (i % 3) + f"n{i}"
+    edges = spark.createDataFrame([(named(a), named(b)) for a, b in pairs], "src string, dst string")
+    nodes = spark.createDataFrame([(named(i),) for i in [*range(53), 3, 46]], "node string")
+    gammas = (0.05, 1.0)
+    rounds, here = _rounds(monkeypatch, lambda: sorted(cm.resolution_memberships(nodes, edges, gammas).collect()))
+    assert rounds == 0 and len(here) == 2 * 53
+    monkeypatch.setattr(cm, "ONE_TASK", 0)
+    rounds, there = _rounds(monkeypatch, lambda: sorted(cm.resolution_memberships(nodes, edges, gammas).collect()))
+    assert rounds > 10 and here == there
+
+
+def test_hashes_and_decimals_of_arrays_are_sparks(spark):
+    rows = spark.range(-50, 50).selectExpr(
+        "xxhash64(struct(3, id)) as seed", "xxhash64(struct(3, id), 7) as h",
+        "xxhash64(struct(3, id), 7, 'side') as side", "xxhash64(struct(3, id), 7, 'level') as level").toPandas()
+    h = moving.hash_int(7, rows["seed"].to_numpy().view("uint64"))
+    assert (h.view("int64") == rows["h"]).all()
+    for text in ("side", "level"):
+        assert (moving.hash_text(text.encode(), h).view("int64") == rows[text]).all()
+    rows = spark.range(1000).selectExpr("id / 8e6 + id % 7 as x").selectExpr(
+        "x", "cast(cast(x as decimal(28, 6)) * 1000000 as bigint) as y").toPandas()
+    assert (moving.micros(rows["x"].to_numpy()) == rows["y"]).all()
