@@ -288,3 +288,16 @@ def test_hashes_and_decimals_of_arrays_are_sparks(spark):
     rows = spark.range(1000).selectExpr("id / 8e6 + id % 7 as x").selectExpr(
         "x", "cast(cast(x as decimal(28, 6)) * 1000000 as bigint) as y").toPandas()
     assert (moving.micros(rows["x"].to_numpy()) == rows["y"]).all()
+
+
+def test_sweep_invariants_of_documents_keep_no_round(spark, monkeypatch, tmp_path):
+    """What the registered query reports, without a written table per round."""
+    from corpusgraph.plans.community_queries import RESOLUTIONS, q_resolution_sweep_invariants
+
+    line = "a line that is long enough to count, number {}".format
+    texts = ["\n".join([line(i // 4), line(f"{i} alone")] + [line("bridge")] * (i in (3, 4))) for i in range(12)]
+    spark.createDataFrame([*enumerate(texts), (12, None)], "doc_id long, text string") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    rounds, rows = _rounds(monkeypatch, lambda: q_resolution_sweep_invariants(spark, str(tmp_path)).collect())
+    assert rounds == 0
+    assert sorted(map(tuple, rows)) == [(g, 13, 13, 0, 0, 0, int(g <= 1)) for g in RESOLUTIONS]
